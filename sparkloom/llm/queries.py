@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, quality, suffix
+from . import bpe, langid, minhash, packing, quality, suffix
 from .common import fold
 
 
@@ -15,6 +16,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.predictions(docs, langid.fit(docs))
@@ -36,8 +41,12 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removals(read(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_langid": op2_langid, "op3_quality": op3_quality, "op5_minhash": op5_minhash, "op6_suffix": op6_suffix}
+    return {"op1_packing": op1_packing, "op8_bpe": op8_bpe, "op2_langid": op2_langid, "op3_quality": op3_quality, "op5_minhash": op5_minhash, "op6_suffix": op6_suffix}
 
 
 def oracle_sql() -> dict[str, str]:
