@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, quality, suffix
+from . import bpe, langid, minhash, packing, quality, suffix, topk, vecdup
 from .common import fold
 
 
@@ -45,9 +45,34 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op10_vecdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vecdup.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)]) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+c(id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT c.id, l.b FROM c JOIN l ON c.reach = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.component_id, m.component_id = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT id, min(reach) AS component_id FROM c GROUP BY id) m ON m.id = e.vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op8_bpe": op8_bpe, "op2_langid": op2_langid, "op3_quality": op3_quality, "op5_minhash": op5_minhash, "op6_suffix": op6_suffix}
+    return {"op1_packing": op1_packing, "op8_bpe": op8_bpe, "op2_langid": op2_langid, "op3_quality": op3_quality, "op5_minhash": op5_minhash, "op6_suffix": op6_suffix, "op9_topk": op9_topk, "op10_vecdup": op10_vecdup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_topk": OP9_SQL, "op10_vecdup": OP10_SQL}
