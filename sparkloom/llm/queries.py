@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, quality, suffix, topk, vecdup
+from . import bpe, ctw, langid, minhash, packing, quality, suffix, topk, vecdup
 from .common import fold
 
 
@@ -41,6 +41,12 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removals(read(spark, sf_dir, "documents"))
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ctw.scored(read(spark, sf_dir, "documents"))
+    held = (fold(F.col("doc_id"), 10) == 0).alias("held_out")
+    return found.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -71,7 +77,7 @@ FROM embeddings e JOIN (SELECT id, min(reach) AS component_id FROM c GROUP BY id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op8_bpe": op8_bpe, "op2_langid": op2_langid, "op3_quality": op3_quality, "op5_minhash": op5_minhash, "op6_suffix": op6_suffix, "op9_topk": op9_topk, "op10_vecdup": op10_vecdup}
+    return {"op1_packing": op1_packing, "op7_ctw": op7_ctw, "op8_bpe": op8_bpe, "op2_langid": op2_langid, "op3_quality": op3_quality, "op5_minhash": op5_minhash, "op6_suffix": op6_suffix, "op9_topk": op9_topk, "op10_vecdup": op10_vecdup}
 
 
 def oracle_sql() -> dict[str, str]:
