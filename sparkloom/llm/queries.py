@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, langid, minhash, packing, quality, suffix, topk, vecdup
+from . import bpe, ctw, html, langid, minhash, packing, quality, suffix, topk, vecdup
 from .common import fold
 
 
@@ -32,6 +32,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(read(spark, sf_dir, "pages"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.classes(read(spark, sf_dir, "documents"), k=4)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -76,8 +80,15 @@ FROM embeddings e JOIN (SELECT id, min(reach) AS component_id FROM c GROUP BY id
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top, beside the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op7_ctw": op7_ctw, "op8_bpe": op8_bpe, "op2_langid": op2_langid, "op3_quality": op3_quality, "op5_minhash": op5_minhash, "op6_suffix": op6_suffix, "op9_topk": op9_topk, "op10_vecdup": op10_vecdup}
+    ops = (op1_packing, op2_langid, op3_quality, op4_html, op5_minhash, op6_suffix, op7_ctw, op8_bpe, op9_topk, op10_vecdup, pipeline)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
