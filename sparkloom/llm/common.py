@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
         yield batch.slice(start)
 
 
+def filtered(docs: DataFrame, judge: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of docs that judge accepts, batch by batch, with all columns and without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield batch.filter(pa.array(judge(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 # --- Words and hashes -------------------------------------------------------------------------
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, pick, pieces, utf8
+from .common import filtered, fold, pick, pieces, utf8
 
 WINDOW = 96
 HIDDEN = 8
@@ -165,23 +165,28 @@ def fit(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE) ->
     return train([langs[k] for k in there], cells[:, first], length[first], np.searchsorted(there, label))
 
 
+def _predict(net: Network | None, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch."""
+    data, offs = utf8(batch.column("text"))
+    known = [net is not None and v.is_valid and _LETTER.search(v.as_py()) is not None for v in batch.column("text")]
+    sums = np.zeros((batch.num_rows, len(net.langs) if net else 1))
+    if net and len(data):
+        cells, length, owner = _windows(data, offs, WINDOW)
+        for a in range(0, cells.shape[1], 4096):
+            p = net.probabilities(cells[:, a : a + 4096], length[a : a + 4096])
+            np.add.at(sums, owner[a : a + 4096], p.T)
+    mean = sums / np.maximum(np.diff(offs), 1)[:, None]
+    best = mean.argmax(axis=1)
+    lang = [net.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
+    return lang, np.where(known, np.clip(mean.max(axis=1), 0, 1), 0.0)
+
+
 def predictions(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row; score is the mean probability of the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=1 << 19):
-            data, offs = utf8(batch.column("text"))
-            known = [net is not None and v.is_valid and _LETTER.search(v.as_py()) is not None for v in batch.column("text")]
-            sums = np.zeros((batch.num_rows, len(net.langs) if net else 1))
-            if net and len(data):
-                cells, length, owner = _windows(data, offs, WINDOW)
-                for a in range(0, cells.shape[1], 4096):
-                    p = net.probabilities(cells[:, a : a + 4096], length[a : a + 4096])
-                    np.add.at(sums, owner[a : a + 4096], p.T)
-            mean = sums / np.maximum(np.diff(offs), 1)[:, None]
-            best = mean.argmax(axis=1)
-            lang = [net.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
-            score = np.where(known, np.clip(mean.max(axis=1), 0, 1), 0.0)
+            lang, score = _predict(net, batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -189,5 +194,10 @@ def predictions(docs: DataFrame, net: Network | None) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
     """The documents whose language is told with at least `least`, with all their columns."""
-    known = predictions(docs, fit(docs, **how)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return docs.join(known.select("doc_id"), "doc_id", "left_semi")
+    net = fit(docs, **how)
+
+    def judge(batch: pa.RecordBatch) -> np.ndarray:
+        lang, score = _predict(net, batch)
+        return (np.array(lang, object) != "und") & (score >= least)
+
+    return filtered(docs, judge)

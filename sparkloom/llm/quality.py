@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, hash_spans, pick, pieces, utf8, word_spans
+from .common import LOWER, filtered, fold, hash_spans, pick, pieces, utf8, word_spans
 
 #: Statistics, in the order of the vector.
 NAMES = ("log_words", "letters", "upper", "digits", "symbols", "commas", "white", "high_bytes", "word_length", "word_spread", "distinct_words", "top_word", "repeats", "pair_distinct", "line_words", "entropy", "symbol_words", "upper_words", "distinct_lines")
@@ -110,20 +110,37 @@ def statistics(column: pa.Array) -> np.ndarray:
     return out
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) of every row of docs: its statistics, far smaller than its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            x = statistics(batch.column("text"))
+            at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * D)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(x.reshape(-1)))], ["doc_id", "x"])
+
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, D)
+
+
 def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """label -> (n, sum, sum of outer products), added up in the tasks: rows needs text and label."""
+    """label -> (n, sum, sum of outer products), added up in the tasks: rows needs x and label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in pieces(batches):
-            x = np.hstack([np.ones((batch.num_rows, 1)), statistics(batch.column("text"))])
+        for batch in batches:
+            x = _rows(batch.column("x"))
+            x = np.hstack([np.ones((len(x), 1)), x])
             y = np.asarray(batch.column("label").to_pylist())
             for label in (0, 1):
                 sums[label] = sums.get(label, 0) + x[y == label].T @ x[y == label]
         for label, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([label] * s.size), pa.array(range(s.size)), pa.array(s.reshape(-1))], ["label", "at", "v"])
 
-    parts = pick(rows, "text", "label").mapInArrow(run, "label long, at long, v double")
+    parts = pick(rows, "x", "label").mapInArrow(run, "label long, at long, v double")
     out = {}
     for label, cells in parts.groupBy("label", "at").agg(F.sum("v").alias("v")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("c")).collect():
         m = np.array([c.v for c in cells]).reshape(D + 1, D + 1)  # at most 2 * (D + 1) ** 2 numbers
@@ -160,24 +177,25 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(gap, -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, **how) -> Discriminant:
-    """The model of all labelled rows outside the held-out fold."""
+def fit(found: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, **how) -> Discriminant:
+    """The model of all labelled rows outside the held-out fold; found comes from measured()."""
     marks = pick(labels, "doc_id", "quality").where(fold(F.col("doc_id"), folds) != held).where("quality IN (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.max("quality").cast("long").alias("label"))
-    return Discriminant(moments(pick(docs, "doc_id", "text").join(marks, "doc_id")), **how)
+    return Discriminant(moments(found.join(marks, "doc_id")), **how)
 
 
-def scores(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """(doc_id, score) of every row of docs."""
+def scores(found: DataFrame, model: Discriminant) -> DataFrame:
+    """(doc_id, score) of every row of measured()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(statistics(batch.column("text"))))], ["doc_id", "score"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_rows(batch.column("x"))))], ["doc_id", "score"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return found.mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, **how) -> DataFrame:
-    """The documents that score at least `least`, with all their columns."""
-    good = scores(docs, fit(docs, labels, **how)).where(F.col("score") >= least).select("doc_id")
-    return docs.join(good, "doc_id", "left_semi")
+    """The documents that score at least `least`, with all their columns. Texts are not shuffled: they
+    are measured once for the fit and again where they are filtered."""
+    model = fit(measured(docs), labels, **how)
+    return filtered(docs, lambda batch: model.score(statistics(batch.column("text"))) >= least)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, ctw, html, langid, minhash, packing, quality, suffix, topk, vecdup
-from .common import fold
+from .common import fold, materialise
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,7 +28,8 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = quality.scores(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    found = materialise(quality.measured(docs), "statistics")
+    scored = quality.scores(found, quality.fit(found, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

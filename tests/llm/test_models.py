@@ -23,19 +23,20 @@ def odd(spark):
 
 def test_quality_held_out(spark, tables):
     docs, labels = tables
-    model = quality.fit(docs, labels)
-    both = quality.scores(docs, model).join(labels, "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).collect()
+    found = quality.measured(docs)
+    model = quality.fit(found, labels)
+    both = quality.scores(found, model).join(labels, "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).collect()
     right = sum((r.score >= 0.7) == (r.quality == 1) for r in both)
     assert right >= 0.95 * len(both)
-    rows = quality.scores(odd(spark), model).collect()
+    rows = quality.scores(quality.measured(odd(spark)), model).collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
 def test_quality_sums_equal_one_pass(spark, tables):
     docs, labels = tables
-    rows = docs.join(labels.withColumn("label", F.col("quality").cast("long")), "doc_id").limit(60).select("text", "label").persist()
-    got = quality.moments(rows.repartition(5))
+    rows = docs.join(labels.withColumn("label", F.col("quality").cast("long")), "doc_id").limit(60).select("doc_id", "text", "label").persist()
+    got = quality.moments(quality.measured(rows.repartition(5)).join(rows.select("doc_id", "label"), "doc_id"))
     import pyarrow as pa
 
     local = rows.collect()
@@ -47,7 +48,8 @@ def test_quality_sums_equal_one_pass(spark, tables):
 
 def test_quality_without_labels(spark, tables):
     none = spark.createDataFrame([], "doc_id long, quality int")
-    assert {r.score for r in quality.scores(tables[0].limit(5), quality.fit(tables[0], none)).collect()} == {0.5}
+    found = quality.measured(tables[0].limit(5))
+    assert {r.score for r in quality.scores(found, quality.fit(found, none)).collect()} == {0.5}
 
 
 def test_language_held_out(spark, tables):

@@ -17,7 +17,8 @@ def test_stages(spark):
             assert docs.columns == first.columns
             sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.7 * sizes[0]
-    good = quality.scores(first, quality.fit(first, spark.read.parquet(f"{SMALL}/labels.parquet"))).where(F.col("score") >= 0.7).count()
+    found = quality.measured(first)
+    good = quality.scores(found, quality.fit(found, spark.read.parquet(f"{SMALL}/labels.parquet"))).where(F.col("score") >= 0.7).count()
     assert sizes[1] == good
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(docs.columns)
     assert docs.select("doc_id").distinct().count() == sizes[-1]
