@@ -1,0 +1,12 @@
+"""Registered queries of the library's own operators."""
+
+from . import retrieval  # noqa: F401
+from .registry import QUERIES, SQL
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
