@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from . import retrieval  # noqa: F401
+from . import graph, retrieval  # noqa: F401
 from .registry import QUERIES, SQL
 
 
