@@ -10,9 +10,9 @@ before anything is compared, so copies never multiply. Other columns of the tabl
 
 How exactness and skew go together: each class of equal sets sends one representative to the banding.
 Within a bucket every member is verified against the bucket's smallest member, which joins almost all
-true groups in a number of pairs that grows with the members. Members that did not end up in the same
-component are then verified against every bucket mate outside their own component, so that no link
-between different texts that the bands propose is lost.
+true groups in a number of pairs that grows with the members. The members of buckets that are not yet of
+one component are then compared across components, by their rarest shingles, which proposes every pair
+that can reach the threshold but no pairs within what is already joined.
 """
 
 from __future__ import annotations
@@ -128,6 +128,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def across_components(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, at) in different components `at` that may reach the threshold: all
+    that do are among them. With every set in one order, rarest shingles first, two sets that reach it
+    share one of their first shingles, at places that leave enough room for the overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [np.frombuffer(v.as_py(), np.int64) for v in batch.column("shingles")]
+            size = np.array([len(x) for x in blobs])
+            for a in range(0, len(blobs), 256):
+                n = pa.array(np.repeat(np.arange(a, min(a + 256, len(blobs))), size[a : a + 256]))
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(n), batch.column("at").take(n), pa.array(np.concatenate(blobs[a : a + 256]))], ["rep", "at", "s"])
+
+    kept = sets.join(members, sets.doc_id == members.rep).select("rep", "at", "shingles")
+    tokens = kept.mapInArrow(run, "rep long, at long, s long")
+    common = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(common, "s", "left").groupBy("rep", "at").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("t"))
+    ranked = ranked.select("rep", "at", F.size("t").alias("n"), "t")
+    first = F.expr(f"slice(t, 1, n - cast(ceil(n * {percent} / 100) as int) + 1)")
+    heads = ranked.select("rep", "at", "n", F.posexplode(first).alias("i", "x")).where("x.df > 1").select("rep", "at", "n", "i", F.col("x.s").alias("s"))
+    heads = materialise(heads, "heads")
+    groups = heads.groupBy("s").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.mode("at", True).alias("main")).where("low <> high").select("s", "main")
+    heads = heads.join(groups, "s")
+    rest = heads.where("at <> main").select("s", *[F.col(c).alias(f"x_{c}") for c in ("rep", "at", "n", "i")])
+    room = f"1 + least(x_n - x_i, n - i) - 1 >= (x_n + n) * {percent} / (100 + {percent}) - 0.001"
+    pairs = rest.join(heads, "s").where(f"x_at <> at AND (at = main OR x_rep < rep) AND {room} AND {percent} * greatest(x_n, n) <= 100 * least(x_n, n)")
+    return pairs.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links reach.
     docs needs doc_id (unique, long) and text."""
@@ -145,17 +174,16 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     links = materialise(verified(stars, sets, percent), "links")
     found = materialise(components(links), "found")
 
-    # What a bucket's smallest member did not catch: compare across components within the bucket.
+    # What a bucket's smallest member did not catch: exact candidates across components.
     label = lambda c: F.coalesce(F.col(f"{c}_component"), F.col(c))
     of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
     placed = shared.join(of("rep"), "rep", "left").select("key", "rep", label("rep").alias("at"), "lead")
-    placed = placed.join(of("lead"), "lead", "left").select("key", "rep", "at", "lead", label("lead").alias("lead_at"))
+    placed = placed.join(of("lead"), "lead", "left").select("key", "rep", "at", label("lead").alias("lead_at"))
     placed = materialise(placed, "placed")
-    rest = placed.where("at <> lead_at").select("key", F.col("rep").alias("x"), F.col("at").alias("x_at"))
-    mates = placed.where("rep <> lead")
-    across = rest.join(mates, "key").where("x_at <> at AND (at = lead_at OR x < rep)")
-    across = across.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    more = verified(materialise(across, "across"), sets, percent)
+    mixed = placed.where("at <> lead_at").select("key").distinct()
+    open_ = materialise(placed.join(mixed, "key", "left_semi").select("rep", "at").distinct(), "open")
+    across = materialise(across_components(sets, open_, percent), "across")
+    more = verified(across, sets, percent)
     found = components(links.union(more))
 
     by = signed.where("n_shingles > 0").select("doc_id", *print_)
