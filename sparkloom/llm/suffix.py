@@ -9,7 +9,9 @@ form one context. Only contexts whose anchor gram occurs again can hold repeats;
 counted, and the different contexts of one anchor meet in one task, where a suffix array over them is
 built by two-stage sorting and adjacent common prefixes of at least `length` bytes mark the windows.
 An anchor with more than `GROUP` different contexts (the edge of a very common passage) is split: its
-windows are counted one by one by a 128-bit hash, which spreads over all tasks.
+contexts are cut into blocks of windows at the same distances from the anchor, and the bytes that all
+windows of a block share take the anchor's place, so that they spread over all tasks. Blocks that are still
+too common are cut again, in the end to single windows, which are told apart by a 128-bit hash.
 
 Defined cases: a null text counts as empty; texts shorter than `length` lose nothing. Other columns are
 not read. Ids are unique.
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import hash_spans, materialise, mix, pick, pieces, utf8
 
 LENGTH, GRAM = 200, 24
-#: Different contexts of one anchor that one task sorts; above it windows are counted by hash.
+#: Different contexts of one anchor that one task sorts; above it they are split.
 GROUP = 256
+#: Windows in a block, from one splitting to the next.
+SPLITS = (32, 4, 1)
 #: Bytes of contexts in one suffix array.
 BLOCK = 1 << 18
 #: Ids that may be broadcast to pick texts; beyond it the texts are joined by shuffle.
@@ -198,27 +202,56 @@ def _texts_of(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
 
 
 def _cut(wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of contexts; for hot anchors the hashes of their windows instead."""
+    """The bytes of contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=1 << 18):
             rows: list[tuple] = []
             for text, found in zip(batch.column("text"), batch.column("wanted"), strict=True):
                 raw = (text.as_py() or "").encode()
-                data = np.frombuffer(raw, np.uint8)
-                for x in found.as_py():
-                    if not x["hot"]:
-                        rows.append((x["h"], x["c"], x["count"], raw[x["first"] : x["first"] + x["count"] - 1 + length], None, None, None))
-                        continue
-                    s = np.arange(x["first"], x["first"] + x["count"])
-                    w1 = hash_spans(data, s, s + length)
-                    w2 = mix(hash_spans(data, s, s + length // 2)) ^ hash_spans(data, s + length // 2, s + length)
-                    rows += [(x["h"], x["c"], x["count"], None, i, a, b) for i, (a, b) in enumerate(zip(w1.view(np.int64).tolist(), w2.view(np.int64).tolist(), strict=True))]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+                rows += [(x["h"], x["c"], x["count"], raw[x["first"] : x["first"] + x["count"] - 1 + length]) for x in found.as_py()]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], ["h", "c", "count", "bytes", "at", "w1", "w2"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], ["h", "c", "count", "bytes"])
+
+    return wanted.select("text", "wanted").mapInArrow(run, "h long, c long, count int, bytes binary")
+
+
+def split_context(raw: bytes, count: int, length: int, gram: int, block: int) -> list[tuple[int, int, int, int, bytes]]:
+    """Blocks (key, content, first window, windows, bytes) of a context. Equal windows lie at equal
+    distances from their anchor, so in blocks of one key: the hash of what all windows of a block share."""
+    data = np.frombuffer(raw, np.uint8)
+    at = np.arange(length - gram + 1)
+    anchor = int((hash_spans(data, at, at + gram) >> np.uint64(24)).argmin())  # as anchors() chooses it
+    window = np.arange(count)
+    number = (anchor - window) // block
+    head = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    n = np.diff(np.append(head, count))
+    k = number[head]
+    end = head + n - 1 + length
+    core = anchor - k * block
+    key = mix(hash_spans(data, core, core - block + 1 + length))
+    half = head + (end - head) // 2
+    content = mix(hash_spans(data, head, half)) ^ hash_spans(data, half, end)
+    key ^= mix(k.astype(np.uint64))
+    return [(a, b, i, m, raw[i:e]) for a, b, i, m, e in zip(key.view(np.int64).tolist(), content.view(np.int64).tolist(), head.tolist(), n.tolist(), end.tolist(), strict=True)]
+
+
+def _blocks(contexts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+    """(h, c, off, key, content, count, bytes): each context cut into blocks."""
 
-    return wanted.select("text", "wanted").mapInArrow(run, "h long, c long, count int, bytes binary, at int, w1 long, w2 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("h", "c", "off", "key", "content", "count", "bytes")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                rows = []
+                for h, c, count, raw in zip(*(part.column(k).to_pylist() for k in ("h", "c", "count", "bytes")), strict=True):
+                    rows += [(h, c, i, key, content, n, b) for key, content, i, n, b in split_context(raw, count, length, gram, block)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return contexts.select("h", "c", "count", "bytes").mapInArrow(run, "h long, c long, off int, key long, content long, count int, bytes binary")
 
 
 def _sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
@@ -247,25 +280,41 @@ def _sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "h long, c long, runs array<int>").where("size(runs) > 0")
 
 
+def _repeats(contexts: DataFrame, length: int, gram: int, group: int, splits: tuple[int, ...]) -> DataFrame:
+    """(h, c, runs) of contexts (h, c, count, bytes), different ones all, that hold repeated windows."""
+    wide = contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group).select("h")
+    if not splits or not wide.limit(1).count():
+        return _sorted_repeats(contexts, length)
+    wide = materialise(wide, "wide")
+    cut = materialise(_blocks(contexts.join(wide, "h", "left_semi"), length, gram, splits[0]), "blocks")
+    again = materialise(cut.groupBy("key").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("varied")).where("n > 1").select("key", "varied"), "again")
+    found = cut.join(again, "key")
+    kinds = materialise(found.groupBy("key", "content", "varied").agg(F.count("*").alias("copies"), F.min(F.struct("count", "bytes")).alias("x")), "kinds")
+    whole = kinds.where("copies > 1").select("key", "content", F.array(F.lit(0), F.col("x.count") - 1).alias("runs"))
+    inner = kinds.where("varied").select(F.col("key").alias("h"), F.col("content").alias("c"), "x.count", "x.bytes")
+    partly = _repeats(inner, length, gram, group, splits[1:]).select(F.col("h").alias("key"), F.col("c").alias("content"), "runs")
+    partly = partly.join(kinds.where("copies > 1").select("key", "content"), ["key", "content"], "left_anti")
+    repeats = materialise(partly.union(whole), "repeats")
+    back = cut.select("h", "c", "off", "key", "content").join(repeats, ["key", "content"])
+    hot = back.groupBy("h", "c").agg(F.flatten(F.collect_list(F.transform("runs", lambda i: i + F.col("off")))).alias("runs"))
+    return _sorted_repeats(contexts.join(wide, "h", "left_anti"), length).union(hot)
+
+
 def _marks(docs: DataFrame, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_bytes, sha) of all texts, and (doc_id, marks) of those that hold repeats."""
     scanned = materialise(_scan(docs, length, gram), "anchors")
     flat = scanned.select("doc_id", F.inline(F.arrays_zip("h", "c", "first", "count")))
     again = flat.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("varied")).where("n > 1").select("h", "varied")
+    again = materialise(again, "again")  # two plain sides: a very common anchor's rows can be split in the join
     found = materialise(flat.join(again, "h"), "found")
 
     kinds = found.groupBy("h", "c", "varied").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "count")).alias("rep"))
     kinds = materialise(kinds, "kinds")
-    varied = kinds.where("varied")
-    wide = varied.groupBy("h").agg(F.count("*").alias("n")).select("h", (F.col("n") > group).alias("hot"))
-    reps = varied.join(wide, "h").select("rep.doc_id", F.struct("h", "c", "rep.first", "rep.count", "hot").alias("w"))
+    reps = kinds.where("varied").select("rep.doc_id", F.struct("h", "c", "rep.first", "rep.count").alias("w"))
     reps = materialise(reps.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")), "reps")
     contexts = materialise(_cut(_texts_of(docs, reps), length), "contexts")
 
-    windows = contexts.where("bytes IS NULL")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    hot = windows.join(twice, ["w1", "w2"]).groupBy("h", "c").agg(F.flatten(F.collect_list(F.array("at", "at"))).alias("runs"))
-    partly = _sorted_repeats(contexts.where("bytes IS NOT NULL"), length).union(hot)
+    partly = _repeats(contexts, length, gram, group, tuple(b for b in SPLITS if b == 1 or 2 * b <= length))
     whole = kinds.where("copies > 1").select("h", "c", F.array(F.lit(0), F.col("rep.count") - 1).alias("runs"))
     partly = partly.join(kinds.where("copies > 1").select("h", "c"), ["h", "c"], "left_anti")
     repeats = materialise(partly.union(whole), "repeats")
