@@ -38,15 +38,27 @@ def text_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(hash_spans(np.take(LOWER, data), start, end), at, k)
 
 
+#: Elements whose permutations are held at once.
+ELEMENTS = 1 << 16
+
+
 def super_minhash(elements: np.ndarray, offs: np.ndarray, m: int) -> np.ndarray:
     """SuperMinHash signatures (one row of m values per set). Each element deals its values out by its
     own random permutation of the m slots, the j-th value lying in [j, j + 1); so a set is done as soon
-    as every slot holds a value below the next j. Level j is handled for all unfinished sets at once."""
-    n = len(offs) - 1
-    best = np.full((n, m), _UNSET, np.int64)
-    size = np.diff(offs)
-    owner = np.repeat(np.arange(n), size)
-    live, perm = elements, None
+    as every slot holds a value below the next j. Level j is handled for all unfinished sets at once, for
+    a bounded number of elements: a set's later elements start from what the earlier ones have reached."""
+    best = np.full((len(offs) - 1, m), _UNSET, np.int64)
+    owner = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    for a in range(0, len(elements), ELEMENTS):
+        part = owner[a : a + ELEMENTS]
+        low = int(part[0])
+        _lower(best[low : int(part[-1]) + 1], elements[a : a + ELEMENTS], part - low, m)
+    return best
+
+
+def _lower(best: np.ndarray, live: np.ndarray, owner: np.ndarray, m: int) -> None:
+    """Lower the signatures `best` by elements of the sets `owner`."""
+    perm = np.zeros((0, m), np.uint8)
     for j in range(m):
         if not len(live):
             break
@@ -68,7 +80,6 @@ def super_minhash(elements: np.ndarray, offs: np.ndarray, m: int) -> np.ndarray:
             perm[np.arange(len(live)), first] = 0
         elif not keep.all():
             live, owner, perm = live[keep], owner[keep], perm[keep]
-    return best
 
 
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
