@@ -119,4 +119,4 @@ def conversation_state(t: Tables) -> DataFrame:
 def stream_job_state(t: Tables) -> DataFrame:
     """Epoch, attempts and last event of every job, folded by a stream; tests hold it against the batch."""
     shared = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sparkloom"
-    return jobs.job_state(t.spark, f"{t.sf_dir}/events.parquet", shared.rstrip("/")).drop("version", "last_id")
+    return jobs.job_state(t.spark, f"{t.sf_dir}/events*.parquet", shared.rstrip("/")).drop("version", "last_id")

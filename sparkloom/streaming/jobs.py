@@ -34,7 +34,8 @@ def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterat
 
 
 def job_state(spark: SparkSession, path: str, shared: str) -> DataFrame:
-    """The newest state of every job after all files of `path` went through the stream. State and results
+    """The newest state of every job after all files of `path` (a folder, or a pattern of files) went
+    through the stream. State and results
     are in the shared folder, so a restarted query goes on where it stopped."""
     run = f"{shared}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(EVENTS).parquet(path)
