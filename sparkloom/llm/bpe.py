@@ -198,14 +198,14 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.index = HashIndex(np.zeros(0, np.uint64))
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _add(self, keys: list[int], found: list[bytes]) -> None:
+    def _add(self, keys: np.ndarray, found: list[bytes]) -> None:
         ids = self.encode(found)
         size = np.array([len(x) for x in ids])
-        n, m, total = len(self.rows), len(self.rows) + len(ids), self.used + int(size.sum())
+        n, m, total = len(self.index.keys), len(self.index.keys) + len(ids), self.used + int(size.sum())
         while m > len(self.start):
             self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
         while total > len(self.flat):
@@ -213,24 +213,25 @@ class Encoder:
         self.flat[self.used : total] = np.concatenate(ids)
         self.size[n:m], self.start[n:m] = size, self.used + np.cumsum(size) - size
         self.used = total
-        self.rows.update(zip(keys, range(n, m), strict=True))
+        self.index.add(keys)
 
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the offsets of the texts."""
         start = split(data, offs)
         end = np.append(start[1:], len(data))
         codes, keys = pd.factorize(hash_spans(data, start, end))
-        if len(self.rows) > REMEMBER:
+        if len(self.index.keys) > REMEMBER:
             self._clear()
-        names = keys.tolist()
-        new = [i for i, k in enumerate(names) if k not in self.rows]
-        if new:
+        rows = self.index.find(keys)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
             first = np.zeros(len(keys), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = data.tobytes()
-            self._add([names[i] for i in new], [raw[start[f] : end[f]] for f in first[new]])
-        rows = np.array([self.rows[k] for k in names], np.int64)[codes] if names else np.zeros(0, np.int64)
-        size = self.size[rows]
+            raw, at = data.tobytes(), first[new]
+            rows[new] = np.arange(len(new)) + len(self.index.keys)
+            self._add(keys[new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        rows = rows[codes]
+        size = self.size[rows].astype(np.int64)
         ends = np.append(0, np.cumsum(size))
         return spread(self.flat, self.start[rows], size), ends[np.searchsorted(start, offs)]
 

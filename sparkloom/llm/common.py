@@ -181,11 +181,17 @@ class HashIndex:
     """64-bit keys to their positions, by open addressing over whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length() + 1)
-        self.mask = np.int64((1 << self.bits) - 1)
         self.keys = np.asarray(keys, np.uint64)
-        self.slot = np.full(1 << self.bits, -1, np.int32 if len(keys) < 1 << 31 else np.int64)
-        todo, at = np.arange(len(keys)), self._home(self.keys)
+        self._build()
+
+    def _build(self) -> None:
+        self.bits = max(4, int(2 * len(self.keys) + 1).bit_length() + 1)
+        self.mask = np.int64((1 << self.bits) - 1)
+        self.slot = np.full(1 << self.bits, -1, np.int32 if len(self.keys) < 1 << 30 else np.int64)
+        self._insert(np.arange(len(self.keys)))
+
+    def _insert(self, todo: np.ndarray) -> None:
+        at = self._home(self.keys[todo])
         while len(todo):
             free = self.slot[at] < 0
             self.slot[at[free]] = todo[free]
@@ -193,6 +199,15 @@ class HashIndex:
             lost = (held != todo) & (self.keys[held] != self.keys[todo])
             todo, at = todo[lost], (at[lost] + 1) & self.mask
 
+    def add(self, keys: np.ndarray) -> None:
+        """Append keys that are not there yet."""
+        n = len(self.keys)
+        self.keys = np.concatenate([self.keys, keys])
+        if 2 * len(self.keys) > len(self.slot):
+            self._build()
+        else:
+            self._insert(np.arange(n, len(self.keys)))
+
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
 

@@ -36,7 +36,14 @@ def tokenizer_encoder(path: str) -> Encoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return Encoder(lambda found: [np.array(e.ids, np.int64) for e in tokenizer.encode_batch([p.decode() for p in found], add_special_tokens=False)])
+
+    def encode(found: list[bytes]) -> list[np.ndarray]:
+        out = []
+        for a in range(0, len(found), 2048):  # an encoding holds far more than its ids
+            out += [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast([p.decode() for p in found[a : a + 2048]], add_special_tokens=False)]
+        return out
+
+    return Encoder(encode)
 
 
 def tokenised(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
