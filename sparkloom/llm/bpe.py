@@ -38,7 +38,7 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 def _classes() -> np.ndarray:
     """The pattern's character class of every code point."""
     out = np.zeros(0x110000, np.uint8)
-    text = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    text = np.delete(np.arange(0x110000, dtype="<u4"), np.s_[0xD800:0xE000]).tobytes().decode("utf-32-le")
     back = lambda i: i + 0x800 * (i >= 0xD800)  # noqa: E731  the surrogates are not in the text
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for m in regex.finditer(pattern, text):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,19 +56,29 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _give_back() -> None:
+    """Return freed memory to the system: Spark keeps its Python workers for the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about `most` bytes of text each; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.diff(utf8(batch.column(text))[1])
         start, held = 0, 0
-        for i, n in enumerate(sizes):
+        for i, n in enumerate(sizes.tolist()):
             if i > start and held + n > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+        del batch
+        _give_back()
 
 
 def filtered(docs: DataFrame, judge: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
