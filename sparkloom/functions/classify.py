@@ -70,3 +70,13 @@ def review_status(stale: Column, conflicts: Column, review: Column, findings: Co
 def transition(base: Column, head: Column, merge: Column) -> Column:
     """Truth table of a violation seen at base, head and merge base."""
     return F.when(~base & head & ~merge, "INTRODUCED").when(~base & head, "WORSENED").when(base & head, "PRE_EXISTING").when(base & ~head, "RESOLVED").otherwise("UNCHANGED")
+
+
+def check_conclusion(failed: Column, confirmed: Column, partial: Column) -> Column:
+    """Conclusion of a published check: what did not run asks for action, conflicts fail, gaps are neutral."""
+    return F.when(failed, "ACTION_REQUIRED").when(confirmed, "FAILURE").when(partial, "NEUTRAL").otherwise("SUCCESS")
+
+
+def repository_state(deleting: Column, failed: Column, busy: Column, indexed: Column) -> Column:
+    """State of a tracked repository: deletion comes first, then failures, running work, readiness."""
+    return F.when(deleting, "DELETING").when(failed, "FAILED").when(busy, "INDEXING").when(indexed, "READY").otherwise("NOT_INDEXED")

@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from . import graph, ledger, readmodels, retrieval, text  # noqa: F401
+from . import graph, knowledge, ledger, readmodels, retrieval, text  # noqa: F401
 from .registry import QUERIES, SQL
 
 
