@@ -331,8 +331,10 @@ def _removed(n: int, marks: list[dict], length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _apply(marked: DataFrame, length: int) -> DataFrame:
-    """(doc_id, n_removed, n_spans, kept_sha256, kept): what is left of each marked text."""
+def _apply(marked: DataFrame, length: int, texts: bool = False) -> DataFrame:
+    """(doc_id, n_removed, n_spans, kept_sha256) of each marked text, or (doc_id, left), the text that is left
+    of it: a character that loses a byte goes wholly."""
+    names, kinds = (["doc_id", "left"], (pa.int64(), pa.string())) if texts else (["doc_id", "n_removed", "n_spans", "kept_sha256"], (pa.int64(), pa.int64(), pa.int64(), pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -341,20 +343,20 @@ def _apply(marked: DataFrame, length: int) -> DataFrame:
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 gone = _removed(len(data), marks.as_py(), length)
                 kept = data[~gone].tobytes()
-                spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                rows.append((i, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            names = ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"]
+                if texts:
+                    rows.append((i, kept.decode("utf-8", "ignore")))
+                else:
+                    rows.append((i, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return marked.select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return marked.select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, left string" if texts else "doc_id long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     texts = pick(docs, "doc_id", "text")
     every, marks = _marks(texts, length, gram, group)
-    cut = _apply(_texts_of(texts, marks), length).drop("kept")
+    cut = _apply(_texts_of(texts, marks), length)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return every.join(cut, "doc_id", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
@@ -364,14 +366,7 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     column n_chars follows the text. Other columns stay as they are."""
     texts = pick(docs, "doc_id", "text")
     _, marks = _marks(texts, length, gram, group)
-    cut = _apply(_texts_of(texts, marks), length)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left = [v.as_py().decode("utf-8", "ignore") for v in batch.column("kept")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(left, pa.string())], ["doc_id", "left"])
-
-    left = cut.select("doc_id", "kept").mapInArrow(decode, "doc_id long, left string").withColumnRenamed("doc_id", "_id")
+    left = _apply(_texts_of(texts, marks), length, texts=True).withColumnRenamed("doc_id", "_id")
     whole = docs.join(left, docs["doc_id"] == left["_id"], "left")
     text = F.when(F.col("_id").isNull(), docs["text"]).otherwise(left["left"])
     columns = {"text": text} | ({"n_chars": F.when(F.col("_id").isNull(), docs["n_chars"]).otherwise(F.length(left["left"]).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
