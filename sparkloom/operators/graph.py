@@ -69,9 +69,10 @@ def resolve_tiered(mentions: DataFrame, entities: DataFrame, folded, squeezed) -
     return out.withColumn("hit", first).select("mention_id", F.when(F.col("hit.n") == 1, F.col("hit.e")).alias("entity_id"), F.coalesce("hit.tier", F.lit(0)).alias("tier"), (F.coalesce("hit.n", F.lit(0)) > 1).alias("ambiguous"))
 
 
-def communities(both: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, community): the smallest id a node can reach over edges (a, b). Smallest neighbour labels
-    with pointer jumps; each round is written to the shared folder, so a lost executor re-reads it."""
+def communities(both: DataFrame) -> DataFrame:
+    """(node, community): the smallest id a node can reach over edges (a, b). Alternating large-star and
+    small-star rounds until no edge moves, so their number grows with the logarithm of a path's length;
+    each round is written to the shared folder, so a lost executor re-reads it."""
     spark = both.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sparkloom"
 
@@ -80,14 +81,17 @@ def communities(both: DataFrame, rounds: int = 20) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    both = kept(both)
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("community")))
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("community").alias("low"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", "community", F.least("community", F.coalesce("low", "community")).alias("low"))
-        up = labels.select(F.col("node").alias("at"), F.col("community").alias("top"))
-        jump = kept(step.join(up, step.low == up["at"], "left").select("node", F.least("low", F.coalesce("top", "low")).alias("community"), (F.least("low", F.coalesce("top", "low")) < F.col("community")).alias("moved")))
-        labels = jump.select("node", "community")
-        if not jump.where("moved").limit(1).count():
-            break
-    return labels
+    edges = kept(both.where("a > b").select("a", "b").distinct())
+    nodes = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"))
+    before = None
+    while True:
+        ways = edges.union(edges.select("b", "a"))
+        least = ways.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = kept(ways.join(least, ways.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(low, large.a == low.u).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        edges = kept(small.union(low.select("u", "m")).distinct())
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
+        if state == before:
+            return nodes.join(edges.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("community"))
+        before = state

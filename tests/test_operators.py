@@ -159,3 +159,9 @@ def test_text_queries_cover_every_document(spark):
 def test_communities_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "src long, dst long")
     assert {(r.node, r.community) for r in G.communities(G.undirected(edges)).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_communities_of_a_chain_whose_ids_fall_from_both_ends(spark):
+    chain = [*range(1, 100, 2), *range(100, 0, -2)]  # 1, 3, .., 99, 100, 98, .., 2
+    edges = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)) + [(200, 201)], "src long, dst long")
+    assert {(r.node, r.community) for r in G.communities(G.undirected(edges)).collect()} == {(i, 1) for i in range(1, 101)} | {(200, 200), (201, 200)}
