@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +98,29 @@ def communities(both: DataFrame) -> DataFrame:
         if state == before:
             return nodes.join(edges.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("community"))
         before = state
+
+
+def with_community_ids(found: DataFrame) -> DataFrame:
+    """found (node, community) with `community_id`, the digest of O-08 over the members as text in order. A
+    digest is fed from sorted rows as they pass, so no member list is held; the id is joined back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array(["comm_" + digest.hexdigest()[:12]])], ["community", "community_id"])
+
+        for batch in batches:
+            for c, member in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if c != at:
+                    if digest is not None:
+                        yield out()
+                    at, digest = c, hashlib.sha256(member.encode())
+                else:
+                    digest.update(b"|" + member.encode())
+        if digest is not None:
+            yield out()
+
+    rows = found.select(F.col("community").cast("long").alias("community"), F.col("node").cast("string").alias("member"))
+    ids = rows.repartition("community").sortWithinPartitions("community", "member").mapInArrow(run, "community long, community_id string")
+    return found.join(ids, "community").select("node", "community", "community_id")
