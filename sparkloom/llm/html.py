@@ -7,7 +7,8 @@ aligned columns, preformatted text as it stands.
 
 Defined cases: a null or empty page has empty text. Unclosed tags, quotes and comments end with the page.
 Nesting beyond `DEEPEST` goes on at that depth. Cells wider than `CELL` do not widen their column. Other
-columns are not read.
+columns are not read. Rows are implied around cells without one; what stands between the parts of a table
+is laid out before it, as browsers do.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ DEEPEST, CELL = 200, 40
 # Element names as the HTML standard groups them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe object canvas audio video datalist noembed noframes param svg math map".split())
+UNSEEN = frozenset("head script style template noscript title iframe object canvas audio video datalist noembed noframes param".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 #: A start tag of the group closes an open element of the set, unless one of the bounds stands between.
@@ -40,10 +41,19 @@ IMPLIED = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
+    "caption": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
+    "colgroup": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
+    "col": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
+#: Parts of a table, those that hold only such parts, and what a browser leaves between them.
+PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())
+GRID = frozenset("table tbody tfoot thead tr".split())
+BETWEEN = PARTS | {"script", "style", "template"}
+#: Text inside drawings and formulas that is not drawn.
+UNDRAWN = {"svg": frozenset("defs desc metadata symbol".split()), "math": frozenset(["annotation", "annotation-xml"])}
 SCOPE = frozenset("table td th caption button object template".split())
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)|[^<]+|<", re.S)
@@ -53,10 +63,10 @@ _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "beside", "children", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.beside = tag, attributes, [], []
 
     def shown(self) -> bool:
         a = self.attributes
@@ -81,6 +91,23 @@ def parse(page: str) -> Node:
         if found is not None:
             del open_[found:]
 
+    def place(child: Node | str) -> None:
+        """Put a child where a browser does: what stands between the parts of a table goes before it."""
+        into = open_[-1]
+        stray = child.strip() if isinstance(child, str) else child.tag not in BETWEEN
+        if into.tag == "colgroup" and (stray if isinstance(child, str) else child.tag != "col"):
+            open_.pop()
+            into = open_[-1]
+        table = next((x for x in reversed(open_) if x.tag == "table"), None) if into.tag in GRID and stray else None
+        if table is not None:  # an open table is the last one in its list
+            table.beside.insert(-1, child)
+            beside = table.beside
+        else:
+            beside = into.children
+            beside.append(child)
+        if isinstance(child, Node):
+            child.beside = beside
+
     at, n, low = 0, len(page), None
     while at < n:
         m = _TOKEN.match(page, at)
@@ -89,7 +116,7 @@ def parse(page: str) -> Node:
         if name is None:
             raw = m.group()
             if raw[0] != "<" or raw == "<":
-                open_[-1].children.append(entities.unescape(raw))
+                place(entities.unescape(raw))
             continue
         tag = name.lower()
         if slash:
@@ -102,8 +129,20 @@ def parse(page: str) -> Node:
                 if open_[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                     break
             continue
+        if tag == "form" and open_[-1].tag in GRID and any(x.tag == "table" for x in open_):
+            continue  # a browser leaves an empty form there; what follows stays in the table
         if tag in BLOCK:
             close({"p"}, SCOPE)
+        if tag in PARTS:  # back to the table's part, out of what was moved before the table
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i].tag in GRID:
+                    del open_[i + 1 :]
+                    break
+                if open_[i].tag == "caption":
+                    del open_[i:]
+                    break
+                if open_[i].tag in ("td", "th", "template"):
+                    break
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         elif tag not in ("html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template") and open_[-1].tag == "head":
@@ -112,8 +151,17 @@ def parse(page: str) -> Node:
         if rest.strip():
             for a in _ATTRIBUTE.finditer(rest):
                 attributes.setdefault(a.group(1).lower(), entities.unescape(a.group(2) or a.group(3) or a.group(4) or ""))
+        if tag in ("td", "th") and open_[-1].tag in GRID and open_[-1].tag != "tr":
+            row = Node("tr", {})
+            place(row)
+            open_.append(row)
         node = Node(tag, attributes)
-        open_[-1].children.append(node)
+        drawn = [x.tag for x in open_ if x.tag in UNDRAWN] if tag not in BLOCK else []
+        if any(tag in UNDRAWN[x] for x in drawn):
+            attributes["hidden"] = ""
+        place(node)
+        if (drawn or tag in UNDRAWN) and rest.endswith("/"):
+            continue
         if tag in RAW:
             if low is None:
                 low = page.lower() if len(page.lower()) == n else page

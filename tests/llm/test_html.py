@@ -36,3 +36,22 @@ def test_table(spark):
     rows = [(1, "<p>a<p>b", "u", "t"), (2, None, "u", "t"), (3, "", None, "t")]
     got = {r.page_id: (r.text, r.n_lines, r.n_chars) for r in extracted(spark.createDataFrame(rows, "page_id long, html string, url string, text string")).collect()}
     assert got == {1: ("a\n\nb", 3, 4), 2: ("", 0, 0), 3: ("", 0, 0)}
+
+
+TABLES = {
+    "<table><tr><form><td>x</td></form></tr></table>": "x",
+    "<table><tbody><form><tr><td>x</td></tr></form></tbody></table>": "x",
+    "<table><tbody><td>x<td>y</table>": "x  y",
+    "<table><td>x<td>y<tr><td>z</table>": "x  y\nz",
+    "<table><tr>a<td>x</td></tr></table>": "a\n\nx",
+    "<table><tbody><div>a</div><tr><td>x</table>b": "a\n\nx\n\nb",
+    "<table><tr><a>a<td>x</a><td>y</table>": "a\n\nx  y",
+    "<table><tr><td>o<table><tr><p>a</p><td>i</table><td>e</table>": "o a i  e",
+    "<table><colgroup><col><tr><td>x<caption>c</table>": "c\n\nx",
+    "a <svg><title>t</title><desc>d</desc><path/><text>s</text></svg> <math><mi>m</mi><annotation>n</annotation></math> <map>p</map>": "a s m p",
+}
+
+
+@pytest.mark.parametrize("page", TABLES)
+def test_every_visible_word_of_a_table_once(page):
+    assert render(page).split() == TABLES[page].split()
