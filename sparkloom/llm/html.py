@@ -6,7 +6,7 @@ paragraph-like blocks with an empty line between, list items with marks and inde
 aligned columns, preformatted text as it stands.
 
 Defined cases: a null or empty page has empty text. Unclosed tags, quotes and comments end with the page.
-Nesting beyond `DEEPEST` goes on at that depth. Cells wider than `CELL` do not widen their column. Other
+Visibility holds at any depth; beyond `DEEPEST` only indents stop growing and tables are laid out cell by cell. Cells wider than `CELL` do not widen their column. Other
 columns are not read. Rows are implied around cells without one; what stands between the parts of a table
 is laid out before it, as browsers do.
 """
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,24 +81,36 @@ def parse(page: str) -> Node:
     """The tree of a page, with tags closed that the markup leaves open."""
     root = Node("#root", {})
     open_ = [root]
+    count: Counter[str] = Counter()  # open elements by tag
+
+    def cut(i: int) -> None:
+        for x in open_[i:]:
+            count[x.tag] -= 1
+        del open_[i:]
+
+    def push(x: Node) -> None:
+        count[x.tag] += 1
+        open_.append(x)
 
     def close(names: set | frozenset, bounds: set | frozenset) -> None:
         """Close the outermost open element of `names` inside the nearest bound."""
         found = None
+        if not any(count[x] for x in names):
+            return
         for i in range(len(open_) - 1, 0, -1):
             if open_[i].tag in names:
                 found = i
             elif open_[i].tag in bounds:
                 break
         if found is not None:
-            del open_[found:]
+            cut(found)
 
     def place(child: Node | str) -> None:
         """Put a child where a browser does: what stands between the parts of a table goes before it."""
         into = open_[-1]
         stray = child.strip() if isinstance(child, str) else child.tag not in BETWEEN
         if into.tag == "colgroup" and (stray if isinstance(child, str) else child.tag != "col"):
-            open_.pop()
+            cut(len(open_) - 1)
             into = open_[-1]
         table = next((x for x in reversed(open_) if x.tag == "table"), None) if into.tag in GRID and stray else None
         if table is not None:  # an open table is the last one in its list
@@ -120,33 +134,33 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if slash:
-            if tag == "p" and not any(x.tag == "p" for x in open_):
+            if not count[tag]:
                 continue
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i].tag == tag:
-                    del open_[i:]
+                    cut(i)
                     break
                 if open_[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                     break
             continue
-        if tag == "form" and open_[-1].tag in GRID and any(x.tag == "table" for x in open_):
+        if tag == "form" and open_[-1].tag in GRID and count["table"]:
             continue  # a browser leaves an empty form there; what follows stays in the table
         if tag in BLOCK:
             close({"p"}, SCOPE)
-        if tag in PARTS:  # back to the table's part, out of what was moved before the table
+        if tag in PARTS and (count["table"] or count["tr"]):  # back to the table's part, out of what was moved before the table
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i].tag in GRID:
-                    del open_[i + 1 :]
+                    cut(i + 1)
                     break
                 if open_[i].tag == "caption":
-                    del open_[i:]
+                    cut(i)
                     break
                 if open_[i].tag in ("td", "th", "template"):
                     break
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         elif tag not in ("html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template") and open_[-1].tag == "head":
-            open_.pop()
+            cut(len(open_) - 1)
         attributes = {}
         if rest.strip():
             for a in _ATTRIBUTE.finditer(rest):
@@ -154,9 +168,9 @@ def parse(page: str) -> Node:
         if tag in ("td", "th") and open_[-1].tag in GRID and open_[-1].tag != "tr":
             row = Node("tr", {})
             place(row)
-            open_.append(row)
+            push(row)
         node = Node(tag, attributes)
-        drawn = [x.tag for x in open_ if x.tag in UNDRAWN] if tag not in BLOCK else []
+        drawn = [x for x in UNDRAWN if count[x]] if tag not in BLOCK else []
         if any(tag in UNDRAWN[x] for x in drawn):
             attributes["hidden"] = ""
         place(node)
@@ -171,16 +185,17 @@ def parse(page: str) -> Node:
             node.children.append(entities.unescape(body) if tag in ("textarea", "title") else body)
             stop = page.find(">", end)
             at = n if stop < 0 else stop + 1
-        elif tag not in VOID and len(open_) < DEEPEST:
-            open_.append(node)
+        elif tag not in VOID:
+            push(node)
     return root
 
 
 class Page:
     """Lines of the rendering; `gap` is how many line ends the next text needs before it."""
 
-    def __init__(self) -> None:
+    def __init__(self, nested: int = 0) -> None:
         self.lines: list[str] = []
+        self.nested = nested  # tables around it
         self.line, self.gap, self.indent, self.mark = "", 0, "", ""
         self.space = False
 
@@ -228,12 +243,14 @@ class Page:
 
 
 def _rows(table: Node) -> Iterator[Node]:
-    for child in table.children:
+    todo = table.children[::-1]
+    while todo:
+        child = todo.pop()
         if isinstance(child, Node) and child.shown():
             if child.tag == "tr":
                 yield child
             elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+                todo += child.children[::-1]
 
 
 def _table(table: Node, page: Page) -> None:
@@ -242,7 +259,11 @@ def _table(table: Node, page: Page) -> None:
         cells: list[str] = []
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.shown():
-                inner = Page()
+                if page.nested >= DEEPEST:
+                    page.block(False)
+                    _render(cell.children, page, False)
+                    continue
+                inner = Page(page.nested + 1)
                 _render(cell.children, inner, False)
                 cells.append(" ".join(inner.finish().split()))
                 span = cell.attributes.get("colspan", "1")
@@ -287,7 +308,7 @@ def _render(children: list, page: Page, pre: bool, order: list | None = None) ->
             if order is not None:
                 order[0] += 1
             mark = "- " if order is None else f"{order[0]}. "
-            page.mark, page.indent = before + mark, before + " " * len(mark)
+            page.mark, page.indent = before + mark, before + " " * len(mark) * (len(before) < 2 * DEEPEST)
             _render(child.children, page, pre)
             page.end_line()
             page.mark, page.indent = "", before
@@ -297,7 +318,7 @@ def _render(children: list, page: Page, pre: bool, order: list | None = None) ->
             _render(child.children, page, pre, [first] if tag == "ol" else None)
         elif tag in ("blockquote", "dd"):
             before = page.indent
-            page.indent = before + "  "
+            page.indent = before + "  " * (len(before) < 2 * DEEPEST)
             _render(child.children, page, pre)
             page.end_line()
             page.indent = before
@@ -311,6 +332,8 @@ def _render(children: list, page: Page, pre: bool, order: list | None = None) ->
 
 def render(page: str) -> str:
     """The visible text of a page."""
+    # The renderer calls itself once a level; such calls take memory of the heap, not of the C stack.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 30))
     out = Page()
     _render(parse(page).children, out, False)
     return out.finish()

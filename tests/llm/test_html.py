@@ -55,3 +55,9 @@ TABLES = {
 @pytest.mark.parametrize("page", TABLES)
 def test_every_visible_word_of_a_table_once(page):
     assert render(page).split() == TABLES[page].split()
+
+
+@pytest.mark.parametrize("deep", ["<div>", "<span>", "<font><b>", "<ul><li>", "<table><tr><td>"])
+def test_visibility_holds_at_any_depth(deep):
+    page = deep * 3000 + "a <div style='display:none'>secret<div>more</div> still <i>secret</i></div> b"
+    assert [w for w in render(page).split() if w != "-"] == ["a", "b"]
