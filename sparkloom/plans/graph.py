@@ -55,15 +55,15 @@ def relationship_inventory(t: Tables) -> DataFrame:
     return asserted.select("src", "rel", "dst", F.lit("assertion").alias("kind")).unionByName(direct.select("src", "rel", "dst", F.lit("direct").alias("kind")))
 
 
-def _neighbourhood_sql(hops: int) -> str:
+def _neighbourhood_sql(hops: int, where: str = " WHERE s_suppkey % 20 = 1") -> str:
     steps = "".join(f", h{d} AS (SELECT DISTINCT b AS node FROM h{d - 1} JOIN lim ON a = node)" for d in range(1, hops + 1))
     union = " UNION ALL ".join(f"SELECT node, {d} AS distance FROM h{d}" for d in range(hops + 1))
-    return f"WITH {CODE}, {BOTH}, lim AS (SELECT a, b FROM both_ QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 12), h0 AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_suppkey % 20 = 1){steps} SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM ({union}) GROUP BY node"
+    return f"WITH {CODE}, {BOTH}, lim AS (SELECT a, b FROM both_ QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 12), h0 AS (SELECT 's' || s_suppkey AS node FROM supplier{where}){steps} SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM ({union}) GROUP BY node"
 
 
-def _neighbourhood(t: Tables, hops: int) -> DataFrame:
-    """Seeds are every twentieth supplier: the stated start set of the walk."""
-    seeds = t.supplier.where("s_suppkey % 20 = 1").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+def _neighbourhood(t: Tables, hops: int, where: str = "s_suppkey % 20 = 1") -> DataFrame:
+    """The walk starts from the suppliers that meet `where`: every twentieth, or all."""
+    seeds = t.supplier.where(where).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
     return G.neighbourhood(seeds, G.undirected(code_edges(t)), hops, 12)
 
 
@@ -72,11 +72,21 @@ def neighborhood_1hop(t: Tables) -> DataFrame:
     return _neighbourhood(t, 1)
 
 
+@query(_neighbourhood_sql(1, ""))
+def neighborhood_1hop_all(t: Tables) -> DataFrame:
+    return _neighbourhood(t, 1, "true")
+
+
 @query(_neighbourhood_sql(2))
 def neighborhood_2hop(t: Tables) -> DataFrame:
     return _neighbourhood(t, 2)
 
 
+@query(_neighbourhood_sql(2, ""))
+def neighborhood_2hop_all(t: Tables) -> DataFrame:
+    return _neighbourhood(t, 2, "true")
+
+
 @query("""WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders QUALIFY nth <= 201)
 SELECT o.o_orderkey, CAST(nth AS INTEGER) AS nth, (SELECT max(nth) > 200 FROM o) AS truncated, coalesce(array_to_string(list_sort(list(DISTINCT l_partkey) FILTER (l_partkey IS NOT NULL)), ','), '') AS parts FROM o LEFT JOIN lineitem ON l_orderkey = o.o_orderkey WHERE nth <= 200 GROUP BY ALL""")
 def inventory_bounded(t: Tables) -> DataFrame:

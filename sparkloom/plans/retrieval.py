@@ -29,6 +29,8 @@ VEC = """
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 co AS (SELECT a.vec_id AS query_id, b.vec_id AS item, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id < 40),
 vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS position FROM co QUALIFY position <= 64)"""
+EVERY = "vec_id % 50 = 0"
+VEC_ALL = VEC.replace("a.vec_id < 40", f"a.{EVERY}")
 FUSE = """
 ch AS (SELECT query_id, doc_id AS item, 0 AS channel, position FROM lex UNION ALL SELECT query_id, item, 2, position FROM vec),
 best AS (SELECT query_id, item, channel, min(position) AS best FROM ch GROUP BY ALL),
@@ -45,16 +47,16 @@ def lexical(t: Tables) -> DataFrame:
     return R.ranked(scores.withColumn("order", F.round("score", 9)), "query_id", "doc_id", 64, "order")
 
 
-def vectors(t: Tables) -> DataFrame:
-    """Queries are the stated vectors below 40, against all rows."""
+def vectors(t: Tables, asked: str = "vec_id < 40") -> DataFrame:
+    """Every vector that meets `asked` is a query against all rows."""
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = F.broadcast(e.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))  # at most 40 rows
-    scores = e.crossJoin(asked).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item"), R.cosine(F.col("v"), F.col("q")).alias("score"))
+    q = e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    scores = e.crossJoin(q).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item"), R.cosine(F.col("v"), F.col("q")).alias("score"))
     return R.ranked(scores.withColumn("order", F.round("score", 9)), "query_id", "item", 64, "order")
 
 
-def fusion(t: Tables) -> DataFrame:
-    both = lexical(t).select("query_id", F.col("doc_id").alias("item"), F.lit(0).alias("channel"), "position").union(vectors(t).select("query_id", "item", F.lit(2), "position"))
+def fusion(t: Tables, asked: str = "vec_id < 40") -> DataFrame:
+    both = lexical(t).select("query_id", F.col("doc_id").alias("item"), F.lit(0).alias("channel"), "position").union(vectors(t, asked).select("query_id", "item", F.lit(2), "position"))
     return R.ranked(R.fused(both).withColumn("order", F.round("rrf", 9)), "query_id", "item", None, "order")
 
 
@@ -85,11 +87,21 @@ def cosine_topk(t: Tables) -> DataFrame:
     return vectors(t).select("query_id", "item", F.round("score", 6).alias("score"), "position")
 
 
+@query(f"WITH {VEC_ALL} SELECT query_id, item, round(score, 6) AS score, CAST(position AS INTEGER) AS position FROM vec")
+def cosine_topk_all(t: Tables) -> DataFrame:
+    return vectors(t, EVERY).select("query_id", "item", F.round("score", 6).alias("score"), "position")
+
+
 @query(f"WITH {BM25}, {VEC}, {FUSE} SELECT query_id, item, round(rrf, 6) AS rrf, min_rank, n_channels, CAST(position AS INTEGER) AS position FROM fr")
 def rrf_fusion(t: Tables) -> DataFrame:
     return fusion(t).select("query_id", "item", F.round("rrf", 6).alias("rrf"), F.col("min_rank").cast("long").alias("min_rank"), "n_channels", "position")
 
 
+@query(f"WITH {BM25}, {VEC_ALL}, {FUSE} SELECT query_id, item, round(rrf, 6) AS rrf, min_rank, n_channels, CAST(position AS INTEGER) AS position FROM fr")
+def rrf_fusion_all(t: Tables) -> DataFrame:
+    return fusion(t, EVERY).select("query_id", "item", F.round("rrf", 6).alias("rrf"), F.col("min_rank").cast("long").alias("min_rank"), "n_channels", "position")
+
+
 @query(f"""WITH {BM25}, r AS (SELECT b.item_id AS query_id, d.doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 h AS (SELECT l.query_id, l.doc_id AS item, l.position, (r.item IS NOT NULL)::INT AS hit FROM lex l LEFT JOIN r ON r.query_id = l.query_id AND r.item = l.doc_id),
 p AS (SELECT query_id, count(*) AS n, sum(hit) FILTER (position <= 1) AS h1, sum(hit) FILTER (position <= 5) AS h5, sum(hit) FILTER (position <= 10) AS h10, min(position) FILTER (hit = 1) AS f, sum(CASE WHEN hit = 1 THEN 1 / log2(position + 1.0) ELSE 0 END) AS dcg FROM h GROUP BY 1),
@@ -111,12 +123,26 @@ def candidate_budget(t: Tables) -> DataFrame:
     return fusion(t).withColumn("place", F.row_number().over(order)).where("place <= 60").select("query_id", "item", F.col("min_rank").cast("long").alias("min_rank"), "n_channels", "place")
 
 
+@query(f"WITH {BM25}, {VEC_ALL}, {FUSE} SELECT query_id, item, min_rank, n_channels, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n_channels DESC, min_rank, item) AS INTEGER) AS place FROM fu QUALIFY place <= 60")
+def candidate_budget_all(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("n_channels"), "min_rank", "item")
+    return fusion(t, EVERY).withColumn("place", F.row_number().over(order)).where("place <= 60").select("query_id", "item", F.col("min_rank").cast("long").alias("min_rank"), "n_channels", "place")
+
+
 @query(f"WITH {VEC} SELECT query_id, item, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS INTEGER) AS position FROM vec WHERE round(score, 9) >= 0.5 QUALIFY position <= 5")
 def evidence_select(t: Tables) -> DataFrame:
     kept = vectors(t).where("order >= 0.5").drop("position")
     return R.ranked(kept, "query_id", "item", 5, "order").select("query_id", "item", F.round("score", 6).alias("score"), "position")
 
 
+@query(f"WITH {VEC_ALL} SELECT query_id, item, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS INTEGER) AS position FROM vec WHERE round(score, 9) >= 0.5 QUALIFY position <= 5")
+def evidence_select_all(t: Tables) -> DataFrame:
+    kept = vectors(t, EVERY).where("order >= 0.5").drop("position")
+    return R.ranked(kept, "query_id", "item", 5, "order").select("query_id", "item", F.round("score", 6).alias("score"), "position")
+
+
 @query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS turn, n_chars FROM documents QUALIFY turn <= 8)
 SELECT doc_id, source, CAST(turn AS INTEGER) AS turn, CAST(row_number() OVER (ORDER BY turn, source, n_chars DESC, doc_id) AS INTEGER) AS place FROM r QUALIFY place <= 96""")
 def fair_round_robin(t: Tables) -> DataFrame:
