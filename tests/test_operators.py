@@ -177,3 +177,17 @@ def test_communities_of_all_customers(spark):
 def test_every_fiftieth_vector_is_asked(spark):
     want = {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
     assert {r.query_id for r in plans.queries()["cosine_topk_all"](spark, SMALL).collect()} == want
+
+
+def test_byte_budget_is_one_for_a_source(spark):
+    rows = sorted((r.source, r.doc_id, len((r.text or "").encode())) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+    rows += [(s, i + 10_000 * k, n) for k in (1, 2, 3, 4) for s, i, n in rows]
+    df = spark.createDataFrame(rows, "source string, doc_id long, size long")
+    used, want = {}, {}
+    for s, i, n in sorted(rows):
+        want[i] = used.get(s, 0) + n <= 20_000
+        used[s] = used.get(s, 0) + (n if want[i] else 0)
+    assert not all(want.values())
+    for most in (65_536, 7):
+        assert {r.doc_id: r.admitted for r in folds.admitted_in_all(df, "source", "doc_id", "size", 20_000, most).collect()} == want
+    assert "block" not in plans.queries()["byte_budget"](spark, SMALL).columns  # no budget of a block
