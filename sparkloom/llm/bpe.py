@@ -1,7 +1,7 @@
 """Byte-level BPE: texts to ids and back.
 
 Texts are cut into pieces as the public pattern cuts them, whole batches at a time; each different piece
-is encoded once per task and looked up by a 64-bit hash afterwards. New pieces are encoded in padded
+is encoded once per task and looked up by a 64-bit hash afterwards, its bytes compared on every hit. New pieces are encoded in padded
 matrices of one length class each: every round, every row merges its leftmost pair of minimum rank,
 found by hashed pair lookup, and rows are compacted.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import HashIndex, hash_spans, pick, pieces, utf8
+from .common import HashIndex, equal_spans, hash_spans, pick, pieces, utf8
 
 #: Rows wider than this are merged with a heap, one by one: rounds over a matrix would be quadratic.
 WIDE = 256
@@ -191,7 +191,8 @@ def spread(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 class Encoder:
-    """Texts to ids through remembered pieces; `encode` gives the ids of pieces not met before."""
+    """Texts to ids through remembered pieces; `encode` gives the ids of pieces not met before. A piece is
+    found by its hash and then compared byte by byte; one that shares another's hash is encoded on its own."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]]):
         self.encode = encode
@@ -199,41 +200,66 @@ class Encoder:
 
     def _clear(self) -> None:
         self.index = HashIndex(np.zeros(0, np.uint64))
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.ids, self.raw = Rows(np.uint32), Rows(np.uint8)
 
     def _add(self, keys: np.ndarray, found: list[bytes]) -> None:
-        ids = self.encode(found)
-        size = np.array([len(x) for x in ids])
-        n, m, total = len(self.index.keys), len(self.index.keys) + len(ids), self.used + int(size.sum())
-        while m > len(self.start):
-            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-        while total > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.flat[self.used : total] = np.concatenate(ids)
-        self.size[n:m], self.start[n:m] = size, self.used + np.cumsum(size) - size
-        self.used = total
+        self.ids.add(self.encode(found))
+        self.raw.add([np.frombuffer(p, np.uint8) for p in found])
         self.index.add(keys)
 
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the offsets of the texts."""
         start = split(data, offs)
         end = np.append(start[1:], len(data))
+        long = end - start
         codes, keys = pd.factorize(hash_spans(data, start, end))
         if len(self.index.keys) > REMEMBER:
             self._clear()
+        first = np.zeros(len(keys), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
         rows = self.index.find(keys)
         new = np.flatnonzero(rows < 0)
         if len(new):
-            first = np.zeros(len(keys), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
             raw, at = data.tobytes(), first[new]
             rows[new] = np.arange(len(new)) + len(self.index.keys)
             self._add(keys[new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        known = (self.raw.size[rows] == long[first]) & equal_spans(data, start[first], self.raw.flat, self.raw.start[rows], np.minimum(long[first], self.raw.size[rows]))
+        like = (long == long[first][codes]) & equal_spans(data, start, data, start[first][codes], np.minimum(long, long[first][codes]))
+        other = np.flatnonzero(~(like & known[codes]))
         rows = rows[codes]
-        size = self.size[rows].astype(np.int64)
+        size = self.ids.size[rows].astype(np.int64)
+        if len(other):
+            own = self.encode([data[start[i] : end[i]].tobytes() for i in other.tolist()])
+            size[other] = [len(x) for x in own]
         ends = np.append(0, np.cumsum(size))
-        return spread(self.flat, self.start[rows], size), ends[np.searchsorted(start, offs)]
+        if len(other):
+            out = np.zeros(ends[-1], np.uint32)
+            rest = np.delete(np.arange(len(rows)), other)
+            out[spread(np.arange(ends[-1]), ends[rest], size[rest])] = spread(self.ids.flat, self.ids.start[rows[rest]], size[rest])
+            for i, x in zip(other.tolist(), own, strict=True):
+                out[ends[i] : ends[i + 1]] = x
+        else:
+            out = spread(self.ids.flat, self.ids.start[rows], size)
+        return out, ends[np.searchsorted(start, offs)]
+
+
+class Rows:
+    """Arrays of any length end to end, growing: row i is flat[start[i] : start[i] + size[i]]."""
+
+    def __init__(self, kind: type):
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
+        self.start, self.size, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+
+    def add(self, rows: list[np.ndarray]) -> None:
+        size = np.array([len(x) for x in rows])
+        n, m, total = self.count, self.count + len(rows), self.used + int(size.sum())
+        while m > len(self.start):
+            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+        while total > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used : total] = np.concatenate(rows)
+        self.size[n:m], self.start[n:m] = size, self.used + np.cumsum(size) - size
+        self.count, self.used = m, total
 
 
 @lru_cache(maxsize=2)

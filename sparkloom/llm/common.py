@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,16 +12,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "/tmp/checkpoints/sparkloom"
+LOCAL_SHARED = "/tmp/checkpoints/sparkloom"
 
 
 # --- Spark side -------------------------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local default only where the session has none."""
+    """The folder of spark.checkpoint.dir; a local default only where the session has none and runs on one
+    machine. On a cluster the setting is needed, as executors don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or DEFAULT_SHARED).rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or LOCAL_SHARED).rstrip("/")
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
@@ -101,11 +105,11 @@ IS_WORD[list(WHITE)] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-#: An odd multiplier, and its inverse modulo 2**64.
+#: An odd multiplier.
 BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
-_BYTE_VALUE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
+#: Spans of more bytes are digested one by one; shorter ones are mixed eight bytes at a time.
+LANES = 64
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,30 +123,110 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse for i below at least n, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", _INVERSE)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _powers[name] = np.multiply.accumulate(out)
-    return _powers["up"], _powers["down"]
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position of data on as one little-endian number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: equal bytes give equal hashes wherever they stand."""
+    """A 64-bit hash of each span's bytes: equal bytes give equal hashes wherever they stand. Every eight
+    bytes go through a mixing that is not linear, and long spans through a cryptographic digest, so that no
+    family of texts is known to collide."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) * np.uint64(BASE))
+    word = lanes(data)
+    live = np.flatnonzero((size > 0) & (size <= LANES))
+    at, left = start[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (word[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes of a and of b from each pair of starts on are the same."""
+    same = np.ones(len(size), bool)
+    wa, wb = lanes(a), lanes(b)
+    live = np.flatnonzero((size > 0) & (size <= LANES))
+    x, y, left = a_start[live], b_start[live], size[live]
+    while len(live):
+        ok = ((wa[x] ^ wb[y]) & _MASK[np.minimum(left, 8)]) == 0
+        same[live[~ok]] = False
+        ok &= left > 8
+        live, x, y, left = live[ok], x[ok] + 8, y[ok] + 8, left[ok] - 8
+    for i in np.flatnonzero(size > LANES).tolist():
+        same[i] = a[a_start[i] : a_start[i] + size[i]].tobytes() == b[b_start[i] : b_start[i] + size[i]].tobytes()
+    return same
+
+
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit number of the `size` bytes from every position on, equal for equal bytes. Different grams may
+    share one: it chooses and groups, and never tells that bytes are equal."""
+    n = len(data) - size + 1
+    word, out = lanes(data), np.full(n, size, np.uint64)
+    for k in range(0, size, 8):
+        out += word[k : k + n] & _MASK[min(size - k, 8)]
+        out *= np.uint64(BASE)
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
+#: The prime 2**31 - 1 and two random bases: spans that overlap are hashed from prefix sums.
+PRIME = (1 << 31) - 1
+_BASES = (1083814273, 402961682)
+_BYTE = np.random.default_rng(20240501).integers(1, PRIME, (2, 256), dtype=np.uint64)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number that is the same modulo the prime."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, in 0 ... prime, both ends standing for zero."""
+    return _folded(_folded(_folded(x)))
+
+
+def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and its inverse modulo the prime, for i below at least n."""
+    if len(_powers.get(base, ((),))[0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        tables = []
+        for b in (base, pow(base, -1, PRIME)):
+            out, have = np.ones(size, np.uint64), 1
+            while have < size:
+                out[have : 2 * have] = _reduced(out[:have] * np.uint64(pow(b, have, PRIME)))
+                have *= 2
+            tables.append(out)
+        _powers[base] = tuple(tables)
+    return _powers[base]
+
+
+def rolling_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As hash_spans, for many overlapping spans in order of their starts: polynomials modulo a prime at
+    two random bases, so that two different spans of n bytes meet with a chance below (n / 2**31) ** 2."""
     out, i = np.zeros(len(start), np.uint64), 0
     while i < len(start):  # a stretch at a time: the tables of powers stay small
-        base = int(start[i])
-        j = max(i + 1, int(np.searchsorted(start, base + (1 << 20))))
-        part = data[base : int(end[j - 1])]
-        up, down = powers(len(part))
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(np.take(_BYTE_VALUE, part) * up[: len(part)], out=sums[1:])
-        out[i:j] = (sums[end[i:j] - base] - sums[start[i:j] - base]) * down[start[i:j] - base]
+        low = int(start[i])
+        j = max(i + 1, int(np.searchsorted(start, low + (1 << 20))))
+        part = data[low : int(end[i:j].max())]
+        a, b = start[i:j] - low, end[i:j] - low
+        for k, base in enumerate(_BASES):
+            up, down = _power_tables(base, len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_folded(np.take(_BYTE[k], part) * up[: len(part)]), out=sums[1:])
+            h = _reduced(_folded(sums[b] - sums[a]) * down[a])
+            h[h == PRIME] = 0
+            out[i:j] |= h << np.uint64(31 * k)
         i = j
-    return mix(out + (end - start).astype(np.uint64))
+    return mix(out ^ ((end - start).astype(np.uint64) << np.uint64(40)))
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

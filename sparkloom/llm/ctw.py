@@ -193,6 +193,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0,
     model = in_chunk.select("chunk", "gram").join(p, "gram").select("chunk", F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("p").alias("value"))
     model = model.union(sent.select("chunk", F.lit(1), "word", F.col("n").cast("double")))
     own = chunks.select(F.col("chunk").alias("of"), "docs")
+    tasks = max(1, chunks.count())  # a task reads about one chunk, however many there are
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         kind = right["kind"].to_numpy()
@@ -225,4 +226,5 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0,
         return pd.concat(out)
 
     kinds_out = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
+    own, model = own.repartition(tasks, "of"), model.repartition(tasks, "chunk")
     return own.groupBy("of").cogroup(model.groupBy("chunk")).applyInPandas(run, kinds_out)

@@ -11,7 +11,8 @@ built by two-stage sorting and adjacent common prefixes of at least `length` byt
 An anchor with more than `GROUP` different contexts (the edge of a very common passage) is split: its
 contexts are cut into blocks of windows at the same distances from the anchor, and the bytes that all
 windows of a block share take the anchor's place, so that they spread over all tasks. Blocks that are still
-too common are cut again, in the end to single windows, which are told apart by a 128-bit hash.
+too common are cut again, in the end to single windows. Whole contexts are taken as equal where the anchor's
+hash and a 62-bit polynomial hash modulo a prime at two random bases agree.
 
 Defined cases: a null text counts as empty; texts shorter than `length` lose nothing. Other columns are
 not read. Ids are unique.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, materialise, mix, pick, pieces, utf8
+from .common import gram_hashes, materialise, mix, pick, pieces, rolling_hashes, utf8
 
 LENGTH, GRAM = 200, 24
 #: Different contexts of one anchor that one task sorts; above it they are split.
@@ -138,8 +139,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     sizes = np.diff(offs)
     if n < length or not (sizes >= length).any():
         return none
-    starts = np.arange(n - gram + 1)
-    key = (hash_spans(data, starts, starts + gram) >> np.uint64(24) << np.uint64(24)) | starts.astype(np.uint64)
+    hashes = gram_hashes(data, gram)
+    key = (hashes >> np.uint64(24) << np.uint64(24)) | np.arange(len(hashes), dtype=np.uint64)
     width, least = 1, key
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -158,7 +159,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     count = np.diff(np.append(head, len(window)))
     first, place = window[head], place[head]
     owner = np.searchsorted(offs, first, side="right") - 1
-    return owner, first - offs[owner], count, hash_spans(data, place, place + gram), hash_spans(data, first, first + count - 1 + length)
+    return owner, first - offs[owner], count, hashes[place], rolling_hashes(data, first, first + count - 1 + length)
 
 
 def _segments(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -221,8 +222,7 @@ def split_context(raw: bytes, count: int, length: int, gram: int, block: int) ->
     """Blocks (key, content, first window, windows, bytes) of a context. Equal windows lie at equal
     distances from their anchor, so in blocks of one key: the hash of what all windows of a block share."""
     data = np.frombuffer(raw, np.uint8)
-    at = np.arange(length - gram + 1)
-    anchor = int((hash_spans(data, at, at + gram) >> np.uint64(24)).argmin())  # as anchors() chooses it
+    anchor = int((gram_hashes(data[:length], gram) >> np.uint64(24)).argmin())  # as anchors() chooses it
     window = np.arange(count)
     number = (anchor - window) // block
     head = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
@@ -230,9 +230,9 @@ def split_context(raw: bytes, count: int, length: int, gram: int, block: int) ->
     k = number[head]
     end = head + n - 1 + length
     core = anchor - k * block
-    key = mix(hash_spans(data, core, core - block + 1 + length))
+    key = mix(rolling_hashes(data, core, core - block + 1 + length))
     half = head + (end - head) // 2
-    content = mix(hash_spans(data, head, half)) ^ hash_spans(data, half, end)
+    content = mix(rolling_hashes(data, head, half)) ^ rolling_hashes(data, half, end)
     key ^= mix(k.astype(np.uint64))
     return [(a, b, i, m, raw[i:e]) for a, b, i, m, e in zip(key.view(np.int64).tolist(), content.view(np.int64).tolist(), head.tolist(), n.tolist(), end.tolist(), strict=True)]
 
@@ -366,8 +366,10 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     column n_chars follows the text. Other columns stay as they are."""
     texts = pick(docs, "doc_id", "text")
     _, marks = _marks(texts, length, gram, group)
-    left = _apply(_texts_of(texts, marks), length, texts=True).withColumnRenamed("doc_id", "_id")
-    whole = docs.join(left, docs["doc_id"] == left["_id"], "left")
-    text = F.when(F.col("_id").isNull(), docs["text"]).otherwise(left["left"])
-    columns = {"text": text} | ({"n_chars": F.when(F.col("_id").isNull(), docs["n_chars"]).otherwise(F.length(left["left"]).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    left = _apply(_texts_of(texts, marks), length, texts=True)
+    same = left["doc_id"].isNull()  # columns by their DataFrame: the caller's may have any name
+    whole = docs.join(left, docs["doc_id"] == left["doc_id"], "left")
+    columns = {"text": F.when(same, docs["text"]).otherwise(left["left"])}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(same, docs["n_chars"]).otherwise(F.length(left["left"]).cast(docs.schema["n_chars"].dataType))
     return whole.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])

@@ -66,3 +66,20 @@ def test_strip_keeps_columns_and_whole_characters(docs, texts, no_docs):
         else:
             assert len(rows[i].text.encode()) <= want[i][0] - want[i][1] and rows[i].n_chars == len(rows[i].text)
     assert suffix.strip(no_docs).count() == 0 and suffix.removals(no_docs).count() == 0
+
+
+def test_strip_leaves_columns_of_any_name(spark, docs, texts):
+    more = docs.selectExpr("*", "doc_id + 1 AS _id", "'l' AS left", "'m' AS marks", "1 AS h", "2 AS c")
+    left = suffix.strip(more)
+    assert left.columns == more.columns
+    assert all(r._id == r.doc_id + 1 and r.left == "l" for r in left.collect())
+
+
+def test_rolling_hashes_tell_twins_apart():
+    word = np.array([i.bit_count() % 2 for i in range(4096)], np.uint8)
+    both = np.concatenate([97 + word, 98 - word])
+    for n in (256, 1024, 4096):
+        h = suffix.rolling_hashes(both, np.array([0, 4096]), np.array([n, 4096 + n]))
+        assert h[0] != h[1]
+        same = suffix.rolling_hashes(np.concatenate([both[:n], both[:n]]), np.array([0, n]), np.array([n, 2 * n]))
+        assert same[0] == same[1]

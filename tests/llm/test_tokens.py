@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
-from sparkloom.llm import bpe, packing
+from sparkloom.llm import bpe, ctw, minhash, packing
 from sparkloom.llm.common import utf8
 from tokenizers import Tokenizer
 
@@ -105,3 +105,29 @@ def test_two_replace_the_smallest():
         assert sum(taken) <= 1024
         np.add.at(packed, taken, times)
     assert (packed == counts).all()
+
+
+def twins(n):
+    """A word of n letters a and b and its complement, which collide under any polynomial hash modulo 2 ** 64."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_twin_words_keep_their_own_ids(spark, theirs, n):
+    pair = dict(enumerate(twins(n)))
+    docs = spark.createDataFrame(list(pair.items()), "doc_id long, text string").coalesce(1)
+    for r in bpe.round_trips(docs, RANKS).collect():
+        assert r.ids_sha256 == hashlib.sha256(np.array(theirs.encode_ordinary(pair[r.doc_id]), "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(pair[r.doc_id].encode()).hexdigest()
+    check_packing(packing.packed(docs, JSON, 64).collect(), pair, 64)
+    assert all(r.doc_id == r.component_id for r in minhash.classes(docs).collect())
+    assert {r.n_known for r in ctw.scored(docs, held=zlib.crc32(b"1") % 10).collect()} == {1, 2}  # 0 is learnt from, 1 is not
+
+
+def test_pieces_of_one_hash_are_told_apart(theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "hash_spans", lambda data, start, end: (end - start).astype(np.uint64) % 3)
+    encode = bpe.Encoder(bpe.ranks(RANKS).encode)
+    for texts in (["one two three", "", "it's 123 four", *twins(80)], ["four three two", "x" * 90]):
+        ids, at = encode(*utf8(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [theirs.encode_ordinary(t) for t in texts]
