@@ -18,15 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, pick
 
 #: Vectors in a block of candidates and of queries, in a chunk, and in the head.
-BLOCK, QUERIES, CHUNK, HEAD = 8192, 1024, 1024, 1024
+BLOCK, QUERIES, CHUNK, HEAD = 8192, 4096, 1024, 1024
 #: Coordinates in the partial sums.
 PART = 16
+#: Classes of length in an octave, and parts of a class, by which query blocks meet candidate blocks.
+STEPS, PARTS = 16, 64
 
 
 def finite(column: pa.Array) -> list[np.ndarray | None]:
@@ -157,6 +159,24 @@ def top_k(table: DataFrame, every: int = 100, k: int = 10, scale: int = 1024) ->
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _class(length: Column) -> Column:
+    """Lengths in rising classes: a longer vector is never in a lower one."""
+    return F.when(length < 1, 0).otherwise(1 + F.floor(STEPS * F.log2(F.greatest(length, F.lit(1.0))))).cast("int")
+
+
+def _meetings(q: DataFrame, c: DataFrame) -> DataFrame:
+    """(q, block) of all query blocks and the candidate blocks whose longest vector reaches their need. They
+    meet by class of length; a class that most blocks share is split into parts."""
+    part = F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int")
+    held = c.select("block", "longest", _class(F.col("longest")).alias("class"), part.alias("part"))
+    low = F.greatest(_class(F.col("need")) - 1, F.lit(0))
+    top = held.agg(F.coalesce(F.max("class"), F.lit(0))).first()[0]
+    asked = q.select("q", "need", low.alias("low")).where(F.col("low") <= top)
+    asked = asked.select("q", "need", F.explode(F.sequence("low", F.lit(top))).alias("class"))
+    asked = asked.select("q", "need", "class", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    return asked.join(held, ["class", "part"]).where("longest >= need").select("q", "block")
+
+
 def _of_dimension(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame:
     turn = rotation(rows, dim)
     asked = F.col("vec_id") % every == 0
@@ -182,10 +202,7 @@ def _of_dimension(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(need), batch.column("ids"), batch.column("vs"), pa.array([f.astype("<f8").tobytes() for f in floors])], ["q", "need", "q_ids", "q_vs", "floors"])
 
     q = materialise(q.select("block", "ids", "vs").mapInArrow(start, "q long, need double, q_ids binary, q_vs binary, floors binary"), "floors")
-    known = [r.block for r in c.select("block").collect()]  # one number for each BLOCK vectors
-    pairs = q.select("q", "need", F.explode(F.array(*[F.lit(b) for b in known]) if known else F.array().cast("array<long>")).alias("block"))
-    pairs = pairs.join(c.select("block", "longest"), "block").where("longest >= need").select("q", "block")
-    tiles = pairs.join(c.select("block", "ids", "vs"), "block").join(q, "q")
+    tiles = _meetings(q, c).join(c.select("block", "ids", "vs"), "block").join(q, "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
