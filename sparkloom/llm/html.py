@@ -5,10 +5,17 @@ drop what a browser would not show, and a renderer writes the rest: blocks on li
 paragraph-like blocks with an empty line between, list items with marks and indents, table cells in
 aligned columns, preformatted text as it stands.
 
+A cell is laid out like a page of its own, so lists and tables inside it keep their lines. Where a cell of a
+row holds several blocks, the row's cells follow one another as blocks do, in reading order; in all other
+rows they stand side by side, in the table's columns. In a cell that others follow, lines break at spaces where they would pass
+`WIDTH`; what cannot break (one long word) stays whole, and the cells after it go on in the next line, at
+their own columns. Spans over rows and columns hold their places, with the bounds of the HTML standard.
+
 Defined cases: a null or empty page has empty text. Unclosed tags, quotes and comments end with the page.
-Visibility holds at any depth; beyond `DEEPEST` only indents stop growing and tables are laid out cell by cell. Cells wider than `CELL` do not widen their column. Other
-columns are not read. Rows are implied around cells without one; what stands between the parts of a table
-is laid out before it, as browsers do.
+Visibility holds at any depth, and what is visible inside a hidden element is shown; beyond `DEEPEST` levels
+only indents stop growing and tables are laid out cell by cell, without losing text. Other columns are not
+read. Rows are implied around cells without one; what stands between the parts of a table is laid out before
+it, as browsers do.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 import sys
+import textwrap
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +32,9 @@ from pyspark.sql import DataFrame
 
 from .common import pick, pieces
 
-DEEPEST, CELL = 200, 40
+DEEPEST, WIDTH = 200, 80
+#: The largest spans of a cell over columns and rows in the HTML standard.
+COLUMNS, ROWS = 1000, 65534
 
 # Element names as the HTML standard groups them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,7 +70,9 @@ SCOPE = frozenset("table td th caption button object template".split())
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_NUMBER = re.compile(r"\s*([+-]?\d{1,18})", re.A)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -76,6 +88,15 @@ class Node:
             return False
         return not ("style" in a and _NOT_SHOWN.search(a["style"]))
 
+    def hides(self, around: bool) -> bool:
+        """Whether text directly inside is invisible, where `around` tells it of the parent."""
+        found = _VISIBILITY.findall(self.attributes["style"]) if "style" in self.attributes else ()
+        return found[-1].lower() != "visible" if found else around
+
+    def number(self, name: str, otherwise: int) -> int:
+        found = _NUMBER.match(self.attributes.get(name, ""))
+        return int(found.group(1)) if found else otherwise
+
 
 def parse(page: str) -> Node:
     """The tree of a page, with tags closed that the markup leaves open."""
@@ -193,16 +214,20 @@ def parse(page: str) -> Node:
 class Page:
     """Lines of the rendering; `gap` is how many line ends the next text needs before it."""
 
-    def __init__(self, nested: int = 0) -> None:
+    def __init__(self, nested: int = 0, hidden: bool = False) -> None:
         self.lines: list[str] = []
-        self.nested = nested  # tables around it
-        self.line, self.gap, self.indent, self.mark = "", 0, "", ""
-        self.space = False
+        self.nested, self.hidden = nested, hidden  # tables around it; whether text is invisible
+        self.line: list[str] = []
+        self.gap, self.indent, self.mark = 0, "", ""
+        self.space = self.parted = False  # parted: it holds more than one block
+
+    def _put(self) -> None:
+        self.lines.append("".join(self.line).rstrip())
+        self.line = []
 
     def end_line(self) -> None:
         if self.line:
-            self.lines.append(self.line.rstrip())
-            self.line = ""
+            self._put()
         self.space = False
 
     def block(self, empty: bool) -> None:
@@ -213,10 +238,13 @@ class Page:
         if not self.line:
             if self.gap > 1 and self.lines and self.lines[-1]:
                 self.lines.append("")
+            self.parted |= self.gap > 0 and bool(self.lines)
             self.gap = 0
-            self.line, self.mark = self.mark or self.indent, ""
+            self.line, self.mark = [self.mark or self.indent], ""
 
     def text(self, text: str) -> None:
+        if self.hidden:
+            return
         words = _WHITE.split(text)
         if not words[0] and len(words) > 1:
             self.space = bool(self.line)
@@ -224,69 +252,132 @@ class Page:
         if body:
             fresh = not self.line
             self._open()
-            self.line += (" " if self.space and not fresh else "") + body
+            self.line.append((" " if self.space and not fresh else "") + body)
             self.space = not words[-1]
 
     def verbatim(self, text: str) -> None:
+        if self.hidden:
+            return
         rows = text.replace("\r\n", "\n").split("\n")
         for i, row in enumerate(rows):
             if i:
-                self.lines.append(self.line.rstrip())
-                self.line = ""
+                self._put()
             if row:
                 self._open()
-                self.line += row
+                self.line.append(row)
 
     def finish(self) -> str:
         self.end_line()
         return "\n".join(self.lines).strip("\n")
 
 
-def _rows(table: Node) -> Iterator[Node]:
-    todo = table.children[::-1]
+def _rows(table: Node, hidden: bool) -> Iterator[tuple[Node, int, bool]]:
+    """(row, number of its group, hidden) of all rows of a table."""
+    todo = [(c, 0, hidden) for c in table.children[::-1]]
+    groups = 0
     while todo:
-        child = todo.pop()
+        child, group, hides = todo.pop()
         if isinstance(child, Node) and child.shown():
+            hides = child.hides(hides)
             if child.tag == "tr":
-                yield child
+                yield child, group, hides
             elif child.tag in ("thead", "tbody", "tfoot"):
-                todo += child.children[::-1]
+                groups += 1
+                todo += [(c, groups, hides) for c in child.children[::-1]]
+
+
+def _broken(line: str) -> list[str]:
+    """A line broken at spaces so that its parts stay within WIDTH where they can."""
+    if len(line) <= WIDTH:
+        return [line]
+    indent = line[: len(line) - len(line.lstrip())][: WIDTH // 2]
+    return textwrap.wrap(line, WIDTH, subsequent_indent=indent, break_long_words=False, break_on_hyphens=False)
+
+
+def _grid(table: Node, page: Page) -> list[tuple[dict[int, list[str]], bool]]:
+    """The lines of each row's cells by their column, and whether they stand side by side."""
+    grid: list[tuple[dict[int, list[str]], bool]] = []
+    taken: dict[int, int] = {}  # column -> rows that a cell from above still takes
+    last = 0
+    for row, group, hides in _rows(table, page.hidden):
+        if group != last:
+            taken, last = {}, group
+        cells: dict[int, list[str]] = {}
+        at, below, aligned = 0, {}, True
+        for cell in row.children:
+            if not (isinstance(cell, Node) and cell.tag in ("td", "th") and cell.shown()):
+                continue
+            if page.nested >= DEEPEST:
+                page.block(False)
+                _inside(cell, page, False)
+                continue
+            while taken.get(at, 0) > 0:
+                at += 1
+            inner = Page(page.nested + 1, hides)
+            _inside(cell, inner, False)
+            cells[at] = inner.finish().split("\n")
+            aligned &= not inner.parted
+            across = min(max(cell.number("colspan", 1), 1), COLUMNS)
+            down = cell.number("rowspan", 1)
+            down = ROWS if down == 0 else min(max(down, 1), ROWS)
+            if down > 1:
+                below |= dict.fromkeys(range(at, at + across), down)
+            at += across
+        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
+        grid.append((cells, aligned))
+    return grid
 
 
 def _table(table: Node, page: Page) -> None:
-    grid: list[list[str]] = []
-    for row in _rows(table):
-        cells: list[str] = []
-        for cell in row.children:
-            if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.shown():
-                if page.nested >= DEEPEST:
-                    page.block(False)
-                    _render(cell.children, page, False)
-                    continue
-                inner = Page(page.nested + 1)
-                _render(cell.children, inner, False)
-                cells.append(" ".join(inner.finish().split()))
-                span = cell.attributes.get("colspan", "1")
-                cells += [""] * (min(int(span), 50) - 1 if span.isdecimal() and span.isascii() and len(span) < 5 else 0)
-        grid.append(cells)
+    grid = _grid(table, page)
     width: dict[int, int] = {}
-    for cells in grid:
-        for i, c in enumerate(cells):
-            if len(c) <= CELL:
-                width[i] = max(width.get(i, 0), len(c))
+    for cells, aligned in grid:
+        final = max(cells, default=0)
+        for i, lines in cells.items() if aligned else ():
+            if i < final:
+                lines[:] = [part for x in lines for part in _broken(x)]
+            width[i] = max(width.get(i, 0), *(min(len(x), WIDTH) for x in lines))
+    order = sorted(width)
     for other in table.children:  # text and captions that stand outside the cells
         if not isinstance(other, Node):
             page.text(other)
         elif other.tag not in ("tr", "thead", "tbody", "tfoot") and other.shown():
             _render([other], page, False)
-    for cells in grid:
+    hidden, page.hidden = page.hidden, False  # what is left in the cells is visible
+    for cells, aligned in grid:
         page.block(False)
-        line = "  ".join(c.ljust(width.get(i, 0)) for i, c in enumerate(cells)).rstrip()
-        if line:
-            page.verbatim(line)
+        if not aligned:
+            for lines in cells.values():
+                page.verbatim("\n".join(lines))
+                page.block(False)
+            continue
+        mine = [i for i in order if i <= max(cells, default=-1)]
+        for k in range(max(map(len, cells.values()), default=0)):
+            line, at, low = [], 0, 0  # `low` is where the line's written part ends
+            for i in mine:
+                text = cells[i][k] if i in cells and k < len(cells[i]) else ""
+                if text:
+                    if low > at:  # a long word stands in the way: go on below it
+                        page.verbatim("".join(line))
+                        page.block(False)
+                        line, low = [], 0
+                    line.append(" " * (at - low) + text)
+                    low = at + len(text) + 2 * (len(text) > width[i])
+                at += width[i] + 2
+            if line:
+                page.verbatim("".join(line))
+                page.block(False)
+    page.hidden = hidden
     page.block(True)
 
 
+def _inside(node: Node, page: Page, pre: bool, order: list | None = None) -> None:
+    """A node's children, under its own visibility."""
+    before, page.hidden = page.hidden, node.hides(page.hidden)
+    _render(node.children, page, pre, order)
+    page.hidden = before
+
+
 def _render(children: list, page: Page, pre: bool, order: list | None = None) -> None:
     for child in children:
         if not isinstance(child, Node):
@@ -302,30 +393,32 @@ def _render(children: list, page: Page, pre: bool, order: list | None = None) ->
         if block:
             page.block(empty)
         if tag == "table":
+            before, page.hidden = page.hidden, child.hides(page.hidden)
             _table(child, page)
+            page.hidden = before
         elif tag == "li":
             before = page.indent
             if order is not None:
-                order[0] += 1
+                order[0] = child.number("value", order[0] + 1)
             mark = "- " if order is None else f"{order[0]}. "
             page.mark, page.indent = before + mark, before + " " * len(mark) * (len(before) < 2 * DEEPEST)
-            _render(child.children, page, pre)
+            _inside(child, page, pre)
             page.end_line()
             page.mark, page.indent = "", before
         elif tag in ("ul", "ol", "menu", "dir"):
-            start = child.attributes.get("start", "1")
-            first = int(start) - 1 if start.isdecimal() and start.isascii() and len(start) < 9 else 0
-            _render(child.children, page, pre, [first] if tag == "ol" else None)
+            _inside(child, page, pre, [child.number("start", 1) - 1] if tag == "ol" else None)
         elif tag in ("blockquote", "dd"):
             before = page.indent
             page.indent = before + "  " * (len(before) < 2 * DEEPEST)
-            _render(child.children, page, pre)
+            _inside(child, page, pre)
             page.end_line()
             page.indent = before
         elif tag == "details" and "open" not in child.attributes:
+            before, page.hidden = page.hidden, child.hides(page.hidden)
             _render([c for c in child.children if isinstance(c, Node) and c.tag == "summary"], page, pre)
+            page.hidden = before
         else:
-            _render(child.children, page, pre or tag in ("pre", "textarea"))
+            _inside(child, page, pre or tag in ("pre", "textarea"))
         if block:
             page.block(empty)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from sparkloom.llm.html import extracted, render
 
@@ -17,6 +19,17 @@ CASES = {
     "1 < 2 and <3": "1 < 2 and <3",
     "<dl><dt>t<dd>d</dl>": "t\n  d",
     "</p></div>x</table>": "x",
+    "<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>": "yes",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+    "<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+    "<table><tr><td><ul><li>a<li>b</ul><td>x<tr><td>c<td>d</table>": "- a\n- b\nx\nc  d",
+    "<table><tr><td>a<br>b<td>x<br>y<tr><td>cc<td>d</table>": "a   x\nb   y\ncc  d",
+    "<table><tr><td><table><tr><td>a<td>b<tr><td>cc<td>d</table><td>e</table>": "a   b\ncc  d\ne",
+    f"<table><tr><td>{'w' * 41}<td>x<tr><td>a<td>b</table>": f"{'w' * 41}  x\na{' ' * 42}b",
+    f"<table><tr><td>{'w' * 90}<td>x<tr><td>a<td>b</table>": f"{'w' * 90}\n{' ' * 82}x\na{' ' * 81}b",
+    f"<table><tr><td>{'w ' * 60}<td>x<tr><td>a<td>b</table>": f"{('w ' * 40).strip()}  x\n{('w ' * 20).strip()}\na{' ' * 80}b",
+    "<table><tr><td colspan=70>a<td>b<tr>" + "<td>c" * 71 + "</table>": "a" + " " * 209 + "b\n" + "  ".join("c" * 71),
+    "<ol start=-1><li>a<li>b<li value=1234567890>c<li>d</ol>": "-1. a\n0. b\n1234567890. c\n1234567891. d",
 }
 
 
@@ -61,3 +74,48 @@ def test_every_visible_word_of_a_table_once(page):
 def test_visibility_holds_at_any_depth(deep):
     page = deep * 3000 + "a <div style='display:none'>secret<div>more</div> still <i>secret</i></div> b"
     assert [w for w in render(page).split() if w != "-"] == ["a", "b"]
+
+
+def random_page(rng, shown, depth=0, hidden=False, pre=""):
+    """Markup of a random tree; the visible words are appended to `shown` in the order of the page."""
+    out = []
+    for _ in range(rng.randrange(1, 4)):
+        kind = rng.choice(["text", "p", "div", "span", "b", "li", "table", "none", "hidden", "visible", "script", "comment"])
+        if kind == "text" or depth > 4:
+            word = f"w{len(shown)}" if not hidden else "secret"
+            if not hidden:
+                shown.append(word)
+            out.append(f" {word} ")
+        elif kind == "none":
+            out.append(f"<div style='display:none'>{random_page(rng, [], depth + 1, True)}</div>".replace("visibility:visible", "").replace("w0", "secret"))
+        elif kind in ("hidden", "visible"):
+            out.append(f"<div style='visibility:{kind}'>{random_page(rng, shown, depth + 1, kind == 'hidden')}</div>")
+        elif kind == "script":
+            out.append("<script>secret()</script>")
+        elif kind == "comment":
+            out.append("<!-- secret -->")
+        elif kind == "table":  # a single column: rows keep the order of the page
+            out.append("<table>" + "".join(f"<tr><td>{random_page(rng, shown, depth + 1, hidden)}" for _ in range(2)) + "</table>")
+        elif kind == "li":
+            out.append("<ul>" + "".join(f"<li>{random_page(rng, shown, depth + 1, hidden)}" for _ in range(2)) + "</ul>")
+        else:
+            out.append(f"<{kind}>{random_page(rng, shown, depth + 1, hidden)}</{kind}>")
+    return "".join(out)
+
+
+def test_visible_words_of_random_pages():
+    """Every visible word once and in order, nothing else: the generator knows which words are visible."""
+    rng = random.Random(8)
+    for _ in range(400):
+        shown = []
+        page = random_page(rng, shown)
+        assert [w for w in render(page).split() if w != "-"] == shown, page
+
+
+def test_long_runs_and_very_long_pages(spark):
+    page = "<i>x</i>" * 200_000
+    assert render(page) == "x" * 200_000
+    rows = [(1, "<p>word</p>" * 50_000), (2, "<p>a"), (2, "<p>a")]
+    got = sorted((r.page_id, r.n_lines) for r in extracted(spark.createDataFrame(rows, "page_id long, html string")).collect())
+    assert got == [(1, 99_999), (2, 1), (2, 1)]
+    assert extracted(spark.createDataFrame([], "page_id long, html string, text string")).count() == 0
