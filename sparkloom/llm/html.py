@@ -66,6 +66,7 @@ GRID = frozenset("table tbody tfoot thead tr".split())
 BETWEEN = PARTS | {"script", "style", "template"}
 #: Text inside drawings and formulas that is not drawn.
 UNDRAWN = {"svg": frozenset("defs desc metadata symbol".split()), "math": frozenset(["annotation", "annotation-xml"])}
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 SCOPE = frozenset("table td th caption button object template".split())
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)|[^<]+|<", re.S)
@@ -163,6 +164,8 @@ def parse(page: str) -> Node:
                     break
                 if open_[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                     break
+                if open_[i].tag in BLOCK and tag not in BLOCK and tag not in FORMATTING:
+                    break  # such an end tag stays inside the block it stands in
             continue
         if tag == "form" and open_[-1].tag in GRID and count["table"]:
             continue  # a browser leaves an empty form there; what follows stays in the table
