@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,9 +28,25 @@ def keyed_id(separator: str, *parts: Column) -> Column:
     return digest(F.concat_ws(separator, *[p.cast("string") for p in parts]))
 
 
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Full case folding beyond lower case, as the runtime's own tables give it: characters that become one
+    other, what they become, and characters that become several."""
+    every = [c for c in map(chr, range(0x80, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c and c.casefold() != c]
+    single = [c for c in every if len(c.casefold()) == 1]
+    return "".join(single), "".join(c.casefold() for c in single), tuple((c, c.casefold()) for c in every if len(c.casefold()) > 1)
+
+
 def folded(text: Column) -> Column:
-    """Case folding: lower case, with sharp s spelt out."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full Unicode case folding; texts of plain letters only pay for lower case."""
+    low = F.lower(text)
+    before, after, longer = _foldings()
+    full = F.translate(low, before, after)
+    rare = "".join(c for c, _ in longer)
+    for c, spelt in longer:
+        full = F.replace(full, F.lit(c), F.lit(spelt))
+    translated = F.translate(low, before, after)
+    return F.when(~low.rlike("[^\\x00-\\x7f]"), low).when(low.rlike(f"[{rare}]"), full).otherwise(translated)
 
 
 def entity_id(scope: Column, label: Column, name: Column) -> Column:
@@ -54,9 +72,14 @@ def squeezed(name: Column) -> Column:
     return folded(F.regexp_replace(name, r"[\s_\-]+", ""))
 
 
-def labels_agree(a: Column, b: Column, generic: str = "Entity") -> Column:
-    """Labels are compatible if one is missing or generic, or both are equal."""
-    return a.isNull() | b.isNull() | (a == b) | (a == generic) | (b == generic)
+#: Labels that fit every other label.
+GENERIC = ("component", "entity", "module", "architecturecomponent")
+
+
+def labels_agree(a: Column, b: Column) -> Column:
+    """Labels are compatible if one is missing or generic, or both are equal but for case."""
+    x, y = folded(F.trim(a)), folded(F.trim(b))
+    return F.coalesce(a, F.lit("")).isin("") | F.coalesce(b, F.lit("")).isin("") | (x == y) | x.isin(*GENERIC) | y.isin(*GENERIC)
 
 
 def edge_id(source: Column, kind: Column, target: Column) -> Column:
@@ -64,3 +87,14 @@ def edge_id(source: Column, kind: Column, target: Column) -> Column:
     bare = lambda c: F.regexp_replace(c, "^entity:", "")
     ok = source.isNotNull() & target.isNotNull() & (bare(source) != bare(target))
     return F.when(ok, F.concat_ws(":", F.lit("edge"), bare(source), kind, bare(target))).otherwise("")
+
+
+def node_id(entity: Column) -> Column:
+    """Id of a drawn entity; a prefix `entity:` is dropped first, empty where there is none."""
+    bare = F.regexp_replace(entity, "^entity:", "")
+    return F.when(F.coalesce(bare, F.lit("")) != "", F.concat(F.lit("entity:"), bare)).otherwise("")
+
+
+def sorted_digest(members: Column, edges: Column) -> Column:
+    """Digest of a community's context: sorted members, then sorted edges, a line each."""
+    return digest(F.concat_ws("\n", F.array_sort(members), F.array_sort(edges)))

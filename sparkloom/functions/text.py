@@ -11,8 +11,9 @@ IDENTIFIER = r"[A-Za-z_$][\p{L}\p{N}_$]*"
 
 
 def _parts(word: Column) -> Column:
-    spaced = F.regexp_replace(word, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
-    spaced = F.regexp_replace(spaced, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+    """Snake, camel and acronym parts, folded; only ASCII letters tell where a part starts."""
+    spaced = F.regexp_replace(word, "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    spaced = F.regexp_replace(spaced, "([a-z0-9])([A-Z])", "$1 $2")
     return F.filter(F.split(folded(spaced), r"[ _$]+"), lambda p: p != "")
 
 
@@ -22,10 +23,19 @@ def identifier_terms(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(found, lambda w: F.concat(F.array(w), _parts(w)))))
 
 
+def identifiers(text: Column) -> Column:
+    """Every occurrence of an identifier, as it is spelt."""
+    return F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
+
+
+def search_terms(identifier: Column) -> Column:
+    """The distinct folded terms of one identifier: itself and its parts."""
+    return F.array_distinct(F.concat(F.array(folded(identifier)), _parts(identifier)))
+
+
 def lexical_tokens(text: Column) -> Column:
     """Search terms: each occurrence of an identifier gives its distinct folded terms once."""
-    found = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
-    return F.flatten(F.transform(found, lambda w: F.array_distinct(F.concat(F.array(folded(w)), _parts(w)))))
+    return F.flatten(F.transform(identifiers(text), search_terms))
 
 
 def word_set(text: Column) -> Column:
@@ -35,8 +45,9 @@ def word_set(text: Column) -> Column:
 
 
 def quoted_literals(text: Column) -> Column:
-    """Distinct quoted strings of 1 to 96 characters, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("[\"']([^\"'\\n]{1,96})[\"']"), F.lit(1)))
+    """Distinct strings of 1 to 96 characters between two quotes of one kind, in order."""
+    found = F.regexp_extract_all(text, F.lit("'[^'\"\\n]{1,96}'|\"[^'\"\\n]{1,96}\""), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda m: F.substring(m, 2, 96).substr(F.lit(1), F.length(m) - 2)))
 
 
 def rough_tokens(text: Column) -> Column:
@@ -63,6 +74,31 @@ def redacted(text: Column) -> Column:
     return F.regexp_replace(out, r"[\x00-\x1f\x7f]+", " ")
 
 
+# How published prose names revisions, ids and links.
+REVISIONS = {"PR_HEAD": "This PR", "TARGET_BASE": "the base revision", "MERGE_BASE": "the merge base"}
+LONG_ID = r"\b[0-9a-fA-F]{32,}\b|\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b"
+LINK = r"(?i)\b(?:https?|ftp|file|data|javascript):\S+|\bwww\.\S+"
+CONTROL = "[\\x00-\\x1f\\x7f\u202a-\u202e\u2066-\u2069]"
+MARKUP = r"([\\`*_{}\[\]()#+.!|~:/-])"
+
+
+def prose(text: Column, limit: int = 240) -> Column:
+    """Model or source prose as literal Markdown: ids and links replaced, white space collapsed, cut after the
+    last whole word that fits, then escaped."""
+    out = F.replace(text, F.lit("`"), F.lit(""))
+    for name, shown in REVISIONS.items():
+        out = F.replace(out, F.lit(name), F.lit(shown))
+    out = F.regexp_replace(out, LONG_ID, "internal reference")
+    out = F.regexp_replace(out, LINK, "unverified link omitted")
+    out = F.trim(F.regexp_replace(F.regexp_replace(out, CONTROL, " "), r"[\s\x{85}\p{Z}]+", " "))
+    head = F.substring(out, 1, limit)
+    cut = F.regexp_replace(F.regexp_replace(head, r"^(.*) [^ ]*$", "$1"), "[.,;:]+$", "")
+    out = F.when(F.length(out) > limit, F.concat(cut, F.lit("\u2026"))).otherwise(out)
+    for plain, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("@", "\uff20")):
+        out = F.replace(out, F.lit(plain), F.lit(shown))
+    return F.regexp_replace(out, MARKUP, r"\\$1")
+
+
 def occurrences(text: Column, needle: Column) -> Column:
     """How often a needle occurs without overlap; an empty needle never does."""
     return F.when(F.length(needle) > 0, ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("int")).otherwise(0)

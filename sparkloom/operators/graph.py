@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.identity import GENERIC
+
+from .steps import materialise
+
 
 def bounded(rows: DataFrame, order: list, most: int) -> DataFrame:
     """The first `most` rows and whether more were there: one row beyond is read, no count of all."""
@@ -62,28 +65,38 @@ def canonical(mentions: DataFrame, key: Column) -> DataFrame:
 
 
 def resolve_tiered(mentions: DataFrame, entities: DataFrame, folded, squeezed) -> DataFrame:
-    """(mention_id, entity_id, tier): exact label and name, then the unique folded name, then the unique
-    squeezed name; a tier that finds more than one leaves the mention to no later one."""
-    m = mentions.withColumn("f", folded(F.col("name"))).withColumn("q", squeezed(F.col("name")))
-    e = entities.withColumn("f", folded(F.col("name"))).withColumn("q", squeezed(F.col("name")))
-    tier = lambda keys, n: e.groupBy(*keys).agg(F.min("entity_id").alias(f"e{n}"), F.count("*").alias(f"n{n}"))
-    out = m.join(tier(["label", "f"], 1), ["label", "f"], "left").join(tier(["f"], 2), "f", "left").join(tier(["q"], 3), "q", "left")
-    first = F.when(F.col("n1") >= 1, F.struct(F.lit(1).alias("tier"), F.col("e1").alias("e"), F.col("n1").alias("n"))).when(F.col("n2") >= 1, F.struct(F.lit(2).alias("tier"), F.col("e2").alias("e"), F.col("n2").alias("n"))).when(F.col("n3") >= 1, F.struct(F.lit(3).alias("tier"), F.col("e3").alias("e"), F.col("n3").alias("n")))
-    return out.withColumn("hit", first).select("mention_id", F.when(F.col("hit.n") == 1, F.col("hit.e")).alias("entity_id"), F.coalesce("hit.tier", F.lit(0)).alias("tier"), (F.coalesce("hit.n", F.lit(0)) > 1).alias("ambiguous"))
+    """(mention_id, entity_id, tier, ambiguous) of mentions (mention_id, name, label) among entities
+    (entity_id, name, label, aliases). Tiers: the label and the name; the label and the name or an alias; a
+    compatible label and the name or an alias; the same by names without white space, hyphens and
+    underscores. The first tier with a hit decides, and only a single entity is a match. A mention without a
+    label is a component; labels are compatible if equal, or if one is missing or generic."""
+    clean = lambda c: folded(F.trim(c))
+    m = mentions.select("mention_id", clean(F.coalesce("label", F.lit("Component"))).alias("want"), clean(F.col("name")).alias("f"), squeezed(F.col("name")).alias("q")).where("f <> ''")
+    labelled = entities.select("entity_id", clean(F.coalesce("label", F.lit(""))).alias("label"), "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    own = labelled.select("entity_id", "label", F.col("name").alias("n"), F.lit(True).alias("own"))
+    names = own.unionByName(labelled.select("entity_id", "label", F.explode("aliases").alias("n"), F.lit(False).alias("own"))).where("n <> ''")
+    keyed = lambda key: names.select("entity_id", "label", "own", key.alias("key")).groupBy("key", "label", "entity_id").agg(F.max("own").alias("own")).groupBy("key", "label")
+    count = lambda test, n: [F.count(F.when(test, 1)).alias(f"n{n}"), F.min(F.when(test, F.col("entity_id"))).alias(f"e{n}")]
+    plain = keyed(clean(F.col("n"))).agg(*count(F.col("own"), 1), *count(F.lit(True), 2))
+    bare = keyed(squeezed(F.col("n"))).agg(*count(F.lit(True), 4))
+    same = F.col("label") == F.col("want")
+    fits = same | (F.col("label") == "") | F.col("label").isin(*GENERIC) | F.col("want").isin(*GENERIC)
+    total = lambda test, n, source: [F.coalesce(F.sum(F.when(test, F.col(f"n{source}"))), F.lit(0)).alias(f"t{n}"), F.min(F.when(test, F.col(f"e{source}"))).alias(f"x{n}")]
+    one = m.join(plain.withColumnRenamed("key", "f"), "f", "left").groupBy("mention_id").agg(*total(same, 1, 1), *total(same, 2, 2), *total(fits, 3, 2))
+    two = m.join(bare.withColumnRenamed("key", "q"), "q", "left").groupBy("mention_id").agg(*total(fits, 4, 4))
+    hit = None
+    for n in (1, 2, 3, 4):
+        found = F.struct(F.lit(n).alias("tier"), F.col(f"x{n}").alias("e"), F.col(f"t{n}").alias("n"))
+        hit = F.when(F.col("t1") > 0, found) if n == 1 else hit.when(F.col(f"t{n}") > 0, found)
+    out = mentions.select("mention_id").join(one.join(two, "mention_id"), "mention_id", "left").withColumn("hit", hit)
+    return out.select("mention_id", F.when(F.col("hit.n") == 1, F.col("hit.e")).alias("entity_id"), F.coalesce("hit.tier", F.lit(0)).alias("tier"), (F.coalesce("hit.n", F.lit(0)) > 1).alias("ambiguous"))
 
 
 def communities(both: DataFrame) -> DataFrame:
     """(node, community): the smallest id a node can reach over edges (a, b). Alternating large-star and
     small-star rounds until no edge moves, so their number grows with the logarithm of a path's length;
     each round is written to the shared folder, so a lost executor re-reads it."""
-    spark = both.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sparkloom"
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/labels-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    kept = lambda df: materialise(df, "labels")
     edges = kept(both.where("a > b").select("a", "b").distinct())
     nodes = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"))
     before = None

@@ -46,8 +46,8 @@ def due(jobs: DataFrame, as_of: Column, most: int) -> DataFrame:
 
 
 def expired(jobs: DataFrame, as_of: Column) -> DataFrame:
-    """Running jobs whose lease is over: they fail after the last attempt and are tried again before."""
-    over = jobs.where((F.col("status") == "RUNNING") & (F.col("lease_until") < as_of))
+    """Running jobs whose lease ends at `as_of` or before: they fail after the last attempt and are tried again before."""
+    over = jobs.where((F.col("status") == "RUNNING") & (F.col("lease_until") <= as_of))
     return over.withColumn("next_status", F.when(F.col("attempts") >= MOST_ATTEMPTS, "FAILED").otherwise("RETRY"))
 
 

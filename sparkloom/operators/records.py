@@ -12,8 +12,8 @@ from .retrieval import capped
 
 
 def first_non_empty(props: DataFrame, key: str, name: str, value: str, seq: str) -> DataFrame:
-    """(key, name, value): the first value by seq that is neither null nor blank."""
-    return props.where(F.trim(value) != "").groupBy(key, name).agg(F.min_by(value, seq).alias(value))
+    """(key, name, value): the first value by seq that is neither null nor empty; a blank one counts."""
+    return props.where(F.col(value) != "").groupBy(key, name).agg(F.min_by(value, seq).alias(value))
 
 
 def parallel_edges(edges: DataFrame) -> DataFrame:
@@ -64,25 +64,33 @@ def with_reserved(rows: DataFrame, kind: str, item: str, linked: str, order: lis
 
 
 def bounded_terms(terms: Column, longest: int = 96, most: int = 64, chars: int = 1600) -> Column:
-    """Distinct terms in order while they fit: longer ones are skipped, they don't end the list."""
+    """Distinct terms in order while they fit, with a space between any two counted: longer ones and those
+    that don't fit are skipped, they don't end the list; blank ones are no terms."""
     start = F.struct(F.lit(0).alias("held"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, term):
-        size = F.length(term)
-        fits = F.coalesce((size > 0) & (size <= longest) & (F.size(acc["out"]) < most) & (acc["held"] + size <= chars), F.lit(False))
+        size = F.length(term) + F.when(F.size(acc["out"]) > 0, 1).otherwise(0)
+        fits = F.coalesce((F.trim(term) != "") & (F.length(term) <= longest) & (F.size(acc["out"]) < most) & (acc["held"] + size <= chars), F.lit(False))
         return F.struct((acc["held"] + F.when(fits, size).otherwise(0)).alias("held"), F.when(fits, F.concat(acc["out"], F.array(term))).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(F.array_distinct(terms), start, step)["out"]
 
 
-def intents(events: DataFrame, key: str, rank: Column, at: Column) -> DataFrame:
-    """(key, intent, version): an intent only ever rises (1 queued, 2 in progress, 3 completed), and its
-    version counts the rises. A rank counts if it came before every higher one: no ordered pass is needed."""
-    first = [F.min(F.when(rank == r, at)).alias(f"t{r}") for r in (1, 2, 3)]
-    found = events.groupBy(key).agg(*first, F.max(rank).alias("intent")).where("intent IS NOT NULL")
+def intents(events: DataFrame, key: str, rank: Column, identity: Column, at: Column) -> DataFrame:
+    """(key, intent, version): an intent only ever rises (1 queued, 2 in progress, 3 completed). Its version
+    counts the rises, and every new identity of a completed one after the first. A rank counts if it came
+    before every higher one: no ordered pass is needed. Of completed rows, one counts where the identity
+    differs from the completed row before it."""
+    rows = events.select(key, rank.alias("_rank"), identity.alias("_identity"), at.alias("_at")).where("_rank IS NOT NULL")
+    first = [F.min(F.when(F.col("_rank") == r, F.col("_at"))).alias(f"t{r}") for r in (1, 2, 3)]
+    found = rows.groupBy(key).agg(*first, F.max("_rank").alias("intent"))
+    in_order = Window.partitionBy(key).orderBy("_at")
+    done = rows.where("_rank = 3").withColumn("_before", F.lag("_identity").over(in_order)).withColumn("_nth", F.row_number().over(in_order))
+    done = done.where("_nth = 1 OR NOT _before <=> _identity")
+    finals = done.groupBy(key).agg(F.count("*").alias("finals"))
     later = {1: F.least("t2", "t3"), 2: F.col("t3"), 3: F.lit(None)}
     rises = [F.when(F.col(f"t{r}").isNotNull() & (later[r].isNull() | (F.col(f"t{r}") < later[r])), 1).otherwise(0) for r in (1, 2)]
-    return found.select(key, "intent", (rises[0] + rises[1] + F.when(F.col("t3").isNotNull(), 1).otherwise(0)).alias("version"))
+    return found.join(finals, key, "left").select(key, "intent", (rises[0] + rises[1] + F.coalesce("finals", F.lit(0))).cast("int").alias("version"))
 
 
 def reconciled(updates: DataFrame, deleted: DataFrame, key: list[str], value: str, at: Column) -> DataFrame:

@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import materialise
+
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def corpus_stats(tokens: DataFrame) -> DataFrame:
-    """One row (n_docs, avg_len, n_terms) of (doc_id, tokens)."""
-    sizes = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    terms = tokens.select(F.explode("tokens").alias("term")).agg(F.countDistinct("term").alias("n_terms"))
-    return sizes.crossJoin(terms)
+def term_counts(texts: DataFrame, key: str, identifiers: Column, terms: Callable[[Column], Column]) -> DataFrame:
+    """(key, n, terms) per different identifier of a text: how often it occurs, and its search terms. Each is
+    split once a text, however often it stands there; a key without identifiers has one row without any."""
+    found = texts.select(key, F.explode_outer(identifiers).alias("word")).groupBy(key, "word").agg(F.count("word").alias("n"))
+    split = F.when(F.col("word").isNull(), F.array().cast("array<string>")).otherwise(terms(F.col("word")))
+    return found.select(key, "n", split.alias("terms"))
+
+
+def corpus_stats(counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row (n_docs, avg_len, n_terms) of term_counts()."""
+    sizes = counts.groupBy(key).agg(F.sum(F.col("n") * F.size("terms")).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    terms = counts.select(F.explode("terms").alias("term")).agg(F.countDistinct("term").alias("n_terms"))
+    return sizes.crossJoin(terms)  # one row each
+
+
+#: Parts are summed as whole numbers of this size, so that a sum does not depend on its order.
+GRAIN = 10**14
 
 
-def bm25(tokens: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score) of all matches; tokens (doc_id, tokens), questions (query_id, tokens).
-    Only terms that a question holds are counted per document; sums run in term order."""
-    wanted = questions.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    stats = tokens.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg(F.size("tokens"))).alias("avg"))
-    counts = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    counts = counts.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    hits = counts.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+def bm25(counts: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score) of all matches; counts (doc_id, n, terms) of term_counts(), questions
+    (query_id, term). Only terms that a question holds leave their document."""
+    counts = materialise(counts, "terms")
+    wanted = questions.select("query_id", "term").distinct()
+    sizes = counts.groupBy("doc_id").agg(F.sum(F.col("n") * F.size("terms")).alias("len"))
+    stats = sizes.agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.avg("len")).alias("avg"))
+    hits = counts.select("doc_id", "n", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = hits.groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    parts = hits.join(df, "term").join(sizes, "doc_id").crossJoin(F.broadcast(stats))  # stats is one row
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    summed = F.aggregate(F.array_sort(F.collect_list(F.struct("term", part.alias("x")))), F.lit(0.0), lambda a, s: a + s["x"])
-    return hits.groupBy("query_id", "doc_id").agg(summed.alias("score")).where("score > 0")
+    parts = parts.select("doc_id", "term", F.round(part * GRAIN).cast("long").alias("part"))
+    return parts.join(wanted, "term").groupBy("query_id", "doc_id").agg((F.sum("part") / F.lit(float(GRAIN))).alias("score")).where("score > 0")
 
 
 def ranked(scores: DataFrame, group: str, item: str, most: int | None = None, score: str = "score") -> DataFrame:
@@ -37,11 +57,73 @@ def ranked(scores: DataFrame, group: str, item: str, most: int | None = None, sc
     return out.where(F.col("position") <= most) if most else out
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision; null for a zero vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(size > 0, dot(a, b) / size)
+#: Vectors in a block of queries and of candidates.
+BLOCK = 4096
+
+
+def _unit_blocks(rows: DataFrame, count: int) -> DataFrame:
+    """(dim, block, ids, vs): unit vectors in blocks, one row each; a zero or incomplete vector is in none."""
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                x = np.array(v, np.float64) if v and None not in v else np.zeros(1)
+                size = np.linalg.norm(x)
+                if np.isfinite(size) and size > 0:
+                    kept.append((i, len(x), (x / size).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in kept], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["id", "dim", "v"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, vs = None, [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vs)], pa.binary())], ["dim", "block", "ids", "vs"])
+
+        for batch in batches:
+            for dim, block, i, v in zip(*(batch.column(c).to_pylist() for c in ("dim", "block", "id", "v")), strict=True):
+                if (dim, block) != key:
+                    if ids:
+                        yield out()
+                    key, ids, vs = (dim, block), [], []
+                ids.append(i)
+                vs.append(v)
+        if ids:
+            yield out()
+
+    units = rows.mapInArrow(unit, "id long, dim int, v binary")
+    dealt = units.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // BLOCK)))).cast("int"))
+    dealt = dealt.repartition("dim", "block").sortWithinPartitions("dim", "block").select("dim", "block", "id", "v")
+    return materialise(dealt.mapInArrow(join, "dim int, block int, ids binary, vs binary"), "vectors")
+
+
+def most_similar(rows: DataFrame, asked: Column, most: int, digits: int = 9) -> DataFrame:
+    """(query_id, item, score) by cosine: for each asked row of (id, v) the `most` best other rows, as far as a
+    block of candidates can tell; scores are rounded to `digits` before they are ranked, ties go to the
+    smaller id. Every block of queries meets every block of candidates once."""
+    n, asked_n = rows.agg(F.count("*"), F.count(F.when(asked, 1))).first()
+    c = _unit_blocks(rows, n)
+    q = _unit_blocks(rows.where(asked), asked_n)
+    q = q.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"), F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // BLOCK) - 1)))).alias("q_block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qi, qv, ci, cv, dim in zip(*(batch.column(k).to_pylist() for k in ("q_ids", "q_vs", "ids", "vs", "dim")), strict=True):
+                qi, ci = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
+                order = np.argsort(ci)
+                ci, cv = ci[order], np.frombuffer(cv).reshape(-1, dim)[order]
+                qv = np.frombuffer(qv).reshape(-1, dim)
+                for a in range(0, len(qi), 256):
+                    score = np.round(qv[a : a + 256] @ cv.T, digits) + 0.0
+                    score[qi[a : a + 256, None] == ci[None, :]] = -2.0
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :most]
+                    value = np.take_along_axis(score, best, axis=1)
+                    keep = value > -2
+                    ids = np.repeat(qi[a : a + 256], keep.sum(axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ci[best][keep]), pa.array(value[keep])], ["query_id", "item", "score"])
+
+    met = q.join(c, (F.col("q_dim") == F.col("dim")) & (F.col("q_block") == F.col("block")))
+    return met.select("q_ids", "q_vs", "ids", "vs", "dim").mapInArrow(run, "query_id long, item long, score double")
 
 
 def fused(channels: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -51,11 +133,15 @@ def fused(channels: DataFrame, k: int = RRF_K) -> DataFrame:
     return best.groupBy("query_id", "item").agg(votes.alias("rrf"), F.min("best").alias("min_rank"), F.count("*").cast("int").alias("n_channels"))
 
 
-def round_robin(rows: DataFrame, group: str, order: list, most: int, per_group: int | None = None) -> DataFrame:
-    """Interleave the groups: first of each, then second of each, up to `most` rows."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    out = rows.withColumn("turn", nth)
+def round_robin(rows: DataFrame, group: str, order: list, most: int, per_group: int | None = None, item: str | None = None) -> DataFrame:
+    """Interleave the groups: first of each, then second of each, up to `most` rows. An item that stands in
+    several groups is kept where its turn comes first."""
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    out = rows.withColumn("turn", turn)
     out = out.where(F.col("turn") <= per_group) if per_group else out
+    if item:
+        first = F.row_number().over(Window.partitionBy(item).orderBy("turn", group))
+        out = out.withColumn("_first", first).where("_first = 1").drop("_first")
     out = out.orderBy("turn", group, *order).limit(most)  # bounded before it is numbered
     return out.withColumn("place", F.row_number().over(Window.orderBy("turn", group, *order)))
 

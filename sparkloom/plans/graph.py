@@ -9,7 +9,7 @@ from sparkloom.functions import classify as C
 from sparkloom.functions import identity as I
 from sparkloom.operators import graph as G
 
-from .registry import Tables, query
+from .registry import Tables, alias, query
 
 CODE = "code AS (SELECT 'p' || l_partkey AS src, 'SUPPLIED_BY' AS rel, 's' || l_suppkey AS dst, max(round(1 - l_discount, 4)) AS confidence, CAST(min(l_orderkey) AS BIGINT) AS seq, min(l_shipdate) AS rationale FROM lineitem GROUP BY ALL)"
 ASSERT = "asserted AS (SELECT 'c' || o_custkey AS src, 'ORDERS' AS rel, 'p' || l_partkey AS dst, max(round(l_quantity / 50, 4)) AS confidence, CAST(min(o_orderkey) AS BIGINT) AS seq FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%' GROUP BY ALL)"
@@ -55,15 +55,15 @@ def relationship_inventory(t: Tables) -> DataFrame:
     return asserted.select("src", "rel", "dst", F.lit("assertion").alias("kind")).unionByName(direct.select("src", "rel", "dst", F.lit("direct").alias("kind")))
 
 
-def _neighbourhood_sql(hops: int, where: str = " WHERE s_suppkey % 20 = 1") -> str:
+def _neighbourhood_sql(hops: int) -> str:
     steps = "".join(f", h{d} AS (SELECT DISTINCT b AS node FROM h{d - 1} JOIN lim ON a = node)" for d in range(1, hops + 1))
     union = " UNION ALL ".join(f"SELECT node, {d} AS distance FROM h{d}" for d in range(hops + 1))
-    return f"WITH {CODE}, {BOTH}, lim AS (SELECT a, b FROM both_ QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 12), h0 AS (SELECT 's' || s_suppkey AS node FROM supplier{where}){steps} SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM ({union}) GROUP BY node"
+    return f"WITH {CODE}, {BOTH}, lim AS (SELECT a, b FROM both_ QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 12), h0 AS (SELECT 's' || s_suppkey AS node FROM supplier){steps} SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM ({union}) GROUP BY node"
 
 
-def _neighbourhood(t: Tables, hops: int, where: str = "s_suppkey % 20 = 1") -> DataFrame:
-    """The walk starts from the suppliers that meet `where`: every twentieth, or all."""
-    seeds = t.supplier.where(where).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+def _neighbourhood(t: Tables, hops: int) -> DataFrame:
+    """The walk starts from all suppliers."""
+    seeds = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
     return G.neighbourhood(seeds, G.undirected(code_edges(t)), hops, 12)
 
 
@@ -72,9 +72,7 @@ def neighborhood_1hop(t: Tables) -> DataFrame:
     return _neighbourhood(t, 1)
 
 
-@query(_neighbourhood_sql(1, ""))
-def neighborhood_1hop_all(t: Tables) -> DataFrame:
-    return _neighbourhood(t, 1, "true")
+alias("neighborhood_1hop_all", "neighborhood_1hop")
 
 
 @query(_neighbourhood_sql(2))
@@ -82,9 +80,7 @@ def neighborhood_2hop(t: Tables) -> DataFrame:
     return _neighbourhood(t, 2)
 
 
-@query(_neighbourhood_sql(2, ""))
-def neighborhood_2hop_all(t: Tables) -> DataFrame:
-    return _neighbourhood(t, 2, "true")
+alias("neighborhood_2hop_all", "neighborhood_2hop")
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders QUALIFY nth <= 201)
@@ -112,22 +108,33 @@ def entity_resolution_exact(t: Tables) -> DataFrame:
     return G.canonical(rows, I.entity_id(F.lit("parts"), F.col("p_type"), F.col("name"))).withColumn("spellings", F.array_join("spellings", "|"))
 
 
-@query(r"""WITH m AS (SELECT p_partkey AS mention_id, p_type AS label, lower(p_name) AS f, lower(regexp_replace(p_name, '[\s_\-]+', '', 'g')) AS q FROM part WHERE p_partkey % 2 = 0),
-e AS (SELECT p_partkey AS entity_id, p_type AS label, lower(p_name) AS f, lower(regexp_replace(p_name, '[\s_\-]+', '', 'g')) AS q FROM part WHERE p_partkey % 2 = 1),
-a AS (SELECT label, f, min(entity_id) AS e1, count(*) AS n1 FROM e GROUP BY ALL), b AS (SELECT f, min(entity_id) AS e2, count(*) AS n2 FROM e GROUP BY ALL), c AS (SELECT q, min(entity_id) AS e3, count(*) AS n3 FROM e GROUP BY ALL)
-SELECT mention_id, CASE WHEN n1 >= 1 THEN (CASE WHEN n1 = 1 THEN e1 END) WHEN n2 >= 1 THEN (CASE WHEN n2 = 1 THEN e2 END) WHEN n3 = 1 THEN e3 END AS entity_id, CASE WHEN n1 >= 1 THEN 1 WHEN n2 >= 1 THEN 2 WHEN n3 >= 1 THEN 3 ELSE 0 END AS tier, CASE WHEN n1 >= 1 THEN n1 > 1 WHEN n2 >= 1 THEN n2 > 1 WHEN n3 >= 1 THEN n3 > 1 ELSE false END AS ambiguous
-FROM m LEFT JOIN a USING (label, f) LEFT JOIN b USING (f) LEFT JOIN c USING (q)""")
+@query(r"""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 7 = 1 THEN 'Module' ELSE p_type END AS label, CASE WHEN p_partkey % 3 = 0 THEN upper(replace(p_name, ' ', '-')) ELSE p_name END AS name, CASE WHEN p_size % 5 = 0 THEN p_name || ' ' || p_brand ELSE 'x' || p_partkey END AS other FROM part),
+m AS (SELECT id AS mention_id, lower(coalesce(label, 'Component')) AS want, lower(CASE WHEN id % 4 = 0 THEN other ELSE name END) AS n FROM p WHERE id % 2 = 0),
+e AS (SELECT id AS entity_id, lower(coalesce(label, '')) AS label, lower(name) AS name, lower(other) AS other FROM p WHERE id % 2 = 1),
+c AS (SELECT m.mention_id, e.entity_id, m.want = e.label AS same, m.want = e.label OR e.label = '' OR e.label IN ('component', 'entity', 'module', 'architecturecomponent') OR m.want IN ('component', 'entity', 'module', 'architecturecomponent') AS fits, m.n = e.name AS own, m.n = e.name OR m.n = e.other AS any_, regexp_replace(m.n, '[\s_\-]+', '', 'g') IN (regexp_replace(e.name, '[\s_\-]+', '', 'g'), regexp_replace(e.other, '[\s_\-]+', '', 'g')) AS bare FROM m JOIN e ON regexp_replace(m.n, '[\s_\-]+', '', 'g') IN (regexp_replace(e.name, '[\s_\-]+', '', 'g'), regexp_replace(e.other, '[\s_\-]+', '', 'g'))),
+t AS (SELECT *, CASE WHEN same AND own THEN 1 WHEN same AND any_ THEN 2 WHEN fits AND any_ THEN 3 WHEN fits AND bare THEN 4 END AS tier FROM c),
+f AS (SELECT mention_id, min(tier) AS tier FROM t GROUP BY 1),
+g AS (SELECT f.mention_id, f.tier, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM f JOIN t ON t.mention_id = f.mention_id AND t.tier <= f.tier GROUP BY ALL)
+SELECT m.mention_id, CASE WHEN g.n = 1 THEN g.e END AS entity_id, coalesce(g.tier, 0) AS tier, coalesce(g.n, 0) > 1 AS ambiguous FROM m LEFT JOIN g ON g.mention_id = m.mention_id""")
 def entity_resolution_tiered(t: Tables) -> DataFrame:
-    """Even parts are mentions, odd parts are the known entities: both halves of the whole table."""
-    rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label"), F.col("p_name").alias("name"))
-    mentions = rows.where("id % 2 = 0").withColumnRenamed("id", "mention_id")
-    return G.resolve_tiered(mentions, rows.where("id % 2 = 1").withColumnRenamed("id", "entity_id"), I.folded, I.squeezed)
-
-
-@query("""SELECT 'part' AS kind, p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem) UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+    """Even parts are mentions, odd parts are the known entities: both halves of the whole table. Labels are
+    missing or generic for some, names differ in case and hyphens, and every entity has an alias."""
+    label = F.when(F.col("p_size") % 7 == 0, None).when(F.col("p_size") % 7 == 1, "Module").otherwise(F.col("p_type"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("-")))).otherwise(F.col("p_name"))
+    other = F.when(F.col("p_size") % 5 == 0, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.concat(F.lit("x"), F.col("p_partkey")))
+    rows = t.part.select(F.col("p_partkey").alias("id"), label.alias("label"), name.alias("name"), other.alias("other"))
+    mentions = rows.where("id % 2 = 0").select(F.col("id").alias("mention_id"), "label", F.when(F.col("id") % 4 == 0, F.col("other")).otherwise(F.col("name")).alias("name"))
+    entities = rows.where("id % 2 = 1").select(F.col("id").alias("entity_id"), "label", "name", F.array("other").alias("aliases"))
+    return G.resolve_tiered(mentions, entities, I.folded, I.squeezed)
+
+
+@query("""SELECT 'part' AS kind, p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25) UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.08) UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')""")
 def graph_orphans(t: Tables) -> DataFrame:
+    """Entities to which no edge of the kept kinds leads: returned lines and urgent orders are the edges."""
+    back = t.lineitem.where("l_returnflag = 'R'")
+    kinds = (("part", t.part, "p_partkey", back.where("l_quantity > 25"), "l_partkey"), ("supplier", t.supplier, "s_suppkey", back.where("l_quantity > 49 AND l_discount > 0.08"), "l_suppkey"), ("customer", t.customer, "c_custkey", t.orders.where(F.col("o_orderpriority").startswith("1")), "o_custkey"))
     out = None
-    for kind, rows, key, other, ref in (("part", t.part, "p_partkey", t.lineitem, "l_partkey"), ("supplier", t.supplier, "s_suppkey", t.lineitem, "l_suppkey"), ("customer", t.customer, "c_custkey", t.orders, "o_custkey")):
+    for kind, rows, key, other, ref in kinds:
         found = rows.join(other.select(F.col(ref).alias(key)), key, "left_anti").select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
         out = found if out is None else out.union(found)
     return out
@@ -138,21 +145,18 @@ def _pairs(t: Tables) -> DataFrame:
     return t.orders.where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1 + F.pmod("o_orderkey", F.lit(7))).alias("dst"))
 
 
-def _community_sql(where: str) -> str:
-    return f"""WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT o_custkey AS a, o_custkey + 1 + o_orderkey % 7 AS b FROM orders WHERE o_orderpriority LIKE '1%'{where} UNION ALL SELECT o_custkey + 1 + o_orderkey % 7, o_custkey FROM orders WHERE o_orderpriority LIKE '1%'{where})),
+COMMUNITIES = """WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT o_custkey AS a, o_custkey + 1 + o_orderkey % 7 AS b FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey + 1 + o_orderkey % 7, o_custkey FROM orders WHERE o_orderpriority LIKE '1%')),
 r(node, l) AS (SELECT a, a FROM e UNION SELECT e.b, r.l FROM r JOIN e ON r.node = e.a WHERE r.l < e.b), c AS (SELECT node, min(l) AS community FROM r GROUP BY node)
 SELECT node, community, 'comm_' || substr(sha256(string_agg(CAST(node AS VARCHAR), '|' ORDER BY CAST(node AS VARCHAR)) OVER (PARTITION BY community ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 1, 12) AS community_id FROM c"""
 
 
-@query(_community_sql(" AND o_custkey % 3 = 0"))
+@query(COMMUNITIES)
 def community_components(t: Tables) -> DataFrame:
-    """Only links from every third customer, as the SQL states; community_components_all takes all."""
-    return G.with_community_ids(G.communities(G.undirected(_pairs(t).where(F.pmod("src", F.lit(3)) == 0))))
+    """Communities of the customers and what their urgent orders link them to, with the digest of each."""
+    return G.with_community_ids(G.communities(G.undirected(_pairs(t))))
 
 
-@query(_community_sql(""))
-def community_components_all(t: Tables) -> DataFrame:
-    return G.with_community_ids(G.communities(G.undirected(_pairs(t))))
+alias("community_components_all", "community_components")
 
 
 @query("""WITH p AS (SELECT page_id, length(html) AS size, list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '') AS s FROM pages),
@@ -167,16 +171,16 @@ def manifest_rollup(t: Tables) -> DataFrame:
     return rows.groupBy("prefix").agg(F.count("*").alias("file_count"), F.sum("size").alias("total_size"))
 
 
-LANGS = "CASE lower(regexp_extract({0}, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.LANGUAGES.items()) + " END"
-
-
-@query(f"""WITH f AS (SELECT doc_id, 'src/' || source || CASE doc_id % 6 WHEN 0 THEN '/adr/x.md' WHEN 1 THEN '/main.py' WHEN 2 THEN '/openapi.json' WHEN 3 THEN '/a.proto' WHEN 4 THEN '/settings.toml' ELSE '/LICENSE' END AS path FROM documents)
-SELECT doc_id, path, {LANGS.format('path')} AS language, CASE WHEN regexp_matches(lower(path), '(^|/)(adr|decisions?)/') THEN 'adr' WHEN lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN ('md','rst','txt') THEN 'document' WHEN regexp_matches(lower(path), '(openapi|swagger)') THEN 'api' WHEN lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) = 'proto' THEN 'schema' WHEN lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN ('yaml','yml','toml','ini','env','json') THEN 'config' WHEN {LANGS.format('path')} IS NOT NULL THEN 'code' ELSE 'other' END AS kind,
-CASE WHEN regexp_matches(lower(path), 'api|route|endpoint') THEN 'API' WHEN regexp_matches(lower(path), 'schema|migration|model') THEN 'SCHEMA' WHEN regexp_matches(lower(path), 'repository|dao|query|store') THEN 'DATA_ACCESS' WHEN regexp_matches(lower(path), 'workflow|pipeline|job') THEN 'WORKFLOW' WHEN regexp_matches(lower(path), 'requirements|package|lock|depend') THEN 'DEPENDENCY' WHEN regexp_matches(lower(path), 'config|settings|env') THEN 'CONFIGURATION' WHEN regexp_matches(lower(path), 'component|service|module') THEN 'COMPONENT' ELSE 'OTHER' END AS delta_kind FROM f""")
+@query(r"""WITH f AS (SELECT doc_id, 'src/' || source || CASE doc_id % 12 WHEN 0 THEN '/adr/X.MD' WHEN 1 THEN '/main.py' WHEN 2 THEN '/openapi.json' WHEN 3 THEN '/a.proto' WHEN 4 THEN '/settings.toml' WHEN 5 THEN '/LICENSE' WHEN 6 THEN '/.env' WHEN 7 THEN '/logo.png' WHEN 8 THEN '/yarn.lock' WHEN 9 THEN '/x.hpp' WHEN 10 THEN '/Swagger.ts' ELSE '/a.env.example' END AS path FROM documents),
+n AS (SELECT *, lower(regexp_extract(path, '([^/]*)$', 1)) AS name, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+\.([^.]+)$', 1)) AS s FROM f),
+p AS (SELECT *, CASE WHEN s IN ('png','jpg','jpeg','gif','svg','ico','webp','zip','tar','gz','7z','rar','pdf','exe','dll','so','dylib','pyc','pyo','pyd','lock','map') OR name IN ('package-lock.json','uv.lock','poetry.lock','yarn.lock') THEN 1 WHEN s IN ('md','markdown','mdown') THEN 2 WHEN s = 'proto' THEN 3 WHEN contains(name, 'openapi') OR contains(name, 'swagger') THEN 4 WHEN s IN ('py','ts','tsx','js','jsx','go','java','rs','c','cpp','h','hpp','cs','rb') THEN 5 WHEN s IN ('yaml','yml','json','toml','ini','conf') THEN 6 ELSE 7 END AS k FROM n)
+SELECT doc_id, path, CASE k WHEN 1 THEN 'EXCLUDE' WHEN 7 THEN 'LOW_PRIORITY' ELSE 'INCLUDE' END AS action, CASE k WHEN 1 THEN 'FALLBACK' WHEN 2 THEN 'MARKDOWN_SECTION' WHEN 3 THEN 'PROTO_MESSAGE' WHEN 4 THEN 'OPENAPI_OPERATION' WHEN 5 THEN 'SYMBOL' WHEN 6 THEN 'CONFIG_SECTION' ELSE 'WHOLE_FILE' END AS strategy, CASE k WHEN 2 THEN 'markdown' WHEN 3 THEN 'proto' WHEN 4 THEN s WHEN 6 THEN s WHEN 5 THEN CASE s WHEN 'py' THEN 'python' WHEN 'hpp' THEN 'cpp' ELSE s END END AS language FROM p""")
 def file_classify(t: Tables) -> DataFrame:
-    ends = F.array(*[F.lit(x) for x in ("/adr/x.md", "/main.py", "/openapi.json", "/a.proto", "/settings.toml", "/LICENSE")])
-    rows = t.documents.select("doc_id", F.concat(F.lit("src/"), "source", F.element_at(ends, (F.col("doc_id") % 6 + 1).cast("int"))).alias("path"))
-    return rows.select("doc_id", "path", C.language(F.col("path")).alias("language"), C.file_kind(F.col("path")).alias("kind"), C.delta_kind(F.col("path")).alias("delta_kind"))
+    """What a plan does with a file; one strategy in three takes the file whole."""
+    ends = F.array(*[F.lit(x) for x in ("/adr/X.MD", "/main.py", "/openapi.json", "/a.proto", "/settings.toml", "/LICENSE", "/.env", "/logo.png", "/yarn.lock", "/x.hpp", "/Swagger.ts", "/a.env.example")])
+    rows = t.documents.select("doc_id", F.concat(F.lit("src/"), "source", F.element_at(ends, (F.col("doc_id") % 12 + 1).cast("int"))).alias("path"))
+    plan = C.file_plan(F.col("path"))
+    return rows.select("doc_id", "path", plan.alias("p")).select("doc_id", "path", "p.*")
 
 
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'MISSING' WHEN d.doc_id IS NULL THEN 'UNKNOWN' WHEN n > 1 THEN 'DUPLICATE' ELSE 'COVERED' END AS state FROM documents d FULL JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id""")

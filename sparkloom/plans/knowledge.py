@@ -29,9 +29,9 @@ def identity_keys(t: Tables) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT p_brand, 'type' AS name, p_type AS value, p_partkey FROM part UNION ALL SELECT p_brand, 'size', CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE ' ' END, p_partkey FROM part UNION ALL SELECT p_brand, 'title', CASE WHEN p_name LIKE 's%' THEN p_name END, p_partkey FROM part)
-SELECT p_brand, name, arg_min(value, p_partkey) AS value FROM p WHERE trim(value) <> '' GROUP BY ALL""")
+SELECT p_brand, name, arg_min(value, p_partkey) AS value FROM p WHERE value <> '' GROUP BY ALL""")
 def property_merge(t: Tables) -> DataFrame:
-    """Properties of brands over their parts: the first that is not blank wins, key by key."""
+    """Properties of brands over their parts: the first that is not empty wins, key by key."""
     fields = {"type": F.col("p_type"), "size": F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).otherwise(" "), "title": F.when(F.col("p_name").startswith("s"), F.col("p_name"))}
     props = t.part.select("p_brand", "p_partkey", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in fields.items()])))
     return R.first_non_empty(props, "p_brand", "name", "value", "p_partkey")
@@ -102,11 +102,15 @@ def relationship_candidates(t: Tables) -> DataFrame:
     return R.both_resolved(found, entities).select("src_key", "dst_key", "src", "dst")
 
 
-@query("""SELECT user_id, event_type AS channel, CASE WHEN bool_or(value > 400) THEN 'UNAVAILABLE' WHEN bool_or(value > 200) THEN 'TRUNCATED' WHEN count(*) FILTER (value > 20) = 0 THEN 'EMPTY' ELSE 'READY' END AS state, count(*) AS n FROM events GROUP BY ALL""")
+@query(f"""WITH g AS (SELECT user_id, event_type AS channel, bool_or(value > 110) AS skipped, count(DISTINCT {K}) FILTER (value > 30) AS hits, coalesce(array_to_string(list_sort(list(DISTINCT 'GAP_' || ({K} % 3)) FILTER (value > 60)), ', '), '') AS detail, bool_or(value BETWEEN 50 AND 52) AS omitted FROM events GROUP BY ALL),
+r AS (SELECT *, CASE WHEN skipped THEN 'SKIPPED' WHEN hits > 0 THEN 'READY' ELSE 'EMPTY' END AS raw FROM g), m AS (SELECT *, CASE WHEN detail <> '' AND raw IN ('READY', 'EMPTY') THEN CASE WHEN hits > 0 THEN 'TRUNCATED' ELSE 'UNAVAILABLE' END ELSE raw END AS mid FROM r)
+SELECT user_id, channel, CASE WHEN mid IN ('READY', 'EMPTY') AND omitted THEN 'TRUNCATED' ELSE mid END AS state, hits AS distinct_candidates, detail FROM m""")
 def channel_status(t: Tables) -> DataFrame:
-    """State of each channel of a query, from the gaps its rows name; the first match decides."""
-    found = t.events.groupBy("user_id", F.col("event_type").alias("channel")).agg(F.bool_or(F.col("value") > 400).alias("off"), F.bool_or(F.col("value") > 200).alias("cut"), F.count_if(F.col("value") > 20).alias("hits"), F.count("*").alias("n"))
-    return found.select("user_id", "channel", C.first_match([(F.col("off"), "UNAVAILABLE"), (F.col("cut"), "TRUNCATED"), (F.col("hits") == 0, "EMPTY")], "READY").alias("state"), "n")
+    """State of each channel of a query: gaps cut what was found or make it unavailable, left out queries cut it."""
+    gaps = F.array_join(F.array_sort(F.collect_set(F.when(F.col("value") > 60, F.concat(F.lit("GAP_"), _k() % 3)))), ", ")
+    found = t.events.groupBy("user_id", F.col("event_type").alias("channel")).agg(F.bool_or(F.col("value") > 110).alias("skipped"), F.countDistinct(F.when(F.col("value") > 30, _k())).alias("distinct_candidates"), gaps.alias("detail"), F.bool_or(F.col("value").between(50, 52)).alias("omitted"))
+    raw = F.when(F.col("skipped"), "SKIPPED").when(F.col("distinct_candidates") > 0, "READY").otherwise("EMPTY")
+    return found.select("user_id", "channel", C.channel_state(raw, F.col("detail") != "", F.col("distinct_candidates"), F.col("omitted")).alias("state"), "distinct_candidates", "detail")
 
 
 @query("""WITH r AS (SELECT source, d.doc_id, l.doc_id IS NOT NULL AS linked, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, d.doc_id) AS p FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)), f AS (SELECT *, min(p) FILTER (NOT linked) OVER (PARTITION BY source) AS f FROM r)
@@ -125,11 +129,13 @@ def query_merge(t: Tables) -> DataFrame:
     return rows.withColumn("seeds", F.array_join("seeds", ","))
 
 
-@query("""WITH r AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 3 ELSE 2 END AS r FROM events WHERE event_type <> 'error'), m AS (SELECT user_id, max(r) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS m FROM r)
-SELECT user_id, max(m) AS intent, CAST(count(DISTINCT m) AS INTEGER) AS version FROM m GROUP BY user_id""")
+@query(f"""WITH r AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 3 ELSE 2 END AS r, {K} % 2 AS identity FROM events WHERE event_type <> 'error'), m AS (SELECT user_id, max(r) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS m FROM r),
+c AS (SELECT user_id, identity IS DISTINCT FROM lag(identity) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS new FROM r WHERE r = 3), f AS (SELECT user_id, count(*) FILTER (new) AS finals FROM c GROUP BY 1)
+SELECT user_id, max(m) AS intent, CAST(count(DISTINCT m) FILTER (m < 3) + coalesce(max(finals), 0) AS INTEGER) AS version FROM m LEFT JOIN f USING (user_id) GROUP BY user_id""")
 def publication_intent(t: Tables) -> DataFrame:
+    """What is to be published of each job; a new final evaluation raises the version as well."""
     rank = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") != "error", 2)
-    return R.intents(t.events, "user_id", rank, F.struct("ts", "event_id"))
+    return R.intents(t.events, "user_id", rank, _k() % 2, F.struct("ts", "event_id"))
 
 
 @query(f"""WITH e AS (SELECT user_id, {K} AS k, event_type, value, ts, event_id FROM events)
@@ -191,20 +197,34 @@ def expired_purge(t: Tables) -> DataFrame:
     return t.orders.join(F.broadcast(gone), "o_orderkey", "left_anti").groupBy("o_orderstatus").agg(F.count("*").alias("kept"), F.min("o_orderdate").alias("oldest"))
 
 
-@query("""WITH f AS (SELECT l_orderkey, bool_or(l_returnflag = 'R' AND l_quantity > 45) AS confirmed, bool_or(l_linestatus = 'O' AND l_quantity > 48) AS partial FROM lineitem GROUP BY 1)
-SELECT o_orderkey, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'ACTION_REQUIRED' WHEN confirmed THEN 'FAILURE' WHEN partial THEN 'NEUTRAL' ELSE 'SUCCESS' END AS conclusion FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""")
+@query("""WITH f AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 48) AS conflicts, count(*) FILTER (l_linestatus = 'O' AND l_quantity > 46) AS open_ FROM lineitem GROUP BY 1),
+b AS (SELECT o_orderkey, CASE o_orderpriority[1] WHEN '1' THEN 'NOT_EVALUATED' WHEN '2' THEN 'REVIEW_REQUIRED' WHEN '3' THEN NULL ELSE 'NO_CONFLICTS_FOUND' END AS outcome, coalesce(conflicts, 0) AS conflicts, o_orderstatus <> 'F' OR coalesce(open_, 0) > 0 AS gaps FROM orders LEFT JOIN f ON l_orderkey = o_orderkey)
+SELECT o_orderkey, CASE WHEN outcome IS NULL OR outcome = 'NOT_EVALUATED' THEN 'action_required' WHEN conflicts > 0 THEN 'failure' WHEN gaps OR outcome <> 'NO_CONFLICTS_FOUND' THEN 'neutral' ELSE 'success' END AS conclusion FROM b""")
 def check_conclusion(t: Tables) -> DataFrame:
     lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linestatus", "l_quantity")
-    rows = R.associated(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", (lines, {"confirmed": F.expr("bool_or(l_returnflag = 'R' AND l_quantity > 45)"), "partial": F.expr("bool_or(l_linestatus = 'O' AND l_quantity > 48)")}))
-    return rows.select("o_orderkey", C.check_conclusion(~F.col("o_orderstatus").isin("F", "O"), F.col("confirmed"), F.col("partial")).alias("conclusion"))
-
-
-@query("""WITH o AS (SELECT o_custkey, bool_or(o_orderstatus NOT IN ('F', 'O')) AS failed, bool_or(o_orderstatus = 'O' AND o_totalprice > 400000) AS busy, bool_or(o_orderstatus = 'F') AS indexed FROM orders GROUP BY 1)
-SELECT c_custkey, CASE WHEN c_acctbal < -500 THEN 'DELETING' WHEN failed THEN 'FAILED' WHEN busy THEN 'INDEXING' WHEN indexed THEN 'READY' ELSE 'NOT_INDEXED' END AS state FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+    rows = R.associated(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey", (lines, {"conflicts": F.expr("count_if(l_returnflag = 'R' AND l_quantity > 48)"), "open": F.expr("count_if(l_linestatus = 'O' AND l_quantity > 46)")}))
+    rank = F.substring("o_orderpriority", 1, 1)
+    outcome = F.when(rank == "1", "NOT_EVALUATED").when(rank == "2", "REVIEW_REQUIRED").when(rank != "3", "NO_CONFLICTS_FOUND")
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return rows.select("o_orderkey", C.check_conclusion(outcome, zero("conflicts"), (F.col("o_orderstatus") != "F") | (zero("open") > 0)).alias("conclusion"))
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS n, arg_max(o_orderpriority[1], o_orderkey) AS last FROM orders GROUP BY 1),
+b AS (SELECT c_custkey, coalesce(n, 0) > 8 AS tracked, CASE last WHEN '1' THEN 'COMPLETED' WHEN '2' THEN 'INDEXING' WHEN '3' THEN 'FAILED' WHEN '4' THEN 'IDLE' WHEN '5' THEN 'NOT_INDEXED' ELSE 'ARCHIVED' END AS status, CASE c_mktsegment WHEN 'BUILDING' THEN 'owned_by_another_user' WHEN 'MACHINERY' THEN 'github_admin_required' WHEN 'HOUSEHOLD' THEN NULL ELSE 'allowed' END AS reason, CASE WHEN c_acctbal > 0 THEN true END AS admin FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+k AS (SELECT *, CASE status WHEN 'COMPLETED' THEN 'ready' WHEN 'INDEXING' THEN 'indexing' WHEN 'FAILED' THEN 'failed' WHEN 'IDLE' THEN 'available' WHEN 'NOT_INDEXED' THEN 'available' ELSE 'unknown' END AS known FROM b)
+SELECT c_custkey, CASE WHEN tracked AND status IN ('COMPLETED', 'INDEXING', 'FAILED') THEN known WHEN reason = 'owned_by_another_user' OR (reason = 'github_admin_required' AND status IN ('IDLE', 'NOT_INDEXED', 'FAILED')) THEN 'restricted' WHEN NOT tracked THEN CASE WHEN status = 'NOT_INDEXED' THEN 'available' ELSE 'unknown' END ELSE known END AS state,
+CASE WHEN admin AND reason = 'allowed' AND status IN ('IDLE', 'NOT_INDEXED') THEN 'enable' WHEN admin AND reason = 'allowed' AND tracked AND status = 'FAILED' THEN 'retry' END AS action FROM k""")
 def repository_state(t: Tables) -> DataFrame:
+    """State and offered action of each listed repository, here of a customer by the last order."""
     runs = t.orders.withColumnRenamed("o_custkey", "c_custkey")
-    rows = R.associated(t.customer.select("c_custkey", "c_acctbal"), "c_custkey", (runs, {"failed": F.expr("bool_or(o_orderstatus NOT IN ('F', 'O'))"), "busy": F.expr("bool_or(o_orderstatus = 'O' AND o_totalprice > 400000)"), "indexed": F.expr("bool_or(o_orderstatus = 'F')")}))
-    return rows.select("c_custkey", C.repository_state(F.col("c_acctbal") < -500, F.col("failed"), F.col("busy"), F.col("indexed")).alias("state"))
+    rows = R.associated(t.customer.select("c_custkey", "c_acctbal", "c_mktsegment"), "c_custkey", (runs, {"n": F.count("*"), "last": F.max_by(F.substring("o_orderpriority", 1, 1), "o_orderkey")}))
+    states = F.create_map(*[F.lit(x) for kv in {"1": "COMPLETED", "2": "INDEXING", "3": "FAILED", "4": "IDLE", "5": "NOT_INDEXED"}.items() for x in kv])
+    seg = F.col("c_mktsegment")
+    reason = F.when(seg == "BUILDING", "owned_by_another_user").when(seg == "MACHINERY", "github_admin_required").when(seg != "HOUSEHOLD", "allowed")
+    rows = rows.select("c_custkey", (F.coalesce("n", F.lit(0)) > 8).alias("tracked"), F.coalesce(F.try_element_at(states, F.col("last")), F.lit("ARCHIVED")).alias("status"), reason.alias("reason"), F.when(F.col("c_acctbal") > 0, True).alias("admin"))
+    c = F.col
+    can = C.monitoring(c("reason"), c("status"))
+    return rows.select("c_custkey", C.repository_state(c("tracked"), c("status"), c("reason")).alias("state"), C.repository_action(c("tracked"), c("status"), c("reason"), c("admin"), can).alias("action"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, min(l_linestatus) AS low, max(l_linestatus) AS high FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN low IS NULL THEN 'MISSING' WHEN low <> high THEN 'MIXED' ELSE 'MISMATCH' END AS repair FROM orders LEFT JOIN p ON l_orderkey = o_orderkey WHERE low IS NULL OR low <> high OR low <> o_orderstatus""")

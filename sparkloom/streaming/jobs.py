@@ -13,24 +13,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sparkloom.operators import ledger as L
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-OUT = "user_id long, version long, epoch long, attempts long, last_type string, last_id long"
-STATE = "version long, epoch long, attempts long, last_type string, last_id long"
+OUT = "user_id long, version long, epoch long, attempts long, last_type string, seen array<long>"
+STATE = "version long, epoch long, attempts long, last_type string, at long, last long, seen array<long>"
+#: Event ids of the last so many days are remembered, so that a delivery that comes again is told.
+REMEMBER = 60
 
 
 def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A job's state after the events of a micro-batch; an enqueueing starts it afresh. Events of a job
-    come in order from batch to batch, and are put in order within one."""
-    version, epoch, attempts, last_type, last_id = state.get if state.exists else (0, 0, 0, None, -1)
+    """A job's state after the events of a micro-batch; an enqueueing starts it afresh. An event counts once,
+    by its id, whatever the order of ids; the clock is (ts, event_id), and an event older than the clock no
+    longer changes what was last."""
+    version, epoch, attempts, last_type, at, last, seen = state.get if state.exists else (0, 0, 0, None, -1, -1, [])
+    known = dict(zip(seen[::2], seen[1::2], strict=True))
     rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-    for kind, i in zip(rows["event_type"], rows["event_id"], strict=True):
-        if i <= last_id and version:  # delivered again
+    for kind, i, ts in zip(rows["event_type"], rows["event_id"], rows["ts"].astype("datetime64[us]").astype("int64"), strict=True):
+        if i in known:  # delivered again
             continue
+        known[int(i)] = int(ts)
         if kind == L.ENQUEUE:
             epoch, attempts = epoch + 1, 0
         attempts += kind == L.CLAIM
-        version, last_type, last_id = version + 1, kind, int(i)
-    state.update((version, epoch, attempts, last_type, last_id))
-    yield pd.DataFrame([(key[0], version, epoch, attempts, last_type, last_id)], columns=["user_id", "version", "epoch", "attempts", "last_type", "last_id"])
+        version += 1
+        if (ts, i) > (at, last):
+            at, last, last_type = int(ts), int(i), kind
+    oldest = at - REMEMBER * 86_400_000_000
+    seen = [x for pair in known.items() if pair[1] >= oldest for x in pair]
+    state.update((version, epoch, attempts, last_type, at, last, seen))
+    yield pd.DataFrame([(key[0], version, epoch, attempts, last_type, seen[::2])], columns=["user_id", "version", "epoch", "attempts", "last_type", "seen"])
 
 
 def job_state(spark: SparkSession, path: str, shared: str) -> DataFrame:

@@ -8,6 +8,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 from sparkloom import plans
+from sparkloom.functions import classify as C
+from sparkloom.functions import identity as I
+from sparkloom.functions import text as X
 from sparkloom.operators import folds, ledger, passages
 from sparkloom.operators import graph as G
 from sparkloom.sources import tables
@@ -23,46 +26,65 @@ def sized(spark):
     return rows, spark.createDataFrame(rows, "source string, doc_id long, tokens int").repartition(5)
 
 
-def grouped(rows):
+def keyed(rows):
     out = {}
     for key, i, n in sorted(rows, key=lambda r: r[1]):
-        out.setdefault((key, i // folds.BLOCK), []).append((i, n))
+        out.setdefault(key, []).append((i, n))
     return out
 
 
-def test_batches(sized):
-    rows, df = sized
-    want = {}
-    for items in grouped(rows).values():
-        batch = n = held = 0
-        for i, size in items:
-            if n and (n >= 4 or held + size > 100):
-                batch, n, held = batch + 1, 0, 0
-            n, held = n + 1, held + size
-            want[i] = batch
-    assert {r.doc_id: r.batch for r in folds.batches(df, "source", "doc_id", "tokens", 4, 100).collect()} == want
+def greedy(items, most_rows, most_size):
+    batch = n = held = 0
+    for i, size in items:
+        if n and (n >= most_rows or held + size > most_size):
+            batch, n, held = batch + 1, 0, 0
+        n, held = n + 1, held + size
+        yield i, batch
 
 
-def test_admitted_bytes_passes_over_what_does_not_fit(sized):
+@pytest.mark.parametrize("bounds", [(4, 100), (1, 10), (32, 3000), (7, 0)])
+def test_batches_run_over_the_whole_key(sized, bounds):
     rows, df = sized
-    want = {}
-    for items in grouped(rows).values():
-        used = 0
-        for i, size in items:
-            want[i] = used + size <= 300
-            used += size if want[i] else 0
-    assert {r.doc_id: r.admitted for r in folds.admitted_bytes(df, "source", "doc_id", "tokens", 300).collect()} == want
+    want = {i: b for items in keyed(rows).values() for i, b in greedy(items, *bounds)}
+    got = folds.batches(df, "source", "doc_id", "tokens", *bounds).collect()
+    assert {r.doc_id: r.batch for r in got} == want and len(got) == len(rows)
 
 
-def test_packets_respect_their_bounds(sized):
-    rows, df = sized
-    size = {i: n for _, i, n in rows}
-    bins = {}
-    for r in folds.packets(df, "source", "doc_id", "tokens", 100, 6, 3).collect():
-        bins.setdefault((r.source, r.block, r.packet), []).append(size[r.doc_id])
-    assert sum(map(len, bins.values())) == len(rows)
-    assert all(len(b) <= 6 and (sum(b) <= 100 or max(b) > 100) for b in bins.values())
-    assert folds.first_fit([60, 50, 40, 200, 50], 100, 6, 3) == [0, 1, 0, 2, 1]
+def test_batches_of_nothing_and_of_odd_rows(spark):
+    kind = "source string, doc_id long, tokens int"
+    assert folds.batches(spark.createDataFrame([], kind), "source", "doc_id", "tokens", 4, 100).count() == 0
+    odd = spark.createDataFrame([(None, 1, None), (None, 2, 500), (None, 3, 1), ("", 4, 1)], kind)
+    assert {(r.source, r.doc_id): r.batch for r in folds.batches(odd, "source", "doc_id", "tokens", 4, 100).collect()} == {(None, 1): 0, (None, 2): 1, (None, 3): 2, ("", 4): 0}
+
+
+def test_packets_equal_a_plain_fold(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("pq"), rng.choice("abcde"), i, rng.choice((1, 20, 45, 60, 99, 130))) for i in range(700)]
+    want = {}
+    for plan in "pq":
+        units = sorted((r for r in rows if r[0] == plan), key=lambda r: (r[1], r[2]))
+        fit = [r for r in units if r[3] <= 100]
+        groups = {}
+        for r, (_, b) in zip(fit, greedy([(r[2], r[3]) for r in fit], 6, 100), strict=True):
+            groups.setdefault(b, []).append(r)
+        open_, held, into = {}, {}, {}
+        for b, members in groups.items():
+            n, cost, subjects = len(members), sum(r[3] for r in members), {r[1] for r in members}
+            mine = open_.setdefault(members[0][1], []) if len(subjects) == 1 else []
+            found = next((j for j in mine if held[j][0] + n <= 6 and held[j][1] + cost <= 100), None)
+            if found is None:
+                held[b] = [n, cost]
+                if len(subjects) == 1 and n < 6 and len(mine) < 8:
+                    mine.append(b)
+            else:
+                held[found] = [held[found][0] + n, held[found][1] + cost]
+                if held[found][0] >= 6:
+                    mine.remove(found)
+            into[b] = b if found is None else found
+        want |= {r[2]: into[b] for b, members in groups.items() for r in members}
+    df = spark.createDataFrame(rows, "plan string, subject string, seq long, size int").repartition(3)
+    got = {r.seq: r.packet for r in folds.packets(df, "plan", "subject", "seq", "size", 100, 6).collect()}
+    assert got == {r[2]: want.get(r[2]) for r in rows}
 
 
 def test_quotas(spark):
@@ -191,3 +213,29 @@ def test_byte_budget_is_one_for_a_source(spark):
     for most in (65_536, 7):
         assert {r.doc_id: r.admitted for r in folds.admitted_in_all(df, "source", "doc_id", "size", 20_000, most).collect()} == want
     assert "block" not in plans.queries()["byte_budget"](spark, SMALL).columns  # no budget of a block
+
+
+def test_a_later_event_with_a_smaller_id_counts(spark, tmp_path):
+    rows = [(9, "2024-01-01 00:00:01", 1, "signup"), (3, "2024-01-01 00:00:02", 1, "click"), (3, "2024-01-01 00:00:02", 1, "click"), (5, "2024-01-01 00:00:00", 2, "click")]
+    later = [(2, "2024-01-02 00:00:00", 1, "click"), (9, "2024-01-01 00:00:01", 1, "signup"), (7, "2024-01-02 00:00:00", 2, "signup")]
+    for name, part in (("a", rows), ("b", later)):
+        df = spark.createDataFrame(part, "event_id long, ts string, user_id long, event_type string")
+        df.selectExpr("event_id", "cast(ts as timestamp_ntz) AS ts", "user_id", "event_type", "1.0D AS value", "'{}' AS props").coalesce(1).write.parquet(f"file://{tmp_path}/{name}")
+    got = {r.user_id: (r.epoch, r.attempts, r.last_type) for r in jobs.job_state(spark, f"file://{tmp_path}/[ab]/*.parquet", f"file://{tmp_path}/s").collect()}
+    assert got == {1: (1, 2, "click"), 2: (1, 0, "signup")}
+
+
+def test_folding_is_full(spark):
+    words = ["Straße", "ΣΊΣΥΦΟΣ", "ſ", "ﬁ", "İ", "Ǆ", "ΰ", "ᾳ", "K", "µ", "plain", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r.f for r in df.select(I.folded(F.col("w")).alias("f")).collect()] == [w.casefold() for w in words]
+
+
+def test_classifications_by_hand(spark):
+    rows = [("x.py", "", "@app.get('/a')", "API"), ("x.py", "Column(1)", "", "SCHEMA"), ("x.py", "db.query (1)", "", "DATA_ACCESS"), ("x.py", "g.add_edge(a)", "", "WORKFLOW"), ("a/go.mod", "", "", "DEPENDENCY"), ("x.py", "a", " import os", "DEPENDENCY"), ("x.yml", "", "", "CONFIGURATION"), ("x.py", "os.environ", "", "CONFIGURATION"), ("x.py", "", "async def f():", "COMPONENT"), ("x.py", None, "y = 1", "OTHER")]
+    df = spark.createDataFrame(rows, "path string, old string, new string, want string")
+    assert all(r.k == r.want for r in df.select("want", C.delta_kind(F.col("path"), F.col("old"), F.col("new")).alias("k")).collect())
+    routed = df.select(C.delta_kind(F.col("path"), F.col("old"), F.col("new"), F.lit(True)).alias("k")).distinct().collect()
+    assert [r.k for r in routed] == ["API"]
+    quotes = spark.createDataFrame([("""a 'b' "c" 'd" "" 'b' x'y'""",)], "t string").select(X.quoted_literals(F.col("t"))).first()[0]
+    assert quotes == ["b", "c", " ", "y"]
