@@ -173,3 +173,9 @@ def channel_state(raw: Column, gaps: Column, found: Column, omitted: Column) ->
     nothing was; a query that was left out cuts a channel that is otherwise whole."""
     whole = raw.isin("READY", "EMPTY")
     return first_match([(whole & gaps & (found > 0), "TRUNCATED"), (whole & gaps, "UNAVAILABLE"), (whole & omitted, "TRUNCATED")], raw)
+
+
+def path_actions(status: Column, old: Column, new: Column) -> Column:
+    """(path, action) rows of a changed path by its letter: a renamed one is deleted and added."""
+    row = lambda path, action: F.struct(path.alias("path"), F.lit(action).alias("action"))
+    return first_match([(status == "R", F.array(row(old, "DELETE"), row(new, "ADD"))), (status == "D", F.array(row(old, "DELETE"))), (status == "A", F.array(row(new, "ADD")))], F.array(row(new, "MODIFY")))

@@ -6,6 +6,9 @@ large share of all events is summed up before it is shuffled. What depends on th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +92,29 @@ def grants_sync(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Every key of either snapshot with GRANTED, REVOKED or ADDED."""
     both = old.select(key, F.lit(1).alias("o")).join(new.select(key, F.lit(1).alias("n")).distinct(), key, "full")
     return both.select(key, F.when(F.col("n").isNull(), "REVOKED").when(F.col("o").isNull(), "ADDED").otherwise("GRANTED").alias("state"))
+
+
+def lock_holders(asked: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(key, event_id, got): requests for a lock in order of (ts, event_id); one gets it if it is free, and then
+    holds it for `seconds`. Requests of a key are read in order, with only the end of the lock held."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, until = None, None
+        for part in parts:
+            got = []
+            for k, ts in zip(part[key], part["ts"], strict=True):
+                if k != at:
+                    at, until = k, None
+                got.append(until is None or ts >= until)
+                if got[-1]:
+                    until = ts + pd.Timedelta(seconds=seconds)
+            yield pd.DataFrame({key: part[key], "event_id": part["event_id"], "got": got})
+
+    return asked.select(key, "ts", "event_id").repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, f"{key} long, event_id long, got boolean")
+
+
+def fenced(runs: DataFrame, key: str, token: str, order: list[str]) -> DataFrame:
+    """(key, armed, refused, fence): a run arms the fence of its key if its token is above every one before."""
+    before = F.max(token).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = runs.withColumn("_ok", F.col(token) > F.coalesce(before, F.lit(0)))
+    return rows.groupBy(key).agg(F.count_if("_ok").alias("armed"), F.count_if(~F.col("_ok")).alias("refused"), F.max(token).alias("fence"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import difflib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,19 +61,50 @@ def line_changes(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     return pairs.select(key, old, new).mapInArrow(run, f"{key} long, nth int, tag string, old_from int, old_to int, new_from int, new_to int")
 
 
-_HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+#: Lines with which a patch without hunks may begin.
+NO_HUNKS = ("diff --git", "index ", "old mode", "new mode", "similarity index")
 
 
-def hunks(patch: str) -> list[tuple[int, int, int, int, bool]]:
-    """(old start, old lines, new start, new lines, whether the body has as many) of a unified diff."""
-    out: list[list[int]] = []
-    for line in patch.splitlines():
-        if m := _HUNK.match(line):
-            out.append([int(m[1]), int(m[2] or 1), int(m[3]), int(m[4] or 1), 0, 0])
-        elif out and line[:1] in (" ", "-", "+", ""):
-            out[-1][4] += line[:1] != "+"
-            out[-1][5] += line[:1] != "-"
-    return [(a, n, b, m, (n, m) == (x, y)) for a, n, b, m, x, y in out]
+def patch_hunks(patch: Column) -> Column:
+    """The hunks of a unified diff as (old_start, old_count, new_start, new_count, before, after, error). A
+    hunk with another header, a line that is none of a hunk's, or counts that don't match its lines has an
+    error; so has one row alone for a text that is no patch."""
+    parts = F.split(patch, r"(?m)^(?=@@)")
+
+    def hunk(part: Column) -> Column:
+        lines = F.split(F.regexp_replace(part, "\n$", ""), "\n")
+        body = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~x.startswith("\\ No newline"))
+        side = lambda sign: F.transform(F.filter(body, lambda x: F.substring(x, 1, 1).isin(" ", sign)), lambda x: F.substring(x, 2, 1 << 30))
+        number = lambda i: F.regexp_extract(part, HUNK, i)
+        count = lambda i: F.when(number(i) == "", 1).otherwise(number(i).try_cast("int"))
+        odd = F.exists(body, lambda x: ~F.substring(x, 1, 1).isin(" ", "+", "-"))
+        error = F.when(~part.rlike(HUNK), "UNSUPPORTED_FORMAT").when(odd, "UNEXPECTED_LINE").when((F.size(side("-")) != count(2)) | (F.size(side("+")) != count(4)), "COUNT_MISMATCH")
+        return F.struct(number(1).try_cast("int").alias("old_start"), count(2).alias("old_count"), number(3).try_cast("int").alias("new_start"), count(4).alias("new_count"), F.array_join(side("-"), "\n").alias("before"), F.array_join(side("+"), "\n").alias("after"), error.alias("error"))
+
+    found = F.transform(F.filter(parts, lambda p: p.startswith("@@")), hunk)
+    known = patch.rlike("(?m)^(?:" + "|".join(NO_HUNKS) + ")")
+    none = F.struct(*[F.lit(None).cast("int").alias(c) for c in ("old_start", "old_count", "new_start", "new_count")], *[F.lit(None).cast("string").alias(c) for c in ("before", "after")], F.lit("UNRECOGNIZED").alias("error"))
+    return F.when((F.size(found) == 0) & (F.trim(patch) != "") & ~known, F.array(none)).otherwise(found)
+
+
+def packed_paragraphs(text: Column, most: int = 2500) -> Column:
+    """Paragraphs packed into blocks of at most `most` characters, in order, an empty line between two; one
+    that is longer is cut into slices first, at the last sentence end of its second half where there is one."""
+    bare = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), bare), lambda p: p != "")
+    start = F.struct(F.lit("").alias("rest"), F.array().cast("array<string>").alias("out"))
+
+    def slices(p: Column) -> Column:
+        pieces = F.regexp_extract_all(p, F.lit(rf"(?s).{{{most // 2},{most - 1}}}[.!?](?=\s)|.{{1,{most}}}"), F.lit(0))
+        return F.when(F.length(p) <= most, F.array(p)).otherwise(F.filter(F.transform(pieces, bare), lambda x: x != ""))
+
+    def step(acc: Column, p: Column) -> Column:
+        joined = F.when(acc["rest"] == "", p).otherwise(F.concat(acc["rest"], F.lit("\n\n"), p))
+        fits = F.length(joined) <= most
+        return F.struct(F.when(fits, joined).otherwise(p).alias("rest"), F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["rest"]))).alias("out"))
+
+    return F.aggregate(F.flatten(F.transform(parts, slices)), start, step, lambda acc: F.when(acc["rest"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["rest"]))))
 
 
 def declarations(source: str) -> list[tuple[str, str, int, int]]:
@@ -99,6 +129,18 @@ def declarations(source: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def declared(sources: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, name, first, last): the classes and functions of each Python module, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *d) for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True) for d in declarations(t or "")]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [key, "kind", "name", "first", "last"])
+
+    return sources.select(key, text).mapInArrow(run, f"{key} long, kind string, name string, first int, last int")
+
+
 def outermost(ranges: DataFrame, key: str) -> DataFrame:
     """Ranges (key, first, last) that lie strictly in no other range of their key."""
     other = ranges.select(F.col(key).alias("_key"), F.col("first").alias("_first"), F.col("last").alias("_last"))

@@ -169,3 +169,19 @@ def ranking_metrics(found: DataFrame, relevant: DataFrame, ks: tuple[int, ...])
     per = per.join(relevant.groupBy("query_id").agg(F.count("*").alias("total")), "query_id")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", "total").cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
     return per.select("query_id", *[F.round(F.col(f"h{k}") / F.col("total"), 6).alias(f"recall_{k}") for k in ks], F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
+
+
+#: What each reason to look at a requirement is worth.
+REASONS = {"ENTITY_TARGET": 100, "SCOPE_ENTITY_TARGET": 80, "NEIGHBOR_TARGET": 25, "COMMUNITY_SCOPE": 70, "REPOSITORY_SCOPE": 65, "CONDITIONAL_SCOPE": 60, "ADR_MENTION": 50}
+
+
+def discovery(entity: Column, scope_entity: Column, near: Column, community: Column, repository: Column, condition: Column, mention: Column, words: Column, literals: Column) -> tuple[Column, Column]:
+    """(score, reasons) of a requirement. A scope's entity counts only where no target is one, a neighbour only
+    where neither is; shared words give up to 20, shared literals 5 each up to 20."""
+    holds = {"ENTITY_TARGET": entity, "SCOPE_ENTITY_TARGET": scope_entity, "NEIGHBOR_TARGET": near & ~entity, "COMMUNITY_SCOPE": community, "REPOSITORY_SCOPE": repository, "CONDITIONAL_SCOPE": condition, "ADR_MENTION": mention}
+    counts = holds | {"SCOPE_ENTITY_TARGET": scope_entity & ~entity, "NEIGHBOR_TARGET": near & ~entity & ~scope_entity}
+    score = F.least(words, F.lit(20)) + F.least(5 * literals, F.lit(20))
+    for name, worth in REASONS.items():
+        score = score + F.when(counts[name], worth).otherwise(0)
+    holds = holds | {"LEXICAL_FALLBACK": words > 0, "CHANGED_LITERAL": literals > 0}
+    return score.cast("int"), F.array_compact(F.array(*[F.when(test, name) for name, test in holds.items()]))

@@ -108,7 +108,11 @@ def test_windows_are_lossless(spark):
 def test_sections_hunks_declarations(spark):
     text = "before\n# One\nbody\n## Two\nmore\n#no heading"
     assert spark.createDataFrame([(text,)], "t string").select(passages.sections(F.col("t"))).first()[0] == ["before\n", "# One\nbody\n", "## Two\nmore\n#no heading"]
-    assert passages.hunks("--- a\n+++ b\n@@ -1,2 +1,3 @@\n a\n-b\n+c\n+d\n@@ -9 +10 @@\n-x\n") == [(1, 2, 1, 3, True), (9, 1, 10, 1, False)]
+    patches = ["--- a\n+++ b\n@@ -1,2 +1,3 @@\n a\n-b\n+c\n+d\n@@ -9 +10 @@\n-x\n", "@@ -1 +1 @@\n-a\n+b\n\\ No newline at end of file", "@@ -1,0 +1 @@ f\n+x", "@@@ -1 +1 @@@\n+x", "@@ -1 +1 @@\n\n-a\n+b", "words", "diff --git a b\nold mode 1", " "]
+    got = [[tuple(h) for h in r.h] for r in spark.createDataFrame([(i, p) for i, p in enumerate(patches)], "i int, p string").orderBy("i").select(passages.patch_hunks(F.col("p")).alias("h")).collect()]
+    assert got[0] == [(1, 2, 1, 3, "a\nb", "a\nc\nd", None), (9, 1, 10, 1, "x", "", "COUNT_MISMATCH")]
+    assert got[1] == [(1, 1, 1, 1, "a", "b", None)] and got[2] == [(1, 0, 1, 1, "", "x", None)]
+    assert [h[-1] for g in got[3:] for h in g] == ["UNSUPPORTED_FORMAT", "UNEXPECTED_LINE", "UNRECOGNIZED"] and got[6:] == [[], []]
     assert passages.declarations("@d\nclass A:\n    def f(self):\n        pass\n\ndef g(): pass\n") == [("class", "A", 1, 4), ("function", "A.f", 3, 4), ("function", "g", 6, 6)]
     assert passages.declarations("def (") == []
 
@@ -239,3 +243,39 @@ def test_classifications_by_hand(spark):
     assert [r.k for r in routed] == ["API"]
     quotes = spark.createDataFrame([("""a 'b' "c" 'd" "" 'b' x'y'""",)], "t string").select(X.quoted_literals(F.col("t"))).first()[0]
     assert quotes == ["b", "c", " ", "y"]
+
+
+def test_places_of_spans_and_quotes(spark):
+    text = "ab\ncdé\n\nf"
+    lines = text.splitlines(keepends=True)
+    starts = [sum(map(len, lines[:i])) for i in range(len(lines))]
+    spans = [(a, b) for a in range(-1, len(text) + 1) for b in range(0, len(text) + 2)]
+    rows = spark.createDataFrame([(text, a, b) for a, b in spans], "t string, a int, b int").select("a", "b", X.span_place(F.col("t"), F.col("a"), F.col("b")).alias("p")).collect()
+    for r in rows:
+        if not 0 <= r.a < r.b <= len(text):
+            assert r.p is None
+            continue
+        first = max(i for i, s in enumerate(starts) if s <= r.a)
+        last = max(i for i, s in enumerate(starts) if s <= r.b - 1)
+        end = None if r.b - starts[last] == len(lines[last]) or text[r.b - 1] == "\n" else r.b - starts[last]
+        assert tuple(r.p) == (first + 1, last + 1, r.a - starts[first], end)
+    quotes = spark.createDataFrame([("aXbX", "Xb"), ("aXbX", "X"), ("aaa", "aa"), ("abc", "z"), ("abc", "")], "e string, q string").select(X.quote_place(F.col("e"), F.col("q")).alias("p")).collect()
+    assert [tuple(r.p) for r in quotes] == [("FOUND", 1, 3), ("QUOTE_AMBIGUOUS", None, None), ("QUOTE_AMBIGUOUS", None, None), ("QUOTE_NOT_FOUND", None, None), ("QUOTE_NOT_FOUND", None, None)]
+    change = spark.createDataFrame([(list("abcdefg"), list("abcXefg")), (list("ab"), list("ab")), ([], ["x"]), (list("aaa"), list("aa"))], "o array<string>, n array<string>").select(X.trimmed_change(F.col("o"), F.col("n"), 1).alias("c")).collect()
+    assert [tuple(r.c) for r in change] == [(3, 3, list("cde"), list("cXe")), (2, 0, ["b"], ["b"]), (0, 0, [], ["x"]), (2, 0, ["a", "a"], ["a"])]
+
+
+def test_paragraphs_are_packed(spark):
+    texts = ["a\n\nb\n \nc", "x" * 25, "Aa bb. Cc dd ee. " * 3, "", " \n\n "]
+    got = [r.p for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(passages.packed_paragraphs(F.col("t"), 10).alias("p")).collect()]
+    assert got[0] == ["a\n\nb\n\nc"] and got[1] == ["x" * 10, "x" * 10, "x" * 5] and got[3] == [] and got[4] == []
+    assert all(len(p) <= 10 for p in got[2]) and "".join(got[2]).replace(" ", "") == texts[2].replace(" ", "")
+
+
+def test_file_names_and_answers(spark):
+    names = ["a/b/0001-use_kafka.md", "README", "Mixed-Case.txt", "---.md", ".env", "UPPER CASE.docx"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i")
+    assert [r.t for r in df.select(X.title_of(F.col("n")).alias("t")).collect()] == ["0001 Use Kafka", "Readme", "Mixed Case", "Untitled ADR", ".Env", "Upper Case"]
+    assert [r.t for r in df.select(X.mime_type(C.suffix(F.col("n"))).alias("t")).collect()][:2] == ["text/markdown", "application/octet-stream"]
+    answers = spark.createDataFrame([("x ```json\n{\"a\": 1}\n``` y",), (' {"b": 2} ',)], "t string").select(X.fenced_json(F.col("t")).alias("j")).collect()
+    assert [r.j for r in answers] == ['{"a": 1}', '{"b": 2}']
