@@ -154,14 +154,15 @@ def across_components(sets: DataFrame, members: DataFrame, percent: int) -> Data
 
     kept = sets.join(members, sets.doc_id == members.rep).select("rep", "at", "shingles")
     tokens = kept.mapInArrow(run, "rep long, at long, s long")
-    common = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    # Written tables: joins of plain sides, in which a very common shingle's rows can be split.
+    common = materialise(tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "common")
     ranked = tokens.join(common, "s", "left").groupBy("rep", "at").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("t"))
     ranked = ranked.select("rep", "at", F.size("t").alias("n"), "t")
     first = F.expr(f"slice(t, 1, n - cast(ceil(n * {percent} / 100) as int) + 1)")
     heads = ranked.select("rep", "at", "n", F.posexplode(first).alias("i", "x")).where("x.df > 1").select("rep", "at", "n", "i", F.col("x.s").alias("s"))
     heads = materialise(heads, "heads")
     groups = heads.groupBy("s").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.mode("at", True).alias("main")).where("low <> high").select("s", "main")
-    heads = heads.join(groups, "s")
+    heads = materialise(heads.join(materialise(groups, "groups"), "s"), "mixed")
     rest = heads.where("at <> main").select("s", *[F.col(c).alias(f"x_{c}") for c in ("rep", "at", "n", "i")])
     room = f"1 + least(x_n - x_i, n - i) - 1 >= (x_n + n) * {percent} / (100 + {percent}) - 0.001"
     pairs = rest.join(heads, "s").where(f"x_at <> at AND (at = main OR x_rep < rep) AND {room} AND {percent} * greatest(x_n, n) <= 100 * least(x_n, n)")
