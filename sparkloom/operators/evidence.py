@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,10 +81,95 @@ def strongest(rows: DataFrame, group: str, order: list, most: int) -> DataFrame:
     return kept.where(F.col("_nth") <= most).drop("_nth").join(left, group)
 
 
-def disposition(conflict: Column, eligible: Column, accepted: Column, refuted: Column, error: Column) -> Column:
-    """What becomes of a finding: a refuted one is closed, an eligible and accepted conflict is supported, what
-    failed or is not decided needs review, and an impact that is no conflict is advisory."""
-    return F.when(error, "NEEDS_REVIEW").when(refuted, "REFUTED").when(~conflict, "ADVISORY").when(eligible & accepted, "SUPPORTED_CONFLICT").otherwise("NEEDS_REVIEW")
+def disposition(impact: Column, attribution: Column, applies: Column, unsure: Column, eligible: Column, reviewed: Column, verdict: Column) -> Column:
+    """What becomes of a finding. An impact or advice is advisory, an old violation is told as such, a resolved
+    one is advisory; what is unsure or lacks sources needs review; and of an eligible finding an accepted
+    review decides: SUPPORTED makes a conflict of it, REFUTED closes it."""
+    first = F.when(impact, "ADVISORY").when((attribution == "PRE_EXISTING") & applies, "PRE_EXISTING").when(attribution.isin("RESOLVED", "UNCHANGED") & applies, "ADVISORY").otherwise("NEEDS_REVIEW")
+    decided = eligible & reviewed
+    return F.when(decided & (verdict == "SUPPORTED"), "SUPPORTED_CONFLICT").when(decided & (verdict == "REFUTED"), "REFUTED").when(unsure, "NEEDS_REVIEW").otherwise(first)
+
+
+def review_accepted(verdict: Column, core_missing: Column, attribution: Column, authority: Column, unchanged: Column) -> Column:
+    """A review counts if no core fact is missing and the witness is unchanged: a refutation as it is, support
+    only of what is introduced or worsened and where the rule has authority."""
+    return ~core_missing & unchanged & ((verdict == "REFUTED") | ((verdict == "SUPPORTED") & attribution.isin("INTRODUCED", "WORSENED") & authority))
+
+
+def candidate_eligible(impact: Column, approved: Column, covered_: Column, attribution: Column, applies: Column, mandatory: Column, adr: Column) -> Column:
+    """A finding may go to review if it is no mere impact, its rule is approved and its sources are complete,
+    the change brought it about, and the rule applies; one of a decision record must be mandatory as well."""
+    return ~impact & approved & covered_ & attribution.isin("INTRODUCED", "WORSENED") & applies & (~adr | mandatory)
+
+
+def unresolved(scopes: Column, basis: Column, uncertain: Column, open_targets: Column, bases: Column) -> Column:
+    """Whether an applicability is left open: no, unknown or other scopes, no explicit basis, uncertainty, or
+    targets that are open or not explicit."""
+    return (F.size(scopes) == 0) | F.arrays_overlap(scopes, F.array(F.lit("unknown"), F.lit("other"))) | (basis != "explicit") | uncertain | open_targets | F.exists(bases, lambda b: b != "explicit")
+
+
+def first_units(rules: DataFrame, groups: DataFrame, order: list, most: int) -> DataFrame:
+    """(place, rule, group, overflow): the first `most` of all pairs of a rule (rule, nth from 1, the rules in
+    order) and a group (group), rule by rule. Only the pairs that are wanted are made: a place tells its rule
+    and group by division."""
+    n, rules_n = groups.count(), rules.count()
+    if n == 0:
+        return rules.sparkSession.createDataFrame([], "place long, rule string, group string, overflow long")
+    head = groups.orderBy(*order).limit(most)
+    head = head.select("group", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("g"))
+    places = rules.sparkSession.range(min(most, n * rules_n)).select(F.col("id").alias("place"), F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("g"))
+    found = places.join(rules.select("rule", (F.col("nth") - 1).cast("long").alias("r")), "r").join(head, "g")
+    return found.select("place", F.col("rule").cast("string").alias("rule"), F.col("group").cast("string").alias("group"), F.lit(max(0, n * rules_n - most)).cast("long").alias("overflow"))
+
+
+def pruned(rows: DataFrame, group: str, order: list, size: str, budget: int) -> DataFrame:
+    """The rows of each group that stay when rows are dropped in order until the group fits its budget."""
+    before = F.coalesce(F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = rows.groupBy(group).agg(F.sum(size).alias("_total"))
+    return rows.withColumn("_before", before).join(total, group).where(F.col("_total") - F.col("_before") <= budget).drop("_before", "_total")
+
+
+def settled_size(base: Column, rounds: int = 16) -> Column:
+    """The size of a text that tells its own size: base and the digits of the size, found by trying again."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0).cast("long"), lambda acc, _: F.greatest(acc, base + F.length(acc.cast("string"))))
+
+
+def shared_sources(texts: DataFrame, group: str, item: str, text: str) -> DataFrame:
+    """(group, item, host, start): each text with the longest other of its group that holds it, and where; the
+    smallest item of several. A text that no other holds is its own host. Groups are small: packets."""
+    rows = texts.select(group, item, text)
+    hosts = rows.select(F.col(group).alias("_g"), F.col(item).alias("host"), F.col(text).alias("_t"))
+    longer = (F.length("_t") > F.length(text)) | ((F.col("_t") == F.col(text)) & (F.col("host") <= F.col(item)))
+    held = rows.join(hosts, (F.col(group) == F.col("_g")) & F.col("_t").contains(F.col(text)) & longer)
+    best = held.groupBy(group, item).agg(F.min_by(F.struct("host", (F.call_function("instr", F.col("_t"), F.col(text)) - 1).alias("start")), F.struct(-F.length("_t"), "host")).alias("x"))
+    return best.select(group, item, "x.host", "x.start")
+
+
+def challenges(items: DataFrame, plan: str, key: str, evidence: str, size: str, capacity: int, most: int = 16, probes: int = 8) -> DataFrame:
+    """(plan, key, bin): each finding of a plan (bounded: a plan has a few hundred) in the bin with which it
+    shares most evidence, of the `probes` best with room; else in a new one. One above the capacity has none."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)
+        bins: list[list] = []  # rows, cost, evidence
+        placed = []
+        for cost, found in zip(group[size], group[evidence], strict=True):
+            mine = set(found)
+            if cost > capacity:
+                placed.append(None)
+                continue
+            open_ = [i for i, b in enumerate(bins) if b[0] < most]
+            tried = sorted(open_, key=lambda i: (-len(mine & bins[i][2]), i))[:probes]
+            into = next((i for i in tried if bins[i][1] + cost <= capacity), None)
+            if into is None:
+                into = len(bins)
+                bins.append([0, 0, set()])
+            bins[into] = [bins[into][0] + 1, bins[into][1] + cost, bins[into][2] | mine]
+            placed.append(into)
+        return pd.DataFrame({plan: group[plan], key: group[key], "bin": pd.array(placed, "Int64")})
+
+    kind = lambda c: items.schema[c].dataType.simpleString()
+    return items.select(plan, key, evidence, size).groupBy(plan).applyInPandas(run, f"{plan} {kind(plan)}, {key} {kind(key)}, bin long")
 
 
 def freshness(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:

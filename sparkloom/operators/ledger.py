@@ -6,7 +6,7 @@ large share of all events is summed up before it is shuffled. What depends on th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -118,3 +118,95 @@ def fenced(runs: DataFrame, key: str, token: str, order: list[str]) -> DataFrame
     before = F.max(token).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     rows = runs.withColumn("_ok", F.col(token) > F.coalesce(before, F.lit(0)))
     return rows.groupBy(key).agg(F.count_if("_ok").alias("armed"), F.count_if(~F.col("_ok")).alias("refused"), F.max(token).alias("fence"))
+
+
+def machine(events: DataFrame, key: str, order: list[str], columns: list[str], step: Callable[[dict, dict], bool], start: dict, out: str) -> DataFrame:
+    """(key, accepted, refused, the fields of `start`): each key's events run through a state machine in order.
+    step changes the state it is given and tells whether the event counted. Events are read in order, and only
+    the state of one key is held."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, n = None, {}, [0, 0]
+
+        def done() -> tuple:
+            return (at, n[1], n[0], *(state[f] for f in start))
+
+        for part in parts:
+            rows = []
+            for k, *values in zip(part[key], *(part[c] for c in columns), strict=True):
+                if k != at:
+                    if at is not None:
+                        rows.append(done())
+                    at, state, n = k, dict(start), [0, 0]
+                n[step(state, dict(zip(columns, values, strict=True)))] += 1
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "accepted", "refused", *start])
+        if at is not None:
+            yield pd.DataFrame([done()], columns=[key, "accepted", "refused", *start])
+
+    wanted = events.where(F.col(key).isNotNull()).select(key, *dict.fromkeys([*order, *columns]))
+    return wanted.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{key} long, accepted long, refused long, {out}")
+
+
+def revision_step(state: dict, event: dict) -> bool:
+    """A revision is claimed when it is new, failed or superseded; only a running one is finished."""
+    kind, status = event["event_type"], state["status"]
+    if kind == ENQUEUE:
+        if status not in ("NEW", "FAILED", "SUPERSEDED"):
+            return False
+        state.update(status="RUNNING", attempts=state["attempts"] + 1)
+    elif kind in (FINISH, FAIL):
+        if status != "RUNNING":
+            return False
+        state["status"] = "COMPLETED" if kind == FINISH else "FAILED"
+    else:
+        return False
+    return True
+
+
+def ingestion_step(state: dict, event: dict, lease: int = 3600, most: int = MOST_ATTEMPTS) -> bool:
+    """Queued work is claimed under a new epoch, which is its token; a heartbeat, a finish or a failure counts only
+    with that token (here: its parity) and before the lease ends; work whose lease is over can be claimed."""
+    kind, now, status = event["event_type"], event["at"], state["status"]
+    mine = status == "INDEXING" and event["token"] % 2 == state["epoch"] % 2 and state["lease"] > now
+    if kind == ENQUEUE:
+        if status in ("QUEUED", "RETRY", "INDEXING"):
+            return False
+        state.update(status="QUEUED", attempts=0)
+    elif kind == CLAIM:
+        free = status in ("QUEUED", "RETRY") or (status == "INDEXING" and state["lease"] <= now)
+        if not free or state["attempts"] >= most:
+            return False
+        state.update(status="INDEXING", epoch=state["epoch"] + 1, attempts=state["attempts"] + 1, lease=now + lease)
+    elif not mine:
+        return False
+    elif kind == BEAT:
+        state["lease"] = now + lease
+    elif kind == FINISH:
+        state["status"] = "READY"
+    else:
+        state["status"] = "FAILED" if state["attempts"] >= most else "RETRY"
+    return True
+
+
+def publication_step(state: dict, event: dict, lease: int = 180) -> bool:
+    """A wanted version above the published one can be claimed; it is acknowledged or fails under its lease, and a
+    higher one that comes meanwhile leaves it pending again."""
+    kind, now, status = event["event_type"], event["at"], state["status"]
+    held = status == "PUBLISHING" and state["lease"] > now
+    if kind == ENQUEUE:
+        state["wanted"] += 1
+        if status in ("NEW", "PUBLISHED"):
+            state["status"] = "PENDING"
+    elif kind == CLAIM:
+        if not (status in ("PENDING", "RETRY") or (status == "PUBLISHING" and not held)):
+            return False
+        state.update(status="PUBLISHING", lease=now + lease, claimed=state["wanted"])
+    elif kind == FINISH and held:
+        state["published"] = state["claimed"]
+        state["status"] = "PUBLISHED" if state["published"] == state["wanted"] else "PENDING"
+    elif kind == FAIL and held:
+        state["status"] = "RETRY"
+    else:
+        return False
+    return True

@@ -36,8 +36,8 @@ def record_ids(t: Tables) -> DataFrame:
     return t.lineitem.select(_chunk().alias("chunk"), I.keyed_id(":", F.lit("adr:decision:v2"), _chunk(), n, flag).alias("decision"), I.keyed_id(":", F.lit("adr:constraint"), n, flag).alias("constraint_id"), key.alias("vector_key"), version.alias("embedding_version")).distinct()
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey, p_name, p_type FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 8), s AS (SELECT l_suppkey, string_agg(l_partkey || ':' || p_name || ':' || p_type, '|' ORDER BY l_partkey || ':' || p_name || ':' || p_type COLLATE BINARY) AS members, string_agg('- ' || p_name || ' [' || p_type || '] (ID: ' || l_partkey || ')', chr(10) ORDER BY p_name COLLATE BINARY, l_partkey) AS shown FROM m GROUP BY 1),
-e AS (SELECT DISTINCT a.l_suppkey, a.l_partkey || ':' || a.p_name || '-[SAME_TYPE]->' || b.l_partkey || ':' || b.p_name AS edge FROM m a JOIN m b ON a.l_suppkey = b.l_suppkey AND a.p_type = b.p_type AND a.p_name = b.p_name AND a.l_partkey < b.l_partkey), r AS (SELECT l_suppkey, string_agg(edge, '|' ORDER BY edge COLLATE BINARY) AS rels FROM e GROUP BY 1)
+@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey, p_name, p_type FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 8), s AS (SELECT l_suppkey, string_agg(l_partkey || ':' || p_name || ':' || p_type, '|' ORDER BY l_partkey || ':' || p_name || ':' || p_type) AS members, string_agg('- ' || p_name || ' [' || p_type || '] (ID: ' || l_partkey || ')', chr(10) ORDER BY p_name, l_partkey) AS shown FROM m GROUP BY 1),
+e AS (SELECT DISTINCT a.l_suppkey, a.l_partkey || ':' || a.p_name || '-[SAME_TYPE]->' || b.l_partkey || ':' || b.p_name AS edge FROM m a JOIN m b ON a.l_suppkey = b.l_suppkey AND a.p_type = b.p_type AND a.p_name = b.p_name AND a.l_partkey < b.l_partkey), r AS (SELECT l_suppkey, string_agg(edge, '|' ORDER BY edge) AS rels FROM e GROUP BY 1)
 SELECT s.l_suppkey AS community, sha256('MEMBERS:' || members || '#RELS:' || coalesce(rels, '')) AS context_hash, sha256('Community ID: ' || s.l_suppkey || chr(10) || chr(10) || 'Entities:' || chr(10) || shown) AS prompt FROM s LEFT JOIN r ON r.l_suppkey = s.l_suppkey""")
 def community_context(t: Tables) -> DataFrame:
     """Context digest of each community over its sorted members and inner edges, and the text that shows it."""
@@ -100,12 +100,12 @@ def scope_evidence(t: Tables) -> DataFrame:
     return t.lineitem.join(adrs, "l_orderkey", "left_semi").join(chunks, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("adr"), _chunk().alias("chunk")).distinct()
 
 
-@query("""WITH c AS (SELECT doc_id AS chunk, source, CASE WHEN doc_id % 5 = 0 THEN 'def ' || source || '(' ELSE '' END || substr(text, 1, 300) AS text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL), e AS (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL)
+@query("""WITH c AS (SELECT doc_id AS chunk, source, CASE WHEN doc_id % 5 = 0 THEN 'def ' || source || '(' ELSE '' END || text AS text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL), e AS (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL)
 SELECT chunk, c.source, CAST(min(CASE WHEN contains(text, 'def ' || name || '(') OR contains(text, 'class ' || name) OR contains(text, 'function ' || name || '(') THEN 0 ELSE 1 END) AS INTEGER) AS hint FROM c JOIN e ON e.name = c.source GROUP BY ALL ORDER BY hint, c.source, chunk LIMIT 150""")
 def declaring_chunks(t: Tables) -> DataFrame:
     """Chunks that mention an entity, those that declare it first."""
     rows = t.documents.where("text IS NOT NULL AND source IS NOT NULL")
-    body = F.concat(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("def "), "source", F.lit("("))).otherwise(""), F.substring("text", 1, 300))
+    body = F.concat(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("def "), "source", F.lit("("))).otherwise(""), F.col("text"))
     chunks = rows.select(F.col("doc_id").alias("chunk"), "source", body.alias("text"))
     entities = rows.select(F.col("source").alias("entity"), F.col("source").alias("name")).distinct()
     return E.declaring(chunks, rows.select(F.col("doc_id").alias("chunk"), F.col("source").alias("entity")), entities, ["source", "chunk"], 150)
