@@ -144,12 +144,13 @@ def brute_ctw(texts, depth):
 def test_context_tree_equals_brute_force(docs, texts):
     short = {i: t for i, t in texts.items() if len(t or "") < 2000}
     mine = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 2000)
-    want = brute_ctw(short, 2)
+    depths = {2: brute_ctw(short, 2), ctw.DEPTH: brute_ctw(short, ctw.DEPTH)}
     tokens = {i: [*WORD.findall((t or "").encode().translate(LOW)), None] for i, t in short.items()}
     count = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
     n, v = sum(count.values()), len(count)
-    for chunk in (1 << 24, 700):
-        got = {r.doc_id: r for r in ctw.scored(mine, depth=2, chunk=chunk).collect()}
+    for chunk, depth in ((1 << 24, ctw.DEPTH), (700, 2)):
+        want = depths[depth]
+        got = {r.doc_id: r for r in ctw.scored(mine, depth=depth, chunk=chunk).collect()}
         assert set(got) == set(short)
         for i, r in got.items():
             assert abs(r.score - want[i]) < 1e-6 * max(1, abs(want[i]))
@@ -166,3 +167,70 @@ def test_context_tree_probabilities_sum_to_one(spark, docs, texts):
 
 def test_context_tree_of_nothing(no_docs):
     assert ctw.scored(no_docs).collect() == []
+
+
+def plain_forward(net, text):
+    """Mean distribution over a text's bytes, window by window and byte by byte, in plain double precision."""
+    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    h, soft = net.h, lambda x: x / (1 + np.abs(x))
+    total, data = np.zeros(len(net.langs)), text.encode()
+    for a in range(0, len(data), langid.WINDOW):
+        part = data[a : a + langid.WINDOW]
+        states = {}
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            state = np.zeros(h)
+            for i in order:
+                x = w[f"x{d}"][:, part[i]]
+                gates = 0.5 + 0.5 * soft(x[: 2 * h] + w[f"u{d}"][: 2 * h] @ state)
+                cand = soft(x[2 * h :] + w[f"u{d}"][2 * h :] @ (gates[h:] * state))
+                state = state + gates[:h] * (cand - state)
+                states[d, i] = state
+        for i in range(len(part)):
+            logit = w["of"] @ states["f", i] + w["ob"] @ states["b", i] + w["c"][:, 0]
+            e = np.exp(logit - logit.max())
+            total += e / e.sum()
+    return total / max(1, len(data))
+
+
+def test_language_equals_a_plain_forward_pass(docs, texts, no_docs):
+    net = langid.Network(["aa", "bb", "cc"], seed=5)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predictions(docs, net).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        p = plain_forward(net, t[:2000]) if len(t) <= 2000 else None
+        if p is not None:
+            assert got[i][0] == net.langs[p.argmax()] and abs(got[i][1] - p.max()) < 1e-4
+    twice = docs.union(docs)
+    assert langid.predictions(twice, net).count() == 2 * len(texts)
+    assert langid.predictions(no_docs, net).count() == 0 and langid.keep_known(no_docs).count() == 0
+
+
+def test_quality_equals_plain_densities(spark, docs, texts, no_docs):
+    """The score is the ratio of two normal densities with shrunk covariances, here by inverse and determinant."""
+    import pyarrow as pa
+
+    labels = {i: i % 2 for i in texts}
+    found = quality.measured(docs)
+    model = quality.fit(found, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    x = {i: quality.statistics(pa.array([t], pa.string()))[0] for i, t in texts.items()}
+    learn = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    every = np.array([x[i] for i in learn])
+    scale = np.sqrt(np.maximum(every.var(axis=0), 1e-6))
+    share = (sum(labels[i] for i in learn) + 1) / (len(learn) + 2)
+    logs = {}
+    for k in (0, 1):
+        mine = np.array([x[i] for i in learn if labels[i] == k])
+        cov = np.cov(mine.T, bias=True) / np.outer(scale, scale)
+        weight = min(1.0, 0.1 + quality.D / len(mine))
+        cov = (1 - weight) * cov + weight * np.diag(np.diag(cov)) + 0.02 * np.eye(quality.D)
+        far = (np.array([x[i] for i in texts]) - mine.mean(axis=0)) / scale
+        logs[k] = -0.5 * np.einsum("ij,jk,ik->i", far, np.linalg.inv(cov), far) - 0.5 * np.linalg.slogdet(cov)[1]
+    gap = np.clip(logs[1] - logs[0] + np.log(share / (1 - share)), -500, 500)
+    want = dict(zip(texts, 1 / (1 + np.exp(-gap)), strict=True))
+    got = {r.doc_id: r.score for r in quality.scores(found, model).collect()}
+    assert set(got) == set(texts) and all(abs(got[i] - want[i]) < 1e-6 for i in texts)
+    assert quality.scores(quality.measured(docs.union(docs)), model).count() == 2 * len(texts)
+    assert quality.scores(quality.measured(no_docs), model).count() == 0
