@@ -41,11 +41,10 @@ def folded(text: Column) -> Column:
     """Full Unicode case folding; texts of plain letters only pay for lower case."""
     low = F.lower(text)
     before, after, longer = _foldings()
-    full = F.translate(low, before, after)
     rare = "".join(c for c, _ in longer)
-    for c, spelt in longer:
-        full = F.replace(full, F.lit(c), F.lit(spelt))
     translated = F.translate(low, before, after)
+    table = F.create_map(*[F.lit(x) for pair in longer for x in pair])
+    full = F.array_join(F.transform(F.split(translated, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     return F.when(~low.rlike("[^\\x00-\\x7f]"), low).when(low.rlike(f"[{rare}]"), full).otherwise(translated)
 
 

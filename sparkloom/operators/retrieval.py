@@ -9,17 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import materialise
+from .steps import materialise, spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
 def term_counts(texts: DataFrame, key: str, identifiers: Column, terms: Callable[[Column], Column]) -> DataFrame:
-    """(key, n, terms) per different identifier of a text: how often it occurs, and its search terms. Each is
-    split once a text, however often it stands there; a key without identifiers has one row without any."""
-    found = texts.select(key, F.explode_outer(identifiers).alias("word")).groupBy(key, "word").agg(F.count("word").alias("n"))
-    split = F.when(F.col("word").isNull(), F.array().cast("array<string>")).otherwise(terms(F.col("word")))
-    return found.select(key, "n", split.alias("terms"))
+    """(key, n, terms) per different identifier of a text: how often it occurs, and its search terms. Each
+    different identifier of all texts is split once; a key without identifiers has one row without any. Both
+    sides of the join are written tables, so that the rows of a very common word can be dealt out."""
+    found = spread(texts).select(key, F.explode_outer(identifiers).alias("word")).groupBy(key, "word").agg(F.count("word").alias("n"))
+    found = materialise(found, "words")
+    split = materialise(found.where("word IS NOT NULL").select("word").distinct().select("word", terms(F.col("word")).alias("terms")), "split")
+    return found.join(split, "word", "left").select(key, "n", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
 
 
 def corpus_stats(counts: DataFrame, key: str = "doc_id") -> DataFrame:
