@@ -187,3 +187,22 @@ def discovery(entity: Column, scope_entity: Column, near: Column, community: Col
         score = score + F.when(counts[name], worth).otherwise(0)
     holds = holds | {"LEXICAL_FALLBACK": words > 0, "CHANGED_LITERAL": literals > 0}
     return score.cast("int"), F.array_compact(F.array(*[F.when(test, name) for name, test in holds.items()]))
+
+
+def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of all docs (doc_id, text) that hold a passage (item_id, passage) as it stands. A
+    passage meets only documents that have the rarest of its inner words, those between two spaces; what is
+    left is compared as a whole. Passages without an inner word meet every document."""
+    parts = F.split("passage", " ")
+    inner = passages.select("item_id", "passage", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))).alias("inner"))
+    wanted = inner.select("item_id", F.explode(F.array_distinct("inner")).alias("word"))
+    said = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    said = materialise(said, "said")
+    df = said.groupBy("word").agg(F.count("*").alias("df"))
+    rarest = wanted.join(df, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    pairs = said.join(rarest, "word").select("item_id", "doc_id")
+    found = pairs.join(passages, "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    short = inner.where("size(inner) = 0 AND passage IS NOT NULL")
+    if not short.limit(1).count():
+        return found
+    return found.union(docs.join(short, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"))

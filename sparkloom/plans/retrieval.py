@@ -97,9 +97,9 @@ g AS (SELECT query_id, count(*) AS total FROM r GROUP BY 1)
 SELECT query_id, round(h1 / total, 6) AS recall_1, round(h5 / total, 6) AS recall_5, round(h10 / total, 6) AS recall_10, round(coalesce(1.0 / f, 0), 6) AS reciprocal_rank, round(dcg / list_sum([1 / log2(i + 1.0) FOR i IN range(1, least(n, total) + 1)]), 6) AS ndcg FROM p JOIN g USING (query_id)""")
 def recall_ndcg(t: Tables) -> DataFrame:
     """Relevant documents are those that hold the benchmark passage as it stands."""
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    asked = t.benchmark.select("item_id", F.col("text").alias("passage"))
     found = lexical(t).select("query_id", F.col("doc_id").alias("item"), "position")
-    relevant = t.documents.join(F.broadcast(asked), F.col("text").contains(F.col("passage"))).select("query_id", F.col("doc_id").alias("item"))
+    relevant = R.holders(t.documents, asked).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item"))
     return R.ranking_metrics(found, relevant, (1, 5, 10))
 
 
@@ -160,7 +160,7 @@ def scope_score(t: Tables) -> DataFrame:
 CAST(1 + length(substr(d.text, 1, instr(d.text, b.text) - 1)) - length(replace(substr(d.text, 1, instr(d.text, b.text) - 1), chr(10), '')) AS INTEGER) AS start_line FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def placement_exact(t: Tables) -> DataFrame:
     asked = t.benchmark.select("item_id", F.col("text").alias("passage"))
-    hit = t.documents.join(asked, F.col("text").contains(F.col("passage")))
+    hit = R.holders(t.documents, asked).join(asked, "item_id").join(t.documents.select("doc_id", "text"), "doc_id")
     times = X.occurrences(F.col("text"), F.col("passage"))
     before = F.expr("substring(text, 1, instr(text, passage) - 1)")
     line = 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))

@@ -89,3 +89,13 @@ def save_snapshot(rows: DataFrame, folder: str, index_id: str) -> str:
 
 def load_snapshot(spark: SparkSession, folder: str, index_id: str) -> DataFrame:
     return spark.read.parquet(folder).where(F.col("index_id") == index_id).drop("index_id")
+
+
+def replaced(old: DataFrame, new: DataFrame, scope: DataFrame, key: list[str]) -> DataFrame:
+    """A table after a write that first deletes all rows of its scope (key) and then adds the new ones."""
+    return old.join(scope.select(*key).distinct(), key, "left_anti").unionByName(new)
+
+
+def save_audit(rows: DataFrame, folder: str, run: str) -> None:
+    """The audit of a run as JSON lines in a folder of its own; a run is written once, whole or not at all."""
+    rows.write.mode("errorifexists").json(f"{folder}/run={run}")

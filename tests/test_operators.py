@@ -11,7 +11,7 @@ from sparkloom import plans
 from sparkloom.functions import classify as C
 from sparkloom.functions import identity as I
 from sparkloom.functions import text as X
-from sparkloom.operators import folds, ledger, passages
+from sparkloom.operators import folds, ledger, passages, retrieval
 from sparkloom.operators import graph as G
 from sparkloom.sources import tables
 from sparkloom.streaming import jobs
@@ -92,6 +92,10 @@ def test_quotas(spark):
     df = spark.createDataFrame(rows, "query_id long, item long, score double, source string")
     kept = sorted((r.query_id, r.place, r.item) for r in folds.by_quota(df, "query_id", "item", {"source": 2}, 3).collect())
     assert kept == [(1, 1, 10), (1, 2, 11), (1, 3, 13), (2, 1, 10)]
+    rows = [(1, 10, 0.9, ["b", "a"], "CODE"), (1, 11, 0.8, ["a"], "CODE"), (1, 12, 0.7, ["a", "b"], "CODE"), (1, 13, 0.6, ["a"], "ADR"), (1, 14, 0.5, ["c"], "CODE"), (1, 15, 0.4, ["c"], "ADR")]
+    df = spark.createDataFrame(rows, "query_id long, item long, score double, seeds array<string>, kind string")
+    kept = sorted((r.place, r.item, r.owner) for r in folds.by_quota(df, "query_id", "item", {}, 9, "seeds", 2, "kind", {"CODE": 3}).collect())
+    assert kept == [(1, 10, "a"), (2, 11, "a"), (3, 12, "b"), (4, 15, "c")]
 
 
 def test_windows_are_lossless(spark):
@@ -156,6 +160,11 @@ def test_upserts_deletions_snapshots(spark, tmp_path):
     assert tables.load_snapshot(spark, folder, "x").count() == 2
     with pytest.raises(Exception, match="(?i)exists"):
         tables.save_snapshot(new, folder, "x")
+    assert sorted((r.id, r.v) for r in tables.replaced(old, new, new.select("id"), ["id"]).collect()) == [(1, "a"), (2, "c"), (2, "d"), (3, "e")]
+    tables.save_audit(old, f"file://{tmp_path}/audit", "r1")
+    assert spark.read.json(f"file://{tmp_path}/audit/run=r1").count() == 2
+    with pytest.raises(Exception, match="(?i)exists"):
+        tables.save_audit(old, f"file://{tmp_path}/audit", "r1")
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -279,3 +288,13 @@ def test_file_names_and_answers(spark):
     assert [r.t for r in df.select(X.mime_type(C.suffix(F.col("n"))).alias("t")).collect()][:2] == ["text/markdown", "application/octet-stream"]
     answers = spark.createDataFrame([("x ```json\n{\"a\": 1}\n``` y",), (' {"b": 2} ',)], "t string").select(X.fenced_json(F.col("t")).alias("j")).collect()
     assert [r.j for r in answers] == ['{"a": 1}', '{"b": 2}']
+
+
+def test_holders_equal_containment(spark):
+    rng = random.Random(2)
+    words = ["a", "bb", "the", "x\ny", "zz."]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 9)))) for i in range(60)] + [(99, None)]
+    passages = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))) for i in range(25)] + [(50, "never b said"), (51, "b t"), (52, None)]
+    want = {(p, d) for p, q in passages for d, t in docs if q is not None and t is not None and q in t}
+    found = retrieval.holders(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, passage string")).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
