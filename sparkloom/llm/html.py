@@ -300,13 +300,16 @@ def _broken(line: str) -> list[str]:
 def _grid(table: Node, page: Page) -> list[tuple[dict[int, list[str]], bool]]:
     """The lines of each row's cells by their column, and whether they stand side by side."""
     grid: list[tuple[dict[int, list[str]], bool]] = []
-    taken: dict[int, int] = {}  # column -> rows that a cell from above still takes
-    last = 0
-    for row, group, hides in _rows(table, page.hidden):
-        if group != last:
-            taken, last = {}, group
+    rows = list(_rows(table, page.hidden))
+    end = [len(rows)] * len(rows)  # the row after the last one of a row's group
+    for r in range(len(rows) - 2, -1, -1):
+        end[r] = end[r + 1] if rows[r][1] == rows[r + 1][1] else r + 1
+    taken: list[tuple[int, int, int]] = []  # columns that cells from above hold: first, after the last, until row
+    for r, (row, _, hides) in enumerate(rows):
+        if any(x[2] <= r for x in taken):
+            taken = [x for x in taken if x[2] > r]
         cells: dict[int, list[str]] = {}
-        at, below, aligned = 0, {}, True
+        at, spot, below, aligned = 0, 0, [], True
         for cell in row.children:
             if not (isinstance(cell, Node) and cell.tag in ("td", "th") and cell.shown()):
                 continue
@@ -314,19 +317,26 @@ def _grid(table: Node, page: Page) -> list[tuple[dict[int, list[str]], bool]]:
                 page.block(False)
                 _inside(cell, page, False)
                 continue
-            while taken.get(at, 0) > 0:
-                at += 1
+            while spot < len(taken) and taken[spot][0] <= at:
+                at, spot = max(at, taken[spot][1]), spot + 1
             inner = Page(page.nested + 1, hides)
             _inside(cell, inner, False)
             cells[at] = inner.finish().split("\n")
             aligned &= not inner.parted
             across = min(max(cell.number("colspan", 1), 1), COLUMNS)
             down = cell.number("rowspan", 1)
-            down = ROWS if down == 0 else min(max(down, 1), ROWS)
-            if down > 1:
-                below |= dict.fromkeys(range(at, at + across), down)
+            until = end[r] if down == 0 else min(r + min(max(down, 1), ROWS), end[r])
+            if until > r + 1:
+                below.append((at, at + across, until))
             at += across
-        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
+        if below:
+            joined: list[tuple[int, int, int]] = []
+            for x in sorted(taken + below):
+                if joined and joined[-1][1] == x[0] and joined[-1][2] == x[2]:
+                    joined[-1] = (joined[-1][0], x[1], x[2])
+                else:
+                    joined.append(x)
+            taken = joined
         grid.append((cells, aligned))
     return grid
 
@@ -340,7 +350,9 @@ def _table(table: Node, page: Page) -> None:
             if i < final:
                 lines[:] = [part for x in lines for part in _broken(x)]
             width[i] = max(width.get(i, 0), *(min(len(x), WIDTH) for x in lines))
-    order = sorted(width)
+    place, at = {}, 0
+    for i in sorted(width):
+        place[i], at = at, at + width[i] + 2
     for other in table.children:  # text and captions that stand outside the cells
         if not isinstance(other, Node):
             page.text(other)
@@ -354,19 +366,17 @@ def _table(table: Node, page: Page) -> None:
                 page.verbatim("\n".join(lines))
                 page.block(False)
             continue
-        mine = [i for i in order if i <= max(cells, default=-1)]
         for k in range(max(map(len, cells.values()), default=0)):
-            line, at, low = [], 0, 0  # `low` is where the line's written part ends
-            for i in mine:
-                text = cells[i][k] if i in cells and k < len(cells[i]) else ""
+            line, low = [], 0  # `low` is where the line's written part ends
+            for i, lines in cells.items():
+                text = lines[k] if k < len(lines) else ""
                 if text:
-                    if low > at:  # a long word stands in the way: go on below it
+                    if low > place[i]:  # a long word stands in the way: go on below it
                         page.verbatim("".join(line))
                         page.block(False)
                         line, low = [], 0
-                    line.append(" " * (at - low) + text)
-                    low = at + len(text) + 2 * (len(text) > width[i])
-                at += width[i] + 2
+                    line.append(" " * (place[i] - low) + text)
+                    low = place[i] + len(text) + 2 * (len(text) > width[i])
             if line:
                 page.verbatim("".join(line))
                 page.block(False)

@@ -119,3 +119,10 @@ def test_long_runs_and_very_long_pages(spark):
     got = sorted((r.page_id, r.n_lines) for r in extracted(spark.createDataFrame(rows, "page_id long, html string")).collect())
     assert got == [(1, 99_999), (2, 1), (2, 1)]
     assert extracted(spark.createDataFrame([], "page_id long, html string, text string")).count() == 0
+
+
+def test_hostile_tables_take_little_time_and_memory():
+    many = 20_000
+    assert render("<table><tr>" + "<td colspan=1000 rowspan=65534>a" * many + "</table>").split() == ["a"] * many
+    assert render("<table>" + "<tr><td rowspan=65534>a" * many + "</table>").split() == ["a"] * many
+    assert render("<table><tr>" + "<td>a" * many + "<tr><td>b" * many + "</table>").split() == ["a"] * many + ["b"] * many
