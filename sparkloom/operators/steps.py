@@ -28,6 +28,6 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores at least: a small file is read by one task otherwise. A
-    table of more partitions stays as it is, without a shuffle."""
+    table of more partitions stays as it is, without a shuffle. Meant for tables as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

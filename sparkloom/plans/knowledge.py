@@ -249,7 +249,9 @@ def knowledge_excerpt(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.substring("text", 1, 1200).alias("excerpt"), (F.length("text") > 1200).alias("truncated"))
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (SELECT doc_id, string_split_regex(text, '\s+') AS ws FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, word, min(i) AS i FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w) WHERE trim(word) <> '' AND length(word) <= 96 GROUP BY ALL), o AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM t),
+f(doc_id, n, held, kept, terms) AS (SELECT doc_id, n, length(word), 1, word FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.n, CASE WHEN held + 1 + length(word) <= 1600 THEN held + 1 + length(word) ELSE held END, CASE WHEN held + 1 + length(word) <= 1600 THEN kept + 1 ELSE kept END, CASE WHEN held + 1 + length(word) <= 1600 THEN terms || ' ' || word ELSE terms END FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1 WHERE kept < 64 AND held <= 1598)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(x.terms, '') END AS terms FROM documents d LEFT JOIN (SELECT doc_id, arg_max(terms, n) AS terms FROM f GROUP BY 1) x ON x.doc_id = d.doc_id""")
 def bounded_terms(t: Tables) -> DataFrame:
     """Words of each document that fit a search text: 64 terms and 1600 characters are what it may hold."""
     return t.documents.select("doc_id", F.array_join(R.bounded_terms(F.split("text", r"\s+")), " ").alias("terms"))
