@@ -161,7 +161,8 @@ def across_components(sets: DataFrame, members: DataFrame, percent: int) -> Data
     first = F.expr(f"slice(t, 1, n - cast(ceil(n * {percent} / 100) as int) + 1)")
     heads = ranked.select("rep", "at", "n", F.posexplode(first).alias("i", "x")).where("x.df > 1").select("rep", "at", "n", "i", F.col("x.s").alias("s"))
     heads = materialise(heads, "heads")
-    groups = heads.groupBy("s").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.mode("at", True).alias("main")).where("low <> high").select("s", "main")
+    per = heads.groupBy("s", "at").agg(F.count("*").alias("n"))  # counted by rows, so that no task holds all components of a shingle
+    groups = per.groupBy("s").agg(F.count("*").alias("k"), F.max_by("at", F.struct("n", -F.col("at"))).alias("main")).where("k > 1").select("s", "main")
     heads = materialise(heads.join(materialise(groups, "groups"), "s"), "mixed")
     rest = heads.where("at <> main").select("s", *[F.col(c).alias(f"x_{c}") for c in ("rep", "at", "n", "i")])
     room = f"1 + least(x_n - x_i, n - i) - 1 >= (x_n + n) * {percent} / (100 + {percent}) - 0.001"
