@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, pick
+from .common import components, materialise
 from .topk import finite
 
 THRESHOLD, TILE = 0.98, 4096
