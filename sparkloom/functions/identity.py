@@ -92,8 +92,3 @@ def node_id(entity: Column) -> Column:
     """Id of a drawn entity; a prefix `entity:` is dropped first, empty where there is none."""
     bare = F.regexp_replace(entity, "^entity:", "")
     return F.when(F.coalesce(bare, F.lit("")) != "", F.concat(F.lit("entity:"), bare)).otherwise("")
-
-
-def sorted_digest(members: Column, edges: Column) -> Column:
-    """Digest of a community's context: sorted members, then sorted edges, a line each."""
-    return digest(F.concat_ws("\n", F.array_sort(members), F.array_sort(edges)))

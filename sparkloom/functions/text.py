@@ -33,11 +33,6 @@ def search_terms(identifier: Column) -> Column:
     return F.array_distinct(F.concat(F.array(folded(identifier)), _parts(identifier)))
 
 
-def lexical_tokens(text: Column) -> Column:
-    """Search terms: each occurrence of an identifier gives its distinct folded terms once."""
-    return F.flatten(F.transform(identifiers(text), search_terms))
-
-
 def word_set(text: Column) -> Column:
     """Distinct folded ASCII words of three letters or more, camel case split."""
     spaced = F.regexp_replace(F.replace(text, F.lit("_"), F.lit(" ")), "([a-z0-9])([A-Z])", "$1 $2")
@@ -51,7 +46,7 @@ def quoted_literals(text: Column) -> Column:
 
 
 def rough_tokens(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.expr("1") * F.floor(F.length(text) / 4)).cast("int")
+    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
 
 
 def safe_tokens(text: Column) -> Column:

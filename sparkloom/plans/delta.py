@@ -150,3 +150,18 @@ def fenced_answers(t: Tables) -> DataFrame:
     i = F.col("item_id")
     answer = F.when(i % 2 == 0, F.concat(F.lit('So:\n```json\n{"id": '), i.cast("string"), F.lit("}\n```\nDone."))).otherwise(F.concat(F.lit(' {"id": '), (i * 2).cast("string"), F.lit("} ")))
     return t.benchmark.select("item_id", F.get_json_object(X.fenced_json(answer), "$.id").cast("long").alias("id"))
+
+
+@query("""SELECT doc_id, CAST(greatest(1, length(text) // 4) AS BIGINT) AS rough, CAST(greatest(greatest(1, length(text) // 4), octet_length(encode(text))) AS BIGINT) AS safe FROM documents WHERE text IS NOT NULL""")
+def token_estimates(t: Tables) -> DataFrame:
+    """Tokens of a text: a quarter of its characters, and no less than its bytes where they must not be passed."""
+    rows = t.documents.where("text IS NOT NULL")
+    return rows.select("doc_id", X.rough_tokens(F.col("text")).cast("long").alias("rough"), X.safe_tokens(F.col("text")).cast("long").alias("safe"))
+
+
+@query(r"""WITH w AS (SELECT item_id, i, w FROM (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z_$][\p{L}\p{N}_$]*') AS ws FROM benchmark))), s AS (SELECT item_id, i, unnest(list_concat([w], list_filter(string_split_regex(replace(lower(regexp_replace(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')), 'ß', 'ss'), '[ _$]+'), lambda p: p <> ''))) AS term FROM w), f AS (SELECT item_id, term, min(i) AS i FROM s GROUP BY ALL)
+SELECT item_id, count(*) AS terms, count(*) FILTER (term = lower(term)) AS folded FROM f GROUP BY item_id""")
+def exact_terms(t: Tables) -> DataFrame:
+    """Distinct identifiers of a passage as they are spelt, and their folded parts."""
+    rows = t.benchmark.select("item_id", F.explode(X.identifier_terms(F.col("text"))).alias("term"))
+    return rows.groupBy("item_id").agg(F.count("*").alias("terms"), F.count_if(F.col("term") == F.lower("term")).alias("folded"))

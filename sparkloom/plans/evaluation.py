@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import classify as C
 from sparkloom.functions import identity as I
-from sparkloom.functions import text as X
 from sparkloom.operators import evidence as E
 from sparkloom.operators import graph as G
 from sparkloom.operators import ledger as L

@@ -7,10 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import identity as I
-from sparkloom.functions import text as X
 from sparkloom.operators import evidence as E
 from sparkloom.operators import ledger as L
-from sparkloom.operators import records as R
 from sparkloom.operators import retrieval
 
 from .registry import Tables, query

@@ -255,3 +255,13 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(x.terms, '') END AS
 def bounded_terms(t: Tables) -> DataFrame:
     """Words of each document that fit a search text: 64 terms and 1600 characters are what it may hold."""
     return t.documents.select("doc_id", F.array_join(R.bounded_terms(F.split("text", r"\s+")), " ").alias("terms"))
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN ' Module ' WHEN 2 THEN lower(p_type) ELSE p_type END AS a, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'ArchitectureComponent' WHEN 2 THEN p_type ELSE 'SMALL' END AS b FROM part), f AS (SELECT *, lower(trim(a)) AS x, lower(trim(b)) AS y FROM p)
+SELECT p_partkey, coalesce(a, '') = '' OR b = '' OR x = y OR x IN ('component', 'entity', 'module', 'architecturecomponent') OR y IN ('component', 'entity', 'module', 'architecturecomponent') AS agree, CASE WHEN a IS NULL THEN '' ELSE 'entity:' || a END AS node FROM f""")
+def label_agreement(t: Tables) -> DataFrame:
+    """Whether two labels of an entity fit together, and the id under which it is drawn."""
+    size = F.col("p_size")
+    a = F.when(size % 5 == 1, " Module ").when(size % 5 == 2, F.lower("p_type")).when(size % 5 > 2, F.col("p_type"))
+    b = F.when(size % 4 == 0, "").when(size % 4 == 1, "ArchitectureComponent").when(size % 4 == 2, F.col("p_type")).otherwise("SMALL")
+    return t.part.select("p_partkey", I.labels_agree(a, b).alias("agree"), I.node_id(F.concat(F.lit("entity:"), a)).alias("node"))

@@ -11,7 +11,7 @@ from sparkloom import plans
 from sparkloom.functions import classify as C
 from sparkloom.functions import identity as I
 from sparkloom.functions import text as X
-from sparkloom.operators import folds, ledger, passages, retrieval
+from sparkloom.operators import evidence, folds, ledger, passages, retrieval
 from sparkloom.operators import graph as G
 from sparkloom.sources import tables
 from sparkloom.streaming import jobs
@@ -298,3 +298,10 @@ def test_holders_equal_containment(spark):
     want = {(p, d) for p, q in passages for d, t in docs if q is not None and t is not None and q in t}
     found = retrieval.holders(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, passage string")).collect()
     assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+def test_challenges_prefer_shared_evidence(spark):
+    rows = [(1, 1, [1, 2], 40), (1, 2, [3], 70), (1, 3, [2], 50), (1, 4, [3], 40), (1, 5, [2], 500), (1, 6, [9], 20), (2, 1, [1], 10)]
+    df = spark.createDataFrame(rows, "plan long, key long, evidence array<long>, size long")
+    got = {(r.plan, r.key): r.bin for r in evidence.challenges(df, "plan", "key", "evidence", "size", 100, most=2).collect()}
+    assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 0, (1, 4): 2, (1, 5): None, (1, 6): 1, (2, 1): 0}
