@@ -223,7 +223,7 @@ class Encoder:
             raw, at = data.tobytes(), first[new]
             rows[new] = np.arange(len(new)) + len(self.index.keys)
             self._add(keys[new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-        known = (self.raw.size[rows] == long[first]) & equal_spans(data, start[first], self.raw.flat, self.raw.start[rows], np.minimum(long[first], self.raw.size[rows]))
+        known = (self.raw.size[rows] == long[first]) & equal_spans(data, start[first], self.raw.flat, self.raw.start[rows], np.minimum(long[first], self.raw.size[rows]), spare=True)
         like = (long == long[first][codes]) & equal_spans(data, start, data, start[first][codes], np.minimum(long, long[first][codes]))
         other = np.flatnonzero(~(like & known[codes]))
         rows = rows[codes]
@@ -244,7 +244,8 @@ class Encoder:
 
 
 class Rows:
-    """Arrays of any length end to end, growing: row i is flat[start[i] : start[i] + size[i]]."""
+    """Arrays of any length end to end, growing: row i is flat[start[i] : start[i] + size[i]], and eight cells
+    at least are spare."""
 
     def __init__(self, kind: type):
         self.flat, self.used = np.zeros(1 << 16, kind), 0
@@ -255,7 +256,7 @@ class Rows:
         n, m, total = self.count, self.count + len(rows), self.used + int(size.sum())
         while m > len(self.start):
             self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-        while total > len(self.flat):
+        while total + 8 > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
         self.flat[self.used : total] = np.concatenate(rows)
         self.size[n:m], self.start[n:m] = size, self.used + np.cumsum(size) - size

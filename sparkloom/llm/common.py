@@ -123,10 +123,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def lanes(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from every position of data on as one little-endian number; zeros follow the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+def lanes(data: np.ndarray, spare: bool = False) -> np.ndarray:
+    """The eight bytes from every position of data on as one little-endian number; zeros follow the end. Data
+    with eight spare bytes at its end is read as it stands, without a copy."""
+    padded = data if spare else np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -147,10 +148,11 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
-def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the `size` bytes of a and of b from each pair of starts on are the same."""
+def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray, spare: bool = False) -> np.ndarray:
+    """Whether the `size` bytes of a and of b from each pair of starts on are the same; spare tells that b has
+    eight spare bytes at its end."""
     same = np.ones(len(size), bool)
-    wa, wb = lanes(a), lanes(b)
+    wa, wb = lanes(a), lanes(b, spare)
     live = np.flatnonzero((size > 0) & (size <= LANES))
     x, y, left = a_start[live], b_start[live], size[live]
     while len(live):
