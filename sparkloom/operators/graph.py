@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.identity import GENERIC
 
-from .steps import materialise
+from .steps import discard, materialise
 
 
 def bounded(rows: DataFrame, order: list, most: int) -> DataFrame:
@@ -95,45 +95,68 @@ def resolve_tiered(mentions: DataFrame, entities: DataFrame, folded, squeezed) -
 def communities(both: DataFrame) -> DataFrame:
     """(node, community): the smallest id a node can reach over edges (a, b). Alternating large-star and
     small-star rounds until no edge moves, so their number grows with the logarithm of a path's length;
-    each round is written to the shared folder, so a lost executor re-reads it."""
-    kept = lambda df: materialise(df, "labels")
-    edges = kept(both.where("a > b").select("a", "b").distinct())
-    nodes = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"))
+    each round is written to the shared folder, so a lost executor re-reads it. The smallest neighbours
+    are written before the edges meet them: Spark splits a node's many edges only between plain tables."""
+    kept = lambda df, name: materialise(df, name)
+    edges = kept(both.where("a > b").select("a", "b").distinct(), "edges")
+    nodes = kept(edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node")), "nodes")
     before = None
     while True:
         ways = edges.union(edges.select("b", "a"))
-        least = ways.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = kept(ways.join(least, ways.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        least = kept(ways.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = kept(ways.join(least, ways.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = kept(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "low")
         small = large.join(low, large.a == low.u).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = kept(small.union(low.select("u", "m")).distinct())
+        small = kept(small.union(low.select("u", "m")).distinct(), "small")
+        discard(edges, least, large, low)
+        edges = small
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
         if state == before:
             return nodes.join(edges.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("community"))
         before = state
 
 
-def with_community_ids(found: DataFrame) -> DataFrame:
-    """found (node, community) with `community_id`, the digest of O-08 over the members as text in order. A
-    digest is fed from sorted rows as they pass, so no member list is held; the id is joined back."""
+#: Members of a community that one digest covers; a larger community's id is the digest of its blocks' digests.
+DIGESTED = 100_000
+
+
+def _digests(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """keys with `digest`, the sha256 of the group's members in order, joined by bars. Rows pass sorted, so that a
+    task holds one digest's state and no list of members."""
+    kinds = [rows.schema[k].dataType.simpleString() for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, digest = None, None
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array(["comm_" + digest.hexdigest()[:12]])], ["community", "community_id"])
+        def out(batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [pa.array([x], batch.column(k).type) for x, k in zip(at, keys, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([digest.hexdigest()])], [*keys, "digest"])
 
         for batch in batches:
-            for c, member in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if c != at:
+            for *key, text in zip(*(batch.column(c).to_pylist() for c in (*keys, member)), strict=True):
+                if key != at:
                     if digest is not None:
-                        yield out()
-                    at, digest = c, hashlib.sha256(member.encode())
+                        yield out(batch)
+                    at, digest = key, hashlib.sha256(text.encode())
                 else:
-                    digest.update(b"|" + member.encode())
+                    digest.update(b"|" + text.encode())
         if digest is not None:
-            yield out()
-
-    rows = found.select(F.col("community").cast("long").alias("community"), F.col("node").cast("string").alias("member"))
-    ids = rows.repartition("community").sortWithinPartitions("community", "member").mapInArrow(run, "community long, community_id string")
+            yield out(batch)
+
+    sorted_ = rows.select(*keys, member).repartition(*keys).sortWithinPartitions(*keys, member)
+    return sorted_.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in zip(keys, kinds, strict=True)) + ", digest string")
+
+
+def with_community_ids(found: DataFrame, most: int = DIGESTED) -> DataFrame:
+    """found (node, community) with `community_id`, the digest of O-08 over the members as text in order. A community
+    of more than `most` members is dealt over blocks by a hash of the member; its id is the digest of the
+    blocks' digests in order, so that no task digests a whole large community. Ids join back to written sides."""
+    sizes = materialise(found.groupBy("community").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks")), "sizes")
+    rows = found.join(sizes, "community").select("community", "blocks", F.col("node").cast("string").alias("member"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    parts = materialise(_digests(dealt, ["community", "blocks", "block"], "member"), "digests")
+    one = parts.where("blocks = 1").select("community", "digest")
+    several = parts.where("blocks > 1").select("community", F.concat_ws(":", F.lpad(F.col("block").cast("string"), 10, "0"), "digest").alias("member"))
+    several = _digests(several, ["community"], "member")
+    ids = materialise(one.union(several).select("community", F.concat(F.lit("comm_"), F.substring("digest", 1, 12)).alias("community_id")), "ids")
     return found.join(ids, "community").select("node", "community", "community_id")

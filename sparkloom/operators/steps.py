@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_SHARED = "/tmp/checkpoints/sparkloom"
+SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. A session on one machine has a local default; on a cluster the
-    setting is needed, as executors don't see each other's folders."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (found or LOCAL_SHARED).rstrip("/")
+    """The folder of spark.checkpoint.dir. Where it is unset, a session on one machine gets a folder of its own,
+    with a warning, that goes when Python ends; on a cluster the setting is needed, as executors don't see each
+    other's folders."""
+    found = spark.conf.get(SETTING, None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="spark-steps-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
+        warnings.warn(f"{SETTING} is unset; steps are written to {found}", stacklevel=3)
+        spark.conf.set(SETTING, found)
+    return found.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
@@ -23,7 +34,16 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

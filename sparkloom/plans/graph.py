@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from sparkloom.functions import classify as C
 from sparkloom.functions import identity as I
 from sparkloom.operators import graph as G
+from sparkloom.operators import modularity as M
+from sparkloom.operators.steps import materialise
 
-from .registry import Tables, alias, query
+from .registry import Tables, query
 
 CODE = "code AS (SELECT 'p' || l_partkey AS src, 'SUPPLIED_BY' AS rel, 's' || l_suppkey AS dst, max(round(1 - l_discount, 4)) AS confidence, CAST(min(l_orderkey) AS BIGINT) AS seq, min(l_shipdate) AS rationale FROM lineitem GROUP BY ALL)"
 ASSERT = "asserted AS (SELECT 'c' || o_custkey AS src, 'ORDERS' AS rel, 'p' || l_partkey AS dst, max(round(l_quantity / 50, 4)) AS confidence, CAST(min(o_orderkey) AS BIGINT) AS seq FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%' GROUP BY ALL)"
@@ -72,17 +74,11 @@ def neighborhood_1hop(t: Tables) -> DataFrame:
     return _neighbourhood(t, 1)
 
 
-alias("neighborhood_1hop_all", "neighborhood_1hop")
-
-
 @query(_neighbourhood_sql(2))
 def neighborhood_2hop(t: Tables) -> DataFrame:
     return _neighbourhood(t, 2)
 
 
-alias("neighborhood_2hop_all", "neighborhood_2hop")
-
-
 @query("""WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders QUALIFY nth <= 201)
 SELECT o.o_orderkey, CAST(nth AS INTEGER) AS nth, (SELECT max(nth) > 200 FROM o) AS truncated, coalesce(array_to_string(list_sort(list(DISTINCT l_partkey) FILTER (l_partkey IS NOT NULL)), ','), '') AS parts FROM o LEFT JOIN lineitem ON l_orderkey = o.o_orderkey WHERE nth <= 200 GROUP BY ALL""")
 def inventory_bounded(t: Tables) -> DataFrame:
@@ -140,23 +136,67 @@ def graph_orphans(t: Tables) -> DataFrame:
     return out
 
 
-def _pairs(t: Tables) -> DataFrame:
-    """From the customer of a high-priority order to an id one to seven above it."""
-    return t.orders.where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1 + F.pmod("o_orderkey", F.lit(7))).alias("dst"))
+def _dearest(t: Tables) -> DataFrame:
+    """From each customer to the part of the dearest line of all its orders."""
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    first = F.min_by("l_partkey", F.struct(-F.col("l_extendedprice"), "l_orderkey", "l_linenumber"))
+    best = rows.groupBy("o_custkey").agg(first.alias("part"))
+    return best.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("part").cast("string")).alias("dst"))
 
 
-COMMUNITIES = """WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT o_custkey AS a, o_custkey + 1 + o_orderkey % 7 AS b FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey + 1 + o_orderkey % 7, o_custkey FROM orders WHERE o_orderpriority LIKE '1%')),
+COMMUNITIES = """WITH RECURSIVE d AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) = 1),
+e AS (SELECT src AS a, dst AS b FROM d UNION SELECT dst, src FROM d),
 r(node, l) AS (SELECT a, a FROM e UNION SELECT e.b, r.l FROM r JOIN e ON r.node = e.a WHERE r.l < e.b), c AS (SELECT node, min(l) AS community FROM r GROUP BY node)
-SELECT node, community, 'comm_' || substr(sha256(string_agg(CAST(node AS VARCHAR), '|' ORDER BY CAST(node AS VARCHAR)) OVER (PARTITION BY community ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 1, 12) AS community_id FROM c"""
+SELECT node, community, 'comm_' || substr(sha256(string_agg(node, '|' ORDER BY node) OVER (PARTITION BY community ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 1, 12) AS community_id FROM c"""
 
 
 @query(COMMUNITIES)
 def community_components(t: Tables) -> DataFrame:
-    """Communities of the customers and what their urgent orders link them to, with the digest of each."""
-    return G.with_community_ids(G.communities(G.undirected(_pairs(t))))
+    """Communities of customers and the parts they spend most on, with the digest of each."""
+    return G.with_community_ids(G.communities(G.undirected(_dearest(t))))
 
 
-alias("community_components_all", "community_components")
+def _spending(t: Tables) -> DataFrame:
+    """Edges of a customer to its nation, of a supplier to its nation, and of a customer to the supplier of the dearest
+    line of each order."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    first = F.min_by("l_suppkey", F.struct(-F.col("l_extendedprice"), "l_linenumber"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(first.alias("supplier"))
+    bought = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(name("c", "o_custkey").alias("src"), name("s", "supplier").alias("dst"))
+    home = t.customer.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"))
+    return bought.unionByName(home).unionByName(t.supplier.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst")))
+
+
+@query()
+def community_modularity(t: Tables) -> DataFrame:
+    """Communities of customers, suppliers and nations by modularity, with the digest of each."""
+    return G.with_community_ids(M.by_modularity(_spending(t)))
+
+
+SPENDING = """s AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
+
+
+@query(f"WITH {SPENDING}, n AS (SELECT src AS node FROM s UNION SELECT dst FROM s) SELECT 'nodes' AS property, count(*) AS value FROM n UNION ALL SELECT 'nodes in two communities', 0 UNION ALL SELECT 'ids of two communities', 0 UNION ALL SELECT 'communities in several parts', 0 UNION ALL SELECT 'modularity below that of nations', 0")
+def community_invariants(t: Tables) -> DataFrame:
+    """What must hold of communities by modularity: all nodes have one, ids differ, each is connected, and the
+    modularity is not below that of the nations with their customers and suppliers."""
+    edges = materialise(_spending(t), "edges")
+    found = materialise(G.with_community_ids(M.by_modularity(edges)), "found")
+    links = M.weighted(edges)
+    home = edges.where("dst LIKE 'n%'").select(F.col("src").alias("node"), F.col("dst").alias("c"))
+    home = home.union(home.select(F.col("c").alias("node"), "c").distinct())
+    best, plain = M.modularity(links, found.select("node", F.col("community").alias("c"))), M.modularity(links, home)
+    ends = links.join(found.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(found.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+    whole = G.communities(ends.where("ca = cb").select("a", "b")).select("node", F.col("community").alias("part"))
+    apart = found.join(whole, "node").groupBy("community").agg(F.countDistinct("part").alias("n")).where("n > 1")
+    twice = found.groupBy("node").agg(F.countDistinct("community").alias("n")).where("n > 1")
+    shared = found.groupBy("community_id").agg(F.countDistinct("community").alias("n")).where("n > 1")
+    out = None
+    for name, rows in {"nodes": found, "nodes in two communities": twice, "ids of two communities": shared, "communities in several parts": apart}.items():
+        one = rows.agg(F.lit(name).alias("property"), F.count("*").alias("value"))
+        out = one if out is None else out.union(one)
+    return out.union(edges.sparkSession.range(1).select(F.lit("modularity below that of nations"), F.lit(int(best < plain)).cast("long")))
 
 
 @query("""WITH p AS (SELECT page_id, length(html) AS size, list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '') AS s FROM pages),

@@ -30,8 +30,3 @@ def query(sql: str | None = None) -> Callable:
         return f
 
     return add
-
-
-def alias(name: str, of: str) -> None:
-    """Register a query under a second name."""
-    QUERIES[name], SQL[name] = QUERIES[of], SQL[of]
