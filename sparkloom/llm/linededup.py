@@ -217,7 +217,8 @@ class Index:
         seen = materialise(_in_shards(sent.union(_sent(more, shards, _NEW)), bits), "filters")
         maybe = materialise(seen.where("cells IS NULL").select(F.col("h1")).distinct(), "seen")
         held = more if not was else materialise(self.held.union(more), "held")
-        counts = _counted(held.join(maybe, "h1", "left_semi"))
+        # Written before it is counted: a join whose rows are then grouped by its key would not be split.
+        counts = _counted(materialise(held.join(maybe, "h1", "left_semi"), "candidates"))
         if was:
             counts = counts.union(self.counts.join(maybe, "h1", "left_anti"))
         return Index(held, materialise(counts, "counts"), seen.where("cells IS NOT NULL").select("shard", "cells"), shards, bits, self.least)
@@ -238,7 +239,7 @@ class Index:
     def losses(self) -> DataFrame:
         """(doc_id, gone): the digests of the keys whose lines a document loses, end to end."""
         # Both sides are written tables: the rows of a very common line can be split.
-        lost = self.held.join(self.counts, ["h1", "h2"]).where("doc_id <> first").select("doc_id", "h1", "h2").distinct()
+        lost = self.held.join(self.counts, ["h1", "h2"]).where("doc_id <> first").select("doc_id", "h1", "h2")
         return materialise(lost.groupBy("doc_id").agg(F.collect_list("h1").alias("g1"), F.collect_list("h2").alias("g2")), "losses")
 
 
