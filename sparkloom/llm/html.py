@@ -24,7 +24,8 @@ import html as entities
 import re
 import sys
 import textwrap
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,6 +61,8 @@ IMPLIED = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
+IMPLIED = {tag: (frozenset(closed), frozenset(bounds)) for tag, (closed, bounds) in IMPLIED.items()}
+PARAGRAPH = frozenset(["p"])
 #: Parts of a table, those that hold only such parts, and what a browser leaves between them.
 PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())
 GRID = frozenset("table tbody tfoot thead tr".split())
@@ -68,6 +71,7 @@ BETWEEN = PARTS | {"script", "style", "template"}
 UNDRAWN = {"svg": frozenset("defs desc metadata symbol".split()), "math": frozenset(["annotation", "annotation-xml"])}
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 SCOPE = frozenset("table td th caption button object template".split())
+CELL, CAPTION = frozenset("td th template".split()), frozenset(["caption"])
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -99,33 +103,51 @@ class Node:
         return int(found.group(1)) if found else otherwise
 
 
+class Open:
+    """The open elements, outermost first, with the places of each tag and of some groups of tags, so that the
+    nearest one of a kind is found without walking through the others."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.spots: defaultdict[str, list[int]] = defaultdict(list)
+        self.groups = {g: [] for g in (BLOCK, SCOPE, GRID)}
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.spots[node.tag].append(at)
+        for group, places in self.groups.items():
+            if node.tag in group:
+                places.append(at)
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.spots[tag].pop()
+            for group, places in self.groups.items():
+                if tag in group:
+                    places.pop()
+
+    def nearest(self, tags: set | frozenset) -> int:
+        """The place of the innermost element of `tags`, 0 where none is open."""
+        if tags in self.groups:
+            return self.groups[tags][-1] if self.groups[tags] else 0
+        return max((self.spots[t][-1] for t in tags if self.spots[t]), default=0)
+
+    def close(self, tags: set | frozenset, bounds: set | frozenset) -> None:
+        """Close the outermost open element of `tags` inside the nearest bound."""
+        low = self.nearest(bounds)
+        inside = [spots[i] for t in tags if (spots := self.spots[t]) and (i := bisect_right(spots, low)) < len(spots)]
+        if inside:
+            self.cut(min(inside))
+
+
 def parse(page: str) -> Node:
     """The tree of a page, with tags closed that the markup leaves open."""
     root = Node("#root", {})
-    open_ = [root]
-    count: Counter[str] = Counter()  # open elements by tag
-
-    def cut(i: int) -> None:
-        for x in open_[i:]:
-            count[x.tag] -= 1
-        del open_[i:]
-
-    def push(x: Node) -> None:
-        count[x.tag] += 1
-        open_.append(x)
-
-    def close(names: set | frozenset, bounds: set | frozenset) -> None:
-        """Close the outermost open element of `names` inside the nearest bound."""
-        found = None
-        if not any(count[x] for x in names):
-            return
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in names:
-                found = i
-            elif open_[i].tag in bounds:
-                break
-        if found is not None:
-            cut(found)
+    stack = Open(root)
+    open_, spots, cut, close = stack.nodes, stack.spots, stack.cut, stack.close
 
     def place(child: Node | str) -> None:
         """Put a child where a browser does: what stands between the parts of a table goes before it."""
@@ -134,10 +156,9 @@ def parse(page: str) -> Node:
         if into.tag == "colgroup" and (stray if isinstance(child, str) else child.tag != "col"):
             cut(len(open_) - 1)
             into = open_[-1]
-        table = next((x for x in reversed(open_) if x.tag == "table"), None) if into.tag in GRID and stray else None
-        if table is not None:  # an open table is the last one in its list
-            table.beside.insert(-1, child)
-            beside = table.beside
+        if into.tag in GRID and stray and spots["table"]:  # an open table is the last one in its list
+            beside = open_[spots["table"][-1]].beside
+            beside.insert(-1, child)
         else:
             beside = into.children
             beside.append(child)
@@ -156,31 +177,25 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if slash:
-            if not count[tag]:
+            at_tag = spots[tag][-1] if spots[tag] else 0
+            if not at_tag:
+                continue
+            if tag not in ("table", "tr", "tbody", "thead", "tfoot") and stack.nearest(SCOPE) > at_tag:
                 continue
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    cut(i)
-                    break
-                if open_[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                    break
-                if open_[i].tag in BLOCK and tag not in BLOCK and tag not in FORMATTING:
-                    break  # such an end tag stays inside the block it stands in
+            if tag not in BLOCK and tag not in FORMATTING and stack.nearest(BLOCK) > at_tag:
+                continue  # such an end tag stays inside the block it stands in
+            cut(at_tag)
             continue
-        if tag == "form" and open_[-1].tag in GRID and count["table"]:
+        if tag == "form" and open_[-1].tag in GRID and spots["table"]:
             continue  # a browser leaves an empty form there; what follows stays in the table
         if tag in BLOCK:
-            close({"p"}, SCOPE)
-        if tag in PARTS and (count["table"] or count["tr"]):  # back to the table's part, out of what was moved before the table
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in GRID:
-                    cut(i + 1)
-                    break
-                if open_[i].tag == "caption":
-                    cut(i)
-                    break
-                if open_[i].tag in ("td", "th", "template"):
-                    break
+            close(PARAGRAPH, SCOPE)
+        if tag in PARTS and (spots["table"] or spots["tr"]):  # back to the table's part, out of what was moved before the table
+            part, caption, cell = stack.nearest(GRID), stack.nearest(CAPTION), stack.nearest(CELL)
+            if part > max(caption, cell):
+                cut(part + 1)
+            elif caption > cell:
+                cut(caption)
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         elif tag not in ("html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template") and open_[-1].tag == "head":
@@ -192,9 +207,9 @@ def parse(page: str) -> Node:
         if tag in ("td", "th") and open_[-1].tag in GRID and open_[-1].tag != "tr":
             row = Node("tr", {})
             place(row)
-            push(row)
+            stack.push(row)
         node = Node(tag, attributes)
-        drawn = [x for x in UNDRAWN if count[x]] if tag not in BLOCK else []
+        drawn = [x for x in UNDRAWN if spots[x]] if tag not in BLOCK else []
         if any(tag in UNDRAWN[x] for x in drawn):
             attributes["hidden"] = ""
         place(node)
@@ -210,7 +225,7 @@ def parse(page: str) -> Node:
             stop = page.find(">", end)
             at = n if stop < 0 else stop + 1
         elif tag not in VOID:
-            push(node)
+            stack.push(node)
     return root
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from sparkloom.llm.html import extracted, render
@@ -126,3 +127,122 @@ def test_hostile_tables_take_little_time_and_memory():
     assert render("<table><tr>" + "<td colspan=1000 rowspan=65534>a" * many + "</table>").split() == ["a"] * many
     assert render("<table>" + "<tr><td rowspan=65534>a" * many + "</table>").split() == ["a"] * many
     assert render("<table><tr>" + "<td>a" * many + "<tr><td>b" * many + "</table>").split() == ["a"] * many + ["b"] * many
+
+
+@pytest.mark.parametrize("page", ["<font>" * 100_000 + "<td></p>" * 100_000, "<div>" * 100_000 + "<li>" * 100_000, "<p><button>" + "<div>" * 100_000, "<b><p>" * 100_000 + "</i>" * 100_000])
+def test_time_follows_the_page_at_any_depth(page):
+    began = time.perf_counter()
+    assert render(page + "x").split()[-1:] in (["x"], [])
+    assert time.perf_counter() - began < 5
+
+
+class Laid:
+    """A plain second layout of a page model, built from rules alone: blocks are lists of lines, and two blocks
+    have an empty line between if either asks for it."""
+
+    def __init__(self):
+        self.lines, self.spaced = [], False
+
+    def add(self, lines, spaced):
+        if not lines:
+            return
+        if self.lines and (spaced or self.spaced):
+            self.lines.append("")
+        self.lines += lines
+        self.spaced = spaced
+
+
+def laid_list(model, indent=""):
+    """Lines of nested lists: items (text, sublist), each sublist one mark deeper."""
+    ordered, items = model
+    out = []
+    for n, (text, below) in enumerate(items, 1):
+        mark = f"{n}. " if ordered else "- "
+        out.append(indent + mark + text)
+        if below:
+            out += laid_list(below, indent + " " * len(mark))
+    return out
+
+
+def laid_table(rows):
+    """Lines of a table of one-line cells (text, columns, rows): all columns two spaces apart."""
+    taken, placed, wide = set(), [], {}
+    for r, row in enumerate(rows):
+        c, line = 0, []
+        for text, across, down in row:
+            while (r, c) in taken:
+                c += 1
+            line.append((c, text))
+            wide[c] = max(wide.get(c, 0), len(text))
+            taken |= {(r + i, c + j) for i in range(down) for j in range(across)}
+            c += across
+        placed.append(line)
+    start, at = {}, 0
+    for c in sorted(wide):
+        start[c], at = at, at + wide[c] + 2
+    out = []
+    for line in placed:
+        text = ""
+        for c, word in line:
+            text = text.ljust(start[c]) + word
+        out.append(text.rstrip())
+    return out
+
+
+def random_list(rng, depth=0):
+    items = [(f"i{rng.randrange(1000)}", random_list(rng, depth + 1) if depth < 3 and rng.random() < 0.3 else None) for _ in range(rng.randrange(1, 5))]
+    return rng.random() < 0.4, items
+
+
+def list_markup(model):
+    tag = "ol" if model[0] else "ul"
+    return f"<{tag}>" + "".join(f"<li>{t}{list_markup(b) if b else ''}" for t, b in model[1]) + f"</{tag}>"
+
+
+def random_table(rng):
+    """Rows of cells without overlaps: spans over rows stand only in the first column."""
+    rows, free = [], 0
+    count = rng.randrange(1, 6)
+    for r in range(count):
+        row = []
+        if r >= free:
+            down = rng.choice((1, 1, 1, 2, 3))
+            down = min(down, count - r)
+            row.append((f"r{rng.randrange(10 ** rng.randrange(1, 7))}", 1, down))
+            free = r + down
+        row += [("c" * rng.randrange(1, 9), rng.choice((1, 1, 1, 2, 3)), 1) for _ in range(rng.randrange(1, 5))]
+        rows.append(row)
+    return rows
+
+
+def table_markup(rows):
+    cell = lambda text, across, down: "<td" + (f" colspan={across}" if across > 1 else "") + (f" rowspan='{down}'" if down > 1 else "") + f">{text}"
+    return "<table>" + "".join("<tr>" + "".join(cell(*c) for c in row) for row in rows) + "</table>"
+
+
+def test_layout_equals_a_second_renderer():
+    """Spacing of blocks, marks and indents of lists, columns and spans of tables on random pages."""
+    rng = random.Random(4)
+    for _ in range(400):
+        want, page = Laid(), []
+        for _ in range(rng.randrange(1, 7)):
+            kind = rng.choice(["p", "div", "list", "table", "pre", "h2", "br"])
+            words = [f"w{rng.randrange(100)}" for _ in range(rng.randrange(1, 8))]
+            if kind in ("p", "h2", "div"):
+                page.append(f"<{kind}>{'  '.join(words)}\n</{kind}>")
+                want.add([" ".join(words)], kind != "div")
+            elif kind == "br":
+                page.append(f"<div>{'<br>'.join(words)}</div>")
+                want.add(words, False)
+            elif kind == "pre":
+                page.append(f"<pre>{chr(10).join('  ' + w for w in words)}</pre>")
+                want.add(["  " + w for w in words], True)
+            elif kind == "list":
+                model = random_list(rng)
+                page.append(list_markup(model))
+                want.add(laid_list(model), True)
+            else:
+                rows = random_table(rng)
+                page.append(table_markup(rows))
+                want.add(laid_table(rows), True)
+        assert render("".join(page)) == "\n".join(want.lines), "".join(page)
