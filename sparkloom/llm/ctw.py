@@ -1,7 +1,8 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A text is a run of bytes and an end. Every symbol is split into binary decisions (end or not, then the
-eight bits), and each decision is predicted in the context of the last `DEPTH` bytes: a node of a context
+A text is a run of bytes and an end. Every symbol is split into binary decisions along a Huffman tree of the
+training symbols, so that a frequent symbol takes few decisions, each of which costs a context something to
+learn. Each decision is predicted in the context of the last `DEPTH` bytes: a node of a context
 tree holds a Krichevsky-Trofimov estimate from its counts, and weighting mixes the estimates of all depths.
 With counts taken once from the training texts, the weights follow from the counts alone, level by level,
 and each context and symbol gets one fixed log probability.
@@ -9,7 +10,7 @@ and each context and symbol gets one fixed log probability.
 How it is spread: tasks count grams (context and symbol) and words of chunks of texts; everything that
 grows with the corpus (gram table, tree levels, word counts) is joined and summed as rows of DataFrames.
 A chunk then gets back just the grams and words it holds, so nothing is broadcast and memory is bounded by
-the chunk.
+the chunk. Only the 257 counts of the symbols reach the driver. Written tables go as soon as nothing reads them.
 
 Beside the model stands a unigram base over lower-cased words and one end per text, with 0.1 added to
 every count; words are told apart by 64-bit hashes.
@@ -20,6 +21,7 @@ texts count each. Other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import io
 import zlib
 from collections.abc import Iterator
@@ -31,9 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, HashIndex, hash_spans, materialise, pick, pieces, utf8, word_spans
+from .common import LOWER, HashIndex, discard, hash_spans, materialise, pick, pieces, utf8, word_spans
 
-DEPTH = 4
+DEPTH = 5
 #: Bytes of text in a chunk.
 CHUNK = 1 << 24
 #: A symbol beside the bytes: the end after a text, and what stands before one.
@@ -129,27 +131,58 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array((n1 + 0.5) / (n0 + n1 + 1)), pa.array(own)], ["key", "one", "own"])
 
 
-def _path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, bit) of every symbol's decisions, one row a step, -1 beyond a symbol's last one: its way down the
+    Huffman tree of the counts, each with one added. Nodes are numbered from the top, equal weights go by age."""
+    heap = [(int(n) + 1, i, i) for i, n in enumerate(counts.tolist())]
+    heapq.heapify(heap)
+    up: dict[int, tuple[int, int]] = {}  # a subtree to its parent and its side
+    while len(heap) > 1:
+        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        top = len(counts) + len(up) // 2
+        up[x], up[y] = (top, 0), (top, 1)
+        heapq.heappush(heap, (a + b, top, top))
+    root = heap[0][2]
+    ways = []
+    for i in range(len(counts)):
+        way, at = [], i
+        while at in up:
+            at, side = up[at]
+            way.append((root - at, side))
+        ways.append(way[::-1])
+    out = np.full((2, max(map(len, ways), default=0), len(counts)), -1, np.int64)
+    for i, way in enumerate(ways):
+        for k, pair in enumerate(way):
+            out[:, k, i] = pair
+    return out[0], out[1]
+
+
+def _path(batches: Iterator[pa.RecordBatch], node: np.ndarray, bit: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(gram, n) -> (gram, key, bit, n) of the decisions of its symbol; key is context and node."""
     for batch in batches:
         gram, n = batch.column("gram").to_numpy(), batch.column("n").to_numpy()
         symbol, context = gram % SYMBOLS, gram // SYMBOLS
-        end = symbol == EDGE
-        byte = ~end
-        parts = [(gram, context * 256, end.astype(np.int32), n)]
-        for i in range(8):
-            node = (1 << i) | (symbol[byte] >> (8 - i))
-            parts.append((gram[byte], context[byte] * 256 + node, ((symbol[byte] >> (7 - i)) & 1).astype(np.int32), n[byte]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["gram", "key", "bit", "n"])
+        parts = []
+        for step in range(len(node)):
+            live = np.flatnonzero(node[step][symbol] >= 0)
+            if not len(live):
+                break
+            parts.append((gram[live], context[live] * 256 + node[step][symbol[live]], bit[step][symbol[live]].astype(np.int32), n[live]))
+        columns = zip(*parts, strict=True) if parts else ([gram], [gram], [gram.astype(np.int32)], [n])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(x))) for x in columns], ["gram", "key", "bit", "n"])
 
 
 def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
-    """(gram, p): log10 probability of each gram's symbol in its context, from all training counts n."""
-    steps = counts.mapInArrow(_path, "gram long, key long, bit int, n long")
+    """(gram, p), written: log10 probability of each gram's symbol in its context, from all training counts n."""
+    symbols = np.zeros(SYMBOLS, np.int64)
+    for r in counts.groupBy((F.col("gram") % SYMBOLS).alias("symbol")).agg(F.sum("n").alias("n")).collect():  # 257 rows
+        symbols[r["symbol"]] = r["n"]
+    node, bit = decisions(symbols)
+    steps = counts.mapInArrow(lambda batches: _path(batches, node, bit), "gram long, key long, bit int, n long")
     full = steps.groupBy("key").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
     full = materialise(full, "counts")
-    node = F.col("key") % 256
-    shorter = lambda d: ((F.floor(F.col("key") / F.lit(256)).cast("long") % (SYMBOLS**d)) * 256 + node).alias("key")
+    node_of = F.col("key") % 256
+    shorter = lambda d: ((F.floor(F.col("key") / F.lit(256)).cast("long") % (SYMBOLS**d)) * 256 + node_of).alias("key")
     levels = {depth: full}
     for d in range(depth - 1, -1, -1):
         levels[d] = materialise(levels[d + 1].select(shorter(d), "n0", "n1").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "counts")
@@ -164,14 +197,19 @@ def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
             both = top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("kids") - top))
             whole = known.join(kids, "key").withColumn("all", both - F.log(F.lit(2.0))).withColumn("w", F.exp(F.col("own") - both))
         tree[d] = below = materialise(whole.select("key", "one", "all", "w"), "tree")
-    mixed = tree[0].select("key", (F.col("w") * F.col("one")).alias("sum"), (1 - F.col("w")).alias("rest"))
+        discard(levels.pop(d))
+    mixed, last = tree[0].select("key", (F.col("w") * F.col("one")).alias("sum"), (1 - F.col("w")).alias("rest")), None
     for d in range(1, depth + 1):
         up = mixed.select(F.col("key").alias("up"), "sum", "rest")
         mixed = tree[d].withColumn("up", shorter(d - 1)).join(up, "up")
         mixed = mixed.select("key", (F.col("sum") + F.col("rest") * F.col("w") * F.col("one")).alias("sum"), (F.col("rest") * (1 - F.col("w"))).alias("rest"))
         mixed = materialise(mixed, "mixed")
+        discard(tree.pop(d), *([last] if last is not None else []))
+        last = mixed
     chosen = F.log10(F.when(F.col("bit") == 1, F.col("sum")).otherwise(1 - F.col("sum")))
-    return steps.join(mixed, "key").groupBy("gram").agg(F.sum(chosen).alias("p"))
+    found = materialise(steps.join(mixed, "key").groupBy("gram").agg(F.sum(chosen).alias("p")), "scores")
+    discard(*([last] if last is not None else []), *tree.values())
+    return found
 
 
 def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0, chunk: int = CHUNK) -> DataFrame:
@@ -181,7 +219,8 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0,
     chunks = materialise(_chunks(docs, depth, folds, held, chunk), "chunks")
     in_chunk = chunks.select("chunk", F.inline(F.arrays_zip(F.col("g").alias("gram"), F.col("gn").alias("n"))))
     table = materialise(in_chunk.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    p = materialise(gram_scores(table, depth), "scores")
+    p = gram_scores(table, depth)
+    discard(table)
     words = chunks.select("chunk", F.inline(F.arrays_zip(F.col("w").alias("word"), F.col("wn").alias("n"))))
     totals = materialise(words.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("chunks")), "words")
     kinds = totals.where("n > 0").count()

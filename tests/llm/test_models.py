@@ -100,18 +100,39 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def path(x):
-    return [(0, 1)] if x == 256 else [(0, 0)] + [((1 << i) | (x >> (8 - i)), (x >> (7 - i)) & 1) for i in range(8)]
+def huffman(counts):
+    """The decisions (inner node, side) of every symbol, by merging the two lightest trees until one is left."""
+    trees = [(n + 1, i, i) for i, n in enumerate(counts)]
+    made = len(counts)
+    while len(trees) > 1:
+        trees.sort()
+        (a, _, x), (b, _, y) = trees[:2]
+        trees = [*trees[2:], (a + b, made, (made, x, y))]
+        made += 1
+    ways = {}
+
+    def walk(tree, way):
+        if isinstance(tree, int):
+            ways[tree] = way
+        else:
+            number, x, y = tree
+            walk(x, [*way, (number, 0)])
+            walk(y, [*way, (number, 1)])
+
+    walk(trees[0][2], [])
+    return ways
 
 
 def brute_ctw(texts, depth):
     symbols = {i: (256,) * depth + tuple((t or "").encode()) + (256,) for i, t in texts.items()}
     grams = {i: [s[k - depth : k + 1] for k in range(depth, len(s))] for i, s in symbols.items()}
     learn = {i for i in texts if zlib.crc32(str(i).encode()) % 10 != 0}
+    used = Counter(g[-1] for i in learn for g in grams[i])
+    ways = huffman([used[x] for x in range(257)])
     counts = defaultdict(lambda: [0, 0])
     for i, gs in grams.items():
         for g in gs:
-            for node, bit in path(g[-1]):
+            for node, bit in ways[g[-1]]:
                 for d in range(depth + 1):
                     counts[g[depth - d : depth], node][bit] += i in learn
     own = {k: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for k, (a, b) in counts.items()}
@@ -128,7 +149,7 @@ def brute_ctw(texts, depth):
 
     def log(g):
         out = 0.0
-        for node, bit in path(g[-1]):
+        for node, bit in ways[g[-1]]:
             one, rest = 0.0, 1.0
             for d in range(depth + 1):
                 k = g[depth - d : depth], node
