@@ -4,38 +4,20 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LOCAL_SHARED = "/tmp/checkpoints/sparkloom"
+from sparkloom.operators.steps import discard, materialise
 
+__all__ = ["discard", "materialise"]
 
 # --- Spark side -------------------------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local default only where the session has none and runs on one
-    machine. On a cluster the setting is needed, as executors don't see each other's folders."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (found or LOCAL_SHARED).rstrip("/")
-
-
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs
-    a re-read instead of a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(key: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold that decides what is held out."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
@@ -356,18 +338,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every node of links (a long, b long): component is the smallest id that
     links reach. Alternating large-star and small-star rounds, with a union-find in every task
-    before; a node's many links meet only in combinable minima and joins that can be split."""
+    before; a node's many links meet only in combinable minima, which are written before the links join
+    them: Spark splits a hot key only between plain tables. A round's tables go when the next one stands."""
     edges = materialise(pick(links, "a", "b").mapInArrow(_forest, "a long, b long"), "links")
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialise(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialise(large, "large")
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        low = materialise(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "low")
         small = large.join(low, large.a == low.u)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m")).where("a <> b").distinct()
-        edges = materialise(small, "small")
+        small = materialise(small, "small")
+        discard(edges, least, large, low)
+        edges = small
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
         if state == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

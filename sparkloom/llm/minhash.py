@@ -178,7 +178,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     reps = signed.where("n_shingles > 0").groupBy(*print_).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     reps = materialise(reps, "reps")
     members = reps.select("rep", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    # Written first: the members of a very full bucket can be split only against a plain table.
+    buckets = materialise(members.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"), "leads")
     shared = materialise(members.join(buckets, "key"), "buckets")  # (key, rep, lead)
 
     stars = materialise(shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "stars")

@@ -127,7 +127,8 @@ def _blocks(reps: DataFrame, tile: int) -> DataFrame:
         if rows:
             yield out()
 
-    count = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
+    # Written first, so that the rows of a label that holds many of them can be split.
+    count = materialise(reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles")), "tiles")
     dealt = reps.join(count, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     dealt = dealt.select("label", "dim", "own", "tiles", "rep", "weight", "v").repartition("label", "dim", "own").sortWithinPartitions("label", "dim", "own")
     return dealt.mapInArrow(run, "label string, dim int, own int, tiles int, ids binary, weights binary, vs binary")
