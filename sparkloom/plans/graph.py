@@ -9,6 +9,7 @@ from sparkloom.functions import classify as C
 from sparkloom.functions import identity as I
 from sparkloom.operators import graph as G
 from sparkloom.operators import modularity as M
+from sparkloom.operators import ranges as RG
 from sparkloom.operators.steps import materialise
 
 from .registry import Tables, query
@@ -248,10 +249,10 @@ def diff_two_manifests(t: Tables) -> DataFrame:
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_shipdate AS lo, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS hi FROM lineitem)
 SELECT x.l_orderkey, x.l_linenumber AS a, y.l_linenumber AS b FROM a x JOIN a y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber AND x.lo <= y.hi AND y.lo <= x.hi""")
 def interval_overlap(t: Tables) -> DataFrame:
-    """Lines of one order whose spans meet: an equal key with a range condition."""
-    hi = F.expr("l_shipdate + make_dt_interval(cast(l_quantity as int))")
-    span = lambda n: t.lineitem.select("l_orderkey", F.col("l_linenumber").alias(n), F.col("l_shipdate").alias(f"{n}_lo"), hi.alias(f"{n}_hi"))
-    return span("a").join(span("b"), "l_orderkey").where("a < b AND a_lo <= b_hi AND b_lo <= a_hi").select("l_orderkey", "a", "b")
+    """Lines of one order whose spans meet."""
+    day = F.unix_date(F.to_date("l_shipdate"))
+    spans = t.lineitem.select("l_orderkey", "l_linenumber", day.alias("lo"), (day + F.col("l_quantity").cast("int")).alias("hi"))
+    return RG.overlapping(spans, "l_orderkey", "l_linenumber", "lo", "hi").where("a <> b")
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber AS n, l_shipdate AS lo, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS hi, CAST(l_quantity AS INTEGER) AS w FROM lineitem)
