@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from . import delta, details, evaluation, graph, inventory, knowledge, ledger, readmodels, retrieval, spans, text, vectors  # noqa: F401
+from . import delta, details, evaluation, graph, inventory, knowledge, ledger, lifecycle, readmodels, retrieval, spans, text, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 
