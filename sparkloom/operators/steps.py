@@ -40,10 +40,13 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialise() that nothing reads any more."""
+    """Delete tables of materialise() that nothing reads any more. A collection on the driver lets Spark drop the
+    shuffle files of the steps that wrote them, too."""
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.java.lang.System.gc()
 
 
 def spread(df: DataFrame) -> DataFrame:
