@@ -9,8 +9,10 @@ and each context and symbol gets one fixed log probability.
 
 How it is spread: tasks count grams (context and symbol) and words of chunks of texts; everything that
 grows with the corpus (gram table, tree levels, word counts) is joined and summed as rows of DataFrames.
-A chunk then gets back just the grams and words it holds, so nothing is broadcast and memory is bounded by
-the chunk. Only the 257 counts of the symbols reach the driver. Written tables go as soon as nothing reads them.
+A chunk's different grams go to `PARTS` parts as packed, sorted numbers, are counted there, and later meet the
+scores of their part, of which only the values go back, in the order of the grams. A part is read row by row and
+holds its different grams, a chunk its own, so nothing is broadcast and memory follows neither the number of chunks
+nor of documents. Only the 257 counts of the symbols reach the driver. Written tables go as soon as nothing reads them.
 
 Beside the model stands a unigram base over lower-cased words and one end per text, with 0.1 added to
 every count; words are told apart by 64-bit hashes.
@@ -38,6 +40,10 @@ from .common import LOWER, HashIndex, discard, hash_spans, materialise, pick, pi
 DEPTH = 5
 #: Bytes of text in a chunk.
 CHUNK = 1 << 24
+#: Parts that grams are dealt over: a prime, so that neighbouring grams spread.
+PARTS = 1021
+#: Grams of a part that are held before equal ones are added up.
+HELD = 1 << 21
 #: A symbol beside the bytes: the end after a text, and what stands before one.
 EDGE = 256
 SYMBOLS = 257
@@ -65,13 +71,33 @@ def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return u, np.bincount(at, np.concatenate(counts), len(u)).astype(np.int64)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers of eight bytes as compressed bytes: the first byte of each, the second of each, and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
+    return len(values).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(pa.decompress(raw[4:], 8 * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(kind)
+
+
+def in_parts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys in order of their parts, and the PARTS + 1 offsets of the parts."""
+    part = keys % PARTS
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(PARTS + 1))
+
+
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, at = word_spans(data, offs)
     return hash_spans(np.take(LOWER, data), start, end).view(np.int64), at
 
 
 def _chunks(docs: DataFrame, depth: int, folds: int, held: int, most: int) -> DataFrame:
-    """One row per chunk: its texts, its grams and words with their training counts, training totals."""
+    """One row per chunk (part -1): its texts, its words with their training counts, training totals; and one for each
+    part of its grams: the different grams, as steps between sorted ones, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -82,11 +108,22 @@ def _chunks(docs: DataFrame, depth: int, folds: int, held: int, most: int) -> Da
             sink = io.BytesIO()
             return {"sink": sink, "out": pa.ipc.new_stream(sink, schema, options=options), "bytes": 0, "g": ([], []), "w": ([], []), "ends": 0, "words": 0}
 
-        def close(c: dict) -> pa.RecordBatch:
+        def close(c: dict) -> Iterator[pa.RecordBatch]:
             c["out"].close()
             (g, gn), (w, wn) = _total(*c["g"]), _total(*c["w"])
             one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq]), one(g), one(gn), one(w), one(wn), pa.array([c["ends"]]), pa.array([c["words"]]), pa.array([c["sink"].getvalue()], pa.binary())], ["chunk", "g", "gn", "w", "wn", "ends", "words", "docs"])
+            chunk = part << 32 | seq
+            names = ["chunk", "part", "g", "gn", "w", "wn", "ends", "words", "docs"]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
+            none = lambda i: pa.nulls(1, kinds[i])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([-1], pa.int32()), none(2), none(3), one(w), one(wn), pa.array([c["ends"]]), pa.array([c["words"]]), pa.array([c["sink"].getvalue()], pa.binary())], names)
+            order, at = in_parts(g)
+            g, gn = g[order], gn[order]
+            held = np.flatnonzero(np.diff(at))
+            blobs = [(pack(np.diff(g[at[p] : at[p + 1]], prepend=0)), pack(gn[at[p] : at[p + 1]])) for p in held.tolist()]
+            n = len(held)
+            rows = [pa.array(np.full(n, chunk)), pa.array(held.astype(np.int32)), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(n, k) for k in kinds[4:])], names)
 
         c = fresh()
         for batch in pieces(batches):
@@ -103,12 +140,12 @@ def _chunks(docs: DataFrame, depth: int, folds: int, held: int, most: int) -> Da
             c["out"].write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.string())], schema=schema))
             c["bytes"] += len(data)
             if c["bytes"] >= most:
-                yield close(c)
+                yield from close(c)
                 seq, c = seq + 1, fresh()
         if c["bytes"] or c["ends"] or c["g"][0]:
-            yield close(c)
+            yield from close(c)
 
-    kinds = "chunk long, g array<long>, gn array<long>, w array<long>, wn array<long>, ends long, words long, docs binary"
+    kinds = "chunk long, part int, g binary, gn binary, w array<long>, wn array<long>, ends long, words long, docs binary"
     return pick(docs, "doc_id", "text").mapInArrow(run, kinds)
 
 
@@ -212,45 +249,109 @@ def gram_scores(counts: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows by part, one part after another; what comes first in a part has the smaller kind."""
+    return rows.repartition("part").sortWithinPartitions("part", "kind")
+
+
+def gram_counts(chunks: DataFrame) -> DataFrame:
+    """(gram, n) of all chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [])
+
+        def out() -> pa.RecordBatch:
+            g, n = _total(*held)
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["gram", "n"])
+
+        for batch in batches:
+            for part, g, n in zip(*(batch.column(c).to_pylist() for c in ("part", "g", "gn")), strict=True):
+                if part != at:
+                    if at is not None:
+                        yield out()
+                    at, held = part, ([], [])
+                held[0].append(np.cumsum(unpack(g)))
+                held[1].append(unpack(n))
+                if sum(map(len, held[0])) > HELD + 2 * len(held[0][0]):
+                    held = tuple([x] for x in _total(*held))
+        if at is not None:
+            yield out()
+
+    rows = chunks.where("part >= 0").select("part", F.lit(0).alias("kind"), "g", "gn")
+    return _dealt(rows).mapInArrow(run, "gram long, n long")
+
+
+def chunk_scores(chunks: DataFrame, p: DataFrame) -> DataFrame:
+    """(chunk, part, values): the scores (gram, p) of a chunk's grams of a part, in order of the grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, values, order = None, [], [], None
+        for batch in batches:
+            part, kind, chunk = (np.asarray(batch.column(c)) for c in ("part", "kind", "chunk"))
+            edge = np.append(0, np.flatnonzero((np.diff(part) != 0) | (np.diff(kind) != 0)) + 1) if batch.num_rows else []
+            for a, b in zip(edge, np.append(edge[1:], batch.num_rows).astype(int) if batch.num_rows else [], strict=True):
+                if part[a] != at:
+                    at, keys, values, order = part[a], [], [], None
+                if kind[a] == 0:
+                    keys.append(np.asarray(batch.column("gram").slice(a, b - a)))
+                    values.append(np.asarray(batch.column("p").slice(a, b - a)))
+                    continue
+                if order is None:
+                    keys, values = np.concatenate(keys), np.concatenate(values)
+                    order = np.argsort(keys)
+                    keys, values = keys[order], values[order]
+                blobs = [pack(values[np.searchsorted(keys, np.cumsum(unpack(g)))]) for g in batch.column("g").slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[a:b].astype(np.int64)), pa.array(part[a:b].astype(np.int32)), pa.array(blobs, pa.binary())], ["chunk", "part", "values"])
+
+    own = p.select((F.col("gram") % PARTS).cast("int").alias("part"), F.lit(0).alias("kind"), "gram", "p", F.lit(0).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("g"))
+    asked = chunks.where("part >= 0").select("part", F.lit(1), F.lit(0).cast("long"), F.lit(0.0), "chunk", "g")
+    return _dealt(own.union(asked)).mapInArrow(run, "chunk long, part int, values binary")
+
+
 def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row,
     learning from the rows outside the held-out fold. score counts the end of the text; bits_per_byte is
     the code length per byte, the end counted as one."""
     chunks = materialise(_chunks(docs, depth, folds, held, chunk), "chunks")
-    in_chunk = chunks.select("chunk", F.inline(F.arrays_zip(F.col("g").alias("gram"), F.col("gn").alias("n"))))
-    table = materialise(in_chunk.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    whole = chunks.where("part < 0")
+    table = materialise(gram_counts(chunks), "grams")
     p = gram_scores(table, depth)
     discard(table)
-    words = chunks.select("chunk", F.inline(F.arrays_zip(F.col("w").alias("word"), F.col("wn").alias("n"))))
+    words = whole.select("chunk", F.inline(F.arrays_zip(F.col("w").alias("word"), F.col("wn").alias("n"))))
     totals = materialise(words.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("chunks")), "words")
     kinds = totals.where("n > 0").count()
-    ends, seen = chunks.agg(F.coalesce(F.sum("ends"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    ends, seen = whole.agg(F.coalesce(F.sum("ends"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     tokens, kinds = ends + seen, kinds + (ends > 0)
 
     # A chunk knows its own count of a word that no other chunk holds; the others are sent.
     sent = words.select("chunk", "word").join(totals.where("chunks > 1").select("word", "n"), "word")
-    model = in_chunk.select("chunk", "gram").join(p, "gram").select("chunk", F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("p").alias("value"))
-    model = model.union(sent.select("chunk", F.lit(1), "word", F.col("n").cast("double")))
-    own = chunks.select(F.col("chunk").alias("of"), "docs")
-    tasks = max(1, chunks.count())  # a task reads about one chunk, however many there are
+    blank = F.lit(None).cast("binary")
+    model = chunk_scores(chunks, p).select("chunk", F.lit(0).alias("kind"), F.col("part").cast("long").alias("key"), F.lit(0).cast("long").alias("n"), "values")
+    model = model.union(sent.select("chunk", F.lit(1), "word", "n", blank))
+    own = whole.select(F.col("chunk").alias("of"), "docs")
+    tasks = max(1, whole.count())  # a task reads about one chunk, however many there are
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         kind = right["kind"].to_numpy()
-        key, value = right["key"].to_numpy(), right["value"].to_numpy()
-        find = HashIndex(key[kind == 0].view(np.uint64))
-        p_of = value[kind == 0]
+        key, number = right["key"].to_numpy(), right["n"].to_numpy()
         batches = [b for blob in left["docs"] for b in pa.ipc.open_stream(blob)]
-        local, out = ([], []), []
+        local, met, out = ([], []), [], []
         for batch in batches:
-            w, at = _words(*utf8(batch.column("text")))
+            data, offs = utf8(batch.column("text"))
+            met.append(pd.unique(grams(data, offs, depth)[0]))
+            w, at = _words(data, offs)
             learn = np.array([zlib.crc32(str(i).encode()) % folds != held for i in batch.column("doc_id").to_pylist()])
             codes, u = pd.factorize(w)
             local[0].append(u)
             local[1].append(np.bincount(codes, np.repeat(learn, np.diff(at)), len(u)))
+        mine = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+        find = HashIndex(mine[in_parts(mine)[0]].view(np.uint64))
+        blobs = right["values"].to_numpy()[kind == 0][np.argsort(key[kind == 0])]
+        p_of = np.concatenate([unpack(b, np.float64) for b in blobs]) if len(blobs) else np.zeros(0)
         names, counts = _total(*local)
         where = HashIndex(names.view(np.uint64))
         there = where.find(key[kind == 1].view(np.uint64))
-        counts[there] = value[kind == 1]
+        counts[there] = number[kind == 1]
         base = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
         for batch in batches:
             data, offs = utf8(batch.column("text"))
