@@ -109,10 +109,11 @@ def unresolved(scopes: Column, basis: Column, uncertain: Column, open_targets: C
 
 
 def first_units(rules: DataFrame, groups: DataFrame, order: list, most: int) -> DataFrame:
-    """(place, rule, group, overflow): the first `most` of all pairs of a rule (rule, nth from 1, the rules in
-    order) and a group (group), rule by rule. Only the pairs that are wanted are made: a place tells its rule
-    and group by division."""
+    """(place, rule, group, overflow): the first `most` of all pairs of a rule (rule), in order, and a group (group),
+    rule by rule. Only the pairs that are wanted are made: a place tells its rule and group by division, and only
+    the rules and groups that can be reached are numbered."""
     n, rules_n = groups.count(), rules.count()
+    rules = rules.orderBy("rule").limit(most).withColumn("nth", F.row_number().over(Window.orderBy("rule")))
     if n == 0:
         return rules.sparkSession.createDataFrame([], "place long, rule string, group string, overflow long")
     head = groups.orderBy(*order).limit(most)
@@ -134,17 +135,6 @@ def settled_size(base: Column, rounds: int = 16) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0).cast("long"), lambda acc, _: F.greatest(acc, base + F.length(acc.cast("string"))))
 
 
-def shared_sources(texts: DataFrame, group: str, item: str, text: str) -> DataFrame:
-    """(group, item, host, start): each text with the longest other of its group that holds it, and where; the
-    smallest item of several. A text that no other holds is its own host. Groups are small: packets."""
-    rows = texts.select(group, item, text)
-    hosts = rows.select(F.col(group).alias("_g"), F.col(item).alias("host"), F.col(text).alias("_t"))
-    longer = (F.length("_t") > F.length(text)) | ((F.col("_t") == F.col(text)) & (F.col("host") <= F.col(item)))
-    held = rows.join(hosts, (F.col(group) == F.col("_g")) & F.col("_t").contains(F.col(text)) & longer)
-    best = held.groupBy(group, item).agg(F.min_by(F.struct("host", (F.call_function("instr", F.col("_t"), F.col(text)) - 1).alias("start")), F.struct(-F.length("_t"), "host")).alias("x"))
-    return best.select(group, item, "x.host", "x.start")
-
-
 def challenges(items: DataFrame, plan: str, key: str, evidence: str, size: str, capacity: int, most: int = 16, probes: int = 8) -> DataFrame:
     """(plan, key, bin): each finding of a plan (bounded: a plan has a few hundred) in the bin with which it
     shares most evidence, of the `probes` best with room; else in a new one. One above the capacity has none."""

@@ -147,6 +147,38 @@ def _digests(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
     return sorted_.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in zip(keys, kinds, strict=True)) + ", digest string")
 
 
+def sectioned_digests(rows: DataFrame, key: str, heads: tuple[str, ...], between: str) -> DataFrame:
+    """(key, digest): for every key the sha256 of its text, which has the sections in order, each with its head and its
+    lines in order of (first, second), `between` standing between two. rows (key, section, first, second, line). Lines pass sorted, and
+    a task holds the state of one digest. A section without lines is its head."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, section, digest, started = None, -1, None, False
+
+        def out(batch: pa.RecordBatch) -> pa.RecordBatch:
+            for head in heads[section + 1 :]:
+                digest.update(head.encode())
+            return pa.RecordBatch.from_arrays([pa.array([at], batch.column(key).type), pa.array([digest.hexdigest()])], [key, "digest"])
+
+        for batch in batches:
+            for k, n, line in zip(*(batch.column(c).to_pylist() for c in (key, "section", "line")), strict=True):
+                if digest is None or k != at:
+                    if digest is not None:
+                        yield out(batch)
+                    at, section, digest = k, -1, hashlib.sha256()
+                while section < n:
+                    section, started = section + 1, False
+                    digest.update(heads[section].encode())
+                digest.update(((between if started else "") + line).encode())
+                started = True
+        if digest is not None:
+            yield out(batch)
+
+    sorted_ = rows.repartition(key).sortWithinPartitions(key, "section", "first", "second").select(key, "section", "line")
+    return sorted_.mapInArrow(run, f"{key} {kind}, digest string")
+
+
 def with_community_ids(found: DataFrame, most: int = DIGESTED) -> DataFrame:
     """found (node, community) with `community_id`, the digest of O-08 over the members as text in order. A community
     of more than `most` members is dealt over blocks by a hash of the member; its id is the digest of the

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import innermost
+
 MARKDOWN_HEADING = r"(?m)^(?=#{1,6} )"
 
 
@@ -143,6 +145,6 @@ def declared(sources: DataFrame, key: str, text: str) -> DataFrame:
 
 def outermost(ranges: DataFrame, key: str) -> DataFrame:
     """Ranges (key, first, last) that lie strictly in no other range of their key."""
-    other = ranges.select(F.col(key).alias("_key"), F.col("first").alias("_first"), F.col("last").alias("_last"))
-    inside = (F.col(key) == F.col("_key")) & (F.col("_first") <= F.col("first")) & (F.col("last") <= F.col("_last")) & ((F.col("_first") < F.col("first")) | (F.col("last") < F.col("_last")))
-    return ranges.join(other, inside, "left_anti")
+    one = ranges.select(key, "first", "last").distinct().withColumn("at", F.struct("first", "last"))
+    found = innermost(one, one, key, "at", "first", "last", strictly=True).where("inner IS NULL").select(key, "at.first", "at.last")
+    return ranges.join(found, [key, "first", "last"], "left_semi").select(*ranges.columns)

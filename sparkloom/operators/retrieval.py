@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .containment import gram_hashes
 from .steps import materialise, spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -140,7 +141,8 @@ def round_robin(rows: DataFrame, group: str, order: list, most: int, per_group:
     several groups is kept where its turn comes first."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     out = rows.withColumn("turn", turn)
-    out = out.where(F.col("turn") <= per_group) if per_group else out
+    # A group's first `most` rows hold as many different items, so a later turn is never reached.
+    out = out.where(F.col("turn") <= min(per_group or most, most))
     if item:
         first = F.row_number().over(Window.partitionBy(item).orderBy("turn", group))
         out = out.withColumn("_first", first).where("_first = 1").drop("_first")
@@ -192,7 +194,8 @@ def discovery(entity: Column, scope_entity: Column, near: Column, community: Col
 def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(item_id, doc_id) of all docs (doc_id, text) that hold a passage (item_id, passage) as it stands. A
     passage meets only documents that have the rarest of its inner words, those between two spaces; what is
-    left is compared as a whole. Passages without an inner word meet every document."""
+    left is compared as a whole. Passages without an inner word, of one or two words, are looked up among the byte strings
+    of their length; an empty one is in every document."""
     parts = F.split("passage", " ")
     inner = passages.select("item_id", "passage", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))).alias("inner"))
     wanted = inner.select("item_id", F.explode(F.array_distinct("inner")).alias("word"))
@@ -202,7 +205,23 @@ def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     rarest = wanted.join(df, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     pairs = said.join(rarest, "word").select("item_id", "doc_id")
     found = pairs.join(passages, "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    short = inner.where("size(inner) = 0 AND passage IS NOT NULL")
-    if not short.limit(1).count():
-        return found
-    return found.union(docs.join(short, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"))
+    short = materialise(inner.where("size(inner) = 0 AND passage IS NOT NULL").select("item_id", "passage"), "short")
+    lengths = [r["n"] for r in short.select(F.octet_length("passage").alias("n")).distinct().where("n > 0").collect()]  # lengths of two words
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = np.frombuffer((text or "").encode(), np.uint8)
+                for n in lengths:
+                    hashes = np.unique(gram_hashes(data, n))
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(hashes), pa.int64()), pa.array(np.full(len(hashes), n, np.int32)), pa.array(hashes)], ["key", "n", "f"])
+
+    if lengths:
+        asked = short.where("passage <> ''").select("item_id", "passage", F.octet_length("passage").alias("n"))
+        own = asked.select("item_id", "passage").mapInArrow(strings, "key long, n int, f long").withColumnRenamed("key", "item_id").join(asked, ["item_id", "n"])
+        own = materialise(own, "asked")
+        held = docs.select("doc_id", "text").mapInArrow(strings, "key long, n int, f long").withColumnRenamed("key", "doc_id").join(own, ["n", "f"])
+        held = held.select("item_id", "doc_id", "passage").distinct().join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("passage")))
+        found = found.union(held.select("item_id", "doc_id"))
+    empty = short.where("passage = ''").select("item_id")
+    return found.union(docs.where("text IS NOT NULL").select("doc_id").crossJoin(empty).select("item_id", "doc_id"))

@@ -31,12 +31,13 @@ def repository_list(t: Tables) -> DataFrame:
     return first.join(t.customer, F.col("c_custkey") == F.col("id")).where(F.lower("c_name").contains("7")).select("id", "o_orderkey", "c_name")
 
 
-@query("""SELECT l_partkey, CAST(max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) AS INTEGER) AS classification, array_to_string(list_sort(list(DISTINCT l_orderkey)), ',') AS prs, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS findings FROM lineitem WHERE l_quantity > 40 GROUP BY 1""")
+@query("""WITH c AS (SELECT l_partkey, CAST(max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) AS INTEGER) AS classification FROM lineitem GROUP BY 1), m AS (SELECT l_partkey, 'pr' AS kind, l_orderkey AS id FROM lineitem UNION SELECT l_partkey, 'finding', l_suppkey FROM lineitem) SELECT l_partkey, classification, kind, id FROM c JOIN m USING (l_partkey)""")
 def risk_sets(t: Tables) -> DataFrame:
-    """Worst classification of each decision, with the sets of its reviews and findings."""
+    """Worst classification of each decision, and the sets of its reviews and findings, a row for each member."""
     rank = F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 2).otherwise(1)
-    ids = lambda c: F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ",")
-    return t.lineitem.where("l_quantity > 40").groupBy("l_partkey").agg(F.max(rank).alias("classification"), ids("l_orderkey").alias("prs"), ids("l_suppkey").alias("findings"))
+    worst = t.lineitem.groupBy("l_partkey").agg(F.max(rank).alias("classification"))
+    member = lambda kind, c: t.lineitem.select("l_partkey", F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    return member("pr", "l_orderkey").union(member("finding", "l_suppkey")).distinct().join(worst, "l_partkey").select("l_partkey", "classification", "kind", "id")
 
 
 @query("""WITH p AS (SELECT list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '') AS s FROM pages), x AS (SELECT DISTINCT array_to_string(s[1:i], '/') AS prefix, array_to_string(s[1:i + 1], '/') AS below FROM (SELECT s, unnest(range(1, len(s) - 1)) AS i FROM p WHERE len(s) > 2))

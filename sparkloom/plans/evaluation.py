@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import classify as C
 from sparkloom.functions import identity as I
+from sparkloom.operators import containment as CT
 from sparkloom.operators import evidence as E
 from sparkloom.operators import graph as G
 from sparkloom.operators import ledger as L
 from sparkloom.operators import records as R
+from sparkloom.operators.steps import materialise
 
 from .registry import Tables, query
 
 
-@query("""WITH r AS (SELECT c_custkey AS rule, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_acctbal > 9000), g AS (SELECT p_brand || '/' || p_type AS grp FROM part GROUP BY 1), o AS (SELECT grp, row_number() OVER (ORDER BY grp) AS k FROM g), c AS (SELECT count(*) AS n FROM g)
+@query("""WITH r AS (SELECT c_custkey AS rule, row_number() OVER (ORDER BY c_custkey) AS n FROM customer), g AS (SELECT p_brand || '/' || p_type AS grp FROM part GROUP BY 1), o AS (SELECT grp, row_number() OVER (ORDER BY grp) AS k FROM g), c AS (SELECT count(*) AS n FROM g)
 SELECT (r.n - 1) * c.n + k - 1 AS place, CAST(rule AS VARCHAR) AS rule, grp AS "group", greatest(0, (SELECT count(*) FROM r) * c.n - 512) AS overflow FROM r, o, c WHERE (r.n - 1) * c.n + k - 1 < 512""")
 def evaluation_units(t: Tables) -> DataFrame:
     """Rules by changed places, rule by rule: 512 units at most, with the number of those left out."""
-    picked = t.customer.where("c_acctbal > 9000").select(F.col("c_custkey").alias("rule"))
-    rules = picked.withColumn("nth", F.row_number().over(Window.orderBy("rule")))
+    rules = t.customer.select(F.col("c_custkey").alias("rule"))
     groups = t.part.select(F.concat("p_brand", F.lit("/"), "p_type").alias("group")).distinct()
     return E.first_units(rules, groups, [F.asc("group")], 512)
 
@@ -110,12 +111,22 @@ def entity_cap(t: Tables) -> DataFrame:
     return E.strongest(rows, "l_suppkey", ["distance", "strength", "l_partkey"], 40).select("l_suppkey", "l_partkey", F.col("distance").cast("long").alias("distance"), "omitted")
 
 
-@query("""WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN substr(text, 4, 20) ELSE text END AS text FROM conversations WHERE length(text) > 24), h AS (SELECT a.conv_id, a.turn, b.turn AS host, instr(b.text, a.text) - 1 AS start, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY length(b.text) DESC, b.turn) AS n FROM x a JOIN x b ON a.conv_id = b.conv_id AND contains(b.text, a.text) AND (length(b.text) > length(a.text) OR (b.text = a.text AND b.turn <= a.turn)))
-SELECT conv_id, turn, host, start FROM h WHERE n = 1""")
+def _hosts_sql(rows: str) -> str:
+    return f"""WITH x AS ({rows}), h AS (SELECT a.grp, a.item, b.item AS host, instr(b.text, a.text) - 1 AS start, row_number() OVER (PARTITION BY a.grp, a.item ORDER BY length(b.text) DESC, b.item) AS n FROM x a JOIN x b ON a.grp = b.grp AND contains(b.text, a.text))
+SELECT grp, item, host, start FROM h WHERE n = 1"""
+
+
+@query(_hosts_sql("SELECT conv_id AS grp, turn AS item, text FROM conversations WHERE text <> ''"))
 def shared_sources(t: Tables) -> DataFrame:
     """Texts of a packet that a longer one holds share it, with the place."""
-    rows = t.conversations.where("length(text) > 24").select("conv_id", "turn", F.when(F.col("turn") % 2 == 1, F.substring("text", 4, 20)).otherwise(F.col("text")).alias("text"))
-    return E.shared_sources(rows, "conv_id", "turn", "text").select("conv_id", "turn", "host", F.col("start").cast("long").alias("start"))
+    return CT.hosts(t.conversations.select(F.col("conv_id").alias("grp"), F.col("turn").alias("item"), "text"), "grp", "item", "text")
+
+
+@query(_hosts_sql("SELECT 0 AS grp, 'b' || item_id AS item, text FROM benchmark WHERE text <> '' UNION ALL SELECT 0, 'd' || doc_id, text FROM documents WHERE text <> ''"))
+def shared_passages(t: Tables) -> DataFrame:
+    """The longest text that holds each passage and each document: all of them are one packet."""
+    rows = t.benchmark.select(F.lit(0).alias("grp"), F.concat(F.lit("b"), F.col("item_id")).alias("item"), "text").union(t.documents.select(F.lit(0), F.concat(F.lit("d"), F.col("doc_id")), "text"))
+    return CT.hosts(rows, "grp", "item", "text")
 
 
 @query()
@@ -160,7 +171,11 @@ def applicability_open(t: Tables) -> DataFrame:
 def evidence_shown(t: Tables) -> DataFrame:
     """Sources of an answer, a line each, five at most of a place."""
     line = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), "lang")
-    return t.documents.where("lang IS NOT NULL").groupBy("source").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list(line)), 1, 5), "\n").alias("shown"))
+    rows = t.documents.where("lang IS NOT NULL").select("source", line.alias("line"))
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("line"))).where("nth <= 5")
+    shown = first.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("shown"))  # five lines
+    counts = rows.groupBy("source").agg(F.count("*").alias("n"))
+    return counts.alias("c").join(shown.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("c.source", "n", "shown")
 
 
 @query("""WITH c AS (SELECT source, doc_id, len(regexp_extract_all(coalesce(text, ''), '(?i)\\b(?:the|and|only)\\b')) AS hits, length(coalesce(text, '')) AS size FROM documents), o AS (SELECT *, coalesce(sum(size + 20) OVER (PARTITION BY source ORDER BY hits DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
@@ -169,18 +184,23 @@ def document_context(t: Tables) -> DataFrame:
     """What goes into a context of 6,000 characters: chunks with most scope words first, the last one cut."""
     hits = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)\b(?:the|and|only)\b"), F.lit(0)))
     rows = t.documents.select("source", "doc_id", hits.cast("long").alias("hits"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    before = F.coalesce(F.sum(F.col("size") + 20).over(Window.partitionBy("source").orderBy(F.desc("hits"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = Window.partitionBy("source").orderBy(F.desc("hits"), "doc_id")
+    # A chunk takes 20 characters at least, so no more than 300 of a source are ever reached.
+    rows = rows.withColumn("nth", F.row_number().over(order)).where("nth <= 300")
+    before = F.coalesce(F.sum(F.col("size") + 20).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     room = 6000 - 20 - F.col("before")
     return rows.withColumn("before", before).where(room >= 64).select("source", "doc_id", "hits", F.least("size", room).alias("taken"))
 
 
-@query("""WITH e AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b, max(round(1 - l_discount, 4)) AS c FROM lineitem GROUP BY ALL), k AS (SELECT a, b FROM e WHERE c >= 0.97), d AS (SELECT a AS node, '-> ' || b AS line FROM k UNION ALL SELECT b, '<- ' || a FROM k) SELECT node, count(*) AS edges, sha256(string_agg(line, chr(10) ORDER BY line)) AS shown FROM d GROUP BY node""")
+@query("""WITH e AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b, max(round(1 - l_discount, 4)) AS c FROM lineitem GROUP BY ALL), k AS (SELECT a, b FROM e WHERE c >= 0.70), d AS (SELECT a AS node, '-> ' || b AS line FROM k UNION ALL SELECT b, '<- ' || a FROM k) SELECT node, count(*) AS edges, sha256(string_agg(line, chr(10) ORDER BY line)) AS shown FROM d GROUP BY node""")
 def neighbourhood_text(t: Tables) -> DataFrame:
-    """What stands around each entity, both directions, of relationships with a confidence of 0.97 or more."""
+    """What stands around each entity, both directions, of relationships with a confidence of 0.70 or more."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    edges = t.lineitem.groupBy(name("p", "l_partkey").alias("a"), name("s", "l_suppkey").alias("b")).agg(F.max(F.round(1 - F.col("l_discount"), 4)).alias("c")).where("c >= 0.97")
+    edges = t.lineitem.groupBy(name("p", "l_partkey").alias("a"), name("s", "l_suppkey").alias("b")).agg(F.max(F.round(1 - F.col("l_discount"), 4)).alias("c")).where("c >= 0.70")
     both = edges.select(F.col("a").alias("node"), F.concat(F.lit("-> "), "b").alias("line")).union(edges.select("b", F.concat(F.lit("<- "), "a")))
-    return both.groupBy("node").agg(F.count("*").alias("edges"), I.digest(F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("shown"))
+    both = materialise(both, "edges")
+    shown = G.sectioned_digests(both.select("node", F.lit(0).alias("section"), F.col("line").alias("first"), F.lit(0).cast("long").alias("second"), "line"), "node", ("",), "\n")
+    return both.groupBy("node").agg(F.count("*").alias("edges")).join(shown.withColumnRenamed("digest", "shown"), "node").select("node", "edges", "shown")
 
 
 @query("""WITH RECURSIVE l AS (SELECT DISTINCT a, b FROM (SELECT p.p_partkey AS a, q.p_partkey AS b FROM part p JOIN part q ON p.p_name = q.p_name AND p.p_brand = q.p_brand AND p.p_partkey <> q.p_partkey)), r(node, m) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.m WHERE l.b < r.m OR l.b < r.node), f AS (SELECT node, min(m) AS target FROM r GROUP BY 1)
@@ -194,12 +214,13 @@ def semantic_merges(t: Tables) -> DataFrame:
     return rows.groupBy("target").agg(F.count("*").alias("merged"), F.countDistinct("p_type").alias("labels"))
 
 
-@query("""WITH s AS (SELECT source, sha256(string_agg(doc_id || ':' || coalesce(lang, ''), '|' ORDER BY doc_id)) AS h FROM documents GROUP BY 1), o AS (SELECT source, sha256(string_agg(doc_id || ':' || coalesce(lang, ''), '|' ORDER BY doc_id)) AS h FROM documents WHERE source NOT LIKE '%1' OR doc_id > 100 GROUP BY 1)
+@query("""WITH s AS (SELECT source, sha256(string_agg(doc_id || ':' || coalesce(lang, ''), '|' ORDER BY doc_id)) AS h FROM documents WHERE source IS NOT NULL GROUP BY 1), o AS (SELECT source, sha256(string_agg(doc_id || ':' || coalesce(lang, ''), '|' ORDER BY doc_id)) AS h FROM documents WHERE source NOT LIKE '%1' OR doc_id > 100 GROUP BY 1)
 SELECT s.source, CASE WHEN o.h IS NULL THEN 'NEW' WHEN o.h = s.h THEN 'REUSED' ELSE 'CHANGED' END AS state FROM s LEFT JOIN o ON o.source = s.source""")
 def summary_reuse(t: Tables) -> DataFrame:
     """Which summaries stay: those whose context has the hash it had before."""
-    line = F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit(""))).alias("s"))
-    hashed = lambda d: d.groupBy("source").agg(I.digest(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["s"]), "|")).alias("h"))
+    line = F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit(""))).alias("line")
+    rows = lambda d: d.where("source IS NOT NULL").select("source", F.lit(0).alias("section"), F.lit("").alias("first"), F.col("doc_id").alias("second"), line)
+    hashed = lambda d: G.sectioned_digests(rows(d), "source", ("",), "|").withColumnRenamed("digest", "h")
     old = hashed(t.documents.where("source NOT LIKE '%1' OR doc_id > 100")).withColumnRenamed("h", "old")
     state = F.when(F.col("old").isNull(), "NEW").when(F.col("old") == F.col("h"), "REUSED").otherwise("CHANGED")
     return hashed(t.documents).join(old, "source", "left").select("source", state.alias("state"))

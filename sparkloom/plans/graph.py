@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import classify as C
@@ -10,6 +10,7 @@ from sparkloom.functions import identity as I
 from sparkloom.operators import graph as G
 from sparkloom.operators import modularity as M
 from sparkloom.operators import ranges as RG
+from sparkloom.operators import walk as W
 from sparkloom.operators.steps import materialise
 
 from .registry import Tables, query
@@ -51,13 +52,77 @@ def edges_merged(t: Tables) -> DataFrame:
     return G.merged_edges(rows).withColumn("sources", F.array_join("sources", ","))
 
 
-@query(f"WITH {CODE}, {ASSERT} SELECT src, rel, dst, 'assertion' AS kind FROM asserted UNION ALL SELECT src, rel, dst, 'direct' FROM code c WHERE NOT EXISTS (SELECT 1 FROM asserted a WHERE a.src = c.src AND a.rel = c.rel AND a.dst = c.dst)")
+SAID = """d AS (SELECT DISTINCT 'p' || l_partkey AS src, CASE l_returnflag WHEN 'R' THEN 'CALLS' WHEN 'A' THEN 'READS_FROM' ELSE 'USES' END AS rel, 's' || l_suppkey AS dst FROM lineitem),
+a AS (SELECT 'p' || l_partkey || '|' || CASE l_returnflag WHEN 'R' THEN 'CALLS' WHEN 'A' THEN 'READS_FROM' ELSE 'USES' END || '|s' || l_suppkey AS edge, 'p' || l_partkey AS src, CASE l_returnflag WHEN 'R' THEN 'CALLS' WHEN 'A' THEN 'READS_FROM' ELSE 'USES' END AS rel, 's' || l_suppkey AS dst, bool_and(l_linestatus = 'F') AS adr, count(DISTINCT o_orderkey) AS support FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority LIKE '1%' GROUP BY ALL),
+q AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2) UNION SELECT 'p' || p_partkey FROM part WHERE p_brand LIKE '%1')"""
+PLACE = "CAST(adr AS INTEGER), CASE rel WHEN 'CALLS' THEN 0 WHEN 'READS_FROM' THEN 1 ELSE 2 END, edge"
+
+
+def _said(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(direct, asserted, supports, asked): parts and suppliers, related by the lines' return flags; urgent orders assert
+    such relations and support them, and suppliers and parts of some regions and brands are asked about."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    rel = F.when(F.col("l_returnflag") == "R", "CALLS").when(F.col("l_returnflag") == "A", "READS_FROM").otherwise("USES")
+    ends = [name("p", "l_partkey").alias("src"), rel.alias("rel"), name("s", "l_suppkey").alias("dst")]
+    direct = t.lineitem.select(*ends).distinct()
+    urgent = t.orders.where(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("l_orderkey"))
+    said = t.lineitem.join(urgent, "l_orderkey").select("l_orderkey", "l_linestatus", *ends).withColumn("edge", F.concat_ws("|", "src", "rel", "dst"))
+    asserted = said.groupBy("edge", "src", "rel", "dst").agg(F.bool_and(F.col("l_linestatus") == "F").alias("adr"))
+    near = t.nation.where("n_regionkey < 2").select(F.col("n_nationkey").alias("s_nationkey"))
+    asked = t.supplier.join(near, "s_nationkey", "left_semi").select(name("s", "s_suppkey").alias("node")).union(t.part.where(F.col("p_brand").endswith("1")).select(name("p", "p_partkey")))
+    return direct, asserted, said.select("edge", F.col("l_orderkey").cast("string").alias("chunk")), asked
+
+
+@query(f"WITH {SAID} SELECT src, rel, dst, 'assertion' AS kind FROM a UNION ALL SELECT src, rel, dst, 'direct' FROM d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.src = d.src AND a.rel = d.rel AND a.dst = d.dst)")
 def relationship_inventory(t: Tables) -> DataFrame:
-    asserted = assertion_edges(t)
-    direct = G.uncovered_direct(code_edges(t), asserted)
+    """Asserted relationships, and direct ones that no assertion of the same type stands for."""
+    edges, asserted, _, _ = _said(t)
+    direct = G.uncovered_direct(edges, asserted)
     return asserted.select("src", "rel", "dst", F.lit("assertion").alias("kind")).unionByName(direct.select("src", "rel", "dst", F.lit("direct").alias("kind")))
 
 
+@query(f"""WITH {SAID}, x AS (SELECT 'assertion' AS kind, edge, src, rel, dst, adr, support FROM a WHERE src IN (FROM q) OR dst IN (FROM q) ORDER BY {PLACE} LIMIT 400),
+y AS (SELECT 'direct' AS kind, src || '|' || rel || '|' || dst AS edge, src, rel, dst, false AS adr, 0 AS support FROM d WHERE (src IN (FROM q) OR dst IN (FROM q)) AND NOT EXISTS (SELECT 1 FROM a WHERE a.src = d.src AND a.rel = d.rel AND a.dst = d.dst) ORDER BY src, rel, dst LIMIT 400) FROM x UNION ALL FROM y""")
+def relationships_of_entities(t: Tables) -> DataFrame:
+    """Relationships with one end or the other among the entities asked about, with the support of asserted ones."""
+    direct, asserted, supports, asked = _said(t)
+    return W.inventory(asked, asserted, supports, direct, 400)
+
+
+WALK = f"""{SAID}, u AS (SELECT edge, src, dst, rel, adr FROM a UNION ALL SELECT src || '|' || rel || '|' || dst, src, dst, rel, false FROM d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.src = d.src AND a.rel = d.rel AND a.dst = d.dst)),
+s0 AS (SELECT 's' || s_suppkey AS node FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS n FROM supplier) WHERE n = 1),
+m1 AS (SELECT u.*, node FROM u JOIN s0 ON node = src UNION ALL SELECT u.*, node FROM u JOIN s0 ON node = dst),
+c1 AS (SELECT DISTINCT edge, src, dst, rel, adr FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY {PLACE}) AS n FROM m1) WHERE n <= 12),
+t1 AS (SELECT *, row_number() OVER (ORDER BY {PLACE}) AS place FROM c1 QUALIFY place <= 2000),
+n1 AS (SELECT node FROM (SELECT src AS node FROM t1 UNION SELECT dst FROM t1) WHERE node NOT IN (FROM s0)),
+f1 AS (SELECT node FROM n1 WHERE node IN (SELECT src FROM t1 WHERE NOT adr UNION SELECT dst FROM t1 WHERE NOT adr)),
+m2 AS (SELECT u.*, node FROM u JOIN f1 ON node = src UNION ALL SELECT u.*, node FROM u JOIN f1 ON node = dst),
+c2 AS (SELECT DISTINCT edge, src, dst, rel, adr FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY {PLACE}) AS n FROM m2) WHERE n <= 12 AND edge NOT IN (SELECT edge FROM t1)),
+t2 AS (SELECT *, row_number() OVER (ORDER BY {PLACE}) + (SELECT count(*) FROM t1) AS place FROM c2 QUALIFY place <= 2000)"""
+
+
+def _walked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    direct, asserted, _, _ = _said(t)
+    bare = G.uncovered_direct(direct, asserted).select(F.concat_ws("|", "src", "rel", "dst").alias("edge"), "src", "dst", "rel", F.lit(False).alias("adr"))
+    edges = materialise(asserted.select("edge", "src", "dst", "rel", "adr").unionByName(bare), "edges")
+    first = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey"))
+    seeds = t.supplier.withColumn("nth", first).where("nth = 1").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return W.walked(seeds, edges, 2, 12, 2000)
+
+
+@query(f"WITH {WALK} SELECT edge, src, dst, rel, adr, 1 AS hop, CAST(place AS BIGINT) AS place FROM t1 UNION ALL SELECT edge, src, dst, rel, adr, 2, CAST(place AS BIGINT) FROM t2")
+def walk_edges(t: Tables) -> DataFrame:
+    """Two hops from the richest supplier of each nation: twelve edges a subject, calls first, asserted ones last and
+    not followed."""
+    return _walked(t)[0].select("edge", "src", "dst", "rel", "adr", "hop", F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {WALK}, n2 AS (SELECT node FROM (SELECT src AS node FROM t2 UNION SELECT dst FROM t2) WHERE node NOT IN (FROM s0) AND node NOT IN (FROM n1)) SELECT node, 0 AS distance FROM s0 UNION ALL SELECT node, 1 FROM n1 UNION ALL SELECT node, 2 FROM n2")
+def walk_nodes(t: Tables) -> DataFrame:
+    """What that walk leads to, with the distance."""
+    return _walked(t)[1]
+
+
 def _neighbourhood_sql(hops: int) -> str:
     steps = "".join(f", h{d} AS (SELECT DISTINCT b AS node FROM h{d - 1} JOIN lim ON a = node)" for d in range(1, hops + 1))
     union = " UNION ALL ".join(f"SELECT node, {d} AS distance FROM h{d}" for d in range(hops + 1))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import identity as I
 from sparkloom.operators import evidence as E
+from sparkloom.operators import graph as G
 from sparkloom.operators import ledger as L
 from sparkloom.operators import retrieval
+from sparkloom.operators.steps import materialise
 
 from .registry import Tables, query
 
@@ -34,23 +36,27 @@ def record_ids(t: Tables) -> DataFrame:
     return t.lineitem.select(_chunk().alias("chunk"), I.keyed_id(":", F.lit("adr:decision:v2"), _chunk(), n, flag).alias("decision"), I.keyed_id(":", F.lit("adr:constraint"), n, flag).alias("constraint_id"), key.alias("vector_key"), version.alias("embedding_version")).distinct()
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey, p_name, p_type FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 8), s AS (SELECT l_suppkey, string_agg(l_partkey || ':' || p_name || ':' || p_type, '|' ORDER BY l_partkey || ':' || p_name || ':' || p_type) AS members, string_agg('- ' || p_name || ' [' || p_type || '] (ID: ' || l_partkey || ')', chr(10) ORDER BY p_name, l_partkey) AS shown FROM m GROUP BY 1),
+@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey, p_name, p_type FROM lineitem JOIN part ON p_partkey = l_partkey), s AS (SELECT l_suppkey, string_agg(l_partkey || ':' || p_name || ':' || p_type, '|' ORDER BY l_partkey || ':' || p_name || ':' || p_type) AS members, string_agg('- ' || p_name || ' [' || p_type || '] (ID: ' || l_partkey || ')', chr(10) ORDER BY p_name, l_partkey) AS shown FROM m GROUP BY 1),
 e AS (SELECT DISTINCT a.l_suppkey, a.l_partkey || ':' || a.p_name || '-[SAME_TYPE]->' || b.l_partkey || ':' || b.p_name AS edge FROM m a JOIN m b ON a.l_suppkey = b.l_suppkey AND a.p_type = b.p_type AND a.p_name = b.p_name AND a.l_partkey < b.l_partkey), r AS (SELECT l_suppkey, string_agg(edge, '|' ORDER BY edge) AS rels FROM e GROUP BY 1)
 SELECT s.l_suppkey AS community, sha256('MEMBERS:' || members || '#RELS:' || coalesce(rels, '')) AS context_hash, sha256('Community ID: ' || s.l_suppkey || chr(10) || chr(10) || 'Entities:' || chr(10) || shown) AS prompt FROM s LEFT JOIN r ON r.l_suppkey = s.l_suppkey""")
 def community_context(t: Tables) -> DataFrame:
-    """Context digest of each community over its sorted members and inner edges, and the text that shows it."""
-    m = t.lineitem.join(t.part.where("p_size < 8"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "l_partkey", "p_name", "p_type").distinct()
+    """Context digest of each community over its sorted members and inner edges, and the text that shows it. Lines
+    pass sorted through one digest each; no list of a community's members is held."""
+    m = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "l_partkey", "p_name", "p_type").distinct()
+    m = materialise(m, "members")
+    number = F.col("l_partkey").cast("string")
     name = lambda p: F.concat_ws(":", F.col(f"{p}l_partkey").cast("string"), f"{p}p_name")
-    line = F.concat(F.lit("- "), "p_name", F.lit(" ["), "p_type", F.lit("] (ID: "), F.col("l_partkey").cast("string"), F.lit(")"))
-    shown = F.transform(F.array_sort(F.collect_list(F.struct("p_name", "l_partkey", line.alias("s")))), lambda x: x["s"])
-    members = m.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.concat_ws(":", name(""), "p_type"))).alias("members"), shown.alias("shown"))
     pair = m.alias("a").join(m.alias("b"), ["l_suppkey", "p_type", "p_name"]).where("a.l_partkey < b.l_partkey")
     edge = F.concat(F.concat_ws(":", F.col("a.l_partkey").cast("string"), "p_name"), F.lit("-[SAME_TYPE]->"), F.concat_ws(":", F.col("b.l_partkey").cast("string"), "p_name"))
-    rels = pair.groupBy("l_suppkey").agg(F.array_sort(F.collect_set(edge)).alias("rels"))
-    out = members.join(rels, "l_suppkey", "left")
-    joined = F.concat(F.lit("MEMBERS:"), F.array_join("members", "|"), F.lit("#RELS:"), F.coalesce(F.array_join("rels", "|"), F.lit("")))
-    prompt = F.concat(F.lit("Community ID: "), F.col("l_suppkey").cast("string"), F.lit("\n\nEntities:\n"), F.array_join("shown", "\n"))
-    return out.select(F.col("l_suppkey").alias("community"), I.digest(joined).alias("context_hash"), I.digest(prompt).alias("prompt"))
+    own = m.select("l_suppkey", F.lit(0).alias("section"), F.concat_ws(":", name(""), "p_type").alias("first"), F.lit(0).cast("long").alias("second"), F.concat_ws(":", name(""), "p_type").alias("line"))
+    rels = pair.select("l_suppkey", F.lit(1).alias("section"), edge.alias("first"), F.lit(0).cast("long").alias("second"), edge.alias("line")).distinct()
+    line = F.concat(F.lit("- "), "p_name", F.lit(" ["), "p_type", F.lit("] (ID: "), number, F.lit(")"))
+    shown = m.select("l_suppkey", F.lit(0).alias("section"), F.col("p_name").alias("first"), F.col("l_partkey").alias("second"), line.alias("line"))
+    head = F.concat(F.lit("Community ID: "), F.col("l_suppkey").cast("string"), F.lit("\n\nEntities:\n"))
+    context = G.sectioned_digests(own.union(rels), "l_suppkey", ("MEMBERS:", "#RELS:"), "|").withColumnRenamed("digest", "context_hash")
+    titled = shown.unionByName(m.select("l_suppkey").distinct().select("l_suppkey", F.lit(-1).alias("section"), F.lit("").alias("first"), F.lit(0).cast("long").alias("second"), head.alias("line")))
+    prompt = G.sectioned_digests(titled.withColumn("section", F.col("section") + 1), "l_suppkey", ("", ""), "\n").withColumnRenamed("digest", "prompt")
+    return context.join(prompt, "l_suppkey").select(F.col("l_suppkey").alias("community"), "context_hash", "prompt")
 
 
 @query("""WITH e AS (SELECT p_partkey % 100 AS src, CASE p_size % 6 WHEN 0 THEN 'ASSERTS' WHEN 1 THEN 'TARGETS' WHEN 2 THEN 'MENTIONS' WHEN 3 THEN 'MEMBER_OF' WHEN 4 THEN 'CALLS' ELSE 'USES' END AS rel, p_partkey % 37 AS dst, p_brand FROM part)
@@ -109,23 +115,23 @@ def declaring_chunks(t: Tables) -> DataFrame:
     return E.declaring(chunks, rows.select(F.col("doc_id").alias("chunk"), F.col("source").alias("entity")), entities, ["source", "chunk"], 150)
 
 
-@query("""WITH e AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 60), c AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier QUALIFY rank <= 5), m AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 40),
+@query("""WITH e AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 60), c AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier QUALIFY rank <= 5), m AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
 h AS (SELECT id AS entity, 'entity' AS channel, id, rank FROM e UNION ALL SELECT l_partkey, 'community', c.id, rank FROM m JOIN c ON c.id = l_suppkey), p AS (SELECT DISTINCT l_orderkey AS chunk, l_partkey AS entity FROM lineitem), s AS (SELECT DISTINCT chunk, channel, id, rank FROM p JOIN h USING (entity))
 SELECT chunk, count(DISTINCT channel) AS channels, min(rank) AS best_rank, count(*) AS signals FROM s GROUP BY chunk ORDER BY channels DESC, best_rank, chunk LIMIT 500""")
 def signal_chunks(t: Tables) -> DataFrame:
     """Chunks that entity and community hits lead to: more channels first, then the best rank."""
     top = lambda rows, key, by, most: rows.orderBy(F.desc(by), key).limit(most).select(F.col(key).alias("id"), F.row_number().over(Window.orderBy(F.desc(by), key)).cast("long").alias("rank"))
-    members = t.lineitem.where("l_quantity > 40").select(F.col("l_partkey").alias("entity"), F.col("l_suppkey").alias("community")).distinct()
+    members = t.lineitem.select(F.col("l_partkey").alias("entity"), F.col("l_suppkey").alias("community")).distinct()
     said = t.lineitem.select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"))
     return E.signalled(top(t.part, "p_partkey", "p_retailprice", 60), top(t.supplier, "s_suppkey", "s_acctbal", 5), members, said, 500)
 
 
-@query("""WITH o AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 47), f AS (SELECT l_partkey, min(l_suppkey) AS first FROM o GROUP BY 1), g AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000),
+@query("""WITH o AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), f AS (SELECT l_partkey, min(l_suppkey) AS first FROM o GROUP BY 1), g AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000),
 a AS (SELECT o.l_partkey, min(o.l_suppkey) FILTER (g.s_suppkey IS NULL) AS next, bool_or(g.s_suppkey IS NOT NULL) AS touched, bool_or(g.s_suppkey IS NOT NULL AND o.l_suppkey = f.first) AS moved FROM o JOIN f USING (l_partkey) LEFT JOIN g ON g.s_suppkey = o.l_suppkey GROUP BY 1)
 SELECT l_partkey, next AS l_suppkey, CASE WHEN next IS NULL THEN 'DELETE' WHEN moved THEN 'TRANSFER' ELSE 'KEEP' END AS action FROM a WHERE touched""")
 def ownership_transfer(t: Tables) -> DataFrame:
     """What becomes of shared entities when some records that own them are deleted."""
-    owned = t.lineitem.where("l_quantity > 47").select("l_partkey", "l_suppkey").distinct()
+    owned = t.lineitem.select("l_partkey", "l_suppkey").distinct()
     first = owned.groupBy("l_partkey").agg(F.min("l_suppkey").alias("first"))
     owned = owned.join(first, "l_partkey").select("l_partkey", "l_suppkey", (F.col("l_suppkey") == F.col("first")).alias("primary"))
     return E.owners_after(owned, "l_partkey", "l_suppkey", t.supplier.where("s_acctbal < 2000").select(F.col("s_suppkey").alias("l_suppkey")))
@@ -170,18 +176,18 @@ def snapshot_pairs(t: Tables) -> DataFrame:
     return side("O").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("head")).distinct().join(base, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "head", "base")
 
 
-@query("""SELECT c.conv_id, c.turn, d.doc_id FROM conversations c JOIN documents d ON d.doc_id = c.conv_id * 2 AND contains(d.text, substr(c.text, 1, 2)) WHERE c.text IS NOT NULL AND c.text <> ''""")
+@query("""SELECT c.conv_id, c.turn, d.doc_id FROM conversations c JOIN documents d ON d.doc_id = c.conv_id * 2 AND contains(lower(d.text), lower(regexp_extract(c.text, '[A-Za-z]{5,}'))) WHERE regexp_matches(c.text, '[A-Za-z]{5,}') AND c.text IS NOT NULL AND c.text <> ''""")
 def citation_sources(t: Tables) -> DataFrame:
     """Citations whose source is named by id and also holds the quoted words."""
-    cited = t.conversations.where("text <> ''").select("conv_id", "turn", (F.col("conv_id") * 2).alias("doc_id"), F.substring("text", 1, 2).alias("quote"))
-    found = cited.join(t.documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("quote")))
+    cited = t.conversations.where("text <> ''").select("conv_id", "turn", (F.col("conv_id") * 2).alias("doc_id"), F.lower(F.regexp_extract("text", "[A-Za-z]{5,}", 0)).alias("quote")).where("quote <> ''")
+    found = cited.join(t.documents.select("doc_id", "text"), "doc_id").where(F.lower("text").contains(F.col("quote")))
     return found.select("conv_id", "turn", "doc_id")
 
 
-@query("""SELECT count(*) FILTER (l.l_partkey IS NOT NULL) AS matched, count(*) FILTER (l.l_partkey IS NULL) AS missing FROM part p LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 48) l ON l.l_partkey = p.p_partkey""")
+@query("""SELECT count(*) FILTER (l.l_partkey IS NOT NULL) AS matched, count(*) FILTER (l.l_partkey IS NULL) AS missing FROM part p LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem) l ON l.l_partkey = p.p_partkey""")
 def context_match(t: Tables) -> DataFrame:
     """How many nodes of a context the graph shows, and how many it does not."""
-    shown = t.lineitem.where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("here", F.lit(1))
+    shown = t.lineitem.select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("here", F.lit(1))
     return t.part.join(shown, "p_partkey", "left").agg(F.count("here").alias("matched"), F.count_if(F.col("here").isNull()).alias("missing"))
 
 

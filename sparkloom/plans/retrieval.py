@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import identity as I
 from sparkloom.functions import text as X
 from sparkloom.operators import retrieval as R
+from sparkloom.operators.steps import materialise
 
 from .registry import Tables, query
 
@@ -105,8 +106,6 @@ def recall_ndcg(t: Tables) -> DataFrame:
 
 @query(f"WITH {BM25}, {VEC}, {FUSE} SELECT query_id, item, min_rank, n_channels, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n_channels DESC, min_rank, item) AS INTEGER) AS place FROM fu QUALIFY place <= 60")
 def candidate_budget(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("n_channels"), "min_rank", "item")
     return fusion(t).withColumn("place", F.row_number().over(order)).where("place <= 60").select("query_id", "item", F.col("min_rank").cast("long").alias("min_rank"), "n_channels", "place")
 
@@ -145,9 +144,17 @@ b AS (SELECT item_id, unnest(list_distinct([lower(w) FOR w IN regexp_extract_all
 m AS (SELECT item_id, doc_id, count(*) AS shared FROM (SELECT doc_id, unnest(ws) AS w FROM d) JOIN b USING (w) GROUP BY ALL)
 SELECT item_id, m.doc_id, CAST(shared AS INTEGER) AS shared, CAST((CASE WHEN lang = 'en' THEN 65 ELSE 0 END) + (CASE WHEN source = 'src0' THEN 25 ELSE 0 END) + least(20, shared) AS INTEGER) AS score FROM m JOIN d USING (doc_id) WHERE shared >= 5""")
 def scope_score(t: Tables) -> DataFrame:
-    words = t.documents.select("doc_id", F.explode(X.word_set(F.col("text"))).alias("w"))
-    asked = t.benchmark.select("item_id", F.explode(X.word_set(F.col("text"))).alias("w"))
-    shared = words.join(asked, "w").groupBy("item_id", "doc_id").agg(F.count("*").cast("int").alias("shared")).where("shared >= 5")
+    """Documents that share five words or more with a passage. Whoever shares five of its words shares one of all but
+    its four most common ones: only those lead to candidates, whose words are then counted."""
+    words = materialise(t.documents.select("doc_id", X.word_set(F.col("text")).alias("ws")), "words")
+    asked = materialise(t.benchmark.select("item_id", X.word_set(F.col("text")).alias("asked")), "asked")
+    wanted = asked.select("item_id", F.explode("asked").alias("w"))
+    said = materialise(words.select("doc_id", F.explode("ws").alias("w")).join(wanted.select("w").distinct(), "w", "left_semi"), "said")
+    df = said.groupBy("w").agg(F.count("*").alias("df"))
+    common = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("df"), "w"))
+    rare = materialise(wanted.join(df, "w").withColumn("nth", common).where("nth > 4").select("item_id", "w"), "rare")
+    met = said.join(rare, "w").select("item_id", "doc_id").distinct()
+    shared = met.join(words, "doc_id").join(asked, "item_id").select("item_id", "doc_id", F.size(F.array_intersect("ws", "asked")).alias("shared")).where("shared >= 5")
     score = F.when(F.col("lang") == "en", 65).otherwise(0) + F.when(F.col("source") == "src0", 25).otherwise(0) + F.least(F.lit(20), "shared")
     return shared.join(t.documents.select("doc_id", "lang", "source"), "doc_id").select("item_id", "doc_id", "shared", score.cast("int").alias("score"))
 
@@ -173,8 +180,6 @@ SELECT label, d, x, w, 1.0 AS one, sum(s * s) OVER (PARTITION BY label) AS norm
 SELECT label, d, sum(x * w) AS x, 1.0 AS w, sum(x * w) AS s FROM (SELECT label, unnest(range(64)) AS d, unnest(CAST(embedding AS DOUBLE[])) / sqrt(list_sum([CAST(z AS DOUBLE) * z FOR z IN embedding])) AS x, 1 + vec_id % 7 AS w FROM embeddings) GROUP BY label, d)) GROUP BY label, d""")
 def pooled_vectors(t: Tables) -> DataFrame:
     """Weighted mean of unit vectors per label, made unit again."""
-    from pyspark.sql import Window
-
     v = F.col("embedding").cast("array<double>")
     size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     cells = t.embeddings.select("label", (1 + F.col("vec_id") % 7).alias("w"), size.alias("size"), F.posexplode(v).alias("dim", "x"))
