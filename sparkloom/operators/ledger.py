@@ -210,3 +210,64 @@ def publication_step(state: dict, event: dict, lease: int = 180) -> bool:
     else:
         return False
     return True
+
+
+def coalesced(events: DataFrame, key: str, revision: Column) -> DataFrame:
+    """(key, nth, revision, requests, claims, state) of every revision of a key: requests for one revision are one job,
+    which starts with the first of them; a newer revision supersedes one that nobody claimed before it came, and fences
+    one that was claimed."""
+    at = F.struct("ts", "event_id")
+    asked = events.where((F.col("event_type") == ENQUEUE) & revision.isNotNull()).select(key, revision.alias("revision"), at.alias("at"))
+    jobs = asked.groupBy(key, "revision").agg(F.min("at").alias("at"), F.count("*").alias("requests"))
+    order = Window.partitionBy(key).orderBy("at")
+    claims = events.where(F.col("event_type") == CLAIM).select(key, at.alias("at"), F.lit(None).cast("string").alias("revision"), F.lit(None).cast("long").alias("requests"))
+    both = jobs.select(key, "at", "revision", "requests").unionByName(claims)
+    both = both.withColumn("nth", F.count("requests").over(order)).where("nth > 0")
+    per = both.groupBy(key, "nth").agg(F.max("revision").alias("revision"), F.max("requests").alias("requests"), F.count_if(F.col("requests").isNull()).alias("claims"))
+    last = per.groupBy(key).agg(F.max("nth").alias("last"))
+    state = F.when(F.col("nth") == F.col("last"), "HEAD").when(F.col("claims") > 0, "FENCED").otherwise("SUPERSEDED")
+    return per.join(last, key).select(key, "nth", "revision", "requests", "claims", state.alias("state"))
+
+
+def record_step(state: dict, event: dict, lease: int = 3600, most: int = MOST_ATTEMPTS) -> bool:
+    """Work on a decision record, which can be deleted: a deletion leaves a tombstone, supersedes work that waits and
+    queues a cleanup, which runs under the same lease and attempts and is tried anew when the deletion is repeated after
+    it failed; a deleted record takes no further work of its own."""
+    kind, now = event["event_type"], event["at"]
+    deleted = state["record"] == "DELETED"
+    if kind == "delete":
+        if state["work"] in ("QUEUED", "RETRY"):
+            state["work"] = "SUPERSEDED"
+        fresh = not deleted or state["cleanup"] == "FAILED"
+        if fresh:
+            state.update(record="DELETED", cleanup="QUEUED", attempts=0)
+        return fresh
+    run = "cleanup" if deleted else "work"
+    status = state[run]
+    live = status == "INDEXING" and state["lease"] > now
+    if kind == ENQUEUE:
+        if deleted or status in ("QUEUED", "RETRY", "INDEXING", "COMPLETED"):
+            return False
+        state.update(work="QUEUED", attempts=0, record="PENDING")
+    elif kind == CLAIM:
+        if status not in ("QUEUED", "RETRY", "INDEXING") or live:
+            return False
+        if state["attempts"] >= most:
+            state[run] = "FAILED"
+            return False
+        state.update({run: "INDEXING", "lease": now + lease, "attempts": state["attempts"] + 1})
+        if not deleted:
+            state["record"] = "PROCESSING"
+    elif not live:
+        return False
+    elif kind == BEAT:
+        state["lease"] = now + lease
+    elif kind == FINISH:
+        state[run] = "COMPLETED"
+        if not deleted:
+            state["record"] = "COMPLETED"
+    else:
+        state[run] = "FAILED" if state["attempts"] >= most else "RETRY"
+        if not deleted:
+            state["record"] = "FAILED" if state[run] == "FAILED" else "PENDING"
+    return True

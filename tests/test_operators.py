@@ -203,15 +203,15 @@ def test_communities_of_a_chain_whose_ids_fall_from_both_ends(spark):
 
 
 def test_communities_of_all_customers(spark):
-    orders = spark.read.parquet(f"{SMALL}/orders.parquet").where("o_orderpriority LIKE '1%'")
-    found = plans.queries()["community_components_all"](spark, SMALL)
-    assert orders.join(found, orders.o_custkey == found.node, "left_anti").count() == 0
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet").selectExpr("concat('c', o_custkey) AS node")
+    found = plans.queries()["community_components"](spark, SMALL)
+    assert orders.join(found, "node", "left_anti").count() == 0
     assert "collect_list" not in found._jdf.queryExecution().toString()  # no member list on a row
 
 
 def test_every_fiftieth_vector_is_asked(spark):
     want = {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
-    assert {r.query_id for r in plans.queries()["cosine_topk_all"](spark, SMALL).collect()} == want
+    assert {r.query_id for r in plans.queries()["cosine_topk"](spark, SMALL).collect()} == want
 
 
 def test_byte_budget_is_one_for_a_source(spark):
