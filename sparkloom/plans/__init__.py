@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators."""
 
-from . import changes, delta, details, evaluation, graph, inventory, knowledge, ledger, lifecycle, queue, readmodels, retrieval, spans, text, vectors  # noqa: F401
+from . import catalogue, changes, delta, details, evaluation, graph, inventory, knowledge, ledger, lifecycle, queue, readmodels, retrieval, spans, text, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 

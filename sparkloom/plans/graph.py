@@ -323,7 +323,8 @@ def interval_overlap(t: Tables) -> DataFrame:
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber AS n, l_shipdate AS lo, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS hi, CAST(l_quantity AS INTEGER) AS w FROM lineitem)
 SELECT x.l_orderkey, x.n AS inner_line, arg_min(y.n, y.w * 100 + y.n) AS outer_line FROM a x JOIN a y ON x.l_orderkey = y.l_orderkey AND x.n <> y.n AND y.lo <= x.lo AND x.hi <= y.hi AND y.w > x.w GROUP BY ALL""")
 def innermost_range(t: Tables) -> DataFrame:
-    """The narrowest span of the same order that encloses a line's span."""
+    """The narrowest span of the same order that encloses a line's span: an order has a handful of lines, which are
+    compared with each other. supplier_innermost is the way for keys with many ranges."""
     width = F.col("l_quantity").cast("int")
     hi = F.expr("l_shipdate + make_dt_interval(cast(l_quantity as int))")
     span = lambda n: t.lineitem.select("l_orderkey", F.col("l_linenumber").alias(n), F.col("l_shipdate").alias(f"{n}_lo"), hi.alias(f"{n}_hi"), width.alias(f"{n}_w"))
