@@ -49,7 +49,7 @@ HINTS = """h AS (SELECT c_custkey, score FROM (SELECT c_custkey, CAST((CASE WHEN
 
 
 @query(f"""WITH {HINTS}, l AS (SELECT DISTINCT c_custkey, l_partkey, o_orderkey FROM h JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey),
-t AS (SELECT c_custkey, l_partkey AS target, count(*) AS support, row_number() OVER (PARTITION BY c_custkey ORDER BY count(*) DESC, l_partkey) AS nth FROM l GROUP BY ALL),
+g AS (SELECT c_custkey, l_partkey AS target, count(*) AS support FROM l GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY support DESC, target) AS nth FROM g),
 s AS (SELECT c_custkey, count(DISTINCT l_partkey) AS n, count(DISTINCT o_orderkey) AS m FROM l GROUP BY 1),
 b AS (SELECT c_custkey, string_agg(target || 'x' || support, ',' ORDER BY nth) AS best FROM t WHERE nth <= 8 GROUP BY 1)
 SELECT h.c_custkey, score, coalesce(n, 0) AS targets, coalesce(m, 0) AS supports, coalesce(best, '') AS first_targets FROM h LEFT JOIN s ON s.c_custkey = h.c_custkey LEFT JOIN b ON b.c_custkey = h.c_custkey""")
