@@ -6,7 +6,7 @@ matrices of one length class each: every round, every row merges its leftmost pa
 found by hashed pair lookup, and rows are compacted.
 
 Defined cases: a null text counts as empty and has no ids. Strings of special tokens are ordinary text.
-Other columns are not read.
+Repeated rows have a row each. Other columns are not read.
 """
 
 from __future__ import annotations

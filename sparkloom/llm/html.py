@@ -14,7 +14,7 @@ their own columns. Spans over rows and columns hold their places, with the bound
 Defined cases: a null or empty page has empty text. Unclosed tags, quotes and comments end with the page.
 Visibility holds at any depth, and what is visible inside a hidden element is shown; beyond `DEEPEST` levels
 only indents stop growing and tables are laid out cell by cell, without losing text. Other columns are not
-read. Rows are implied around cells without one; what stands between the parts of a table is laid out before
+read; repeated rows are extracted each. Rows are implied around cells without one; what stands between the parts of a table is laid out before
 it, as browsers do.
 """
 

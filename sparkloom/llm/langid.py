@@ -7,7 +7,8 @@ backpropagation through time on the driver, from a bounded sample of labelled wi
 in the tasks over every byte of every text. Gates use the softsign family, which keeps numpy fast.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. Where no labelled row can
-be learned from, every text is `und`. Other columns are not read; lang only as a training label.
+be learned from, every text is `und`. Equally likely languages go by name, and
+equal texts get equal results, in repeated rows too. Other columns are not read; lang only as a training label.
 """
 
 from __future__ import annotations

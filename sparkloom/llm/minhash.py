@@ -6,7 +6,8 @@ id that links reach; `keep_first` keeps one document of each class.
 
 Defined cases: a null, empty or blank text has an empty set, links with nothing and stays. A text with
 fewer words than k has its whole word sequence as one shingle. Documents with equal sets form one class
-before anything is compared, so copies never multiply. Other columns of the table are not read.
+before anything is compared, so copies never multiply. Rows that share an id each
+belong to the class of their own set. Other columns of the table are not read.
 
 How exactness and skew go together: each class of equal sets sends one representative to the banding.
 Within a bucket every member is verified against the bucket's smallest member, which joins almost all

@@ -15,7 +15,8 @@ too common are cut again, in the end to single windows. Whole contexts are taken
 hash and a 62-bit polynomial hash modulo a prime at two random bases agree.
 
 Defined cases: a null text counts as empty; texts shorter than `length` lose nothing. Other columns are
-not read. Ids are unique.
+not read. Every row is a text of its own, rows that repeat another's id or all of it too; a row without an id loses
+nothing, and its strings count for the others.
 """
 
 from __future__ import annotations
@@ -188,18 +189,18 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
             at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             raw = data.tobytes()
             sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offs)), pa.array(sha, pa.string()), _lists(h.view(np.int64), at, pa.int64()), _lists(c.view(np.int64), at, pa.int64()), _lists(first, at, pa.int32()), _lists(count, at, pa.int32())], ["doc_id", "n_bytes", "sha", "h", "c", "first", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(np.diff(offs)), pa.array(sha, pa.string()), _lists(h.view(np.int64), at, pa.int64()), _lists(c.view(np.int64), at, pa.int64()), _lists(first, at, pa.int32()), _lists(count, at, pa.int32())], ["doc_id", "t", "n_bytes", "sha", "h", "c", "first", "count"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, sha string, h array<long>, c array<long>, first array<int>, count array<int>")
+    return docs.mapInArrow(run, "doc_id long, t long, n_bytes long, sha string, h array<long>, c array<long>, first array<int>, count array<int>")
 
 
 def _texts_of(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
-    """docs joined with one row per id of per_doc; a checked small number of ids is sent to the texts
+    """docs joined with one row per id and text of per_doc; a checked small number of ids is sent to the texts
     first, so that only their texts are shuffled."""
-    ids = per_doc.select("doc_id")
-    if ids.count() <= BROADCAST_IDS:
+    ids = per_doc.select("doc_id").distinct()
+    if per_doc.count() <= BROADCAST_IDS:
         docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return docs.join(per_doc, "doc_id")
+    return docs.join(per_doc, ["doc_id", "t"])
 
 
 def _cut(wanted: DataFrame, length: int) -> DataFrame:
@@ -301,25 +302,26 @@ def _repeats(contexts: DataFrame, length: int, gram: int, group: int, splits: tu
 
 
 def _marks(docs: DataFrame, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_bytes, sha) of all texts, and (doc_id, marks) of those that hold repeats."""
+    """(doc_id, t, n_bytes, sha) of all texts, and (doc_id, t, marks) of those that hold repeats; t tells texts of one
+    id apart."""
     scanned = materialise(_scan(docs, length, gram), "anchors")
-    flat = scanned.select("doc_id", F.inline(F.arrays_zip("h", "c", "first", "count")))
+    flat = scanned.select("doc_id", "t", F.inline(F.arrays_zip("h", "c", "first", "count")))
     again = flat.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("varied")).where("n > 1").select("h", "varied")
     again = materialise(again, "again")  # two plain sides: a very common anchor's rows can be split in the join
     found = materialise(flat.join(again, "h"), "found")
 
-    kinds = found.groupBy("h", "c", "varied").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "count")).alias("rep"))
+    kinds = found.groupBy("h", "c", "varied").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "t", "first", "count")).alias("rep"))
     kinds = materialise(kinds, "kinds")
-    reps = kinds.where("varied").select("rep.doc_id", F.struct("h", "c", "rep.first", "rep.count").alias("w"))
-    reps = materialise(reps.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")), "reps")
-    contexts = materialise(_cut(_texts_of(docs, reps), length), "contexts")
+    reps = kinds.where("varied").select("rep.doc_id", "rep.t", F.struct("h", "c", "rep.first", "rep.count").alias("w"))
+    reps = materialise(reps.groupBy("doc_id", "t").agg(F.collect_list("w").alias("wanted")), "reps")
+    contexts = materialise(_cut(_texts_of(docs, reps), length).dropDuplicates(["h", "c"]), "contexts")
 
     partly = _repeats(contexts, length, gram, group, tuple(b for b in SPLITS if b == 1 or 2 * b <= length))
     whole = kinds.where("copies > 1").select("h", "c", F.array(F.lit(0), F.col("rep.count") - 1).alias("runs"))
     partly = partly.join(kinds.where("copies > 1").select("h", "c"), ["h", "c"], "left_anti")
     repeats = materialise(partly.union(whole), "repeats")
-    marks = found.join(repeats, ["h", "c"]).groupBy("doc_id").agg(F.collect_list(F.struct("first", "runs")).alias("marks"))
-    return scanned.select("doc_id", "n_bytes", "sha"), materialise(marks, "marks")
+    marks = found.join(repeats, ["h", "c"]).groupBy("doc_id", "t").agg(F.collect_list(F.struct("first", "runs")).alias("marks"))
+    return scanned.select("doc_id", "t", "n_bytes", "sha"), materialise(marks, "marks")
 
 
 def _removed(n: int, marks: list[dict], length: int) -> np.ndarray:
@@ -332,43 +334,44 @@ def _removed(n: int, marks: list[dict], length: int) -> np.ndarray:
 
 
 def _apply(marked: DataFrame, length: int, texts: bool = False) -> DataFrame:
-    """(doc_id, n_removed, n_spans, kept_sha256) of each marked text, or (doc_id, left), the text that is left
-    of it: a character that loses a byte goes wholly."""
-    names, kinds = (["doc_id", "left"], (pa.int64(), pa.string())) if texts else (["doc_id", "n_removed", "n_spans", "kept_sha256"], (pa.int64(), pa.int64(), pa.int64(), pa.string()))
+    """(doc_id, t, n_removed, n_spans, kept_sha256) of each marked text, or (doc_id, t, left), the text that is left
+    of it: a character that loses a byte goes wholly. A repeated row has one row here."""
+    names, kinds = (["doc_id", "t", "left"], (pa.int64(), pa.int64(), pa.string())) if texts else (["doc_id", "t", "n_removed", "n_spans", "kept_sha256"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             rows = []
-            for i, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("marks"), strict=True):
+            for i, t, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), batch.column("text"), batch.column("marks"), strict=True):
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 gone = _removed(len(data), marks.as_py(), length)
                 kept = data[~gone].tobytes()
                 if texts:
-                    rows.append((i, kept.decode("utf-8", "ignore")))
+                    rows.append((i, t, kept.decode("utf-8", "ignore")))
                 else:
-                    rows.append((i, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+                    rows.append((i, t, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return marked.select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, left string" if texts else "doc_id long, n_removed long, n_spans long, kept_sha256 string")
+    done = marked.select("doc_id", "t", "text", "marks").mapInArrow(run, "doc_id long, t long, left string" if texts else "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string")
+    return done.dropDuplicates(["doc_id", "t"])
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    texts = pick(docs, "doc_id", "text")
+    texts = pick(docs, "doc_id", "text").withColumn("t", F.xxhash64("text"))
     every, marks = _marks(texts, length, gram, group)
     cut = _apply(_texts_of(texts, marks), length)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return every.join(cut, "doc_id", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return every.join(cut, ["doc_id", "t"], "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
 def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """docs with repeated strings cut from text; a character that loses a byte goes wholly, and a
     column n_chars follows the text. Other columns stay as they are."""
-    texts = pick(docs, "doc_id", "text")
+    texts = pick(docs, "doc_id", "text").withColumn("t", F.xxhash64("text"))
     _, marks = _marks(texts, length, gram, group)
     left = _apply(_texts_of(texts, marks), length, texts=True)
     same = left["doc_id"].isNull()  # columns by their DataFrame: the caller's may have any name
-    whole = docs.join(left, docs["doc_id"] == left["doc_id"], "left")
+    whole = docs.join(left, (docs["doc_id"] == left["doc_id"]) & (F.xxhash64(docs["text"]) == left["t"]), "left")
     columns = {"text": F.when(same, docs["text"]).otherwise(left["left"])}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(same, docs["n_chars"]).otherwise(F.length(left["left"]).cast(docs.schema["n_chars"].dataType))

@@ -8,7 +8,7 @@ returns link counts and at most one link per vector for the components, never it
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component, and vectors
 without a label, link with nothing and stay. Vectors of different dimensions do not link. Other columns
-are not read. Ids are unique.
+are not read. Rows that share an id are one vector in the components, and their links add up.
 """
 
 from __future__ import annotations

@@ -83,3 +83,13 @@ def test_rolling_hashes_tell_twins_apart():
         assert h[0] != h[1]
         same = suffix.rolling_hashes(np.concatenate([both[:n], both[:n]]), np.array([0, n]), np.array([n, 2 * n]))
         assert same[0] == same[1]
+
+
+def test_rows_of_one_id_are_texts_of_their_own(spark, texts):
+    """Repeated rows, other texts under the same id, and rows without one."""
+    rows = [(3, texts[3]), (3, texts[3]), (3, texts[4]), (3, "q" * 450), (4, texts[4] + "end"), (5, texts[5] * 3), (5, "short"), (5, None)]
+    want = brute(dict(enumerate(t for _, t in rows)), 200)
+    df = spark.createDataFrame([*rows, (None, texts[5] * 3)], "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removals(df).collect()]
+    assert sorted(g for g in got if g[0]) == sorted((rows[i][0], *w) for i, w in want.items() if rows[i][0] != 5) + sorted((5, *w) for i, w in brute(dict(enumerate([*(t for _, t in rows), texts[5] * 3])), 200).items() if i < len(rows) and rows[i][0] == 5)
+    assert len([g for g in got if g[0] is None]) == 1 and suffix.strip(df).count() == len(rows) + 1
