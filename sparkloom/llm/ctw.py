@@ -9,10 +9,10 @@ and each context and symbol gets one fixed log probability.
 
 How it is spread: tasks count grams (context and symbol) and words of chunks of texts; everything that
 grows with the corpus (gram table, tree levels, word counts) is joined and summed as rows of DataFrames.
-A chunk's different grams go to `PARTS` parts as packed, sorted numbers, are counted there, and later meet the
-scores of their part, of which only the values go back, in the order of the grams. A part is read row by row and
-holds its different grams, a chunk its own, so nothing is broadcast and memory follows neither the number of chunks
-nor of documents. Only the 257 counts of the symbols reach the driver. Written tables go as soon as nothing reads them.
+A chunk's different grams and words go to `PARTS` parts as packed, sorted numbers, are counted there, and later meet
+the scores (of words: the counts) of their part, of which only the values go back, in the order of the numbers. A part
+is read row by row and holds its different numbers, a chunk its own, so nothing is broadcast and memory follows neither
+the number of chunks nor of documents. Only the 257 counts of the symbols reach the driver. Written tables go as soon as nothing reads them.
 
 Beside the model stands a unigram base over lower-cased words and one end per text, with 0.1 added to
 every count; words are told apart by 64-bit hashes.
@@ -96,8 +96,8 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(docs: DataFrame, depth: int, folds: int, held: int, most: int) -> DataFrame:
-    """One row per chunk (part -1): its texts, its words with their training counts, training totals; and one for each
-    part of its grams: the different grams, as steps between sorted ones, with their training counts."""
+    """One row per chunk (part -1): its texts and training totals; and one for each part of its grams (of 'g') and of its
+    words (of 'w'): the different ones, as steps between sorted numbers, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -110,20 +110,19 @@ def _chunks(docs: DataFrame, depth: int, folds: int, held: int, most: int) -> Da
 
         def close(c: dict) -> Iterator[pa.RecordBatch]:
             c["out"].close()
-            (g, gn), (w, wn) = _total(*c["g"]), _total(*c["w"])
-            one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))
             chunk = part << 32 | seq
-            names = ["chunk", "part", "g", "gn", "w", "wn", "ends", "words", "docs"]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
+            names = ["chunk", "part", "of", "keys", "n", "ends", "words", "docs"]
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
             none = lambda i: pa.nulls(1, kinds[i])
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([-1], pa.int32()), none(2), none(3), one(w), one(wn), pa.array([c["ends"]]), pa.array([c["words"]]), pa.array([c["sink"].getvalue()], pa.binary())], names)
-            order, at = in_parts(g)
-            g, gn = g[order], gn[order]
-            held = np.flatnonzero(np.diff(at))
-            blobs = [(pack(np.diff(g[at[p] : at[p + 1]], prepend=0)), pack(gn[at[p] : at[p + 1]])) for p in held.tolist()]
-            n = len(held)
-            rows = [pa.array(np.full(n, chunk)), pa.array(held.astype(np.int32)), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(n, k) for k in kinds[4:])], names)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([-1], pa.int32()), none(2), none(3), none(4), pa.array([c["ends"]]), pa.array([c["words"]]), pa.array([c["sink"].getvalue()], pa.binary())], names)
+            for of in ("g", "w"):
+                keys, n = _total(*c[of])
+                order, at = in_parts(keys)
+                keys, n = keys[order], n[order]
+                held = np.flatnonzero(np.diff(at))
+                blobs = [(pack(np.diff(keys[at[p] : at[p + 1]], prepend=0)), pack(n[at[p] : at[p + 1]])) for p in held.tolist()]
+                rows = [pa.array(np.full(len(held), chunk)), pa.array(held.astype(np.int32)), pa.array([of] * len(held)), *(pa.array([b[k] for b in blobs], pa.binary()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(held), k) for k in kinds[5:])], names)
 
         c = fresh()
         for batch in pieces(batches):
@@ -145,7 +144,7 @@ def _chunks(docs: DataFrame, depth: int, folds: int, held: int, most: int) -> Da
         if c["bytes"] or c["ends"] or c["g"][0]:
             yield from close(c)
 
-    kinds = "chunk long, part int, g binary, gn binary, w array<long>, wn array<long>, ends long, words long, docs binary"
+    kinds = "chunk long, part int, of string, keys binary, n binary, ends long, words long, docs binary"
     return pick(docs, "doc_id", "text").mapInArrow(run, kinds)
 
 
@@ -254,35 +253,35 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part", "kind")
 
 
-def gram_counts(chunks: DataFrame) -> DataFrame:
-    """(gram, n) of all chunks."""
+def packed_counts(chunks: DataFrame, of: str, name: str) -> DataFrame:
+    """(name, n) of all chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, ([], [])
 
         def out() -> pa.RecordBatch:
-            g, n = _total(*held)
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["gram", "n"])
+            keys, n = _total(*held)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], [name, "n"])
 
         for batch in batches:
-            for part, g, n in zip(*(batch.column(c).to_pylist() for c in ("part", "g", "gn")), strict=True):
+            for part, keys, n in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "n")), strict=True):
                 if part != at:
                     if at is not None:
                         yield out()
                     at, held = part, ([], [])
-                held[0].append(np.cumsum(unpack(g)))
+                held[0].append(np.cumsum(unpack(keys)))
                 held[1].append(unpack(n))
                 if sum(map(len, held[0])) > HELD + 2 * len(held[0][0]):
                     held = tuple([x] for x in _total(*held))
         if at is not None:
             yield out()
 
-    rows = chunks.where("part >= 0").select("part", F.lit(0).alias("kind"), "g", "gn")
-    return _dealt(rows).mapInArrow(run, "gram long, n long")
+    rows = chunks.where(F.col("of") == of).select("part", F.lit(0).alias("kind"), "keys", "n")
+    return _dealt(rows).mapInArrow(run, f"{name} long, n long")
 
 
-def chunk_scores(chunks: DataFrame, p: DataFrame) -> DataFrame:
-    """(chunk, part, values): the scores (gram, p) of a chunk's grams of a part, in order of the grams."""
+def packed_values(chunks: DataFrame, of: str, known: DataFrame) -> DataFrame:
+    """(chunk, part, of, values): what known (key, value) holds for a chunk's numbers of a part, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, values, order = None, [], [], None
@@ -293,19 +292,19 @@ def chunk_scores(chunks: DataFrame, p: DataFrame) -> DataFrame:
                 if part[a] != at:
                     at, keys, values, order = part[a], [], [], None
                 if kind[a] == 0:
-                    keys.append(np.asarray(batch.column("gram").slice(a, b - a)))
-                    values.append(np.asarray(batch.column("p").slice(a, b - a)))
+                    keys.append(np.asarray(batch.column("key").slice(a, b - a)))
+                    values.append(np.asarray(batch.column("value").slice(a, b - a)))
                     continue
                 if order is None:
                     keys, values = np.concatenate(keys), np.concatenate(values)
                     order = np.argsort(keys)
                     keys, values = keys[order], values[order]
-                blobs = [pack(values[np.searchsorted(keys, np.cumsum(unpack(g)))]) for g in batch.column("g").slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[a:b].astype(np.int64)), pa.array(part[a:b].astype(np.int32)), pa.array(blobs, pa.binary())], ["chunk", "part", "values"])
+                blobs = [pack(values[np.searchsorted(keys, np.cumsum(unpack(g)))]) for g in batch.column("keys").slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[a:b].astype(np.int64)), pa.array(part[a:b].astype(np.int32)), pa.array([of] * (b - a)), pa.array(blobs, pa.binary())], ["chunk", "part", "of", "values"])
 
-    own = p.select((F.col("gram") % PARTS).cast("int").alias("part"), F.lit(0).alias("kind"), "gram", "p", F.lit(0).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("g"))
-    asked = chunks.where("part >= 0").select("part", F.lit(1), F.lit(0).cast("long"), F.lit(0.0), "chunk", "g")
-    return _dealt(own.union(asked)).mapInArrow(run, "chunk long, part int, values binary")
+    own = known.select(F.pmod("key", F.lit(PARTS)).cast("int").alias("part"), F.lit(0).alias("kind"), "key", "value", F.lit(0).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("keys"))
+    asked = chunks.where(F.col("of") == of).select("part", F.lit(1), F.lit(0).cast("long"), F.lit(0.0), "chunk", "keys")
+    return _dealt(own.union(asked)).mapInArrow(run, "chunk long, part int, of string, values binary")
 
 
 def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0, chunk: int = CHUNK) -> DataFrame:
@@ -314,51 +313,41 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0,
     the code length per byte, the end counted as one."""
     chunks = materialise(_chunks(docs, depth, folds, held, chunk), "chunks")
     whole = chunks.where("part < 0")
-    table = materialise(gram_counts(chunks), "grams")
+    table = materialise(packed_counts(chunks, "g", "gram"), "grams")
     p = gram_scores(table, depth)
     discard(table)
-    words = whole.select("chunk", F.inline(F.arrays_zip(F.col("w").alias("word"), F.col("wn").alias("n"))))
-    totals = materialise(words.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("chunks")), "words")
-    kinds = totals.where("n > 0").count()
+    words = materialise(packed_counts(chunks, "w", "word"), "words")
+    kinds = words.where("n > 0").count()
     ends, seen = whole.agg(F.coalesce(F.sum("ends"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     tokens, kinds = ends + seen, kinds + (ends > 0)
-
-    # A chunk knows its own count of a word that no other chunk holds; the others are sent.
-    sent = words.select("chunk", "word").join(totals.where("chunks > 1").select("word", "n"), "word")
-    blank = F.lit(None).cast("binary")
-    model = chunk_scores(chunks, p).select("chunk", F.lit(0).alias("kind"), F.col("part").cast("long").alias("key"), F.lit(0).cast("long").alias("n"), "values")
-    model = model.union(sent.select("chunk", F.lit(1), "word", "n", blank))
+    model = packed_values(chunks, "g", p.select(F.col("gram").alias("key"), F.col("p").alias("value")))
+    model = model.union(packed_values(chunks, "w", words.select(F.col("word").alias("key"), F.col("n").cast("double").alias("value"))))
+    model = materialise(model, "values")
+    discard(p, words)
     own = whole.select(F.col("chunk").alias("of"), "docs")
     tasks = max(1, whole.count())  # a task reads about one chunk, however many there are
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        kind = right["kind"].to_numpy()
-        key, number = right["key"].to_numpy(), right["n"].to_numpy()
         batches = [b for blob in left["docs"] for b in pa.ipc.open_stream(blob)]
-        local, met, out = ([], []), [], []
+        met = {"g": [], "w": []}
         for batch in batches:
             data, offs = utf8(batch.column("text"))
-            met.append(pd.unique(grams(data, offs, depth)[0]))
-            w, at = _words(data, offs)
-            learn = np.array([zlib.crc32(str(i).encode()) % folds != held for i in batch.column("doc_id").to_pylist()])
-            codes, u = pd.factorize(w)
-            local[0].append(u)
-            local[1].append(np.bincount(codes, np.repeat(learn, np.diff(at)), len(u)))
-        mine = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
-        find = HashIndex(mine[in_parts(mine)[0]].view(np.uint64))
-        blobs = right["values"].to_numpy()[kind == 0][np.argsort(key[kind == 0])]
-        p_of = np.concatenate([unpack(b, np.float64) for b in blobs]) if len(blobs) else np.zeros(0)
-        names, counts = _total(*local)
-        where = HashIndex(names.view(np.uint64))
-        there = where.find(key[kind == 1].view(np.uint64))
-        counts[there] = number[kind == 1]
+            met["g"].append(pd.unique(grams(data, offs, depth)[0]))
+            met["w"].append(pd.unique(_words(data, offs)[0]))
+        find, values = {}, {}
+        for of, found in met.items():
+            mine = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            find[of] = HashIndex(mine[in_parts(mine)[0]].view(np.uint64))
+            blobs = right[right["of"] == of].sort_values("part")["values"]
+            values[of] = np.concatenate([unpack(b, np.float64) for b in blobs]) if len(blobs) else np.zeros(0)
         base = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
+        out = []
         for batch in batches:
             data, offs = utf8(batch.column("text"))
             g, ga = grams(data, offs, depth)
-            logs = np.append(0.0, np.cumsum(p_of[find.find(g.view(np.uint64))]))
+            logs = np.append(0.0, np.cumsum(values["g"][find["g"].find(g.view(np.uint64))]))
             w, wa = _words(data, offs)
-            c = counts[where.find(w.view(np.uint64))]
+            c = values["w"][find["w"].find(w.view(np.uint64))]
             sums = np.append(0.0, np.cumsum(base(c)))
             known = np.append(0, np.cumsum(c > 0))
             score = logs[ga[1:]] - logs[ga[:-1]]
