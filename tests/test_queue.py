@@ -69,3 +69,12 @@ def test_contexts_are_pruned_to_the_budget(spark):
     stays, log = pruning.pruned(queue.contexts(Tables(spark, SMALL)), 200)
     left = stays.groupBy("ctx").agg(F.sum("size").alias("n"))
     assert left.where("n > 200").count() == 0 and log.count() > 0
+
+
+def test_discovery_of_conversations(spark):
+    seeds = {(r.ctx, r.delta): r for r in plans.queries()["discovery_seeds"](spark, SMALL).collect()}
+    turns = spark.read.parquet(f"{SMALL}/conversations.parquet").where("text IS NOT NULL")
+    assert len(seeds) == turns.count()  # no conversation is long enough for a bound on its turns
+    queries = plans.queries()["discovery_queries"](spark, SMALL).collect()
+    assert sum(r.seeds for r in queries) == 2 * len(seeds) and all(len(r.text) <= 1600 for r in queries)
+    assert {r.code for r in plans.queries()["discovery_omitted"](spark, SMALL).collect()} <= {"UNMAPPED_UNIT", "NEIGHBOR_LIMIT", "ENTITY_LIMIT", "QUERY_TEXT_LIMIT"}
