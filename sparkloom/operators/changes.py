@@ -20,14 +20,20 @@ from .steps import materialise
 MOST_DELTAS = 64
 
 
-def hunks_of(script: DataFrame) -> DataFrame:
-    """(file, side, nth, old_start, old_count, new_start, new_count) of an edit script (file, side, line, removed,
-    added): for every line of the old text whether it goes, and how many lines come in its place or after it."""
+def _in_hunks(script: DataFrame) -> DataFrame:
+    """The lines of an edit script (file, side, line, removed, added) that change something, with the number of their
+    hunk and by how much lines before them have moved. A line that stays parts two hunks."""
     order = Window.partitionBy("file", "side").orderBy("line")
     before = F.coalesce(F.sum(F.col("added") - F.col("removed")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joins = F.coalesce((F.lag("removed").over(order) > 0) | (F.lag("added").over(order) > 0), F.lit(False))
     rows = script.select("*", before.alias("shift"), F.when((F.col("removed") == 0) | ~joins, 1).otherwise(0).alias("fresh")).where("removed > 0 OR added > 0")
-    rows = rows.withColumn("nth", F.sum("fresh").over(order))
+    return rows.withColumn("nth", F.sum("fresh").over(order))
+
+
+def hunks_of(script: DataFrame) -> DataFrame:
+    """(file, side, nth, old_start, old_count, new_start, new_count) of an edit script (file, side, line, removed,
+    added): for every line of the old text whether it goes, and how many lines come in its place or after it."""
+    rows = _in_hunks(script)
     per = rows.groupBy("file", "side", "nth").agg(F.sum("removed").alias("old_count"), F.sum("added").alias("new_count"), F.min(F.when(F.col("removed") > 0, F.col("line"))).alias("gone"), F.min("line").alias("first"), F.min_by("shift", "line").alias("shift"))
     start = F.coalesce("gone", F.col("first"))
     place = F.coalesce("gone", F.col("first") + 1) + F.col("shift") - F.when(F.col("new_count") == 0, 1).otherwise(0)
@@ -35,6 +41,18 @@ def hunks_of(script: DataFrame) -> DataFrame:
     return per.select("file", "side", number(F.col("nth"), "nth"), number(start, "old_start"), number(F.col("old_count"), "old_count"), number(place, "new_start"), number(F.col("new_count"), "new_count"))
 
 
+def patches(script: DataFrame) -> DataFrame:
+    """(file, side, patch): unified patches without context of an edit script that also has `text`, each old line, and
+    `new`, the lines that come in its place or after it. A patch is as long as its file's changes."""
+    heads = hunks_of(script).select("file", "side", "nth", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("line"), F.lit(0).alias("at"), F.format_string("@@ -%d,%d +%d,%d @@", "old_start", "old_count", "new_start", "new_count").alias("s"))
+    rows = _in_hunks(script)
+    gone = rows.where("removed > 0").select("file", "side", "nth", F.lit(1).alias("turn"), F.col("line").cast("long").alias("line"), F.lit(0).alias("at"), F.concat(F.lit("-"), "text").alias("s"))
+    come = rows.select("file", "side", "nth", F.lit(2).alias("turn"), F.col("line").cast("long").alias("line"), F.posexplode("new").alias("at", "s")).withColumn("s", F.concat(F.lit("+"), "s"))
+    both = heads.unionByName(gone).unionByName(come)
+    lines = F.array_sort(F.collect_list(F.struct("nth", "turn", "line", "at", "s")))
+    return both.groupBy("file", "side").agg(F.array_join(F.transform(lines, lambda x: x["s"]), "\n").alias("patch"))
+
+
 def placed(ranges: DataFrame, hunks: DataFrame) -> DataFrame:
     """ranges (file, nth, start, end) with `touched`, how many hunks (file, old_start, old_count, new_count) change a line
     of them or come between two, and `moved`, by how many lines they lie elsewhere in the new text."""

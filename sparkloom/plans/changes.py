@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import changes as X
+from sparkloom.operators import passages
 from sparkloom.operators.steps import materialise
 
 from .registry import Tables, query
@@ -67,3 +68,23 @@ def change_triples(t: Tables) -> DataFrame:
 def change_coverage(t: Tables) -> DataFrame:
     """What of each file's change is covered, and what limits it."""
     return _analysed(t)[1]
+
+
+@query(f"WITH {HUNKS} SELECT file, side, old_start, old_count, new_start, new_count, CAST(NULL AS VARCHAR) AS error FROM h")
+def patches_read(t: Tables) -> DataFrame:
+    """The hunks of both revisions, written as unified patches of the documents' lines and read again."""
+    lines = t.documents.where("text IS NOT NULL").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    script = _script(t).join(lines.select("file", (F.col("at") + 1).alias("line"), "text"), ["file", "line"])
+    new = F.when(F.col("added") > 0, F.array(F.concat(F.lit("new "), "text"))).otherwise(F.array().cast("array<string>"))
+    found = X.patches(script.withColumn("new", new)).select("file", "side", F.explode(passages.patch_hunks(F.col("patch"))).alias("h"))
+    number = lambda c: F.col(f"h.{c}").cast("long").alias(c)
+    return found.select("file", "side", *[number(c) for c in ("old_start", "old_count", "new_start", "new_count")], "h.error")
+
+
+@query(f"WITH {HUNKS}, n AS (SELECT file, side, CAST(sum(new_count) AS BIGINT) AS additions, CAST(sum(old_count) AS BIGINT) AS deletions FROM h GROUP BY ALL) SELECT d.doc_id AS file, v.side, CASE WHEN text IS NULL THEN 'BINARY' WHEN n.file IS NULL THEN 'UNCHANGED' ELSE 'M' END AS status, coalesce(additions, 0) AS additions, coalesce(deletions, 0) AS deletions FROM documents d CROSS JOIN (VALUES ('HEAD'), ('TARGET')) v(side) LEFT JOIN n ON n.file = d.doc_id AND n.side = v.side")
+def changed_file_stats(t: Tables) -> DataFrame:
+    """Changed files with their counts of lines: the list of paths and the list of counts, joined by path."""
+    counts = X.hunks_of(_script(t)).groupBy("file", "side").agg(F.sum("new_count").alias("additions"), F.sum("old_count").alias("deletions"))
+    paths = t.documents.select(F.col("doc_id").alias("file"), F.explode(F.array(*map(F.lit, SIDES))).alias("side"), F.col("text").isNull().alias("binary"))
+    status = F.when(F.col("binary"), "BINARY").when(F.col("additions").isNull(), "UNCHANGED").otherwise("M")
+    return paths.join(counts, ["file", "side"], "left").select("file", "side", status.alias("status"), F.coalesce("additions", F.lit(0)).alias("additions"), F.coalesce("deletions", F.lit(0)).alias("deletions"))
