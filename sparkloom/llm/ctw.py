@@ -42,8 +42,8 @@ DEPTH = 5
 CHUNK = 1 << 24
 #: Parts that grams are dealt over: a prime, so that neighbouring grams spread.
 PARTS = 1021
-#: Grams of a part that are held before equal ones are added up.
-HELD = 1 << 21
+#: Numbers that are held before equal ones are added up.
+HELD = 1 << 20
 #: A symbol beside the bytes: the end after a text, and what stands before one.
 EDGE = 256
 SYMBOLS = 257
@@ -90,6 +90,13 @@ def in_parts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(PARTS + 1))
 
 
+def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys and counts with equal keys added up, once so many are held that it pays."""
+    if sum(map(len, keys)) <= HELD + 2 * len(keys[0]):
+        return keys, counts
+    return tuple([x] for x in _total(keys, counts))
+
+
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, at = word_spans(data, offs)
     return hash_spans(np.take(LOWER, data), start, end).view(np.int64), at
@@ -116,7 +123,7 @@ def _chunks(docs: DataFrame, depth: int, folds: int, held: int, most: int) -> Da
             none = lambda i: pa.nulls(1, kinds[i])
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([-1], pa.int32()), none(2), none(3), none(4), pa.array([c["ends"]]), pa.array([c["words"]]), pa.array([c["sink"].getvalue()], pa.binary())], names)
             for of in ("g", "w"):
-                keys, n = _total(*c[of])
+                keys, n = _total(*c.pop(of))
                 order, at = in_parts(keys)
                 keys, n = keys[order], n[order]
                 held = np.flatnonzero(np.diff(at))
@@ -133,6 +140,7 @@ def _chunks(docs: DataFrame, depth: int, folds: int, held: int, most: int) -> Da
                 train = np.repeat(learn, np.diff(at))
                 c[kind][0].append(u)
                 c[kind][1].append(np.bincount(codes, train, len(u)))
+                c[kind] = _folded(*c[kind])
                 if kind == "w":
                     c["words"] += int(train.sum())
             c["ends"] += int(learn.sum())
@@ -271,8 +279,7 @@ def packed_counts(chunks: DataFrame, of: str, name: str) -> DataFrame:
                     at, held = part, ([], [])
                 held[0].append(np.cumsum(unpack(keys)))
                 held[1].append(unpack(n))
-                if sum(map(len, held[0])) > HELD + 2 * len(held[0][0]):
-                    held = tuple([x] for x in _total(*held))
+                held = _folded(*held)
         if at is not None:
             yield out()
 
