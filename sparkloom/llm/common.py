@@ -42,7 +42,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: Spark keeps its Python workers for the next stage."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -64,7 +64,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             held += n
         yield batch.slice(start)
         del batch
-        _give_back()
+        give_back()
 
 
 def filtered(docs: DataFrame, judge: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:

@@ -35,13 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, HashIndex, discard, hash_spans, materialise, pick, pieces, utf8, word_spans
+from .common import LOWER, HashIndex, discard, give_back, hash_spans, materialise, pick, pieces, utf8, word_spans
 
 DEPTH = 5
 #: Bytes of text in a chunk.
 CHUNK = 1 << 24
 #: Parts that grams are dealt over: a prime, so that neighbouring grams spread.
 PARTS = 1021
+#: What comes back of a gram is rounded to single precision (7 digits of its logarithm), of a word it is exact.
+VALUES = {"g": np.float32, "w": np.float64}
 #: Numbers that are held before equal ones are added up.
 HELD = 1 << 20
 #: A symbol beside the bytes: the end after a text, and what stands before one.
@@ -72,15 +74,15 @@ def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers of eight bytes as compressed bytes: the first byte of each, the second of each, and so on."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
+    """Numbers as compressed bytes: the first byte of each, the second of each, and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return len(values).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(raw: bytes, kind: type = np.int64) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    planes = np.frombuffer(pa.decompress(raw[4:], 8 * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(kind)
+    n, size = int.from_bytes(raw[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw[4:], size * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
 
 
 def in_parts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +132,8 @@ def _chunks(docs: DataFrame, depth: int, folds: int, held: int, most: int) -> Da
                 blobs = [(pack(np.diff(keys[at[p] : at[p + 1]], prepend=0)), pack(n[at[p] : at[p + 1]])) for p in held.tolist()]
                 rows = [pa.array(np.full(len(held), chunk)), pa.array(held.astype(np.int32)), pa.array([of] * len(held)), *(pa.array([b[k] for b in blobs], pa.binary()) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(held), k) for k in kinds[5:])], names)
+                del keys, n, order, blobs, rows
+            give_back()
 
         c = fresh()
         for batch in pieces(batches):
@@ -282,6 +286,7 @@ def packed_counts(chunks: DataFrame, of: str, name: str) -> DataFrame:
                 held = _folded(*held)
         if at is not None:
             yield out()
+        give_back()
 
     rows = chunks.where(F.col("of") == of).select("part", F.lit(0).alias("kind"), "keys", "n")
     return _dealt(rows).mapInArrow(run, f"{name} long, n long")
@@ -305,7 +310,7 @@ def packed_values(chunks: DataFrame, of: str, known: DataFrame) -> DataFrame:
                 if order is None:
                     keys, values = np.concatenate(keys), np.concatenate(values)
                     order = np.argsort(keys)
-                    keys, values = keys[order], values[order]
+                    keys, values = keys[order], values[order].astype(VALUES[of])
                 blobs = [pack(values[np.searchsorted(keys, np.cumsum(unpack(g)))]) for g in batch.column("keys").slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(chunk[a:b].astype(np.int64)), pa.array(part[a:b].astype(np.int32)), pa.array([of] * (b - a)), pa.array(blobs, pa.binary())], ["chunk", "part", "of", "values"])
 
@@ -346,7 +351,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0,
             mine = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
             find[of] = HashIndex(mine[in_parts(mine)[0]].view(np.uint64))
             blobs = right[right["of"] == of].sort_values("part")["values"]
-            values[of] = np.concatenate([unpack(b, np.float64) for b in blobs]) if len(blobs) else np.zeros(0)
+            values[of] = np.concatenate([unpack(b, VALUES[of]) for b in blobs]).astype(np.float64) if len(blobs) else np.zeros(0)
         base = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
         out = []
         for batch in batches:
@@ -359,7 +364,10 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0,
             known = np.append(0, np.cumsum(c > 0))
             score = logs[ga[1:]] - logs[ga[:-1]]
             out.append(pd.DataFrame({"doc_id": batch.column("doc_id").to_pylist(), "n_tokens": np.diff(wa) + 1, "n_known": known[wa[1:]] - known[wa[:-1]] + (ends > 0), "train_tokens": tokens, "base_score": sums[wa[1:]] - sums[wa[:-1]] + base(ends), "score": score, "n_bytes": np.diff(offs), "bits_per_byte": -score * np.log2(10) / (np.diff(offs) + 1)}))
-        return pd.concat(out)
+        done = pd.concat(out)
+        del batches, met, find, values, out
+        give_back()
+        return done
 
     kinds_out = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     own, model = own.repartition(tasks, "of"), model.repartition(tasks, "chunk")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sparkloom.llm import ctw, langid, quality
+from sparkloom.llm.common import fold
 
 SMALL = "/root/testdata/sf0.01"
 EDGE = "doc_id long, text string, lang string, score double, label string"
@@ -186,6 +187,18 @@ def test_context_tree_probabilities_sum_to_one(spark, docs, texts):
     assert abs(sum(10**r.p for r in p) - 1) < 1e-9
 
 
+def test_held_out_texts_score_above_the_unigram_base(spark):
+    """From a thousand documents on; two hundred are too few for it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = ctw.scored(docs).where(fold(F.col("doc_id"), 10) == 0).agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert held.score > held.base
+
+
+def test_packed_numbers():
+    for values in (np.array([], np.int64), np.array([1, -5, 2**62]), np.array([0.5, -1.25], np.float32), np.arange(1000.0)):
+        assert (ctw.unpack(ctw.pack(values), values.dtype.type) == values).all()
+
+
 def test_context_tree_of_nothing(no_docs):
     assert ctw.scored(no_docs).collect() == []
 
