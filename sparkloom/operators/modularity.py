@@ -21,7 +21,7 @@ from .graph import communities
 from .steps import materialise
 
 #: Sweeps of a level, levels, and the gain below which a level ends.
-SWEEPS, LEVELS, LEAST_GAIN = 20, 12, 1e-5
+SWEEPS, LEVELS, LEAST_GAIN = 20, 12, 1e-4
 #: Of so many nodes one may move in a sweep; the next number is tried when moving at once did harm.
 SHARES = (2, 4, 8)
 SEED = 42
