@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -333,10 +334,9 @@ def _removed(n: int, marks: list[dict], length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _apply(marked: DataFrame, length: int, texts: bool = False) -> DataFrame:
-    """(doc_id, t, n_removed, n_spans, kept_sha256) of each marked text, or (doc_id, t, left), the text that is left
-    of it: a character that loses a byte goes wholly. A repeated row has one row here."""
-    names, kinds = (["doc_id", "t", "left"], (pa.int64(), pa.int64(), pa.string())) if texts else (["doc_id", "t", "n_removed", "n_spans", "kept_sha256"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))
+def _apply(marked: DataFrame, length: int) -> DataFrame:
+    """(doc_id, t, n_removed, n_spans, kept_sha256) of each marked text; a repeated row has one row here."""
+    names, kinds = ["doc_id", "t", "n_removed", "n_spans", "kept_sha256"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -344,14 +344,10 @@ def _apply(marked: DataFrame, length: int, texts: bool = False) -> DataFrame:
             for i, t, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), batch.column("text"), batch.column("marks"), strict=True):
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 gone = _removed(len(data), marks.as_py(), length)
-                kept = data[~gone].tobytes()
-                if texts:
-                    rows.append((i, t, kept.decode("utf-8", "ignore")))
-                else:
-                    rows.append((i, t, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+                rows.append((i, t, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    done = marked.select("doc_id", "t", "text", "marks").mapInArrow(run, "doc_id long, t long, left string" if texts else "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string")
+    done = marked.select("doc_id", "t", "text", "marks").mapInArrow(run, "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string")
     return done.dropDuplicates(["doc_id", "t"])
 
 
@@ -367,12 +363,28 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
 def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """docs with repeated strings cut from text; a character that loses a byte goes wholly, and a
     column n_chars follows the text. Other columns stay as they are."""
-    texts = pick(docs, "doc_id", "text").withColumn("t", F.xxhash64("text"))
-    _, marks = _marks(texts, length, gram, group)
-    left = _apply(_texts_of(texts, marks), length, texts=True)
-    same = left["doc_id"].isNull()  # columns by their DataFrame: the caller's may have any name
-    whole = docs.join(left, (docs["doc_id"] == left["doc_id"]) & (F.xxhash64(docs["text"]) == left["t"]), "left")
-    columns = {"text": F.when(same, docs["text"]).otherwise(left["left"])}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(same, docs["n_chars"]).otherwise(F.length(left["left"]).cast(docs.schema["n_chars"].dataType))
-    return whole.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])
+    names, schema = docs.columns, docs.schema
+    _, marks = _marks(pick(docs, "doc_id", "text").withColumn("t", F.xxhash64("text")), length, gram, group)
+    taken = {c.lower() for c in names}
+    spare = [next(c for i in range(len(names) + 1) if (c := f"{base}{'_' * i}") not in taken) for base in ("_of", "_t", "_marks")]
+    marks = marks.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "t", "marks"), spare, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            columns = {c: batch.column(c) for c in names}
+            marked = batch.column(spare[2])
+            hit = np.flatnonzero(np.asarray(marked.is_valid())).tolist()
+            if hit:
+                left = [None] * batch.num_rows
+                for i in hit:
+                    data = np.frombuffer((columns["text"][i].as_py() or "").encode(), np.uint8)
+                    left[i] = data[~_removed(len(data), marked[i].as_py(), length)].tobytes().decode("utf-8", "ignore")
+                columns["text"] = pc.coalesce(pa.array(left, columns["text"].type), columns["text"])
+                if "n_chars" in columns:
+                    counted = pa.array([None if x is None else len(x) for x in left], pa.int64()).cast(columns["n_chars"].type)
+                    columns["n_chars"] = pc.if_else(marked.is_valid(), counted, columns["n_chars"])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    same = (docs["doc_id"] == marks[spare[0]]) & (F.xxhash64(docs["text"]) == marks[spare[1]])
+    joined = docs.join(marks, same, "left")  # columns by their DataFrame: the caller's may have any name
+    return joined.select(*[docs[c] for c in names], marks[spare[2]]).mapInArrow(run, schema)
