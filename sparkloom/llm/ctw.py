@@ -344,8 +344,10 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0,
         met = {"g": [], "w": []}
         for batch in batches:
             data, offs = utf8(batch.column("text"))
-            met["g"].append(pd.unique(grams(data, offs, depth)[0]))
-            met["w"].append(pd.unique(_words(data, offs)[0]))
+            for of, keys in (("g", grams(data, offs, depth)[0]), ("w", _words(data, offs)[0])):
+                met[of].append(pd.unique(keys))
+                if sum(map(len, met[of])) > HELD + 2 * len(met[of][0]):
+                    met[of] = [np.unique(np.concatenate(met[of]))]
         find, values = {}, {}
         for of, found in met.items():
             mine = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
