@@ -341,10 +341,11 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0,
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         batches = [b for blob in left["docs"] for b in pa.ipc.open_stream(blob)]
-        met = {"g": [], "w": []}
+        met, spoken = {"g": [], "w": []}, []
         for batch in batches:
             data, offs = utf8(batch.column("text"))
-            for of, keys in (("g", grams(data, offs, depth)[0]), ("w", _words(data, offs)[0])):
+            spoken.append(_words(data, offs))
+            for of, keys in (("g", grams(data, offs, depth)[0]), ("w", spoken[-1][0])):
                 met[of].append(pd.unique(keys))
                 if sum(map(len, met[of])) > HELD + 2 * len(met[of][0]):
                     met[of] = [np.unique(np.concatenate(met[of]))]
@@ -356,18 +357,17 @@ def scored(docs: DataFrame, depth: int = DEPTH, folds: int = 10, held: int = 0,
             values[of] = np.concatenate([unpack(b, VALUES[of]) for b in blobs]).astype(np.float64) if len(blobs) else np.zeros(0)
         base = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
         out = []
-        for batch in batches:
+        for batch, (w, wa) in zip(batches, spoken, strict=True):
             data, offs = utf8(batch.column("text"))
             g, ga = grams(data, offs, depth)
             logs = np.append(0.0, np.cumsum(values["g"][find["g"].find(g.view(np.uint64))]))
-            w, wa = _words(data, offs)
             c = values["w"][find["w"].find(w.view(np.uint64))]
             sums = np.append(0.0, np.cumsum(base(c)))
             known = np.append(0, np.cumsum(c > 0))
             score = logs[ga[1:]] - logs[ga[:-1]]
             out.append(pd.DataFrame({"doc_id": batch.column("doc_id").to_pylist(), "n_tokens": np.diff(wa) + 1, "n_known": known[wa[1:]] - known[wa[:-1]] + (ends > 0), "train_tokens": tokens, "base_score": sums[wa[1:]] - sums[wa[:-1]] + base(ends), "score": score, "n_bytes": np.diff(offs), "bits_per_byte": -score * np.log2(10) / (np.diff(offs) + 1)}))
         done = pd.concat(out)
-        del batches, met, find, values, out
+        del batches, met, spoken, find, values, out
         give_back()
         return done
 
