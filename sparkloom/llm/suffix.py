@@ -315,7 +315,7 @@ def _marks(docs: DataFrame, length: int, gram: int, group: int) -> tuple[DataFra
     kinds = materialise(kinds, "kinds")
     reps = kinds.where("varied").select("rep.doc_id", "rep.t", F.struct("h", "c", "rep.first", "rep.count").alias("w"))
     reps = materialise(reps.groupBy("doc_id", "t").agg(F.collect_list("w").alias("wanted")), "reps")
-    contexts = materialise(_cut(_texts_of(docs, reps), length).dropDuplicates(["h", "c"]), "contexts")
+    contexts = materialise(_cut(_texts_of(docs, reps), length), "contexts")  # a repeated row gives its contexts twice, all of them repeats anyway
 
     partly = _repeats(contexts, length, gram, group, tuple(b for b in SPLITS if b == 1 or 2 * b <= length))
     whole = kinds.where("copies > 1").select("h", "c", F.array(F.lit(0), F.col("rep.count") - 1).alias("runs"))
