@@ -7,6 +7,10 @@ on (key, level, node) finds exactly the ranges around a position: every row it m
 spread over its nodes, so a key with very many of them is no single task's work; rows of one node are joined from
 written sides, which Spark can split. Rows that share an id are ranges of their own.
 
+Nodes multiply the rows by the levels. Enclosing ranges are first looked for in blocks: ranges of one class of lengths
+touch two blocks of their class at most, an item looks into its block of every class, and what a block holds is compared
+whole. Only where that is too much do the rows of a block go by nodes.
+
 Rows with a missing key, id or end, and ranges that end before they start, meet nothing.
 """
 
@@ -18,6 +22,11 @@ from pyspark.sql import functions as F
 from .steps import materialise
 
 
+#: Lengths of class c have CLASS * c bits at most. A block goes by nodes if its pairs are more than FEW times its rows, or
+#: its rows of one side more than MANY.
+CLASS, FEW, MANY = 6, 256, 100_000
+
+
 def _good(rows: DataFrame, key: str, item: str, lo: str, hi: str) -> DataFrame:
     """(key, id, lo, hi) under names of their own."""
     out = rows.select(F.col(key).alias("_k"), F.col(item).alias("_id"), F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi"))
@@ -96,19 +105,61 @@ def _enclosing(points: DataFrame, ranges: DataFrame, at: Column, levels: int, be
     return found.groupBy("_k", "_lo", "_hi").agg(F.min("best").alias("best"))
 
 
+def _bits(c: Column) -> Column:
+    return F.least(c * CLASS, F.lit(62)).cast("int")
+
+
+def _in_blocks(ranges: DataFrame) -> DataFrame:
+    """ranges with their class of lengths, once for each block of it that they touch."""
+    longer = [F.when(F.col("_hi") - F.col("_lo") >= 1 << CLASS * i, 1).otherwise(0) for i in range(1, 63 // CLASS + 1)]
+    block = lambda c: F.call_function("shiftright", F.col(c), _bits(F.col("_c")))
+    return ranges.withColumn("_c", sum(longer, F.lit(1))).select("*", F.explode(F.sequence(block("_lo"), block("_hi"))).alias("_b"))
+
+
+def _at_blocks(points: DataFrame, classes: list[int]) -> DataFrame:
+    """points in their block of each class that has ranges as long as they are."""
+    out = points.select("*", F.explode(F.array(*map(F.lit, classes)) if classes else F.array().cast("array<int>")).alias("_c"))
+    fits = F.shiftright(F.col("_hi") - F.col("_lo"), 1) < F.call_function("shiftleft", F.lit(1).cast("long"), _bits(F.col("_c")) - 1)
+    return out.where(fits).withColumn("_b", F.call_function("shiftright", F.col("_lo"), _bits(F.col("_c"))))
+
+
+def _innermost_of(points: DataFrame, held: DataFrame, levels: int, strictly: bool) -> DataFrame:
+    """(_k, _lo, _hi, best) of different points by the nodes of ranges."""
+    held = held.groupBy("_k", "_lo", "_hi").agg(F.min("_id").alias("_id"))
+    points = points.select("_k", "_lo", "_hi").distinct()
+    if not strictly:
+        return _enclosing(points, held, F.col("_lo"), levels, False)
+    # it ends later, or starts earlier
+    found = _enclosing(points, held, F.col("_lo"), levels, True).union(_enclosing(points, held, F.col("_lo") - 1, levels, False))
+    return found.groupBy("_k", "_lo", "_hi").agg(F.min("best").alias("best"))
+
+
 def innermost(items: DataFrame, ranges: DataFrame, key: str, item: str, lo: str, hi: str, strictly: bool = False) -> DataFrame:
     """(key, item, inner, inner_lo, inner_hi): for every item the narrowest range of its key that encloses it, ties
     going to the earlier start and the smaller id; null where none does. With strictly, a range with the same ends
     does not count. Items and ranges have the same column names."""
-    good, held = materialise(_good(items, key, item, lo, hi), "items"), materialise(_good(ranges, key, item, lo, hi), "ranges")
-    levels = _levels(held)
-    points = good.select("_k", "_lo", "_hi").distinct()
-    if strictly:  # it ends later, or starts earlier
-        found = _enclosing(points, held, F.col("_lo"), levels, True).union(_enclosing(points, held, F.col("_lo") - 1, levels, False))
-        found = found.groupBy("_k", "_lo", "_hi").agg(F.min("best").alias("best"))
-    else:
-        found = _enclosing(points, held, F.col("_lo"), levels, False)
-    found = materialise(found, "innermost")
+    good = materialise(_good(items, key, item, lo, hi), "items")
+    held = good if ranges is items else materialise(_good(ranges, key, item, lo, hi), "ranges")
+    at, near = ["_k", "_c", "_b"], _in_blocks(held)
+    points = _at_blocks(good, sorted(r[0] for r in near.select("_c").distinct().collect()))  # eleven classes at most
+    count = lambda rows, r, p: rows.select(*at, F.lit(r).cast("long").alias("r"), F.lit(p).cast("long").alias("p"))
+    counts = count(near, 1, 0).union(count(points, 0, 1)).groupBy(*at).agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
+    full = materialise(counts.where(f"r > 0 AND p > 0 AND (CAST(r AS DOUBLE) * p > {FEW} * (r + p) OR r > {MANY} OR p > {MANY})").select(*at), "full")
+    some = not full.isEmpty()
+    some_points, some_near = (points.join(full, at, "left_anti"), near.join(full, at, "left_anti")) if some else (points, near)
+    cold = some_points.select(F.col("_k").alias("k"), F.col("_c").alias("c"), F.col("_b").alias("b"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+    around = (F.col("_lo") <= F.col("lo")) & (F.col("_hi") >= F.col("hi"))
+    if strictly:
+        around &= (F.col("_lo") < F.col("lo")) | (F.col("_hi") > F.col("hi"))
+    met = cold.join(some_near, (F.col("k") == F.col("_k")) & (F.col("c") == F.col("_c")) & (F.col("b") == F.col("_b")) & around)
+    # Both sides are dealt by block, and so they stay while a block's points find the best of it.
+    found = met.groupBy("k", "c", "b", "lo", "hi").agg(F.min(F.struct((F.col("_hi") - F.col("_lo")).alias("w"), "_lo", "_id", F.col("_hi").alias("h"))).alias("best"))
+    found = found.select(F.col("k").alias("_k"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "best")
+    if some:
+        # A range that holds a point touches the point's block of the range's class: those that touch full blocks are enough.
+        near = materialise(near.join(full, at, "left_semi").select("_k", "_lo", "_hi", "_id").distinct(), "near")
+        found = found.union(_innermost_of(points.join(full, at, "left_semi"), near, _levels(near), strictly))
+    found = found.groupBy("_k", "_lo", "_hi").agg(F.min("best").alias("best"))
     out = good.join(found, ["_k", "_lo", "_hi"], "left")
     return out.select(F.col("_k").alias(key), F.col("_id").alias(item), F.col("best._id").alias("inner"), F.col("best._lo").alias("inner_lo"), F.col("best.h").alias("inner_hi"))
 

@@ -89,3 +89,33 @@ def test_a_key_with_very_many_ranges_is_split(spark):
         assert per <= 4
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", keep)
+
+
+@pytest.mark.parametrize(("few", "many"), [(0, 100_000), (2, 100_000), (256, 30), (256, 100_000)])
+def test_full_blocks_go_by_nodes(spark, monkeypatch, few, many):
+    monkeypatch.setattr(ranges, "FEW", few)
+    monkeypatch.setattr(ranges, "MANY", many)
+    rng = random.Random(few)
+    rows = made(rng, 90, 300, 60) + made(rng, 6, 5000, 9000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for strictly in (False, True):
+        best = lambda x, s=strictly: min(((y[3] - y[2], y[2], y[1], y[3]) for y in rows if y[0] == x[0] and y[2] <= x[2] and y[3] >= x[3] and not (s and y[2:] == x[2:])), default=(None,) * 4)
+        want = sorted(((x[0], x[1], (b := best(x))[2], b[1], b[3]) for x in rows), key=str)
+        assert sorted(map(tuple, ranges.innermost(df, df, "k", "id", "lo", "hi", strictly).collect()), key=str) == want
+
+
+def shuffled(spark):
+    """Records written to shuffles by all stages so far."""
+    context = spark.sparkContext
+    jvm = context._gateway.jvm
+    stages = context._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_enclosing_ranges_move_few_rows(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("CAST(id % 400 AS STRING) AS k", "id", "id * 7 % 2500 AS lo", "id * 7 % 2500 + id % 50 + IF(id = 5, 2000, 0) AS hi").localCheckpoint()
+    before = shuffled(spark)
+    assert ranges.innermost(df, df, "k", "id", "lo", "hi", strictly=True).count() == n
+    moved = shuffled(spark) - before
+    assert moved < 12 * n
