@@ -61,10 +61,16 @@ def file_plan(path: Column) -> Column:
     )
 
 
-def delta_kind(path: Column, before: Column, after: Column, route: Column | None = None) -> Column:
-    """What a change touches, by its text on both sides; a change inside a declared route is an API one."""
+#: A place between an ASCII word character and another, as RE2 has it, whatever Java's version takes for \b.
+ASCII_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def delta_kind(path: Column, before: Column, after: Column, route: Column | None = None, ascii_words: bool = False) -> Column:
+    """What a change touches, by its text on both sides; a change inside a declared route is an API one. Lines end
+    at \\n. Words and spaces are Unicode's as in Python's re, or with ascii_words ASCII's as in RE2."""
     text = F.concat(F.coalesce(before, F.lit("")), F.lit("\n"), F.coalesce(after, F.lit("")))
-    has = lambda pattern: text.rlike(f"(?U){pattern}")
+    plain = lambda pattern: "(?d)" + pattern.replace(r"\b", ASCII_EDGE).replace(r"\s", r"[\t\n\f\r ]").replace(r"\S", r"[^\t\n\f\r ]")
+    has = lambda pattern: text.rlike(plain(pattern) if ascii_words else f"(?Ud){pattern}")
     ends = lambda: path.rlike("(?:" + "|".join(e.replace(".", r"\.") for e in SETTING_FILES) + ")$")
     cases = [
         (has(ROUTE), "API"),

@@ -77,3 +77,14 @@ def test_statuses_and_coverage(spark):
         ("d", "METADATA_ONLY", 1, "PATCH_MISSING"),
         ("e", "TEXT", 1, "TARGET_DIVERGED"),
     ]
+
+
+def test_kinds_of_changes_by_ascii_words(spark):
+    from pyspark.sql import functions as F
+    from sparkloom.functions import classify
+
+    texts = ["r\u00e9environ x", "environ", "my_environ", "a\u2028import os", "a\n\u00a0import os", "a\n import os", "\u00e9SELECT", "class\u00a0A:"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    kind = lambda **kw: [r[0] for r in df.orderBy("id").select(classify.delta_kind(F.lit("a.py"), F.lit(""), F.col("t"), **kw)).collect()]
+    assert kind(ascii_words=True) == ["CONFIGURATION", "CONFIGURATION", "OTHER", "OTHER", "OTHER", "DEPENDENCY", "DATA_ACCESS", "OTHER"]
+    assert kind() == ["OTHER", "CONFIGURATION", "OTHER", "OTHER", "DEPENDENCY", "DEPENDENCY", "OTHER", "COMPONENT"]
