@@ -7,7 +7,7 @@ on (key, level, node) finds exactly the ranges around a position: every row it m
 spread over its nodes, so a key with very many of them is no single task's work; rows of one node are joined from
 written sides, which Spark can split. Rows that share an id are ranges of their own.
 
-Nodes multiply the rows by the levels. Enclosing ranges are first looked for in blocks: ranges of one class of lengths
+Nodes multiply the rows by the levels. Ranges are first looked for in blocks: ranges of one class of lengths
 touch two blocks of their class at most, an item looks into its block of every class, and what a block holds is compared
 whole. Only where that is too much do the rows of a block go by nodes.
 
@@ -25,6 +25,7 @@ from .steps import materialise
 #: Lengths of class c have CLASS * c bits at most. A block goes by nodes if its pairs are more than FEW times its rows, or
 #: its rows of one side more than MANY.
 CLASS, FEW, MANY = 6, 256, 100_000
+BLOCK = ["_k", "_c", "_b"]
 
 
 def _good(rows: DataFrame, key: str, item: str, lo: str, hi: str) -> DataFrame:
@@ -70,16 +71,55 @@ def _around(points: DataFrame, at: Column, levels: int) -> DataFrame:
     return points.select("*", F.explode(steps).alias("x")).select("*", F.col("x.l").alias("_l"), F.col("x.n").alias("_n")).drop("x")
 
 
+def _bits(c: Column) -> Column:
+    return F.least(c * CLASS, F.lit(62)).cast("int")
+
+
+def _in_blocks(ranges: DataFrame) -> DataFrame:
+    """ranges with their class of lengths, once for each block of it that they touch."""
+    longer = [F.when(F.col("_hi") - F.col("_lo") >= 1 << CLASS * i, 1).otherwise(0) for i in range(1, 63 // CLASS + 1)]
+    block = lambda c: F.call_function("shiftright", F.col(c), _bits(F.col("_c")))
+    return ranges.withColumn("_c", sum(longer, F.lit(1))).select("*", F.explode(F.sequence(block("_lo"), block("_hi"))).alias("_b"))
+
+
+def _at_blocks(points: DataFrame, classes: list[int]) -> DataFrame:
+    """points in their block of each class that has ranges as long as they are."""
+    out = points.select("*", F.explode(F.array(*map(F.lit, classes)) if classes else F.array().cast("array<int>")).alias("_c"))
+    fits = F.shiftright(F.col("_hi") - F.col("_lo"), 1) < F.call_function("shiftleft", F.lit(1).cast("long"), _bits(F.col("_c")) - 1)
+    return out.where(fits).withColumn("_b", F.call_function("shiftright", F.col("_lo"), _bits(F.col("_c"))))
+
+
+def _full(ranges: DataFrame, points: DataFrame) -> DataFrame:
+    """The blocks of _in_blocks() and _at_blocks() whose rows go by nodes; written."""
+    count = lambda rows, r, p: rows.select(*BLOCK, F.lit(r).cast("long").alias("r"), F.lit(p).cast("long").alias("p"))
+    counts = count(ranges, 1, 0).union(count(points, 0, 1)).groupBy(*BLOCK).agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
+    return materialise(counts.where(f"r > 0 AND p > 0 AND (CAST(r AS DOUBLE) * p > {FEW} * (r + p) OR r > {MANY} OR p > {MANY})").select(*BLOCK), "full")
+
+
+def _classes(ranges: DataFrame) -> list[int]:
+    return sorted(r[0] for r in ranges.select("_c").distinct().collect())  # eleven at most
+
+
 def stabbed(points: DataFrame, ranges: DataFrame, key: str, point: str, at: str, item: str, lo: str, hi: str) -> DataFrame:
     """(key, point, at, item, lo, hi) of every position (key, point, at) and each range (key, item, lo, hi) of its
     key that holds it."""
-    good = _good(ranges, key, item, lo, hi)
-    levels = _levels(good)
-    held = materialise(_in_nodes(good, levels), "ranges")
-    asked = points.select(F.col(key).alias("_pk"), F.col(point).alias("_p"), F.col(at).cast("long").alias("_at")).where("_pk IS NOT NULL AND _at IS NOT NULL")
-    asked = materialise(_around(asked, F.col("_at"), levels).select("_pk", "_p", "_at", F.col("_l").alias("_pl"), F.col("_n").alias("_pn")), "points")
-    met = asked.join(held, (F.col("_pk") == F.col("_k")) & (F.col("_pl") == F.col("_l")) & (F.col("_pn") == F.col("_n")))
-    return met.select(F.col("_pk").alias(key), F.col("_p").alias(point), F.col("_at").alias(at), F.col("_id").alias(item), F.col("_lo").alias(lo), F.col("_hi").alias(hi))
+    good = materialise(_good(ranges, key, item, lo, hi), "ranges")
+    asked = points.select(F.col(key).alias("_k"), F.col(point).alias("_p"), F.col(at).cast("long").alias("_lo")).where("_k IS NOT NULL AND _lo IS NOT NULL")
+    asked = materialise(asked, "points").withColumn("_hi", F.col("_lo"))
+    near = _in_blocks(good)
+    asked = _at_blocks(asked, _classes(near)).drop("_hi").withColumnRenamed("_lo", "_at")
+    full = _full(near, asked)
+    some = not full.isEmpty()
+    named = lambda rows: rows.withColumnsRenamed({c: f"_p{c}" for c in ("_k", "_c", "_b", "_l", "_n")})
+    meet = lambda p, r, by, *more: named(p).join(r, [F.col(f"_p{c}") == F.col(c) for c in by] + list(more)).select("_k", "_p", "_at", "_id", "_lo", "_hi")
+    within = lambda rows, how: rows.join(full, BLOCK, how) if some else rows
+    met = meet(within(asked, "left_anti"), within(near, "left_anti"), BLOCK, F.col("_lo") <= F.col("_at"), F.col("_at") <= F.col("_hi"))
+    if some:  # nodes of each block apart: a point stands in one block of a class
+        levels = _levels(good)
+        held = materialise(_in_nodes(within(near, "left_semi"), levels), "ranges")
+        around = materialise(_around(within(asked, "left_semi"), F.col("_at"), levels), "points")
+        met = met.union(meet(around, held, [*BLOCK, "_l", "_n"]))
+    return met.select(F.col("_k").alias(key), F.col("_p").alias(point), F.col("_at").alias(at), F.col("_id").alias(item), F.col("_lo").alias(lo), F.col("_hi").alias(hi))
 
 
 def overlapping(rows: DataFrame, key: str, item: str, lo: str, hi: str) -> DataFrame:
@@ -105,24 +145,6 @@ def _enclosing(points: DataFrame, ranges: DataFrame, at: Column, levels: int, be
     return found.groupBy("_k", "_lo", "_hi").agg(F.min("best").alias("best"))
 
 
-def _bits(c: Column) -> Column:
-    return F.least(c * CLASS, F.lit(62)).cast("int")
-
-
-def _in_blocks(ranges: DataFrame) -> DataFrame:
-    """ranges with their class of lengths, once for each block of it that they touch."""
-    longer = [F.when(F.col("_hi") - F.col("_lo") >= 1 << CLASS * i, 1).otherwise(0) for i in range(1, 63 // CLASS + 1)]
-    block = lambda c: F.call_function("shiftright", F.col(c), _bits(F.col("_c")))
-    return ranges.withColumn("_c", sum(longer, F.lit(1))).select("*", F.explode(F.sequence(block("_lo"), block("_hi"))).alias("_b"))
-
-
-def _at_blocks(points: DataFrame, classes: list[int]) -> DataFrame:
-    """points in their block of each class that has ranges as long as they are."""
-    out = points.select("*", F.explode(F.array(*map(F.lit, classes)) if classes else F.array().cast("array<int>")).alias("_c"))
-    fits = F.shiftright(F.col("_hi") - F.col("_lo"), 1) < F.call_function("shiftleft", F.lit(1).cast("long"), _bits(F.col("_c")) - 1)
-    return out.where(fits).withColumn("_b", F.call_function("shiftright", F.col("_lo"), _bits(F.col("_c"))))
-
-
 def _innermost_of(points: DataFrame, held: DataFrame, levels: int, strictly: bool) -> DataFrame:
     """(_k, _lo, _hi, best) of different points by the nodes of ranges."""
     held = held.groupBy("_k", "_lo", "_hi").agg(F.min("_id").alias("_id"))
@@ -140,11 +162,9 @@ def innermost(items: DataFrame, ranges: DataFrame, key: str, item: str, lo: str,
     does not count. Items and ranges have the same column names."""
     good = materialise(_good(items, key, item, lo, hi), "items")
     held = good if ranges is items else materialise(_good(ranges, key, item, lo, hi), "ranges")
-    at, near = ["_k", "_c", "_b"], _in_blocks(held)
-    points = _at_blocks(good, sorted(r[0] for r in near.select("_c").distinct().collect()))  # eleven classes at most
-    count = lambda rows, r, p: rows.select(*at, F.lit(r).cast("long").alias("r"), F.lit(p).cast("long").alias("p"))
-    counts = count(near, 1, 0).union(count(points, 0, 1)).groupBy(*at).agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
-    full = materialise(counts.where(f"r > 0 AND p > 0 AND (CAST(r AS DOUBLE) * p > {FEW} * (r + p) OR r > {MANY} OR p > {MANY})").select(*at), "full")
+    at, near = BLOCK, _in_blocks(held)
+    points = _at_blocks(good, _classes(near))
+    full = _full(near, points)
     some = not full.isEmpty()
     some_points, some_near = (points.join(full, at, "left_anti"), near.join(full, at, "left_anti")) if some else (points, near)
     cold = some_points.select(F.col("_k").alias("k"), F.col("_c").alias("c"), F.col("_b").alias("b"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))

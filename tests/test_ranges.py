@@ -119,3 +119,29 @@ def test_enclosing_ranges_move_few_rows(spark):
     assert ranges.innermost(df, df, "k", "id", "lo", "hi", strictly=True).count() == n
     moved = shuffled(spark) - before
     assert moved < 12 * n
+
+
+@pytest.mark.parametrize(("few", "many"), [(0, 100_000), (2, 100_000), (256, 30)])
+def test_full_blocks_of_positions_go_by_nodes(spark, monkeypatch, few, many):
+    monkeypatch.setattr(ranges, "FEW", few)
+    monkeypatch.setattr(ranges, "MANY", many)
+    rng = random.Random(7)
+    rows = made(rng, 90, 300, 60) + made(rng, 6, 5000, 9000)[:6]
+    points = [("a", i, rng.randrange(-320, 400)) for i in range(80)]
+    found = ranges.stabbed(spark.createDataFrame(points, "k string, p long, at long"), spark.createDataFrame(rows, SCHEMA), "k", "p", "at", "id", "lo", "hi")
+    assert sorted(map(tuple, found.collect())) == sorted((k, p, at, i, lo, hi) for k, p, at in points for key, i, lo, hi in rows if key == k and lo <= at <= hi)
+
+
+def test_overlaps_write_few_rows(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("CAST(id % 400 AS STRING) AS k", "id", "id * 7 % 2500 AS lo", "id * 7 % 2500 + id % 50 + IF(id = 5, 2000, 0) AS hi").localCheckpoint()
+    context = spark.sparkContext
+    jvm = context._gateway.jvm
+
+    def written():
+        stages = context._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).outputRecords() for i in range(stages.size()))
+
+    before = written()
+    assert ranges.overlapping(df, "k", "id", "lo", "hi").where("a = b").count() == 0
+    assert written() - before < 4 * n
