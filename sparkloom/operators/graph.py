@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.identity import GENERIC
 
-from .steps import discard, materialise
+from .steps import discard, growing, materialise
 
 
 def bounded(rows: DataFrame, order: list, most: int) -> DataFrame:
@@ -104,15 +104,15 @@ def communities(both: DataFrame) -> DataFrame:
     while True:
         ways = edges.union(edges.select("b", "a"))
         least = kept(ways.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = kept(ways.join(least, ways.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = kept(ways.join(growing(least), ways.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         low = kept(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "low")
-        small = large.join(low, large.a == low.u).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = large.join(growing(low), large.a == low.u).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = kept(small.union(low.select("u", "m")).distinct(), "small")
         discard(edges, least, large, low)
         edges = small
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
         if state == before:
-            return nodes.join(edges.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("community"))
+            return nodes.join(growing(edges.select(F.col("a").alias("node"), "b")), "node", "left").select("node", F.coalesce("b", "node").alias("community"))
         before = state
 
 
@@ -184,11 +184,11 @@ def with_community_ids(found: DataFrame, most: int = DIGESTED) -> DataFrame:
     of more than `most` members is dealt over blocks by a hash of the member; its id is the digest of the
     blocks' digests in order, so that no task digests a whole large community. Ids join back to written sides."""
     sizes = materialise(found.groupBy("community").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks")), "sizes")
-    rows = found.join(sizes, "community").select("community", "blocks", F.col("node").cast("string").alias("member"))
+    rows = found.join(growing(sizes), "community").select("community", "blocks", F.col("node").cast("string").alias("member"))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     parts = materialise(_digests(dealt, ["community", "blocks", "block"], "member"), "digests")
     one = parts.where("blocks = 1").select("community", "digest")
     several = parts.where("blocks > 1").select("community", F.concat_ws(":", F.lpad(F.col("block").cast("string"), 10, "0"), "digest").alias("member"))
     several = _digests(several, ["community"], "member")
     ids = materialise(one.union(several).select("community", F.concat(F.lit("comm_"), F.substring("digest", 1, 12)).alias("community_id")), "ids")
-    return found.join(ids, "community").select("node", "community", "community_id")
+    return found.join(growing(ids), "community").select("node", "community", "community_id")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import communities
-from .steps import materialise
+from .steps import growing, materialise
 
 #: Sweeps of a level, levels, and the gain below which a level ends.
 SWEEPS, LEVELS, LEAST_GAIN = 20, 12, 1e-4
@@ -50,11 +50,13 @@ def _measured(inside: int, squares: int, whole: int) -> float:
 def _swept(edges: DataFrame, labels: DataFrame, totals: DataFrame, whole: int, share: int, turn: int) -> DataFrame:
     """(node, c, k, loop, inside, wants, moved) after one sweep; `inside` is the weight between a node and its
     community before it, `wants` whether a move would gain. edges (a, b, w) has both directions and no loops; labels is (node, c, k, loop)."""
-    own = labels.select(F.col("node").alias("a"), F.col("c").alias("own"), "k", "loop")
-    met = edges.join(labels.select(F.col("node").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
-    met = met.join(own, "a").unionByName(own.select("a", F.col("own").alias("c"), F.lit(0).cast("long").alias("w"), "own", "k", "loop"))
+    # Labels bring the totals of their communities along, so that the many rows of edges don't meet these by themselves.
+    placed = materialise(labels.join(growing(totals), "c"), "placed")
+    own = placed.select(F.col("node").alias("a"), F.col("c").alias("own"), "k", "loop")
+    near = placed.select(F.col("node").alias("b"), "c", "total", "members")
+    met = edges.join(growing(near), "b").select("a", "c", "w", "total", "members").union(placed.select("node", "c", F.lit(0).cast("long"), "total", "members"))
+    met = met.groupBy("a", "c").agg(F.sum("w").alias("w"), F.first("total").alias("total"), F.first("members").alias("members")).join(growing(own), "a")
     stays = F.col("c") == F.col("own")
-    met = met.join(totals, "c")
     # The gain of being in c rather than alone, times the whole weight; exact longs turned into doubles.
     rest = F.col("total") - F.when(stays, F.col("k")).otherwise(F.lit(0))
     gain = F.col("w").cast("double") * F.lit(float(whole)) - F.col("k").cast("double") * rest.cast("double")
@@ -109,8 +111,8 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     whole = edges.agg(F.sum("w")).first()[0]
     if not whole:
         return 0.0
-    inside = edges.join(labels.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").agg(F.sum("w")).first()[0] or 0
-    totals = edges.join(labels.select(F.col("node").alias("a"), "c"), "a").groupBy("c").agg(F.sum("w").alias("total"))
+    inside = edges.join(growing(labels.select(F.col("node").alias("a"), F.col("c").alias("ca"))), "a").join(growing(labels.select(F.col("node").alias("b"), F.col("c").alias("cb"))), "b").where("ca = cb").agg(F.sum("w")).first()[0] or 0
+    totals = edges.join(growing(labels.select(F.col("node").alias("a"), "c")), "a").groupBy("c").agg(F.sum("w").alias("total"))
     return _measured(inside, totals.agg(F.sum(_square("total"))).first()[0], whole)
 
 
@@ -126,24 +128,24 @@ def by_modularity(edges: DataFrame) -> DataFrame:
     for _ in range(LEVELS):
         labels, now = _settled(level, labels, whole, SWEEPS)
         places = labels.select(F.col("node").alias("c"), F.col("c").alias("to"))
-        path = materialise(labels.select("node", "c") if path is None else path.join(places, "c").select("node", F.col("to").alias("c")), "path")
+        path = materialise(labels.select("node", "c") if path is None else path.join(growing(places), "c").select("node", F.col("to").alias("c")), "path")
         if last is not None and now - last < LEAST_GAIN:
             break
         last = now
         named = labels.select("node", "c")
-        ends = level.join(named.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(named.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+        ends = level.join(growing(named.select(F.col("node").alias("a"), F.col("c").alias("ca"))), "a").join(growing(named.select(F.col("node").alias("b"), F.col("c").alias("cb"))), "b")
         joined = materialise(ends.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "level")
         loops = joined.where("a = b").select(F.col("a").alias("c"), F.col("w").alias("inner"))
-        merged = labels.groupBy("c").agg(F.sum("k").alias("k"), F.sum("loop").alias("old")).join(loops, "c", "left")
+        merged = labels.groupBy("c").agg(F.sum("k").alias("k"), F.sum("loop").alias("old")).join(growing(loops), "c", "left")
         labels = materialise(merged.select(F.col("c").alias("node"), "c", "k", (F.col("old") + F.coalesce("inner", F.lit(0))).alias("loop")), "labels")
         level = joined.where("a <> b")
-    fine = materialise(path.join(first, "node").select("node", "c", "k", F.lit(0).cast("long").alias("loop")), "labels")
+    fine = materialise(path.join(growing(first), "node").select("node", "c", "k", F.lit(0).cast("long").alias("loop")), "labels")
     fine, _ = _settled(links, fine, whole, 4)
     return _connected(links, fine.select("node", "c"))
 
 
 def _connected(links: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, community): the connected parts of each community."""
-    ends = links.where("a > b").join(labels.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+    ends = links.where("a > b").join(growing(labels.select(F.col("node").alias("a"), F.col("c").alias("ca"))), "a").join(growing(labels.select(F.col("node").alias("b"), F.col("c").alias("cb"))), "b")
     inner = communities(ends.where("ca = cb").select("a", "b"))
-    return labels.select("node").join(inner, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
+    return labels.select("node").join(growing(inner), "node", "left").select("node", F.coalesce("community", "node").alias("community"))

@@ -11,7 +11,7 @@ from sparkloom.operators import graph as G
 from sparkloom.operators import modularity as M
 from sparkloom.operators import ranges as RG
 from sparkloom.operators import walk as W
-from sparkloom.operators.steps import materialise
+from sparkloom.operators.steps import growing, materialise
 
 from .registry import Tables, query
 
@@ -253,9 +253,9 @@ def community_invariants(t: Tables) -> DataFrame:
     home = edges.where("dst LIKE 'n%'").select(F.col("src").alias("node"), F.col("dst").alias("c"))
     home = home.union(home.select(F.col("c").alias("node"), "c").distinct())
     best, plain = M.modularity(links, found.select("node", F.col("community").alias("c"))), M.modularity(links, home)
-    ends = links.join(found.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(found.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+    ends = links.join(growing(found.select(F.col("node").alias("a"), F.col("community").alias("ca"))), "a").join(growing(found.select(F.col("node").alias("b"), F.col("community").alias("cb"))), "b")
     whole = G.communities(ends.where("ca = cb").select("a", "b")).select("node", F.col("community").alias("part"))
-    apart = found.join(whole, "node").groupBy("community").agg(F.countDistinct("part").alias("n")).where("n > 1")
+    apart = found.join(growing(whole), "node").groupBy("community").agg(F.countDistinct("part").alias("n")).where("n > 1")
     twice = found.groupBy("node").agg(F.countDistinct("community").alias("n")).where("n > 1")
     shared = found.groupBy("community_id").agg(F.countDistinct("community").alias("n")).where("n > 1")
     out = None

@@ -135,3 +135,19 @@ def test_a_node_with_half_of_all_links_is_split(spark, monkeypatch):
             spark.conf.set(k, v)
     assert any("skew=true" in p for name, p in plans if name == "large")
     assert any("skew=true" in p for name, p in plans if name == "small")
+
+
+def test_tables_of_a_round_do_not_pass_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, name="step"):
+        df.collect()
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return steps.materialise(df, name)
+
+    monkeypatch.setattr(modularity, "materialise", recorded)
+    monkeypatch.setattr(graph, "materialise", recorded)
+    df = spark.createDataFrame(graphs()["ring"], "src long, dst long")
+    graph.with_community_ids(modularity.by_modularity(df)).collect()
+    assert {"labels", "level", "path", "large", "small"} <= {name for name, _ in plans}
+    assert not [name for name, p in plans if "BroadcastHashJoin" in p]
