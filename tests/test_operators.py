@@ -305,3 +305,17 @@ def test_challenges_prefer_shared_evidence(spark):
     df = spark.createDataFrame(rows, "plan long, key long, evidence array<long>, size long")
     got = {(r.plan, r.key): r.bin for r in evidence.challenges(df, "plan", "key", "evidence", "size", 100, most=2).collect()}
     assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 0, (1, 4): 2, (1, 5): None, (1, 6): 1, (2, 1): 0}
+
+
+def test_words_are_split_where_they_stand(spark):
+    """Terms leave their text without a shuffle, and the short ways through plain words give what the long one gives."""
+    words = ["plain", "Plain", "x9", "Éclair", "straße", "aßB", "snake_case", "$mark", "_", "HTTPServer", "camelCase", "aİb", "ﬁne", "A", "ABC", "nﬀ"]
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "plain Plain"), (4, "1 2")], "id long, text string")
+    found = retrieval.term_lists(texts, "id", X.identifiers(F.col("text")), X.search_terms)
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    long = texts.select("id", F.explode(X.identifiers(F.col("text"))).alias("w")).select("id", F.array_distinct(F.concat(F.array(X.folded(F.col("w"))), X._parts(F.col("w")))).alias("terms"))
+    as_rows = lambda df: sorted((r.id, tuple(r.terms)) for r in df.collect())
+    assert as_rows(found.where("size(terms) > 0")) == as_rows(long)
+    assert sorted(r.id for r in found.where("size(terms) = 0").collect()) == [2, 4]
+    stats = retrieval.corpus_stats(found, "id").first()
+    assert stats.n_docs == 4 and stats.avg_len * 4 == sum(len(r[1]) for r in as_rows(long))
