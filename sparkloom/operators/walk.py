@@ -64,7 +64,9 @@ def inventory(asked: DataFrame, asserted: DataFrame, supports: DataFrame, direct
     (edge, chunk), and at most `most` direct ones (src, rel, dst) that no assertion of the same type stands for."""
     order = priority(F.col("adr"), F.col("rel"), F.col("edge"))
     mine = either_end(asserted, asked).drop("subject").dropDuplicates(["edge"]).orderBy(*order).limit(most)
-    held = supports.where("chunk IS NOT NULL").groupBy("edge").agg(F.countDistinct("chunk").alias("support"))
+    mine = materialise(mine, "asserted")
+    kept = supports.where("chunk IS NOT NULL").join(F.broadcast(mine.select("edge")), "edge", "left_semi")  # `most` edges
+    held = kept.groupBy("edge").agg(F.countDistinct("chunk").alias("support"))
     first = mine.join(held, "edge", "left").select(F.lit("assertion").alias("kind"), "edge", "src", "rel", "dst", "adr", F.coalesce("support", F.lit(0)).alias("support"))
     bare = either_end(direct, asked).drop("subject").distinct().join(asserted.select("src", "rel", "dst").distinct(), ["src", "rel", "dst"], "left_anti")
     bare = bare.orderBy("src", "rel", "dst").limit(most)

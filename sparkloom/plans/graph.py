@@ -67,7 +67,7 @@ def _said(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     direct = t.lineitem.select(*ends).distinct()
     urgent = t.orders.where(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("l_orderkey"))
     said = t.lineitem.join(urgent, "l_orderkey").select("l_orderkey", "l_linestatus", *ends).withColumn("edge", F.concat_ws("|", "src", "rel", "dst"))
-    asserted = said.groupBy("edge", "src", "rel", "dst").agg(F.bool_and(F.col("l_linestatus") == "F").alias("adr"))
+    asserted = said.groupBy("src", "rel", "dst").agg(F.bool_and(F.col("l_linestatus") == "F").alias("adr")).select(F.concat_ws("|", "src", "rel", "dst").alias("edge"), "src", "rel", "dst", "adr")
     near = t.nation.where("n_regionkey < 2").select(F.col("n_nationkey").alias("s_nationkey"))
     asked = t.supplier.join(near, "s_nationkey", "left_semi").select(name("s", "s_suppkey").alias("node")).union(t.part.where(F.col("p_brand").endswith("1")).select(name("p", "p_partkey")))
     return direct, asserted, said.select("edge", F.col("l_orderkey").cast("string").alias("chunk")), asked

@@ -92,3 +92,14 @@ def test_hosts_meet_by_keys_only(spark):
     df = spark.range(50).selectExpr("'g' AS g", "id", "repeat(concat('w', id, ' '), 20) AS t")
     plan = containment.hosts(df, "g", "id", "t")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_only_edges_that_are_shown_are_counted(spark):
+    """Supports of other edges are left out before they are dealt, and counts are of different chunks."""
+    asserted = spark.createDataFrame([(f"p{i}|CALLS|s{i}", f"p{i}", "CALLS", f"s{i}", False) for i in range(9)], "edge string, src string, rel string, dst string, adr boolean")
+    supports = spark.createDataFrame([(f"p{i}|CALLS|s{i}", f"c{j % 2}") for i in range(9) for j in range(3)] + [("p0|CALLS|s0", None)], "edge string, chunk string")
+    asked = spark.createDataFrame([(f"p{i}",) for i in range(9)], "node string")
+    found = walk.inventory(asked, asserted, supports, asserted.select("src", "rel", "dst"), 2)
+    assert sorted((r.edge, r.support) for r in found.where("kind = 'assertion'").collect()) == [("p0|CALLS|s0", 2), ("p1|CALLS|s1", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan
