@@ -52,23 +52,22 @@ class Leases(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", "status string, attempts long, lease long, at long")
-        self.waiting = handle.getMapState("waiting", "ts long, event_id long", "event_type string")
+        # A list, as each call of a state is a message to Spark: a job's events come and go together.
+        self.waiting = handle.getListState("waiting", "ts long, event_id long, event_type string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        for part in rows:
-            for ts, i, kind in zip(part["us"], part["event_id"], part["event_type"], strict=True):
-                if ts >= passed:
-                    self.waiting.updateValue((int(ts), int(i)), (kind,))
-        yield from self._advance(key, passed)
+        new = [(int(ts), int(i), kind) for part in rows for ts, i, kind in zip(part["us"], part["event_id"], part["event_type"], strict=True) if ts >= passed]
+        yield from self._advance(key, passed, new)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         yield from self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def _advance(self, key: tuple, passed: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, key: tuple, passed: int, new: list[tuple] = []) -> Iterator[pd.DataFrame]:  # noqa: B006
         """Apply what lies behind the watermark, in order; ask for a timer for what is next."""
-        status, attempts, lease, at = self.job.get() if self.job.exists() else (None, 0, None, None)
-        ended, events = [], sorted((tuple(k), v[0]) for k, v in self.waiting.iterator())
+        status, attempts, lease, at = self.job.get() or (None, 0, None, None)
+        known = {(ts, i): kind for ts, i, kind in [*self.waiting.get(), *new]}
+        ended, events = [], sorted(known.items(), key=lambda e: e[0])
         ready = [e for e in events if e[0][0] < passed]
         for (ts, i), kind in ready:
             if status == "RUNNING" and lease <= ts:
@@ -77,14 +76,19 @@ class Leases(StatefulProcessor):
                 status, attempts = None, 0
             status, attempts = after(status, attempts, kind)
             lease, at = (ts + L.LEASE_SECONDS * 1_000_000 if status == "RUNNING" else None), ts
-            self.waiting.removeKey((ts, i))
+        rest = [(ts, i, kind) for (ts, i), kind in events[len(ready) :]]
+        if ready and rest:
+            self.waiting.put(rest)
+        elif ready:
+            self.waiting.clear()
+        elif new:
+            self.waiting.appendList(new)
         if status == "RUNNING" and lease < passed:
             ended.append((lease, attempts))
             status = "FAILED" if attempts >= L.MOST_ATTEMPTS else "RETRY"
         wake = [events[len(ready)][0][0]] if len(ready) < len(events) else []
         if status in RESTING and not wake and at + self.keep < passed:
             self.job.clear()
-            self.waiting.clear()
         elif status is not None:
             self.job.update((status, attempts, lease, at))
             wake.append(lease if status == "RUNNING" else at + self.keep)

@@ -60,3 +60,66 @@ def test_state_goes_when_a_job_rests(spark, tmp_path):
     for keep, attempts in ((3600, 1), (86_400 * 30, 3)):
         got = leases.ended_leases(spark, f"file://{tmp_path}/in/*", f"file://{tmp_path}/s{keep}", late="10 minutes", keep=keep, files=1)
         assert [(r.user_id, r.attempts) for r in got.collect()] == [(5, attempts)]
+
+
+class Calls:
+    """A state that counts the messages it would send."""
+
+    def __init__(self):
+        self.calls, self.rows, self.value = 0, [], None
+
+    def get(self):
+        self.calls += 1
+        return self.value if self.value else iter(self.rows)
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "appendList":
+                self.rows = self.rows + args[0]
+            if name in ("put", "clear"):
+                self.rows = list(args[0]) if args else []
+
+        return call
+
+
+class Job(Calls):
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_a_job_of_many_events_sends_few_messages():
+    """Each message to the state store costs as much as many events: they go in lists."""
+    job, waiting, n = Job(), Calls(), 300
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return job
+
+        def getListState(self, *_):  # noqa: N802
+            return waiting
+
+        getMapState = getListState  # noqa: N815
+
+        def registerTimer(self, at):  # noqa: N802
+            pass
+
+    class Clock:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    states, clock = leases.Leases(), Clock()
+    states.init(Handle())
+    rows = leases.pd.DataFrame({"us": [i * 1_000_000 for i in range(n)], "event_id": range(n), "event_type": [L.CLAIM] * n})
+    assert not list(states.handleInputRows((1,), iter([rows]), clock)) and len(waiting.rows) == n
+    clock.now = n * 1000 + L.LEASE_SECONDS * 1000 + 1
+    ended = leases.pd.concat(states.handleExpiredTimer((1,), clock, None))
+    assert list(ended["ended_at"]) == [(n - 1 + L.LEASE_SECONDS) * 1_000_000] and list(ended["attempts"]) == [n] and not waiting.rows
+    assert job.calls + waiting.calls < 10
