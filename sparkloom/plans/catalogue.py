@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import graph as G
-from sparkloom.operators.steps import materialise
+from sparkloom.operators.steps import growing, materialise
 
 from .graph import requirement_hints
 from .registry import Tables, query
 
+#: Parts of mentions for each part of the table as it is read.
+MENTION_PARTS = 8
+
 
 @query("""WITH c AS (SELECT doc_id, source, n_chars, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) AS nth FROM documents QUALIFY nth <= 401)
 SELECT c.doc_id, c.source, CAST(nth AS INTEGER) AS nth, (SELECT max(nth) > 400 FROM c) AS truncated, count(l.doc_id) AS mentions, bool_or(coalesce(l.toxic = 1, false)) AS flagged FROM c LEFT JOIN labels l ON l.doc_id = c.doc_id WHERE nth <= 400 GROUP BY ALL""")
@@ -27,7 +30,11 @@ SELECT chunk, entity, CAST(nth AS INTEGER) AS nth, (SELECT max(nth) > 2000 FROM
 def mention_inventory(t: Tables) -> DataFrame:
     """The first 2,000 mentions whose chunk and entity are both there, and whether there are more."""
     rows = t.lineitem.select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"))
-    rows = rows.join(t.orders.select(F.col("o_orderkey").alias("chunk")), "chunk", "left_semi").join(t.part.select(F.col("p_partkey").alias("entity")), "entity", "left_semi")
+    # Parts follow the table's size, so that what a task holds does not: mentions meet both tables in as many. What meets by entity is told apart there, too.
+    parts = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), MENTION_PARTS * rows.rdd.getNumPartitions())
+    dealt = lambda df, key: growing(df.repartition(parts, key))
+    rows = rows.join(dealt(t.orders.select(F.col("o_orderkey").alias("chunk")), "chunk"), "chunk", "left_semi")
+    rows = rows.join(dealt(t.part.select(F.col("p_partkey").alias("entity")), "entity"), "entity", "left_semi")
     return G.bounded(rows.select("chunk", "entity").distinct(), [F.asc("chunk"), F.asc("entity")], 2000).select("chunk", "entity", "nth", "truncated")
 
 
