@@ -38,12 +38,17 @@ def _nth(key: list[str], *order: Column | str) -> Column:
     return F.row_number().over(Window.partitionBy(*key).orderBy(*order))
 
 
-def built(deltas: DataFrame, entities: DataFrame, mapped: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
-    """(seeds, queries, omitted) of deltas (ctx, delta, path, place, before, after, symbols), entities (ctx, entity, name,
-    path, distance), mapped (ctx, delta, entity) for what a unit changed, and edges (ctx, edge, src, dst, rel).
+@dataclass(frozen=True)
+class Found:
+    """What lies around the units: full (ctx, delta, path, nth, before, after, symbols, names, entities, edges, resolved)
+    and, so far, what bounds left out."""
 
-    Seeds: (ctx, delta, path, mapping, entities, edges), the last two being sorted ids. Queries: (ctx, channel, text, seeds,
-    nth), seeds being how many share it. Omitted: (ctx, code, item), item naming what was left out."""
+    full: DataFrame
+    omitted: list[DataFrame]
+
+
+def around(deltas: DataFrame, entities: DataFrame, mapped: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> Found:  # noqa: B008
+    """What lies around the units of built(); its tables are told there."""
     left_out = []
     omit = lambda rows, code, item: left_out.append(rows.select("ctx", F.lit(code).alias("code"), item.alias("item")))
     pair = lambda *names: F.concat_ws("/", *names)
@@ -72,8 +77,8 @@ def built(deltas: DataFrame, entities: DataFrame, mapped: DataFrame, edges: Data
     omit(met.where(F.col("nth") > limits.edges), "NEIGHBOR_LIMIT", pair("delta", "edge"))
     first = met.where(F.col("nth") <= limits.edges)
 
-    around = first.select("ctx", "delta", F.explode(F.array("src", "dst")).alias("entity"), F.lit(False).alias("primary"), F.lit(False).alias("own"))
-    ids = candidates.select("ctx", "delta", "entity", "primary", F.lit(True).alias("own")).union(around.select("ctx", "delta", "entity", "primary", "own"))
+    ends_of = first.select("ctx", "delta", F.explode(F.array("src", "dst")).alias("entity"), F.lit(False).alias("primary"), F.lit(False).alias("own"))
+    ids = candidates.select("ctx", "delta", "entity", "primary", F.lit(True).alias("own")).union(ends_of.select("ctx", "delta", "entity", "primary", "own"))
     ids = ids.groupBy("ctx", "delta", "entity").agg(F.max("primary").alias("primary"), F.max("own").alias("own")).join(entities.select("ctx", "entity", "name", "distance"), ["ctx", "entity"])
     ids = materialise(ids.withColumn("nth", _nth(["ctx", "delta"], F.desc("primary"), F.desc("own"), "distance", "entity")), "ids")
     omit(ids.where(F.col("nth") > limits.entities), "ENTITY_LIMIT", pair("delta", "entity"))
@@ -88,8 +93,27 @@ def built(deltas: DataFrame, entities: DataFrame, mapped: DataFrame, edges: Data
     names = ids.groupBy("ctx", "delta").agg(F.array_sort(F.collect_list(F.struct("nth", "name"))).alias("x"), F.array_sort(F.collect_list("entity")).alias("entities"))
     names = names.select("ctx", "delta", F.transform("x", lambda s: s["name"]).alias("names"), "entities")
     linked = both.groupBy("ctx", "delta").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    none = F.array().cast("array<string>")
     full = seeds.join(names, ["ctx", "delta"], "left").join(linked, ["ctx", "delta"], "left").join(resolved, ["ctx", "delta"], "left")
+    return Found(full, left_out)
+
+
+def seeds_of(found: Found) -> DataFrame:
+    """The seeds of built(), without the work for its queries."""
+    none = F.array().cast("array<string>")
+    return found.full.select("ctx", "delta", "path", F.when(F.col("resolved"), "RESOLVED").otherwise("FILE_FALLBACK").alias("mapping"), F.coalesce("entities", none).alias("entities"), F.coalesce("edges", none).alias("edges"))
+
+
+def built(deltas: DataFrame, entities: DataFrame, mapped: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
+    """(seeds, queries, omitted) of deltas (ctx, delta, path, place, before, after, symbols), entities (ctx, entity, name,
+    path, distance), mapped (ctx, delta, entity) for what a unit changed, and edges (ctx, edge, src, dst, rel).
+
+    Seeds: (ctx, delta, path, mapping, entities, edges), the last two being sorted ids. Queries: (ctx, channel, text, seeds,
+    nth), seeds being how many share it. Omitted: (ctx, code, item), item naming what was left out."""
+    found = around(deltas, entities, mapped, edges, limits)
+    full, left_out = found.full, list(found.omitted)
+    omit = lambda rows, code, item: left_out.append(rows.select("ctx", F.lit(code).alias("code"), item.alias("item")))
+    pair = lambda *names: F.concat_ws("/", *names)
+    none = F.array().cast("array<string>")
     source = F.concat_ws("\n", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
     exact = F.concat(F.coalesce("symbols", none), F.coalesce("names", none))
     path, spelt = F.array("path"), lambda a: X.identifier_terms(F.concat_ws(" ", a))
@@ -105,8 +129,7 @@ def built(deltas: DataFrame, entities: DataFrame, mapped: DataFrame, edges: Data
     merged = materialise(merged.withColumn("nth", _nth(["ctx"], "channel", "first")), "queries")
     omit(merged.where(F.col("nth") > limits.queries), "QUERY_LIMIT", pair("channel", F.sha2("text", 256)))
 
-    shown = full.select("ctx", "delta", "path", F.when(F.col("resolved"), "RESOLVED").otherwise("FILE_FALLBACK").alias("mapping"), F.coalesce("entities", none).alias("entities"), F.coalesce("edges", none).alias("edges"))
     omitted = left_out[0]
     for more in left_out[1:]:
         omitted = omitted.unionByName(more)
-    return shown, merged.where(F.col("nth") <= limits.queries).select("ctx", "channel", "text", "seeds", "nth"), omitted
+    return seeds_of(found), merged.where(F.col("nth") <= limits.queries).select("ctx", "channel", "text", "seeds", "nth"), omitted

@@ -108,3 +108,15 @@ def test_discovery_equals_plain_loop(spark):
             assert sorted(got[c][0]) == sorted(want[0]), c
             assert got[c][1] == want[1], c
             assert sorted(got[c][2]) == want[2], c
+
+
+def test_seeds_alone_write_no_queries(spark, monkeypatch):
+    """Seeds don't ask for the terms of every text."""
+    rng, written = random.Random(4), []
+    schemas = ("ctx string, delta string, path string, place int, before string, after string, symbols array<string>", "ctx string, entity string, name string, path string, distance int", "ctx string, delta string, entity string", "ctx string, edge string, src string, dst string, rel string")
+    frames = [spark.createDataFrame(r, s) for r, s in zip(made(rng, "c"), schemas, strict=True)]
+    keep = discovery.materialise
+    monkeypatch.setattr(discovery, "materialise", lambda df, name: written.append(name) or keep(df, name))
+    seeds = sorted(map(tuple, discovery.seeds_of(discovery.around(*frames)).collect()))
+    assert "views" not in written and "queries" not in written
+    assert seeds == sorted(map(tuple, discovery.built(*frames)[0].collect()))
