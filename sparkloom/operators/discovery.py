@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 
+from .pruning import computed
 from .records import bounded_terms
 from .steps import materialise
 
@@ -115,16 +116,17 @@ def built(deltas: DataFrame, entities: DataFrame, mapped: DataFrame, edges: Data
     pair = lambda *names: F.concat_ws("/", *names)
     none = F.array().cast("array<string>")
     source = F.concat_ws("\n", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
-    exact = F.concat(F.coalesce("symbols", none), F.coalesce("names", none))
-    path, spelt = F.array("path"), lambda a: X.identifier_terms(F.concat_ws(" ", a))
-    literals = X.quoted_literals(source)
-    views = {"CODE": F.concat(exact, path, spelt(F.concat(exact, path)), X.identifier_terms(source), literals), "RECORDS": F.concat(literals, exact, spelt(exact), X.identifier_terms(source), path, spelt(path))}
+    spelt = lambda a: X.identifier_terms(F.concat_ws(" ", a))
+    rows = computed(full, source=source, exact=F.concat(F.coalesce("symbols", none), F.coalesce("names", none)))
+    rows = computed(rows, told=X.identifier_terms(F.col("source")), literals=X.quoted_literals(F.col("source")), exact_terms=spelt(F.col("exact")), path_terms=X.identifier_terms(F.col("path")))
+    path = F.array("path")
+    views = {"CODE": F.concat("exact", path, "exact_terms", "path_terms", "told", "literals"), "RECORDS": F.concat("literals", "exact", "exact_terms", "told", path, "path_terms")}
     asked = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.array_distinct(F.filter(v, lambda x: F.trim(x) != "")).alias("terms")) for c, v in views.items()])).alias("v")
-    rows = full.select("ctx", "delta", "path", "nth", asked).select("ctx", "delta", "path", "nth", "v.channel", "v.terms")
-    rows = rows.withColumn("kept", bounded_terms(F.col("terms"), limits.term_chars, limits.terms, limits.chars))
+    rows = rows.select("ctx", "delta", "path", "nth", asked).select("ctx", "delta", "path", "nth", "v.channel", "v.terms")
+    rows = computed(rows, kept=bounded_terms(F.col("terms"), limits.term_chars, limits.terms, limits.chars))
     text = F.when(F.size("kept") > 0, F.array_join("kept", " ")).otherwise(F.substring("path", 1, limits.chars))
-    rows = materialise(rows.withColumn("text", text), "views")
-    omit(rows.where(F.size("kept") < F.size("terms")), "QUERY_TEXT_LIMIT", pair("channel", "delta"))
+    rows = materialise(rows.select("ctx", "delta", "nth", "channel", text.alias("text"), (F.size("kept") < F.size("terms")).alias("cut")), "views")
+    omit(rows.where("cut"), "QUERY_TEXT_LIMIT", pair("channel", "delta"))
     merged = rows.groupBy("ctx", "channel", "text").agg(F.count("*").alias("seeds"), F.min("nth").alias("first"))
     merged = materialise(merged.withColumn("nth", _nth(["ctx"], "channel", "first")), "queries")
     omit(merged.where(F.col("nth") > limits.queries), "QUERY_LIMIT", pair("channel", F.sha2("text", 256)))

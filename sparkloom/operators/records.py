@@ -70,10 +70,16 @@ def bounded_terms(terms: Column, longest: int = 96, most: int = 64, chars: int =
 
     def step(acc, term):
         size = F.length(term) + F.when(F.size(acc["out"]) > 0, 1).otherwise(0)
-        fits = F.coalesce((F.trim(term) != "") & (F.length(term) <= longest) & (F.size(acc["out"]) < most) & (acc["held"] + size <= chars), F.lit(False))
+        fits = (F.size(acc["out"]) < most) & (acc["held"] + size <= chars)
         return F.struct((acc["held"] + F.when(fits, size).otherwise(0)).alias("held"), F.when(fits, F.concat(acc["out"], F.array(term))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.array_distinct(terms), start, step)["out"]
+    def chosen(short):
+        # Where the first ones fit together, none is skipped.
+        head = F.slice(short, 1, most)
+        return F.when(F.length(F.array_join(head, " ")) <= chars, head).otherwise(F.aggregate(short, start, step)["out"])
+
+    short = F.filter(F.array_distinct(terms), lambda term: (F.trim(term) != "") & (F.length(term) <= longest))
+    return F.transform(F.array(short), chosen)[0]
 
 
 def intents(events: DataFrame, key: str, rank: Column, identity: Column, at: Column) -> DataFrame:

@@ -120,3 +120,14 @@ def test_seeds_alone_write_no_queries(spark, monkeypatch):
     seeds = sorted(map(tuple, discovery.seeds_of(discovery.around(*frames)).collect()))
     assert "views" not in written and "queries" not in written
     assert seeds == sorted(map(tuple, discovery.built(*frames)[0].collect()))
+
+
+def test_a_text_is_split_into_terms_once(spark, monkeypatch):
+    """Both channels take the terms of a text, of the names and of the path from one pass over each."""
+    rng, plans = random.Random(4), {}
+    schemas = ("ctx string, delta string, path string, place int, before string, after string, symbols array<string>", "ctx string, entity string, name string, path string, distance int", "ctx string, delta string, entity string", "ctx string, edge string, src string, dst string, rel string")
+    frames = [spark.createDataFrame(r, s) for r, s in zip(made(rng, "c"), schemas, strict=True)]
+    keep = discovery.materialise
+    monkeypatch.setattr(discovery, "materialise", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or keep(df, name))
+    discovery.built(*frames)
+    assert plans["views"].count("regexp_extract_all(") == 4

@@ -38,3 +38,12 @@ def test_a_new_final_identity_raises_the_version(spark):
     df = spark.createDataFrame(rows, "k int, at int, r int, who string")
     got = {r.k: (r.intent, r.version) for r in R.intents(df, "k", F.col("r"), F.col("who"), F.col("at")).collect()}
     assert got == {1: (3, 3), 2: (3, 2)}
+
+
+def test_bounded_terms_are_cut_by_characters_where_they_do_not_fit(spark):
+    """Longer terms and blank ones leave room for later ones, and so does one that doesn't fit."""
+    lists = [["ab", "cd", "ef", "gh", "ij"], ["abcdefghi", " ", "ab", "cd", "ef"], ["abcd", "efgh", "i"], ["é" * 7], [None, None], None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "id long, w array<string>")
+    for bounds in ((8, 4, 7), (8, 3, 8), (2, 2, 5)):
+        got = {r.id: r.t for r in df.select("id", R.bounded_terms(F.col("w"), *bounds).alias("t")).collect()}
+        assert got == {i: None if v is None else fit(v, *bounds) for i, v in enumerate(lists)}
