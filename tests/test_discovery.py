@@ -131,3 +131,27 @@ def test_a_text_is_split_into_terms_once(spark, monkeypatch):
     monkeypatch.setattr(discovery, "materialise", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or keep(df, name))
     discovery.built(*frames)
     assert plans["views"].count("regexp_extract_all(") == 4
+
+
+def test_what_lies_around_a_seed_is_dealt_once(spark, monkeypatch):
+    """Candidates and edges of a seed are gathered where they are put in order: no table with a row for each is written, and
+    those that bounds leave out stand in rows of bounded size, all of them."""
+    n = 2500
+    frames = [
+        spark.createDataFrame([("c", "d", "f.py", 1, None, "x", None)], "ctx string, delta string, path string, place int, before string, after string, symbols array<string>"),
+        spark.range(n).selectExpr("'c' AS ctx", "concat('n', lpad(id, 5, '0')) AS entity", "concat('N', id) AS name", "'f.py' AS path", "1 AS distance"),
+        spark.createDataFrame([], "ctx string, delta string, entity string"),
+        spark.range(n - 1).selectExpr("'c' AS ctx", "concat('e', lpad(id, 5, '0')) AS edge", "concat('n', lpad(id, 5, '0')) AS src", "concat('n', lpad(id + 1, 5, '0')) AS dst", "'USES' AS rel"),
+    ]
+    written, keep = {}, discovery.materialise
+    monkeypatch.setattr(discovery, "materialise", lambda df, name: written.setdefault(name, keep(df, name)))
+    found = discovery.around(*frames, Limits(edges=30))
+    assert sum(df.count() for name, df in written.items() if name != "known") < 10
+    assert all(len(r.no_entities) <= discovery.PART + 60 and len(r.no_edges) <= discovery.PART + 30 for r in written["lists"].collect())
+    got = collections.Counter()
+    for rows in found.omitted:
+        got.update((r.code, r.item) for r in rows.collect())
+    want = [("UNMAPPED_UNIT", "d")] + [("ENTITY_LIMIT", f"d/n{i:05}") for i in range(24, n)] + [("NEIGHBOR_LIMIT", f"d/e{i:05}") for i in range(23, n - 1)]
+    assert got == collections.Counter(want)
+    seed = discovery.seeds_of(found).first()
+    assert seed.mapping == "FILE_FALLBACK" and seed.entities == [f"n{i:05}" for i in range(24)] and seed.edges == [f"e{i:05}" for i in range(23)]

@@ -85,3 +85,13 @@ def test_a_context_is_cut_where_it_stands(spark):
     lines = Tables(spark, SMALL).lineitem
     plan = pruning.log(pruning.cut(queue.gathered_contexts(lines), 200))._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan
+
+
+def test_neighbouring_words_are_of_one_turn(spark, tmp_path):
+    """Also where turns of a conversation have no number, and so no key to tell them apart by."""
+    rows = [(1, None, "user", "firstword secondword"), (1, None, "user", "thirdword fourthword"), (1, 2, None, "firstword"), (1, 3, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    _, entities, mapped, edges = queue._discovery(Tables(spark, str(tmp_path)))
+    assert {r.edge for r in edges.collect()} == {"firstword>secondword", "thirdword>fourthword"}
+    assert {r.entity for r in entities.collect()} == {"firstword", "secondword", "thirdword", "fourthword"}
+    assert [(r.delta, r.entity) for r in mapped.collect()] == [("t0002", "firstword")]
