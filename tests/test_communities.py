@@ -151,3 +151,21 @@ def test_tables_of_a_round_do_not_pass_through_the_driver(spark, monkeypatch):
     graph.with_community_ids(modularity.by_modularity(df)).collect()
     assert {"labels", "level", "path", "large", "small"} <= {name for name, _ in plans}
     assert not [name for name, p in plans if "BroadcastHashJoin" in p]
+
+
+def test_small_graphs_take_few_steps_and_large_ones_are_swept_together(spark, monkeypatch):
+    """A graph that one task may finish is not swept; one that it may not is, and its modularity stays close."""
+    edges = graphs()["blocks"]
+    plain = plain_modularity(edges, plain_local_moving(edges))
+    for most, limit, least in ((1 << 16, 12, 1), (300, 60, 0.9)):
+        names, runs = [], []
+        monkeypatch.setattr(modularity, "materialise", lambda df, name="step": names.append(name) or steps.materialise(df, name))
+        monkeypatch.setattr(modularity, "FINISHED", most, raising=False)
+        for step, n in ((1, 1), (-1, 5)) if most == 300 else ((1, 1),):
+            names.clear()
+            runs.append(sorted(map(tuple, modularity.by_modularity(spark.createDataFrame(edges[::step], "src long, dst long").repartition(n)).collect())))
+            assert len(names) <= limit
+        found = dict(runs[0])
+        assert runs[0] == runs[-1] and set(found) == {x for e in edges for x in e}
+        assert plain_modularity(edges, found) >= plain * least - 1e-9
+        assert parts(found, [(a, b) for a, b in edges if found[a] == found[b]]) == found
