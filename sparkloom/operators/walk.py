@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import materialise
+from .steps import growing, materialise
 
 #: The classes of relationships, the rest come last.
 CALLS, DATA = "CALLS", ("READS_FROM", "WRITES_TO")
@@ -58,17 +58,18 @@ def walked(seeds: DataFrame, edges: DataFrame, hops: int, per_subject: int, most
     return taken, found
 
 
-def inventory(asked: DataFrame, asserted: DataFrame, supports: DataFrame, direct: DataFrame, most: int) -> DataFrame:
-    """(kind, edge, src, rel, dst, adr, support) of the relationships with an end in asked (node): at most `most`
-    asserted ones (edge, src, rel, dst, adr) in the order of a walk, with the number of chunks that support them
-    (edge, chunk), and at most `most` direct ones (src, rel, dst) that no assertion of the same type stands for."""
+def inventory(asked: DataFrame, asserted: DataFrame, supports: DataFrame, direct: DataFrame, most: int | None = None) -> DataFrame:
+    """(kind, edge, src, rel, dst, adr, support) of the relationships with an end in asked (node): asserted ones (edge,
+    src, rel, dst, adr) with the number of chunks that support them (edge, chunk), and direct ones (src, rel, dst) that no
+    assertion of the same type stands for. With `most`, only so many of each: the first in the order of a walk and by ends."""
     order = priority(F.col("adr"), F.col("rel"), F.col("edge"))
-    mine = either_end(asserted, asked).drop("subject").dropDuplicates(["edge"]).orderBy(*order).limit(most)
-    mine = materialise(mine, "asserted")
-    kept = supports.where("chunk IS NOT NULL").join(F.broadcast(mine.select("edge")), "edge", "left_semi")  # `most` edges
+    mine = either_end(asserted, asked).drop("subject").dropDuplicates(["edge"])
+    mine = materialise(mine if most is None else mine.orderBy(*order).limit(most), "asserted")
+    shown = mine.select("edge")
+    kept = supports.where("chunk IS NOT NULL").join(growing(shown) if most is None else F.broadcast(shown), "edge", "left_semi")  # `most` edges
     held = kept.groupBy("edge").agg(F.countDistinct("chunk").alias("support"))
     first = mine.join(held, "edge", "left").select(F.lit("assertion").alias("kind"), "edge", "src", "rel", "dst", "adr", F.coalesce("support", F.lit(0)).alias("support"))
     bare = either_end(direct, asked).drop("subject").distinct().join(asserted.select("src", "rel", "dst").distinct(), ["src", "rel", "dst"], "left_anti")
-    bare = bare.orderBy("src", "rel", "dst").limit(most)
+    bare = bare if most is None else bare.orderBy("src", "rel", "dst").limit(most)
     edge = F.concat_ws("|", "src", "rel", "dst").alias("edge")
     return first.unionByName(bare.select(F.lit("direct").alias("kind"), edge, "src", "rel", "dst", F.lit(False).alias("adr"), F.lit(0).cast("long").alias("support")))

@@ -81,12 +81,12 @@ def relationship_inventory(t: Tables) -> DataFrame:
     return asserted.select("src", "rel", "dst", F.lit("assertion").alias("kind")).unionByName(direct.select("src", "rel", "dst", F.lit("direct").alias("kind")))
 
 
-@query(f"""WITH {SAID}, x AS (SELECT 'assertion' AS kind, edge, src, rel, dst, adr, support FROM a WHERE src IN (FROM q) OR dst IN (FROM q) ORDER BY {PLACE} LIMIT 400),
-y AS (SELECT 'direct' AS kind, src || '|' || rel || '|' || dst AS edge, src, rel, dst, false AS adr, 0 AS support FROM d WHERE (src IN (FROM q) OR dst IN (FROM q)) AND NOT EXISTS (SELECT 1 FROM a WHERE a.src = d.src AND a.rel = d.rel AND a.dst = d.dst) ORDER BY src, rel, dst LIMIT 400) FROM x UNION ALL FROM y""")
+@query(f"""WITH {SAID}, x AS (SELECT 'assertion' AS kind, edge, src, rel, dst, adr, support FROM a WHERE src IN (FROM q) OR dst IN (FROM q)),
+y AS (SELECT 'direct' AS kind, src || '|' || rel || '|' || dst AS edge, src, rel, dst, false AS adr, 0 AS support FROM d WHERE (src IN (FROM q) OR dst IN (FROM q)) AND NOT EXISTS (SELECT 1 FROM a WHERE a.src = d.src AND a.rel = d.rel AND a.dst = d.dst)) FROM x UNION ALL FROM y""")
 def relationships_of_entities(t: Tables) -> DataFrame:
-    """Relationships with one end or the other among the entities asked about, with the support of asserted ones."""
+    """All relationships with one end or the other among the entities asked about, with the support of asserted ones."""
     direct, asserted, supports, asked = _said(t)
-    return W.inventory(asked, asserted, supports, direct, 400)
+    return W.inventory(asked, asserted, supports, direct)
 
 
 WALK = f"""{SAID}, u AS (SELECT edge, src, dst, rel, adr FROM a UNION ALL SELECT src || '|' || rel || '|' || dst, src, dst, rel, false FROM d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.src = d.src AND a.rel = d.rel AND a.dst = d.dst)),

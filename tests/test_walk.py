@@ -1,5 +1,6 @@
 import random
 
+from sparkloom import plans
 from sparkloom.operators import containment, walk
 
 EDGES = "edge string, src string, dst string, rel string, adr boolean"
@@ -103,3 +104,15 @@ def test_only_edges_that_are_shown_are_counted(spark):
     assert sorted((r.edge, r.support) for r in found.where("kind = 'assertion'").collect()) == [("p0|CALLS|s0", 2), ("p1|CALLS|s1", 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftSemi" in plan
+
+
+def test_all_relationships_of_the_entities_asked_about(spark):
+    """Of 500 asserted and 500 direct relationships of one entity none is left out, in the operator and in the query."""
+    asserted = spark.range(500).selectExpr("concat('x|CALLS|s', id) AS edge", "'x' AS src", "'CALLS' AS rel", "concat('s', id) AS dst", "false AS adr")
+    direct = spark.range(500).selectExpr("'x' AS src", "'USES' AS rel", "concat('s', id) AS dst")
+    supports = asserted.selectExpr("edge", "explode(array('c1', 'c2')) AS chunk")
+    asked = spark.createDataFrame([("x",)], "node string")
+    found = walk.inventory(asked, asserted, supports, direct)
+    assert {(r.kind, r.support, r.n) for r in found.groupBy("kind", "support").agg({"*": "count"}).toDF("kind", "support", "n").collect()} == {("assertion", 2, 500), ("direct", 0, 500)}
+    counts = {r.kind: r["count"] for r in plans.queries()["relationships_of_entities"](spark, "/root/testdata/sf0.01").groupBy("kind").count().collect()}
+    assert min(counts.values()) > 400
